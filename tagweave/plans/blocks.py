@@ -1,0 +1,318 @@
+"""Iterative fitting with one scan per iteration, for component tables of checked size.
+
+A row's state is packed once: ``(i, cols, xs, g, r)`` with its column ids, its counts and its weight
+shapes. The components are broadcast, so a weight update needs no join and no shuffle; each task
+adds up its share of the component statistic, and only those K x D partial sums are shuffled. The
+data part of the bound of an iteration needs the same rates as the next weight update, so the next
+scan delivers it.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tagweave.functions.mathx import digamma_np, log_gamma_np
+from tagweave.functions.vectors import add_vectors, lists, matrix
+from tagweave.plans import factors as fa
+from tagweave.plans.factors import PMFParams
+from tagweave.plans.joined import stopped
+from tagweave.session import TwoSlots
+
+# Doubles in the largest temporary of a task: 32 MB.
+CHUNK_CELLS = 4_000_000
+TOTALS = -1
+
+
+@dataclass
+class Components:
+    """Component shapes and rates as (D, K) arrays, row d for column id d."""
+
+    g: np.ndarray
+    r: np.ndarray
+    e: np.ndarray = field(init=False)
+    el: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.e = self.g / self.r
+        self.el = digamma_np(self.g) - np.log(self.r)
+
+    def gamma_term(self, b: float) -> float:
+        return float(
+            np.sum((b - self.g) * self.el - (b - self.r) * self.e + log_gamma_np(self.g) - self.g * np.log(self.r))
+        )
+
+    @staticmethod
+    def gather(beta: DataFrame) -> "Components":
+        """Bring a component table of checked size to the driver. Ids must be 0 .. D-1."""
+        table = beta.select("d", "g", "r").toArrow().sort_by("d")
+        ids = table.column("d").to_numpy()
+        if not np.array_equal(ids, np.arange(len(ids))):
+            raise ValueError("component ids must be 0 .. D-1 without gaps")
+        width = len(table.column("g")[0])
+        parts = [matrix(table.column(name).combine_chunks(), width) for name in ("g", "r")]
+        return Components(*parts)
+
+    def frame(self, spark) -> DataFrame:
+        ids = pa.array(np.arange(len(self.g), dtype=np.int32))
+        table = pa.table({"d": ids, "g": lists(self.g), "r": lists(self.r), "e": lists(self.e), "el": lists(self.el)})
+        return spark.createDataFrame(table)
+
+
+@dataclass
+class Sums:
+    """What one scan reports: totals over all rows, and the component statistic if asked for."""
+
+    n: int
+    data: float
+    weights: float
+    e: np.ndarray
+    stat: np.ndarray | None
+
+
+@dataclass
+class Weights:
+    """Fitted weights: the state table, the shared rate row and the scale."""
+
+    state: DataFrame
+    rate: np.ndarray
+    c: float
+    sums: Sums
+
+
+def pack(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per id with its counts as two parallel arrays; ids without counts get empty arrays.
+
+    ``counts`` holds one row per (i, d), so a packed row is no longer than the number of columns,
+    which the block path bounds.
+    """
+    cells = counts.where("x <> 0").select("i", F.struct(F.col("d").cast("int").alias("d"), "x").alias("c"))
+    packed = cells.groupBy("i").agg(F.collect_list("c").alias("c"))
+    filled = rows.select("i").join(packed, "i", "left")
+    return filled.select(
+        "i",
+        F.coalesce(F.col("c.d"), F.array().cast("array<int>")).alias("cols"),
+        F.coalesce(F.col("c.x"), F.array().cast("array<double>")).alias("xs"),
+    )
+
+
+def start(packed: DataFrame, params: PMFParams) -> DataFrame:
+    return fa.init_shapes_rates(packed, "i", "theta", params)
+
+
+def _segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(lengths), values.shape[1]))
+    filled = lengths > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values, starts[filled], axis=0)
+    return out
+
+
+def _row_chunks(lengths: np.ndarray, width: int):
+    """Cut a batch into runs of rows whose temporaries stay small."""
+    cells = np.cumsum((lengths + 1) * width)
+    lo = 0
+    while lo < len(lengths):
+        base = cells[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(cells, base + CHUNK_CELLS, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def scan(state: DataFrame, beta: Components, params: PMFParams, rate: np.ndarray | None,
+         new_rate: np.ndarray | None, statistic: bool) -> DataFrame:
+    """One pass over the packed rows.
+
+    ``rate`` is the shared rate row of the incoming weights, for rows that carry none of their own.
+    With ``new_rate`` the weights are updated and get that rate; without it they stay as they are.
+    The result holds the new state and, as extra rows with a column id, the partial sums of each task.
+    """
+    k = params.n_components
+    move = new_rate is not None
+    a = params.a
+    bc = state.sparkSession.sparkContext.broadcast(np.exp(beta.el))
+    n_cols = len(beta.g)
+    schema = T.StructType(
+        [
+            T.StructField("i", state.schema["i"].dataType),
+            T.StructField("cols", T.ArrayType(T.IntegerType())),
+            T.StructField("xs", T.ArrayType(T.DoubleType())),
+            T.StructField("g", T.ArrayType(T.DoubleType())),
+            T.StructField("r", T.ArrayType(T.DoubleType())),
+            T.StructField("d", T.IntegerType()),
+            T.StructField("s", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    def task(batches):
+        b = bc.value
+        acc = np.zeros((n_cols, k)) if statistic else None
+        totals = np.zeros(k + 3)
+        seen = False
+        double_list = pa.list_(pa.float64())
+        for batch in batches:
+            m = batch.num_rows
+            if m == 0:
+                continue
+            seen = True
+            ids, cols, xs = batch.column("i"), batch.column("cols"), batch.column("xs")
+            d = cols.flatten().to_numpy(zero_copy_only=False)
+            x = xs.flatten().to_numpy(zero_copy_only=False)
+            lengths = cols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(lengths)
+            g = matrix(batch.column("g"), k)
+            own = batch.column("r")
+            r = np.broadcast_to(rate, g.shape) if own.null_count == m else matrix(own, k)
+            g_new = np.empty_like(g) if move else g
+            for lo, hi in _row_chunks(lengths, k):
+                first = ends[lo] - lengths[lo]
+                cells = slice(first, ends[hi - 1])
+                dd, xx, ll = d[cells], x[cells], lengths[lo:hi]
+                row = np.repeat(np.arange(hi - lo), ll)
+                starts = np.cumsum(ll) - ll
+                el = digamma_np(g[lo:hi]) - np.log(r[lo:hi])
+                w = np.exp(el)[row] * b[dd]
+                total = w.sum(axis=1)
+                totals[k + 1] += float(xx @ np.log(total))
+                r_now = r[lo:hi]
+                if move:
+                    w *= (xx / total)[:, None]
+                    g_new[lo:hi] = a + _segment_sums(w, starts, ll)
+                    r_now = np.broadcast_to(new_rate, (hi - lo, k))
+                    el = digamma_np(g_new[lo:hi]) - np.log(r_now)
+                    if statistic:
+                        w = np.exp(el)[row] * b[dd]
+                        total = w.sum(axis=1)
+                if statistic and len(dd):
+                    share = w * (xx / total)[:, None]
+                    order = np.argsort(dd, kind="stable")
+                    sorted_d = dd[order]
+                    cuts = np.flatnonzero(np.r_[True, sorted_d[1:] != sorted_d[:-1]])
+                    acc[sorted_d[cuts]] += np.add.reduceat(share[order], cuts, axis=0)
+                now = g_new[lo:hi]
+                e = now / r_now
+                totals[:k] += e.sum(axis=0)
+                totals[k] += float(np.sum((a - now) * el + now + log_gamma_np(now) - now * np.log(r_now)))
+            totals[k + 2] += m
+            if move:
+                yield pa.RecordBatch.from_arrays(
+                    [ids, cols, xs, lists(g_new), pa.nulls(m, double_list), pa.nulls(m, pa.int32()),
+                     pa.nulls(m, double_list)],
+                    names=schema.names,
+                )
+        if not seen:
+            return
+        sums = [(np.full(1, TOTALS, dtype=np.int32), np.r_[totals].reshape(1, -1))]
+        if statistic:
+            touched = np.flatnonzero(acc.any(axis=1)).astype(np.int32)
+            padded = np.zeros((len(touched), k + 3))
+            padded[:, :k] = acc[touched]
+            sums.append((touched, padded))
+        for d_ids, values in sums:
+            m = len(d_ids)
+            empty = [pa.nulls(m, batch.schema.field("i").type), pa.nulls(m, pa.list_(pa.int32()))]
+            empty += [pa.nulls(m, double_list) for _ in range(3)]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(d_ids), lists(values)], names=schema.names)
+
+    return state.select("i", "cols", "xs", "g", "r").mapInArrow(task, schema)
+
+
+def read_sums(scanned: DataFrame, beta: Components, params: PMFParams, statistic: bool) -> Sums:
+    """Add up the partial sums of all tasks; at most D + 1 rows reach the driver."""
+    k = params.n_components
+    table = add_vectors(scanned.where("d is not null"), "d", "s", k + 3).toArrow()
+    ids = table.column("d").to_numpy()
+    values = matrix(table.column("s").combine_chunks(), k + 3) if len(ids) else np.zeros((0, k + 3))
+    totals = values[ids == TOTALS].sum(axis=0)
+    stat = None
+    if statistic:
+        stat = np.zeros(beta.g.shape)
+        cells = ids != TOTALS
+        stat[ids[cells]] = values[cells, :k]
+    return Sums(int(round(totals[k + 2])), float(totals[k + 1]), float(totals[k]), totals[:k], stat)
+
+
+def rows_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where("d is null").select("i", "cols", "xs", "g", "r")
+
+
+def local_bound(data: float, sums: Sums, beta: Components, c: float, params: PMFParams) -> float:
+    """The bound without the component term."""
+    a, k = params.a, params.n_components
+    return (
+        data
+        - float(sums.e @ beta.e.sum(axis=0))
+        + sums.weights
+        - a * c * float(sums.e.sum())
+        + k * sums.n * a * math.log(c)
+    )
+
+
+def measure(weights: Weights, beta: Components, params: PMFParams, statistic: bool) -> Sums:
+    """A scan that leaves the weights alone: data term and, if asked, the component statistic."""
+    scanned = scan(weights.state, beta, params, weights.rate, None, statistic)
+    return read_sums(scanned, beta, params, statistic)
+
+
+def run(packed: DataFrame, beta: Components, params: PMFParams, learn_beta: bool, last_bound: bool = True):
+    """Alternate weight and (optionally) component updates; returns weights, components and bounds."""
+    spark = packed.sparkSession
+    k = params.n_components
+    slots = TwoSlots(spark, "weights")
+    state = start(packed, params)
+    size = state.select("g", "r").agg(
+        F.count("*"),
+        F.sum(F.aggregate(F.zip_with("g", "r", lambda g, r: g / r), F.lit(0.0), lambda s, v: s + v)),
+    ).first()
+    c = size[0] * k / size[1]
+    weights, bounds, previous, rest = None, [], -math.inf, None
+    for step in range(params.max_iter + 1):
+        if step == params.max_iter and not last_bound:
+            break
+        last = step == params.max_iter
+        if last:
+            # only the bound of the last update is still missing
+            data = measure(weights, beta, params, statistic=False).data
+        else:
+            rate = params.a * c + beta.e.sum(axis=0)
+            before = None if weights is None else weights.rate
+            moved = slots.write(scan(state, beta, params, before, rate, learn_beta), step)
+            sums = read_sums(moved, beta, params, learn_beta)
+            data = sums.data
+        if weights is not None:
+            bound = data + rest
+            bounds.append(bound)
+            if last or stopped(bound, previous, params.tol):
+                break
+            previous = bound
+        c = sums.n * k / float(sums.e.sum())
+        if learn_beta:
+            beta = Components(
+                params.b + sums.stat, np.broadcast_to(params.b + sums.e, sums.stat.shape).copy()
+            )
+        rest = local_bound(0.0, sums, beta, c, params) + beta.gamma_term(params.b)
+        state = rows_of(moved)
+        weights = Weights(state, rate, c, sums)
+    return weights, beta, bounds
+
+
+def gradient_step(packed: DataFrame, beta: Components, rho: float, scale: float, params: PMFParams,
+                  with_bound: bool = True):
+    """Fold a mini-batch in, move the components, return them with the stochastic bound after the move."""
+    weights, beta, _ = run(packed, beta, params, learn_beta=False, last_bound=False)
+    sums = measure(weights, beta, params, statistic=True)
+    fresh_r = np.broadcast_to(params.b + scale * sums.e, beta.r.shape)
+    moved = Components(
+        (1 - rho) * beta.g + rho * (params.b + scale * sums.stat),
+        (1 - rho) * beta.r + rho * fresh_r,
+    )
+    if not with_bound:
+        return moved, None
+    data = measure(weights, moved, params, statistic=False).data
+    bound = scale * local_bound(data, weights.sums, moved, weights.c, params) + moved.gamma_term(params.b)
+    return moved, bound

@@ -1,0 +1,50 @@
+"""Iterative fitting for component tables too large to hold in a task: joins all the way."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+
+from tagweave.plans import factors as fa
+from tagweave.plans.factors import PMFParams
+from tagweave.session import TwoSlots, stage
+
+
+def stopped(bound: float, previous: float, tol: float) -> bool:
+    """Relative gain below ``tol``, a loss included; the first bound has nothing to compare with."""
+    return not math.isinf(previous) and (bound - previous) / abs(previous) < tol
+
+
+def run(counts: DataFrame, rows: DataFrame, beta: DataFrame, params: PMFParams, learn_beta: bool,
+        cols: DataFrame | None = None):
+    """Alternate weight and (optionally) component updates; returns theta, beta, c and the bounds."""
+    spark = counts.sparkSession
+    k = params.n_components
+    counts, beta = stage(counts, "counts"), stage(beta, "components")
+    hot = {**fa.hot_ids(counts), "n_cols": beta.count()}
+    theta_slots, beta_slots = TwoSlots(spark, "weights"), TwoSlots(spark, "components")
+    theta = stage(fa.init_factors(rows, "i", "theta", params), "weights")
+    c = fa.scale_c(theta, k).first()[0]
+    bounds, previous = [], -math.inf
+    for step in range(params.max_iter):
+        theta = theta_slots.write(fa.update_theta(counts, rows, theta, beta, c, params, **hot), step)
+        c = fa.scale_c(theta, k).first()[0]
+        if learn_beta:
+            beta = beta_slots.write(fa.update_beta(counts, cols, theta, beta, params, **hot), step)
+        bound = fa.elbo(counts, theta, beta, c, params, **hot)
+        bounds.append(bound)
+        if stopped(bound, previous, params.tol):
+            break
+        previous = bound
+    return theta, beta, c, bounds
+
+
+def gradient_step(counts: DataFrame, rows: DataFrame, beta: DataFrame, rho: float, scale: float,
+                  params: PMFParams):
+    """Fold the batch in, move the components, and return them with the stochastic bound after the move."""
+    counts = stage(counts, "counts")
+    hot = {**fa.hot_ids(counts), "n_cols": beta.count()}
+    theta, beta, c, _ = run(counts, rows, beta, params, learn_beta=False)
+    beta = stage(fa.blend_beta(counts, theta, beta, rho, scale, params, **hot), "components")
+    return beta, fa.elbo(counts, theta, beta, c, params, scale, **hot)

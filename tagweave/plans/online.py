@@ -51,9 +51,7 @@ def _batches(table: DataFrame, params: PMFParams, n_pass: int):
     spark = table.sparkSession
     split = minibatch_split(table, params, n_pass)
     path = new_path(spark, "batches")
-    # neighbours in the shuffled order share a batch, so few files arise per batch
-    per_write = F.expr("batch div 64")
-    split.repartition(per_write).sortWithinPartitions("batch").write.partitionBy("batch").parquet(path)
+    split.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
     return lambda n: spark.read.schema(table.schema).parquet(f"{path}/batch={n}")
 
 

@@ -173,7 +173,7 @@ def _add_points(points: DataFrame, book: Codebook) -> Codebook:
 def _learn_batch(points: DataFrame, book: Codebook | None, k: int, order: list[str]) -> Codebook:
     taken = 0 if book is None else len(book.sizes)
     if taken < k:
-        known = [] if book is None else [tuple(v) for v in book.centers]
+        known = [] if book is None else book.centers.tolist()
         seeds = _seed_rows(points, k - taken, order, known)
         if seeds:
             fresh = np.array([v for _, v in seeds], dtype=np.float64)

@@ -22,8 +22,12 @@ def normalize_tag(tag: Column) -> Column:
 
 
 def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The words of whole texts as raw tags ``(track, raw)``."""
-    words = F.explode(F.split(text, TEXT_SEPARATORS))
+    """The words of whole texts as raw tags ``(track, raw)``.
+
+    The outer form of explode keeps the optimizer from splitting every text a second time for an
+    inferred size filter; the rows it adds for empty texts fail the test below.
+    """
+    words = F.explode_outer(F.split(text, TEXT_SEPARATORS))
     return texts.select(F.col(key).alias("track"), words.alias("raw")).where("raw <> ''")
 
 
@@ -33,7 +37,9 @@ def normalize_tags(raw: DataFrame) -> DataFrame:
     Equal raw tags of a track are counted before they are stemmed, and tags that become empty are left out.
     """
     counted = raw.groupBy("track", "raw").agg(F.count("*").alias("n"))
-    tagged = counted.select("track", normalize_tag(F.col("raw")).alias("tag"), "n").where("tag <> ''")
+    # a filter on a computed tag would be pushed below and stem twice; on an exploded one it stays above
+    one = F.filter(F.array(normalize_tag(F.col("raw"))), lambda tag: tag != "")
+    tagged = counted.select("track", F.explode_outer(one).alias("tag"), "n").where("tag is not null")
     return tagged.groupBy("track", "tag").agg(F.sum("n").alias("n"))
 
 

@@ -101,11 +101,14 @@ def _gamma_of(digest: Column, first_word: int, shape: float) -> Column:
 def gamma_pairs(seed, role: str, key: Column, n_components: int, shape: float) -> Column:
     """``n_components`` independent (g, r) pairs per key, each Gamma(shape, 1); same on any partitioning."""
     prefix = F.concat_ws(":", F.lit(str(seed)), F.lit(role), key.cast("string"))
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit(n_components - 1)),
-        lambda k: F.md5(F.concat_ws(":", prefix, k.cast("string"))),
-    )
-    return F.transform(
-        digests,
-        lambda h: F.struct(_gamma_of(h, 0, shape).alias("g"), _gamma_of(h, 2, shape).alias("r")),
-    )
+    numbers = F.sequence(F.lit(0), F.lit(n_components - 1))
+
+    def draw(p: Column) -> Column:
+        digests = F.transform(numbers, lambda k: F.md5(F.concat(p, F.lit(":"), k.cast("string"))))
+        return F.transform(
+            digests,
+            lambda h: F.struct(_gamma_of(h, 0, shape).alias("g"), _gamma_of(h, 2, shape).alias("r")),
+        )
+
+    # as a lambda variable the prefix is built once per key, not once per component
+    return F.transform(F.array(prefix), draw)[0]

@@ -23,7 +23,7 @@ from tagweave.functions.vectors import add_vectors, lists, matrix
 from tagweave.plans import factors as fa
 from tagweave.plans.factors import PMFParams
 from tagweave.plans.joined import stopped
-from tagweave.session import TwoSlots
+from tagweave.session import TwoSlots, stage
 
 # Doubles in the largest temporary of a task: 32 MB.
 CHUNK_CELLS = 4_000_000
@@ -93,7 +93,10 @@ def pack(counts: DataFrame, rows: DataFrame) -> DataFrame:
     which the block path bounds.
     """
     cells = counts.where("x <> 0").select("i", F.struct(F.col("d").cast("int").alias("d"), "x").alias("c"))
-    packed = cells.groupBy("i").agg(F.collect_list("c").alias("c"))
+    # A stated number of parts: the scans that follow work far longer per byte than a shuffle does, so
+    # merging parts by their bytes would leave them too few. The grouping reuses this shuffle.
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = cells.repartition(parts, "i").groupBy("i").agg(F.collect_list("c").alias("c"))
     filled = rows.select("i").join(packed, "i", "left")
     return filled.select(
         "i",
@@ -103,7 +106,8 @@ def pack(counts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def start(packed: DataFrame, params: PMFParams) -> DataFrame:
-    return fa.init_shapes_rates(packed, "i", "theta", params)
+    """Packed rows with drawn weights, written once: the draws cost more than reading them back."""
+    return stage(fa.init_shapes_rates(packed, "i", "theta", params), "start")
 
 
 def _segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

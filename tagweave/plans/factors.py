@@ -106,13 +106,16 @@ def rate_at_nonzeros(counts: DataFrame, theta: DataFrame, beta: DataFrame, param
     return with_factors(counts, theta, beta, params, **hot).select("i", "d", "x", "rate")
 
 
-def _statistic(joined: DataFrame, key: str, n_components: int) -> DataFrame:
-    """Per key and component: sum of x * share of the component in the rate (K map-side combined sums)."""
+def _statistic(joined: DataFrame, key: str, n_components: int, data: bool = False) -> DataFrame:
+    """Per key and component: sum of x * share of the component in the rate (K map-side combined sums).
+
+    With ``data`` also the key's part of the data term, which needs the same rates.
+    """
     shared = joined.withColumn("q", F.col("x") / F.col("rate"))
-    sums = shared.groupBy(key).agg(
-        *[F.sum(F.col("q") * F.col("t")[k] * F.col("b")[k]).alias(f"s{k}") for k in range(n_components)]
-    )
-    return sums.select(key, F.array(*[F.col(f"s{k}") for k in range(n_components)]).alias("s"))
+    sums = [F.sum(F.col("q") * F.col("t")[k] * F.col("b")[k]).alias(f"s{k}") for k in range(n_components)]
+    extra = [F.sum(F.col("x") * F.ln("rate")).alias("data")] if data else []
+    array = F.array(*[F.col(f"s{k}") for k in range(n_components)]).alias("s")
+    return shared.groupBy(key).agg(*sums, *extra).select(key, array, *(["data"] if data else []))
 
 
 def _add_prior(ids: DataFrame, key: str, stat: DataFrame, prior: float, rates: list[float]) -> DataFrame:
@@ -120,32 +123,34 @@ def _add_prior(ids: DataFrame, key: str, stat: DataFrame, prior: float, rates: l
     filled = ids.select(key).join(stat, key, "left")
     none = F.array(*[F.lit(0.0)] * len(rates))
     shapes = F.transform(F.coalesce("s", none), lambda s: s + F.lit(prior))
-    return filled.select(key, shapes.alias("g"), F.array(*[F.lit(v) for v in rates]).alias("r"))
+    data = ["data"] if "data" in stat.columns else []
+    return filled.select(key, shapes.alias("g"), F.array(*[F.lit(v) for v in rates]).alias("r"), *data)
 
 
 def update_theta(counts: DataFrame, rows: DataFrame, theta: DataFrame, beta: DataFrame, c: float,
-                 params: PMFParams, **hot) -> DataFrame:
+                 params: PMFParams, beta_totals: list[float] | None = None, data: bool = False, **hot) -> DataFrame:
+    """New weights. With ``data`` each row also has its part of the data term at the old weights."""
     joined = with_factors(counts, theta, beta, params, **hot)
-    rates = [params.a * c + v for v in factor_totals(beta, params.n_components)]
-    stat = _statistic(joined, "i", params.n_components)
-    return gamma_expectations(_add_prior(rows, "i", stat, params.a, rates))
+    totals = factor_totals(beta, params.n_components) if beta_totals is None else beta_totals
+    stat = _statistic(joined, "i", params.n_components, data)
+    return gamma_expectations(_add_prior(rows, "i", stat, params.a, [params.a * c + v for v in totals]))
 
 
 def update_beta(counts: DataFrame, cols: DataFrame, theta: DataFrame, beta: DataFrame,
-                params: PMFParams, **hot) -> DataFrame:
+                params: PMFParams, theta_totals: list[float] | None = None, **hot) -> DataFrame:
     joined = with_factors(counts, theta, beta, params, **hot)
-    rates = [params.b + v for v in factor_totals(theta, params.n_components)]
+    totals = factor_totals(theta, params.n_components) if theta_totals is None else theta_totals
     stat = _statistic(joined, "d", params.n_components)
-    return gamma_expectations(_add_prior(cols, "d", stat, params.b, rates))
+    return gamma_expectations(_add_prior(cols, "d", stat, params.b, [params.b + v for v in totals]))
 
 
 def blend_beta(counts: DataFrame, theta: DataFrame, beta: DataFrame, rho: float, scale: float,
-               params: PMFParams, **hot) -> DataFrame:
+               params: PMFParams, theta_totals: list[float], **hot) -> DataFrame:
     """One natural gradient step: old components blended with the scaled mini-batch statistic."""
     joined = with_factors(counts, theta, beta, params, **hot)
-    rates = [params.b + scale * v for v in factor_totals(theta, params.n_components)]
     stat = _statistic(joined, "d", params.n_components)
     stat = stat.withColumn("s", F.transform("s", lambda s: s * F.lit(float(scale))))
+    rates = [params.b + scale * v for v in theta_totals]
     fresh = _add_prior(beta, "d", stat, params.b, rates).withColumnsRenamed({"g": "g1", "r": "r1"})
 
     def mix(old, new):
@@ -157,40 +162,71 @@ def blend_beta(counts: DataFrame, theta: DataFrame, beta: DataFrame, rho: float,
     )
 
 
-def gamma_term(factors: DataFrame, prior_shape: float, prior_rate: float) -> DataFrame:
-    """One row ``term``: the part of the bound that compares Gamma posteriors with their prior."""
-    cells = factors.select(F.arrays_zip("g", "r", "e", "el").alias("z"))
+def _gamma_part(prior_shape: float) -> Column:
+    """The Gamma term without its prior rate, whose share is minus that rate times the total expectation."""
 
     def cell(total, z):
         return total + (
-            (F.lit(prior_shape) - z["g"]) * z["el"]
-            - (F.lit(prior_rate) - z["r"]) * z["e"]
-            + log_gamma(z["g"])
-            - z["g"] * F.ln(z["r"])
+            (F.lit(prior_shape) - z["g"]) * z["el"] + z["g"] + log_gamma(z["g"]) - z["g"] * F.ln(z["r"])
         )
 
-    return cells.agg(F.coalesce(F.sum(F.aggregate("z", F.lit(0.0), cell)), F.lit(0.0)).alias("term"))
+    # r * e is g
+    return F.coalesce(F.sum(F.aggregate(F.arrays_zip("g", "r", "el"), F.lit(0.0), cell)), F.lit(0.0))
+
+
+def gamma_term(factors: DataFrame, prior_shape: float, prior_rate: float) -> DataFrame:
+    """One row ``term``: the part of the bound that compares Gamma posteriors with their prior."""
+    total = F.coalesce(array_total("e"), F.lit(0.0))
+    return factors.agg((_gamma_part(prior_shape) - F.lit(prior_rate) * total).alias("term"))
+
+
+@dataclass(frozen=True)
+class Summary:
+    """All that the bound and the next step need of a factor table, from one scan."""
 
+    n: int
+    e: list[float]
+    gamma: float
+    data: float
 
-def data_term(counts: DataFrame, theta: DataFrame, beta: DataFrame, params: PMFParams, **hot) -> DataFrame:
+    @property
+    def total(self) -> float:
+        return math.fsum(self.e)
+
+    def gamma_term(self, prior_rate: float) -> float:
+        return self.gamma - prior_rate * self.total
+
+
+def summarize(factors: DataFrame, prior_shape: float, n_components: int) -> Summary:
+    data = F.coalesce(F.sum("data"), F.lit(0.0)) if "data" in factors.columns else F.lit(0.0)
+    sums = [F.sum(F.col("e")[k]) for k in range(n_components)]
+    row = factors.agg(F.count("*"), _gamma_part(prior_shape), data, *sums).first()
+    return Summary(row[0], [float(v) for v in row[3:]], float(row[1]), float(row[2]))
+
+
+def data_term(counts: DataFrame, theta: DataFrame, beta: DataFrame, params: PMFParams, **hot) -> float:
     rates = rate_at_nonzeros(counts, theta, beta, params, **hot)
-    return rates.agg(F.coalesce(F.sum(F.col("x") * F.ln("rate")), F.lit(0.0)).alias("term"))
+    return rates.agg(F.coalesce(F.sum(F.col("x") * F.ln("rate")), F.lit(0.0))).first()[0]
 
 
-def elbo(counts: DataFrame, theta: DataFrame, beta: DataFrame, c: float, params: PMFParams,
-         scale: float = 1.0, **hot) -> float:
-    """The bound, without the constants in x. The total of all expected rates factorizes by component.
+def assemble_bound(data: float, theta: Summary, beta: Summary, c: float, params: PMFParams,
+                   scale: float = 1.0) -> float:
+    """The bound from its parts, without the constants in x.
 
-    With ``scale`` other than one this is the stochastic bound: everything but the component term
-    counts ``scale`` times.
+    The total of all expected rates factorizes by component. With ``scale`` other than one this is
+    the stochastic bound: everything but the component term counts ``scale`` times.
     """
+    expected = math.fsum(t * b for t, b in zip(theta.e, beta.e))
+    priors = params.n_components * theta.n * params.a * math.log(c)
+    local = data - expected + theta.gamma_term(params.a * c) + priors
+    return scale * local + beta.gamma_term(params.b)
+
+
+def elbo(counts: DataFrame, theta: DataFrame, beta: DataFrame, c: float, params: PMFParams,
+         scale: float = 1.0, **hot) -> float:
+    data = data_term(counts, theta, beta, params, **hot)
     k = params.n_components
-    data = data_term(counts, theta, beta, params, **hot).first()[0]
-    expected = math.fsum(t * b for t, b in zip(factor_totals(theta, k), factor_totals(beta, k)))
-    weights = gamma_term(theta, params.a, params.a * c).first()[0]
-    n = theta.count()
-    local = data - expected + weights + k * n * params.a * math.log(c)
-    return scale * local + gamma_term(beta, params.b, params.b).first()[0]
+    return assemble_bound(data, summarize(theta, params.a, k), summarize(beta, params.b, k), c, params, scale)
 
 
 def learning_rate(params: PMFParams, step: int | None = None, rho: float | None = None) -> float:
@@ -202,7 +238,7 @@ def learning_rate(params: PMFParams, step: int | None = None, rho: float | None
     return (step + params.t0) ** (-params.kappa)
 
 
-def hot_ids(counts: DataFrame) -> dict[str, DataFrame | None]:
-    """Hot rows and columns of a staged count table, found once per fit."""
+def hot_ids(counts: DataFrame, beta: DataFrame) -> dict:
+    """Hot rows and columns of a staged count table and the number of components, found once per fit."""
     n = counts.count()
-    return {"hot_rows": hot_keys(counts, "i", n), "hot_cols": hot_keys(counts, "d", n)}
+    return {"hot_rows": hot_keys(counts, "i", n), "hot_cols": hot_keys(counts, "d", n), "n_cols": beta.count()}

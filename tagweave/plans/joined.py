@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from tagweave.plans import factors as fa
-from tagweave.plans.factors import PMFParams
+from tagweave.plans.factors import PMFParams, Summary
 from tagweave.session import TwoSlots, stage
 
 
@@ -16,35 +17,75 @@ def stopped(bound: float, previous: float, tol: float) -> bool:
     return not math.isinf(previous) and (bound - previous) / abs(previous) < tol
 
 
-def run(counts: DataFrame, rows: DataFrame, beta: DataFrame, params: PMFParams, learn_beta: bool,
-        cols: DataFrame | None = None):
-    """Alternate weight and (optionally) component updates; returns theta, beta, c and the bounds."""
+@dataclass
+class Fit:
+    theta: DataFrame
+    theta_sums: Summary
+    beta: DataFrame
+    c: float
+    bounds: list[float]
+
+
+def run(counts: DataFrame, rows: DataFrame, beta: DataFrame, params: PMFParams, hot: dict, learn_beta: bool,
+        cols: DataFrame | None = None, last_bound: bool = True) -> Fit:
+    """Alternate weight and (optionally) component updates on staged counts.
+
+    An update of the weights needs the rates at the old ones, and so does the bound of the step
+    before; the update therefore delivers that bound's data term, and no join is made for it alone.
+    """
     spark = counts.sparkSession
     k = params.n_components
-    counts, beta = stage(counts, "counts"), stage(beta, "components")
-    hot = {**fa.hot_ids(counts), "n_cols": beta.count()}
     theta_slots, beta_slots = TwoSlots(spark, "weights"), TwoSlots(spark, "components")
     theta = stage(fa.init_factors(rows, "i", "theta", params), "weights")
-    c = fa.scale_c(theta, k).first()[0]
+    theta_sums, beta_sums = fa.summarize(theta, params.a, k), fa.summarize(beta, params.b, k)
+    c = theta_sums.n * k / theta_sums.total
     bounds, previous = [], -math.inf
-    for step in range(params.max_iter):
-        theta = theta_slots.write(fa.update_theta(counts, rows, theta, beta, c, params, **hot), step)
-        c = fa.scale_c(theta, k).first()[0]
-        if learn_beta:
-            beta = beta_slots.write(fa.update_beta(counts, cols, theta, beta, params, **hot), step)
-        bound = fa.elbo(counts, theta, beta, c, params, **hot)
-        bounds.append(bound)
-        if stopped(bound, previous, params.tol):
+    for step in range(params.max_iter + 1):
+        last = step == params.max_iter
+        if last and not last_bound:
             break
-        previous = bound
-    return theta, beta, c, bounds
+        if last:
+            data = fa.data_term(counts, theta, beta, params, **hot)
+        else:
+            moved = theta_slots.write(
+                fa.update_theta(counts, rows, theta, beta, c, params, beta_sums.e, data=True, **hot), step
+            )
+            sums = fa.summarize(moved, params.a, k)
+            data = sums.data
+        if step > 0:
+            bound = fa.assemble_bound(data, theta_sums, beta_sums, c, params)
+            bounds.append(bound)
+            if last or stopped(bound, previous, params.tol):
+                break
+            previous = bound
+        theta, theta_sums = moved, sums
+        c = sums.n * k / sums.total
+        if learn_beta:
+            beta = beta_slots.write(fa.update_beta(counts, cols, theta, beta, params, sums.e, **hot), step)
+            beta_sums = fa.summarize(beta, params.b, k)
+    return Fit(theta.select("i", "g", "r", "e", "el"), theta_sums, beta, c, bounds)
+
+
+def fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, beta: DataFrame, params: PMFParams) -> Fit:
+    counts, beta = stage(counts, "counts"), stage(beta, "components")
+    return run(counts, rows, beta, params, fa.hot_ids(counts, beta), learn_beta=True, cols=cols)
+
+
+def fold_in(counts: DataFrame, rows: DataFrame, beta: DataFrame, params: PMFParams) -> Fit:
+    counts, beta = stage(counts, "counts"), stage(beta, "components")
+    return run(counts, rows, beta, params, fa.hot_ids(counts, beta), learn_beta=False, last_bound=False)
 
 
 def gradient_step(counts: DataFrame, rows: DataFrame, beta: DataFrame, rho: float, scale: float,
                   params: PMFParams):
     """Fold the batch in, move the components, and return them with the stochastic bound after the move."""
     counts = stage(counts, "counts")
-    hot = {**fa.hot_ids(counts), "n_cols": beta.count()}
-    theta, beta, c, _ = run(counts, rows, beta, params, learn_beta=False)
-    beta = stage(fa.blend_beta(counts, theta, beta, rho, scale, params, **hot), "components")
-    return beta, fa.elbo(counts, theta, beta, c, params, scale, **hot)
+    hot = fa.hot_ids(counts, beta)
+    folded = run(counts, rows, beta, params, hot, learn_beta=False, last_bound=False)
+    sums = folded.theta_sums
+    moved = stage(
+        fa.blend_beta(counts, folded.theta, beta, rho, scale, params, sums.e, **hot), "components"
+    )
+    data = fa.data_term(counts, folded.theta, moved, params, **hot)
+    beta_sums = fa.summarize(moved, params.b, params.n_components)
+    return moved, fa.assemble_bound(data, sums, beta_sums, folded.c, params, scale)

@@ -31,7 +31,7 @@ def pmf_partial_fit(counts: DataFrame, rows: DataFrame, beta: DataFrame, scale:
     check_columns(counts, beta)
     if pick_path(beta.count(), params, path) == "join":
         return joined.gradient_step(counts, rows, beta, rho, scale, params)
-    packed = stage(blocks.pack(counts, rows), "batch")
+    packed = blocks.pack(counts, rows)
     comps, bound = blocks.gradient_step(packed, blocks.Components.gather(beta), rho, scale, params)
     return comps.frame(counts.sparkSession), bound
 

@@ -55,10 +55,9 @@ def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFPara
     """
     beta = factors.init_factors(cols, "d", "beta", params)
     if pick_path(cols.count(), params, path) == "join":
-        theta, beta, c, bounds = joined.run(counts, rows, beta, params, learn_beta=True, cols=cols)
-        return PMFModel(params, theta, beta, c, bounds)
-    packed = stage(blocks.pack(counts, rows), "packed")
-    weights, comps, bounds = blocks.run(packed, blocks.Components.gather(beta), params, learn_beta=True)
+        fitted = joined.fit(counts, rows, cols, beta, params)
+        return PMFModel(params, fitted.theta, fitted.beta, fitted.c, fitted.bounds)
+    weights, comps, bounds = blocks.run(blocks.pack(counts, rows), blocks.Components.gather(beta), params, learn_beta=True)
     return PMFModel(params, _theta_frame(weights), comps.frame(counts.sparkSession), weights.c, bounds)
 
 
@@ -77,10 +76,10 @@ def pmf_transform(counts: DataFrame, rows: DataFrame, beta: DataFrame | None, pa
         raise ValueError(f"attr must be one of {ATTRIBUTES}")
     check_columns(counts, beta)
     if pick_path(beta.count(), params, path) == "join":
-        theta, _, _, _ = joined.run(counts, rows, beta, params, learn_beta=False)
+        theta = joined.fold_in(counts, rows, beta, params).theta
     else:
-        packed = stage(blocks.pack(counts, rows), "packed")
-        weights, _, _ = blocks.run(packed, blocks.Components.gather(beta), params, learn_beta=False, last_bound=False)
+        comps = blocks.Components.gather(beta)
+        weights, _, _ = blocks.run(blocks.pack(counts, rows), comps, params, learn_beta=False, last_bound=False)
         theta = _theta_frame(weights)
     return theta.select("i", attr)
 

@@ -117,7 +117,7 @@ def test_large_components_are_joined_with_salt(data, monkeypatch):
     monkeypatch.setattr(factors, "MODEL_CELLS", 1)
     monkeypatch.setattr(ordering, "ROWS_PER_TASK", 1)
     monkeypatch.setattr(ordering, "MAX_HOT_KEYS", 40)
-    hot = factors.hot_ids(matrix)
+    hot = factors.hot_ids(matrix, beta)
     assert hot["hot_rows"].count() and hot["hot_cols"].count()
     salted = factors.update_beta(matrix, cols, theta, beta, PARAMS, **hot)
     np.testing.assert_allclose(arrays(salted, "d", "g"), arrays(plain, "d", "g"), rtol=1e-9)

@@ -228,7 +228,7 @@ def vq_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalize_tags(spark: SparkSession, sf: str) -> DataFrame:
-    raw = tags.words_of(t.read(spark, sf, "documents"), "doc_id").select("raw").distinct()
+    raw = t.document_words(spark, sf).select("raw").distinct()
     return raw.select("raw", tags.normalize_tag(F.col("raw")).alias("tag"))
 
 

@@ -9,7 +9,7 @@ from tagweave.functions.mathx import hash_order, uniform_of
 from tagweave.functions.ordering import global_rank
 from tagweave.operators import codebook, counts, ragged, tags
 from tagweave.plans.factors import PMFParams
-from tagweave.session import stage
+from tagweave.session import spread_scan, stage
 
 K = 4
 MODEL = PMFParams(n_components=K, max_iter=3, tol=-1e9, smoothness=100.0, random_state=0)
@@ -52,7 +52,7 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purchase_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The count matrix with its dimensions: counts (i, d, x), rows (i), cols (d, label)."""
     cells = stage(counts.count_matrix(purchases(spark, sf_dir), "o_custkey", "label"), "cells")
-    cols = counts.number_labels(cells.withColumnRenamed("d", "name"), "name")
+    cols = stage(counts.number_labels(cells.withColumnRenamed("d", "name"), "name"), "cols")
     numbered = cells.withColumnRenamed("d", "label").join(cols, "label").select("i", "d", "x")
     rows = counts.row_ids(read(spark, sf_dir, "customer"), "c_custkey")
     return numbered, rows, cols
@@ -78,9 +78,14 @@ def track_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return ragged.offsets_of(lengths, "song_idx", "n"), flat.select("pos", F.col("vec").alias("value"))
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tags.words_of(spread_scan(texts), "doc_id")
+
+
 def document_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document as a tag of that document, counted in normal form."""
-    return tags.normalize_tags(tags.words_of(read(spark, sf_dir, "documents"), "doc_id"))
+    return tags.normalize_tags(document_words(spark, sf_dir))
 
 
 def document_vocabulary(document_tag_counts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,30 @@ def global_rank(df: DataFrame, order: list, name: str = "position", label: str =
     return ranked.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+def slices(df: DataFrame, order: list, size: int, label: str = "slices"):
+    """Consecutive slices of ``size`` rows in a total order: their number, and a function from n to slice n.
+
+    The rows are sorted and written once. A slice is one range of the stored row marks, which the
+    scan uses to skip the rest of the files; the driver only keeps the row counts of the sorted parts.
+    """
+    marked = stage(df.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id()), label)
+    sizes = marked.groupBy(F.shiftright("_mark", 33).alias("part")).agg(F.count("*").alias("n")).collect()
+    ends, total = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in sizes):
+        ends.append((total, part))
+        total += n
+
+    def mark(position: int) -> int:
+        first, part = ends[bisect.bisect_right([e[0] for e in ends], position) - 1]
+        return (part << 33) + position - first
+
+    def slice_at(n: int) -> DataFrame:
+        lo, hi = mark(n * size), mark(min((n + 1) * size, total) - 1)
+        return marked.where(F.col("_mark").between(lo, hi)).drop("_mark")
+
+    return -(-total // size), slice_at
+
+
 def running(df: DataFrame, keys: list[str], order: list, sums: dict[str, str] | None = None,
             maxima: dict[str, str] | None = None, label: str = "running") -> DataFrame:
     """Running sums and maxima per key, inclusive, in two levels.

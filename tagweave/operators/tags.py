@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.functions.ordering import hot_keys, salted_join
 from tagweave.operators.stem import stem_words
+from tagweave.session import stage
 
 # What separates the words of a tag, and what separates the words of a text.
 TAG_SEPARATORS = "[^\\p{L}\\p{N}]+"
@@ -17,7 +19,10 @@ VOCABULARY_ROWS = 1_000_000
 
 def normalize_tag(tag: Column) -> Column:
     """Lower case, one stemmed word after the other, no separators: ``Acoustic Guitars`` is ``acoustguitar``."""
-    words = F.filter(F.split(F.lower(tag), TAG_SEPARATORS), lambda w: w != "")
+    lower = F.lower(tag)
+    words = F.filter(F.split(lower, TAG_SEPARATORS), lambda w: w != "")
+    # most tags are one plain word, and telling so is far cheaper than splitting by letter classes
+    words = F.when(lower.rlike("^[a-z0-9]+$"), F.array(lower)).otherwise(words)
     return F.array_join(stem_words(words), "")
 
 
@@ -31,15 +36,26 @@ def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(key).alias("track"), words.alias("raw")).where("raw <> ''")
 
 
+def tag_forms(raw: DataFrame) -> DataFrame:
+    """The distinct raw tags with their normal form ``(raw, tag)``; tags that become empty are left out."""
+    # a filter on a computed tag would be pushed below and stem twice; on an exploded one it stays above
+    one = F.filter(F.array(normalize_tag(F.col("raw"))), lambda tag: tag != "")
+    forms = raw.select("raw").distinct().select("raw", F.explode_outer(one).alias("tag"))
+    return forms.where("tag is not null")
+
+
 def normalize_tags(raw: DataFrame) -> DataFrame:
     """Tag counts ``(track, tag, n)`` in normal form.
 
-    Equal raw tags of a track are counted before they are stemmed, and tags that become empty are left out.
+    Stemming is the costly part, so each distinct raw tag is stemmed once and joined back to the
+    counted pairs: by broadcast if the forms are few enough, else with frequent tags cut into pieces.
     """
-    counted = raw.groupBy("track", "raw").agg(F.count("*").alias("n"))
-    # a filter on a computed tag would be pushed below and stem twice; on an exploded one it stays above
-    one = F.filter(F.array(normalize_tag(F.col("raw"))), lambda tag: tag != "")
-    tagged = counted.select("track", F.explode_outer(one).alias("tag"), "n").where("tag is not null")
+    counted = stage(raw.groupBy("track", "raw").agg(F.count("*").alias("n")), "raw-tags")
+    forms = stage(tag_forms(counted), "tag-forms")
+    if forms.count() <= VOCABULARY_ROWS:
+        tagged = counted.join(F.broadcast(forms), "raw")
+    else:
+        tagged = salted_join(counted, forms, "raw", "track", hot_keys(counted, "raw"))
     return tagged.groupBy("track", "tag").agg(F.sum("n").alias("n"))
 
 

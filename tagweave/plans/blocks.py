@@ -263,12 +263,16 @@ def measure(weights: Weights, beta: Components, params: PMFParams, statistic: bo
     return read_sums(scanned, beta, params, statistic)
 
 
-def run(packed: DataFrame, beta: Components, params: PMFParams, learn_beta: bool, last_bound: bool = True):
-    """Alternate weight and (optionally) component updates; returns weights, components and bounds."""
-    spark = packed.sparkSession
+def run(state: DataFrame, beta: Components, params: PMFParams, learn_beta: bool, last_bound: bool = True,
+        last_statistic: bool = False):
+    """Alternate weight and (optionally) component updates from a started state.
+
+    Returns weights, components and bounds. With ``last_statistic`` the scan of the last allowed
+    step also reports the component statistic at the final weights.
+    """
+    spark = state.sparkSession
     k = params.n_components
     slots = TwoSlots(spark, "weights")
-    state = start(packed, params)
     size = state.select("g", "r").agg(
         F.count("*"),
         F.sum(F.aggregate(F.zip_with("g", "r", lambda g, r: g / r), F.lit(0.0), lambda s, v: s + v)),
@@ -285,8 +289,9 @@ def run(packed: DataFrame, beta: Components, params: PMFParams, learn_beta: bool
         else:
             rate = params.a * c + beta.e.sum(axis=0)
             before = None if weights is None else weights.rate
-            moved = slots.write(scan(state, beta, params, before, rate, learn_beta), step)
-            sums = read_sums(moved, beta, params, learn_beta)
+            statistic = learn_beta or (last_statistic and step == params.max_iter - 1)
+            moved = slots.write(scan(state, beta, params, before, rate, statistic), step)
+            sums = read_sums(moved, beta, params, statistic)
             data = sums.data
         if weights is not None:
             bound = data + rest
@@ -305,18 +310,18 @@ def run(packed: DataFrame, beta: Components, params: PMFParams, learn_beta: bool
     return weights, beta, bounds
 
 
-def gradient_step(packed: DataFrame, beta: Components, rho: float, scale: float, params: PMFParams,
-                  with_bound: bool = True):
-    """Fold a mini-batch in, move the components, return them with the stochastic bound after the move."""
-    weights, beta, _ = run(packed, beta, params, learn_beta=False, last_bound=False)
-    sums = measure(weights, beta, params, statistic=True)
+def gradient_step(state: DataFrame, beta: Components, rho: float, scale: float, params: PMFParams):
+    """Fold a started mini-batch in, move the components, return them with the stochastic bound after the move."""
+    weights, beta, _ = run(state, beta, params, learn_beta=False, last_bound=False, last_statistic=True)
+    sums = weights.sums
+    if sums.stat is None:
+        # stopped early, so the last scan did not know that it was the last
+        sums = measure(weights, beta, params, statistic=True)
     fresh_r = np.broadcast_to(params.b + scale * sums.e, beta.r.shape)
     moved = Components(
         (1 - rho) * beta.g + rho * (params.b + scale * sums.stat),
         (1 - rho) * beta.r + rho * fresh_r,
     )
-    if not with_bound:
-        return moved, None
     data = measure(weights, moved, params, statistic=False).data
     bound = scale * local_bound(data, weights.sums, moved, weights.c, params) + moved.gamma_term(params.b)
     return moved, bound

@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.mathx import hash_order
-from tagweave.functions.ordering import global_rank
+from tagweave.functions.ordering import global_rank, slices
 from tagweave.plans import blocks, factors, joined
 from tagweave.plans.factors import PMFParams
 from tagweave.plans.pmf import check_columns, pick_path
-from tagweave.session import new_path, stage
+from tagweave.session import stage
+
+
+def _shuffled(rows: DataFrame, params: PMFParams, n_pass: int) -> tuple[DataFrame, list[str]]:
+    """Rows with the columns that order them in a pass: by id, or by a hash of seed, pass and id."""
+    if not params.shuffle:
+        return rows, ["i"]
+    order = hash_order(f"{params.random_state}:{n_pass}", F.col("i"))
+    return rows.withColumn("_order", order), ["_order", "i"]
 
 
 def minibatch_split(rows: DataFrame, params: PMFParams, n_pass: int = 0) -> DataFrame:
     """Add ``batch``: consecutive slices of ``batch_size`` rows in shuffled (or id) order; the last may be short."""
-    order = ["i"]
-    if params.shuffle:
-        rows = rows.withColumn("_order", hash_order(f"{params.random_state}:{n_pass}", F.col("i")))
-        order = ["_order", "i"]
-    ranked = global_rank(rows, order, "position", "shuffled")
+    ranked = global_rank(*_shuffled(rows, params, n_pass), "position", "shuffled")
     return ranked.withColumn("batch", F.expr(f"position div {int(params.batch_size)}")).drop("position", "_order")
 
 
@@ -31,8 +35,8 @@ def pmf_partial_fit(counts: DataFrame, rows: DataFrame, beta: DataFrame, scale:
     check_columns(counts, beta)
     if pick_path(beta.count(), params, path) == "join":
         return joined.gradient_step(counts, rows, beta, rho, scale, params)
-    packed = blocks.pack(counts, rows)
-    comps, bound = blocks.gradient_step(packed, blocks.Components.gather(beta), rho, scale, params)
+    state = blocks.start(blocks.pack(counts, rows), params)
+    comps, bound = blocks.gradient_step(state, blocks.Components.gather(beta), rho, scale, params)
     return comps.frame(counts.sparkSession), bound
 
 
@@ -46,15 +50,6 @@ class OnlineModel:
         return self.beta.sparkSession.createDataFrame(self.history, "pass int, batch int, bound double")
 
 
-def _batches(table: DataFrame, params: PMFParams, n_pass: int):
-    """Split and write the rows of one pass once, by batch; each step then reads only its own folder."""
-    spark = table.sparkSession
-    split = minibatch_split(table, params, n_pass)
-    path = new_path(spark, "batches")
-    split.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
-    return lambda n: spark.read.schema(table.schema).parquet(f"{path}/batch={n}")
-
-
 def online_pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFParams,
                    est_total: int | None = None, path: str = "auto") -> OnlineModel:
     """``n_pass`` passes over shuffled mini-batches. The step number restarts at 1 in each pass, and the
@@ -62,22 +57,22 @@ def online_pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params:
     spark = counts.sparkSession
     n_rows = rows.count()
     scale = float(n_rows if est_total is None else est_total) / params.batch_size
-    n_batches = -(-n_rows // params.batch_size)
     beta = factors.init_factors(cols, "d", "beta", params)
     block = pick_path(cols.count(), params, path) == "block"
     if block:
         beta = blocks.Components.gather(beta)
-        table = stage(blocks.pack(counts, rows), "packed")
+        # every batch starts its rows from the same draws, so they are made once for all passes
+        table = blocks.start(blocks.pack(counts, rows), params)
     else:
         beta = stage(beta, "components")
         counts = stage(counts, "counts")
         table = rows.select("i")
     history = []
     for n_pass in range(params.n_pass):
-        batch_of = _batches(table, params, n_pass)
+        n_batches, batch_at = slices(*_shuffled(table, params, n_pass), params.batch_size, "batches")
         for n in range(n_batches):
             rho = factors.learning_rate(params, n + 1)
-            batch = batch_of(n)
+            batch = batch_at(n).drop("_order")
             if block:
                 beta, bound = blocks.gradient_step(batch, beta, rho, scale, params)
             else:

@@ -57,7 +57,8 @@ def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFPara
     if pick_path(cols.count(), params, path) == "join":
         fitted = joined.fit(counts, rows, cols, beta, params)
         return PMFModel(params, fitted.theta, fitted.beta, fitted.c, fitted.bounds)
-    weights, comps, bounds = blocks.run(blocks.pack(counts, rows), blocks.Components.gather(beta), params, learn_beta=True)
+    state = blocks.start(blocks.pack(counts, rows), params)
+    weights, comps, bounds = blocks.run(state, blocks.Components.gather(beta), params, learn_beta=True)
     return PMFModel(params, _theta_frame(weights), comps.frame(counts.sparkSession), weights.c, bounds)
 
 
@@ -79,7 +80,8 @@ def pmf_transform(counts: DataFrame, rows: DataFrame, beta: DataFrame | None, pa
         theta = joined.fold_in(counts, rows, beta, params).theta
     else:
         comps = blocks.Components.gather(beta)
-        weights, _, _ = blocks.run(blocks.pack(counts, rows), comps, params, learn_beta=False, last_bound=False)
+        state = blocks.start(blocks.pack(counts, rows), params)
+        weights, _, _ = blocks.run(state, comps, params, learn_beta=False, last_bound=False)
         theta = _theta_frame(weights)
     return theta.select("i", attr)
 

@@ -54,3 +54,12 @@ class TwoSlots:
         path = self.paths[step % 2]
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a scan of few, unsplittable files over all cores, for work that costs far more than moving rows.
+
+    Inputs that already come in enough parts, as large ones do, are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

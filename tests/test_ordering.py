@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import ordering
@@ -12,6 +13,17 @@ def test_global_rank(spark):
     assert got == {v: n for n, v in enumerate(sorted(values))}
 
 
+@pytest.mark.parametrize("size", [1000, 70, 500, 7])
+def test_slices(spark, size):
+    values = random.Random(4).sample(range(10_000), 500)
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    n, at = ordering.slices(df, ["v"], size)
+    expected = sorted(values)
+    assert n == -(-500 // size)
+    for k in {0, n // 2, n - 1}:
+        assert sorted(r.v for r in at(k).collect()) == expected[k * size : (k + 1) * size]
+
+
 def test_running_sum_and_maximum_over_a_hot_key(spark):
     rng = random.Random(2)
     rows = [("hot" if n % 3 else f"k{n % 7}", n, rng.randint(-5, 5)) for n in range(600)]

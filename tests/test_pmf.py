@@ -100,10 +100,10 @@ def test_fold_in_errors(data):
 def test_small_chunks_change_nothing(data, monkeypatch):
     _, matrix, rows, cols = data
     whole = pmf.pmf_fit(matrix, rows, cols, PARAMS, "block")
-    packed = stage(blocks.pack(matrix, rows).repartition(1), "packed")
+    state = blocks.start(blocks.pack(matrix, rows).repartition(1), PARAMS)
     monkeypatch.setattr(blocks, "CHUNK_CELLS", 30)
     beta = blocks.Components.gather(factors.init_factors(cols, "d", "beta", PARAMS))
-    weights, comps, bounds = blocks.run(packed, beta, PARAMS, learn_beta=True)
+    weights, comps, bounds = blocks.run(state, beta, PARAMS, learn_beta=True)
     np.testing.assert_allclose(bounds, whole.bounds, rtol=1e-9)
     np.testing.assert_allclose(comps.g, arrays(whole.beta, "d", "g"), rtol=1e-9)
 

@@ -399,7 +399,7 @@ def recommend_groups(spark: SparkSession, sf: str) -> DataFrame:
     cols = stage(cols, "cols")
     model = pmf.pmf_fit(cells, rows, cols, t.MODEL)
     best = pmf.score_tags(model.theta, model.beta, top=3)
-    return best.join(F.broadcast(cols), "d").select("i", "label", rounded("score"))
+    return best.join(cols, "d").select("i", "label", rounded("score"))
 
 
 # Stochastic factorization and streams

@@ -20,6 +20,19 @@ def lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).reshape(-1)))
 
 
+def lowest(values: np.ndarray, n: int) -> np.ndarray:
+    """Per row, the places of the n lowest values in order, equal values by place."""
+    if n >= values.shape[1] or n > 16:
+        return np.argsort(values, axis=1, kind="stable")[:, :n]
+    rest, rows = values.copy(), np.arange(len(values))
+    out = np.empty((len(values), n), dtype=np.int64)
+    for j in range(n):
+        # the first of equal values
+        out[:, j] = rest.argmin(axis=1)
+        rest[rows, out[:, j]] = np.inf
+    return out
+
+
 def add_vectors(partials: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """Sum equally long vectors per key. The inputs are partial sums, one per task and key.
 

@@ -160,6 +160,7 @@ def _add_points(points: DataFrame, book: Codebook) -> Codebook:
 
     partial = points.select("vec").mapInArrow(task, "code int, total array<double>")
     sums = add_vectors(partial, "code", "total", width + 1).toArrow()
+    bc.destroy()
     centers, sizes = book.centers.copy(), book.sizes.copy()
     if len(sums):
         codes = sums.column("code").to_numpy()

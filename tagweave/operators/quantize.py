@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import matrix
+from tagweave.functions.vectors import lowest, matrix
 from tagweave.operators.codebook import SCORE_CELLS, hartigan_partial_fit, kmeans_codebook
 from tagweave.session import MODEL_CELLS, stage
 
@@ -62,11 +62,8 @@ def _nearest(points: DataFrame, codes: np.ndarray, centers: np.ndarray, halves:
                     old = matrix(batch.column("scores"), n_old)[lo : lo + step]
                     old_ids = matrix(batch.column("hits"), n_old)[lo : lo + step].astype(np.int32)
                     part, part_ids = np.hstack([old, part]), np.hstack([old_ids, part_ids])
-                if q == 1:
-                    # blocks come in code order, so the first minimum has the lowest code
-                    best = part.argmin(axis=1)[:, None]
-                else:
-                    best = np.argsort(part, axis=1, kind="stable")[:, :q]
+                # blocks come in code order, so of equal scores the lowest code is first
+                best = lowest(part, q)
                 hits.append(np.take_along_axis(part_ids, best, axis=1))
                 scores.append(np.take_along_axis(part, best, axis=1))
             n_hits = hits[0].shape[1] if hits else 0

@@ -16,24 +16,19 @@ def slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     their largest song. Offsets and positions are then sorted together and the latest song is
     carried forward (two-level, so neither songs nor positions meet in one task).
     """
-    starts = offsets.groupBy("start").agg(F.max("song_idx").alias("song_idx"))
+    starts = offsets.groupBy(F.col("start").cast("bigint").alias("start")).agg(F.max("song_idx").alias("song_idx"))
     value_type = flat.schema["value"].dataType
     events = starts.select(
-        F.col("start").cast("bigint").alias("pos"),
-        F.lit(0).alias("kind"),
-        F.struct("song_idx", F.col("start").cast("bigint").alias("start")).alias("song"),
-        F.lit(None).cast(value_type).alias("value"),
+        F.col("start").alias("pos"), F.lit(0).alias("kind"), "song_idx", "start", F.lit(None).cast(value_type).alias("value")
     ).unionByName(
-        flat.select(
-            F.col("pos").cast("bigint").alias("pos"),
-            F.lit(1).alias("kind"),
-            F.lit(None).cast("struct<song_idx:bigint,start:bigint>").alias("song"),
-            "value",
-        )
+        flat.select(F.col("pos").cast("bigint").alias("pos"), F.lit(1).alias("kind"), "value"), allowMissingColumns=True
+    )
+    # offsets never fall, so the latest song and its start are both running maxima
+    owned = running(
+        events, [], ["pos", "kind"], maxima={"owner": "song_idx", "first": "start"}, label="ragged"
     )
-    owned = running(events, [], ["pos", "kind"], maxima={"owner": "song"}, label="ragged")
     return owned.where((F.col("kind") == 1) & F.col("owner").isNotNull()).select(
-        F.col("owner.song_idx").alias("song_idx"), (F.col("pos") - F.col("owner.start")).alias("j"), "value"
+        F.col("owner").alias("song_idx"), (F.col("pos") - F.col("first")).alias("j"), "value"
     )
 
 

@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +111,11 @@ def start(packed: DataFrame, params: PMFParams) -> DataFrame:
     return stage(fa.init_shapes_rates(packed, "i", "theta", params), "start")
 
 
+def share(spark: SparkSession, beta: Components) -> Broadcast:
+    """Exponentiated expected logs (D, K) for the tasks; whoever asks for them destroys them after use."""
+    return spark.sparkContext.broadcast(np.exp(beta.el))
+
+
 def _segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lengths), values.shape[1]))
     filled = lengths > 0
@@ -129,9 +135,9 @@ def _row_chunks(lengths: np.ndarray, width: int):
         lo = hi
 
 
-def scan(state: DataFrame, beta: Components, params: PMFParams, rate: np.ndarray | None,
+def scan(state: DataFrame, shared: Broadcast, params: PMFParams, rate: np.ndarray | None,
          new_rate: np.ndarray | None, statistic: bool) -> DataFrame:
-    """One pass over the packed rows.
+    """One pass over the packed rows with the components ``shared`` by ``share``.
 
     ``rate`` is the shared rate row of the incoming weights, for rows that carry none of their own.
     With ``new_rate`` the weights are updated and get that rate; without it they stay as they are.
@@ -140,8 +146,7 @@ def scan(state: DataFrame, beta: Components, params: PMFParams, rate: np.ndarray
     k = params.n_components
     move = new_rate is not None
     a = params.a
-    bc = state.sparkSession.sparkContext.broadcast(np.exp(beta.el))
-    n_cols = len(beta.g)
+    n_cols = len(shared.value)
     schema = T.StructType(
         [
             T.StructField("i", state.schema["i"].dataType),
@@ -154,7 +159,7 @@ def scan(state: DataFrame, beta: Components, params: PMFParams, rate: np.ndarray
         ]
     )
     def task(batches):
-        b = bc.value
+        b = shared.value
         acc = np.zeros((n_cols, k)) if statistic else None
         totals = np.zeros(k + 3)
         seen = False
@@ -259,8 +264,11 @@ def local_bound(data: float, sums: Sums, beta: Components, c: float, params: PMF
 
 def measure(weights: Weights, beta: Components, params: PMFParams, statistic: bool) -> Sums:
     """A scan that leaves the weights alone: data term and, if asked, the component statistic."""
-    scanned = scan(weights.state, beta, params, weights.rate, None, statistic)
-    return read_sums(scanned, beta, params, statistic)
+    shared = share(weights.state.sparkSession, beta)
+    scanned = scan(weights.state, shared, params, weights.rate, None, statistic)
+    sums = read_sums(scanned, beta, params, statistic)
+    shared.destroy()
+    return sums
 
 
 def run(state: DataFrame, beta: Components, params: PMFParams, learn_beta: bool, last_bound: bool = True,
@@ -290,7 +298,9 @@ def run(state: DataFrame, beta: Components, params: PMFParams, learn_beta: bool,
             rate = params.a * c + beta.e.sum(axis=0)
             before = None if weights is None else weights.rate
             statistic = learn_beta or (last_statistic and step == params.max_iter - 1)
-            moved = slots.write(scan(state, beta, params, before, rate, statistic), step)
+            shared = share(spark, beta)
+            moved = slots.write(scan(state, shared, params, before, rate, statistic), step)
+            shared.destroy()
             sums = read_sums(moved, beta, params, statistic)
             data = sums.data
         if weights is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import matrix
+from tagweave.functions.vectors import lowest, matrix
 from tagweave.plans import blocks, factors, joined
 from tagweave.plans.factors import PMFParams
 from tagweave.session import MODEL_CELLS, stage
@@ -104,8 +104,8 @@ def _score_block(theta: DataFrame, tags: DataFrame, ids: Any, e: np.ndarray, top
                 if top is None or top >= len(d):
                     pick = np.broadcast_to(np.arange(len(d)), (n, len(d)))
                 else:
-                    # columns come in id order, so a stable sort settles ties by the lowest id
-                    pick = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+                    # columns come in id order, so ties go to the lowest id
+                    pick = lowest(-scores, top)
                 owner = np.repeat(np.arange(lo, lo + n), pick.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [

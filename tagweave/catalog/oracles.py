@@ -529,26 +529,46 @@ SIZE = "(SELECT ceil(count(*) / 2) FROM rows)"
 SCALE = f"((SELECT count(*) FROM rows) / {SIZE})"
 
 
-def gradient_step(n: int, beta: str) -> list[tuple[str, str]]:
-    """Makes beta_g<n> from a fold-in of batch n - 1 with one inner iteration."""
-    rho = (n + t.MODEL.t0) ** (-t.MODEL.kappa)
-    tag = f"g{n}"
-    stat = [
-        (f"rows_{tag}", f"SELECT i FROM positions WHERE position // {SIZE}::BIGINT = {n - 1}"),
-        (f"x_{tag}", f"SELECT * FROM x WHERE i IN (SELECT i FROM rows_{tag})"),
+def gradient_step(tag: str, beta: str, step: int, rows: str, x: str, size: str, total: str,
+                  inner: int = 1) -> list[tuple[str, str]]:
+    """Makes beta_<tag> from a fold-in of the rows and counts given as SQL, with ``inner`` iterations."""
+    rho = (step + t.MODEL.t0) ** (-t.MODEL.kappa)
+    scaling = f"({total} / {size})"
+    steps = [
+        (f"rows_{tag}", rows),
+        (f"x_{tag}", x),
         (f"start_{tag}", f"SELECT * FROM theta_s WHERE i IN (SELECT i FROM rows_{tag})"),
         (f"c0_{tag}", scale(f"start_{tag}")),
-        *theta_step(tag, f"start_{tag}", beta, f"c0_{tag}", f"rows_{tag}", f"x_{tag}"),
+    ]
+    theta, c = f"start_{tag}", f"c0_{tag}"
+    for n in range(1, inner + 1):
+        name = tag if n == inner else f"{tag}_{n}"
+        steps += theta_step(name, theta, beta, c, f"rows_{tag}", f"x_{tag}")
+        theta, c = f"theta_{name}", f"c_{name}"
+    steps += [
         (f"grate_{tag}", rates(f"theta_{tag}", beta, f"x_{tag}")),
         (f"gstat_{tag}", shares("d", f"theta_{tag}", beta, f"grate_{tag}")),
         (f"gsum_{tag}", f"SELECT k, sum(e) AS total FROM theta_{tag} GROUP BY k"),
     ]
     moved = (
-        f"SELECT d, k, {num(1 - rho)} * b.g + {num(rho)} * ({num(B)} + {SCALE} * coalesce(s, 0e0)) AS g, "
-        f"{num(1 - rho)} * b.r + {num(rho)} * ({num(B)} + {SCALE} * total) AS r "
+        f"SELECT d, k, {num(1 - rho)} * b.g + {num(rho)} * ({num(B)} + {scaling} * coalesce(s, 0e0)) AS g, "
+        f"{num(1 - rho)} * b.r + {num(rho)} * ({num(B)} + {scaling} * total) AS r "
         f"FROM {beta} b JOIN gsum_{tag} USING (k) LEFT JOIN gstat_{tag} USING (d, k)"
     )
-    return [*stat, (f"beta_{tag}", expected(moved))]
+    return [*steps, (f"beta_{tag}", expected(moved))]
+
+
+def half_step(n: int, beta: str) -> list[tuple[str, str]]:
+    """The gradient step on half n - 1 of the shuffled rows."""
+    return gradient_step(
+        f"g{n}",
+        beta,
+        n,
+        f"SELECT i FROM positions WHERE position // {SIZE}::BIGINT = {n - 1}",
+        f"SELECT * FROM x WHERE i IN (SELECT i FROM rows_g{n})",
+        SIZE,
+        "(SELECT count(*) FROM rows)",
+    )
 
 
 def step_bound(n: int) -> str:
@@ -557,8 +577,8 @@ def step_bound(n: int) -> str:
     return f"{SCALE} * {local} + {term(f'beta_{tag}', B, num(B))}"
 
 
-FIRST = [*START, ("positions", SHUFFLED_ROWS), *gradient_step(1, "beta_s")]
-BOTH = [*FIRST, *gradient_step(2, "beta_g1")]
+FIRST = [*START, ("positions", SHUFFLED_ROWS), *half_step(1, "beta_s")]
+BOTH = [*FIRST, *half_step(2, "beta_g1")]
 ORACLES["pmf_partial_fit"] = with_all(FIRST, factor_rows("beta_g1", "d", "g r e"))
 ORACLES["stochastic_elbo"] = with_all(FIRST, f"SELECT 0 AS step, {r6(step_bound(1), 3)} AS bound")
 ORACLES["online_pmf_fit"] = with_all(BOTH, factor_rows("beta_g2", "d", "g r e"))
@@ -569,6 +589,43 @@ ORACLES["online_pmf_bounds"] = with_all(
     ),
 )
 
+# Streams: five micro-batches in order
+
+USERS = "(SELECT count(*) FROM rows)"
+FEED = [
+    ("cols", "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INTEGER AS d "
+     "FROM (SELECT DISTINCT event_type AS label FROM events)"),
+    ("rows", "SELECT DISTINCT user_id AS i FROM events"),
+    ("ks", f"SELECT unnest(range({K})) AS k"),
+    ("theta_s", drawn("theta", "rows", "i")),
+    ("beta_s", drawn("beta", "cols", "d")),
+]
+for n in range(1, 6):
+    fifth = f"FROM events JOIN cols ON event_type = label WHERE event_id % 5 = {n - 1}"
+    FEED += gradient_step(
+        f"f{n}",
+        f"beta_f{n - 1}" if n > 1 else "beta_s",
+        n,
+        f"SELECT DISTINCT user_id AS i {fifth}",
+        f"SELECT user_id AS i, d, count(*)::DOUBLE AS x {fifth} GROUP BY ALL",
+        f"ceil({USERS} / 2)",
+        USERS,
+        inner=2,
+    )
+ORACLES["stream_pmf"] = with_all(FEED, factor_rows("beta_f5", "d", "g r e"))
+
+FIFTHS = [
+    *POINTS,
+    ("fifth_0", "SELECT vec_id, embedding FROM embeddings WHERE vec_id % 5 = 0"),
+    *seeded_batch("b0", "fifth_0", SEEDS, "vec_id"),
+]
+for n in range(1, 5):
+    FIFTHS += [
+        (f"long_fifth_{n}", f"SELECT * FROM p WHERE id % 5 = {n}"),
+        *add_batch(f"b{n}", f"long_fifth_{n}", f"b{n - 1}"),
+    ]
+ORACLES["stream_codebook"] = with_all(FIFTHS, book_rows("b4"))
+
 # Evaluation
 
 

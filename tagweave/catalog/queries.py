@@ -453,16 +453,18 @@ def online_pmf_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed(rows: DataFrame, key: str, label: str) -> tuple[str, int]:
-    """Write a table as the files of a stream; returns the folder and the files per fifth of it."""
+    """Write a table as the files of a stream, fifth by fifth; returns the folder and the files per fifth."""
     spark = rows.sparkSession
-    per_trigger = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5)
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5)
     path = new_path(spark, label)
-    rows.repartition(5 * per_trigger, key).write.parquet(path)
-    return path, per_trigger
+    for n in range(5):
+        fifth = rows.where(F.pmod(key, F.lit(5)) == n)
+        fifth.repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
-def listen(spark: SparkSession, path: str, per_trigger: int, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def listen(spark: SparkSession, path: str, files: int, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query
@@ -471,20 +473,20 @@ def stream_pmf(spark: SparkSession, sf: str) -> DataFrame:
     cols = stage(counts.number_labels(events, "event_type"), "cols")
     named = events.join(cols.withColumnRenamed("label", "event_type"), "event_type")
     cells = named.select("event_id", F.col("user_id").alias("i"), "d", F.lit(1.0).alias("x"))
-    path, per_trigger = feed(cells, "event_id", "events")
+    path, files = feed(cells, "event_id", "events")
     users = events.select("user_id").distinct().count()
     settings = dataclasses.replace(t.MODEL, batch_size=-(-users // 2), max_iter=2)
     model_dir = new_path(spark, "stream-model")
-    stream = listen(spark, path, per_trigger, "i bigint, d int, x double")
+    stream = listen(spark, path, files, "i bigint, d int, x double")
     feeds.stream_pmf(stream, model_dir, cols, users, settings).awaitTermination()
     return long(feeds.latest(spark, model_dir), "d", ["g", "r", "e"])
 
 
 @query
 def stream_codebook(spark: SparkSession, sf: str) -> DataFrame:
-    path, per_trigger = feed(t.points(spark, sf).drop("track"), "point_id", "segments")
+    path, files = feed(t.points(spark, sf).drop("track"), "point_id", "segments")
     model_dir = new_path(spark, "stream-codebook")
-    stream = listen(spark, path, per_trigger, "point_id bigint, vec array<double>")
+    stream = listen(spark, path, files, "point_id bigint, vec array<double>")
     feeds.stream_codebook(stream, model_dir, t.SEEDS).awaitTermination()
     return book_rows(feeds.latest(spark, model_dir))
 

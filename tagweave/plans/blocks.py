@@ -91,19 +91,16 @@ def pack(counts: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per id with its counts as two parallel arrays; ids without counts get empty arrays.
 
     ``counts`` holds one row per (i, d), so a packed row is no longer than the number of columns,
-    which the block path bounds.
+    which the block path bounds. The ids come in as cells without content, so one shuffle makes both.
     """
-    cells = counts.where("x <> 0").select("i", F.struct(F.col("d").cast("int").alias("d"), "x").alias("c"))
+    cell = F.struct(F.col("d").cast("int").alias("d"), F.col("x").cast("double").alias("x"))
+    cells = counts.where("x <> 0").select("i", cell.alias("c"))
+    ids = rows.select("i", F.lit(None).cast("struct<d:int,x:double>").alias("c"))
     # A stated number of parts: the scans that follow work far longer per byte than a shuffle does, so
     # merging parts by their bytes would leave them too few. The grouping reuses this shuffle.
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = cells.repartition(parts, "i").groupBy("i").agg(F.collect_list("c").alias("c"))
-    filled = rows.select("i").join(packed, "i", "left")
-    return filled.select(
-        "i",
-        F.coalesce(F.col("c.d"), F.array().cast("array<int>")).alias("cols"),
-        F.coalesce(F.col("c.x"), F.array().cast("array<double>")).alias("xs"),
-    )
+    packed = cells.unionByName(ids).repartition(parts, "i").groupBy("i").agg(F.collect_list("c").alias("c"))
+    return packed.select("i", F.col("c.d").alias("cols"), F.col("c.x").alias("xs"))
 
 
 def start(packed: DataFrame, params: PMFParams) -> DataFrame:

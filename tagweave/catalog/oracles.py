@@ -64,7 +64,7 @@ WITH weighted AS (
   SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS j, sum(v::DOUBLE * p) AS w
   FROM (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)
   GROUP BY label, vec_id)
-SELECT label::BIGINT AS song_idx, count(*)::INTEGER AS n, {r6('sum(w * j)', 4)} AS digest FROM weighted GROUP BY label"""
+SELECT label::BIGINT AS song_idx, count(*) AS n, {r6('sum(w * j)', 4)} AS digest FROM weighted GROUP BY label"""
 ORACLES["explode_segments"] = """
 SELECT vec_id AS point_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS seg, unnest(embedding)::DOUBLE AS value
 FROM embeddings"""

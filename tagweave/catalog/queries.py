@@ -82,15 +82,17 @@ def ragged_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ragged_slice_2d(spark: SparkSession, sf: str) -> DataFrame:
-    songs = ragged.ragged_slice(*t.track_segments(spark, sf))
-
-    def weighted(vec):
-        return F.aggregate(F.transform(vec, lambda v, p: v * (p + 1)), F.lit(0.0), lambda s, v: s + v)
-
-    digest = F.aggregate(
-        F.transform("value", lambda vec, j: weighted(vec) * (j + 1)), F.lit(0.0), lambda s, v: s + v
+    """A track may own any share of the segments, so they are digested as rows and never gathered."""
+    offsets, flat = t.track_segments(spark, sf)
+    weighted = F.transform("value", lambda v, p: v * (p + 1) * (F.col("j") + 1))
+    rows = ragged.slice_long(offsets, flat).select(
+        "song_idx", F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v).alias("part")
+    )
+    songs = rows.groupBy("song_idx").agg(F.count("*").alias("n"), F.sum("part").alias("digest"))
+    filled = offsets.select("song_idx").join(songs, "song_idx", "left")
+    return filled.select(
+        "song_idx", F.coalesce("n", F.lit(0)).alias("n"), clean_round(F.coalesce("digest", F.lit(0.0)), 4).alias("digest")
     )
-    return songs.select("song_idx", F.size("value").alias("n"), clean_round(digest, 4).alias("digest"))
 
 
 @query

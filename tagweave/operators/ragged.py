@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tagweave.functions.ordering import running
 
 
+# Values in the longest array that is gathered into one row.
+ARRAY_VALUES = 10_000_000
+
+
+def _checked(place):
+    """The place in a song, failing while rows stream by rather than when an array outgrows its task."""
+    message = f"a song has more than {ARRAY_VALUES} values; use slice_long, which gathers none"
+    return F.when(place >= ARRAY_VALUES, F.raise_error(F.lit(message)).cast("bigint")).otherwise(place)
+
+
 def slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """Give every flat row ``(pos, value)`` its song and its place in the song: ``(song_idx, j, value)``.
 
@@ -35,10 +45,9 @@ def slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
 def ragged_slice(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """All songs with their array ``(song_idx, value array)``; an empty slice gives an empty array.
 
-    The array of a song is one value, so the longest song must fit in a row; ``slice_long`` has no
-    such need.
+    The array of a song is one value, so its length is checked; ``slice_long`` has no such bound.
     """
-    rows = slice_long(offsets, flat)
+    rows = slice_long(offsets, flat).withColumn("j", _checked(F.col("j")))
     arrays = rows.groupBy("song_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("value")
     )
@@ -59,8 +68,9 @@ def slice_one(offsets: DataFrame, flat: DataFrame, song_idx: int = 0) -> DataFra
     own = flat.where(F.col("pos") >= pair[0][1])
     if len(pair) == 2:
         own = own.where(F.col("pos") < pair[1][1])
+    own = own.select(_checked(F.col("pos") - F.lit(pair[0][1])).alias("j"), "value")
     arrays = own.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("value")
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("value")
     )
     return arrays.select(F.lit(song_idx).cast("bigint").alias("song_idx"), "value")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.ordering import hot_keys, salted_join
+from tagweave.operators.counts import number_labels
 from tagweave.operators.stem import stem_words
 from tagweave.session import stage
 
@@ -67,9 +68,9 @@ def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1) ->
 
 
 def encode_tag_ids(vocab: DataFrame) -> DataFrame:
-    """Dense ids from 0 in byte order of the tag. The vocabulary is bounded by its own size limit."""
-    order = Window.orderBy("tag")
-    return vocab.select((F.row_number().over(order) - 1).alias("tag_id"), "tag")
+    """Dense ids from 0 in byte order of the tag."""
+    numbered = number_labels(vocab, "tag")
+    return numbered.select(F.col("d").alias("tag_id"), F.col("label").alias("tag"))
 
 
 def _small(vocab: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tagweave.session import MODEL_CELLS
 
 @dataclass(frozen=True)
 class PMFParams:
-    """Settings of batch and stochastic fitting; defaults as in the published model code."""
+    """Settings of batch and stochastic fitting."""
 
     n_components: int = 100
     max_iter: int = 100

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.mathx import hash_order
-from tagweave.functions.ordering import global_rank, slices
+from tagweave.functions.ordering import global_rank, salted_join, slices
 from tagweave.plans import blocks, factors, joined
 from tagweave.plans.factors import PMFParams
 from tagweave.plans.pmf import check_columns, pick_path
@@ -66,17 +66,22 @@ def online_pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params:
     else:
         beta = stage(beta, "components")
         counts = stage(counts, "counts")
-        table = rows.select("i")
+        hot_rows = factors.hot_ids(counts, beta)["hot_rows"]
     history = []
     for n_pass in range(params.n_pass):
-        n_batches, batch_at = slices(*_shuffled(table, params, n_pass), params.batch_size, "batches")
+        if block:
+            n_batches, batch_at = slices(*_shuffled(table, params, n_pass), params.batch_size, "batches")
+        else:
+            n_batches = -(-n_rows // params.batch_size)
+            # written in batch order, so that a batch reads only its own part of the files
+            split = stage(minibatch_split(rows.select("i"), params, n_pass).orderBy("batch"), "batches")
+            cells = stage(salted_join(counts, split, "i", "d", hot_rows).orderBy("batch"), "batches")
         for n in range(n_batches):
             rho = factors.learning_rate(params, n + 1)
-            batch = batch_at(n).drop("_order")
             if block:
-                beta, bound = blocks.gradient_step(batch, beta, rho, scale, params)
+                beta, bound = blocks.gradient_step(batch_at(n).drop("_order"), beta, rho, scale, params)
             else:
-                cells = counts.join(batch, "i", "left_semi")
-                beta, bound = joined.gradient_step(cells, batch, beta, rho, scale, params)
+                own, ids = (table.where(F.col("batch") == n).drop("batch") for table in (cells, split))
+                beta, bound = joined.gradient_step(own, ids, beta, rho, scale, params)
             history.append((n_pass, n, float(bound)))
     return OnlineModel(params, beta.frame(spark) if block else beta, history)

@@ -47,6 +47,13 @@ def test_one_song_out_of_range(spark):
         ragged.slice_one(offsets(spark, OFFSETS), flat(spark, 7), 4)
 
 
+def test_an_array_too_long_for_a_row_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ragged, "ARRAY_VALUES", 2)
+    with pytest.raises(Exception, match="slice_long"):
+        ragged.ragged_slice(offsets(spark, OFFSETS), flat(spark, 7)).collect()
+    assert ragged.slice_long(offsets(spark, OFFSETS), flat(spark, 7)).count() == 7
+
+
 def test_offsets_of_lengths(spark):
     lengths = spark.createDataFrame([(0, 2), (1, 0), (2, 3), (3, 2)], "song_idx long, n long")
     assert sorted(tuple(r) for r in ragged.offsets_of(lengths, "song_idx", "n").collect()) == OFFSETS

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import chat, line_dedup
+from tagweave.llm import bpe, chat, line_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,11 +17,21 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(table(spark, folder, "conversations"))
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, folder, "documents"), vocabulary_path())
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_chat_format, op9_line_dedup)
+    f.__name__: f for f in (op7_chat_format, op8_bpe, op9_line_dedup)
 }
 ORACLES: dict[str, str] = {"op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

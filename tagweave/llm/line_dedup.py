@@ -20,22 +20,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tagweave.llm.common import SPACE, blocks, keyed, keyed_rows, partitions, same_row, stage
+from tagweave.llm.common import IS_SPACE, blocks, flat, keyed, keyed_rows, partitions, span_hashes, stage
 
 MIN_KEY = 10
-UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DROP, PENDING, TAIL, HEAD = 0, 1, 2, 3
 FOUND = "pid int, kind int, k1 long, k2 long, doc_id long, h long, n_lines int, pos int"
 
 
+def _line_rows(min_key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            buf, offsets = flat(block.column("text"))
+            cuts = np.flatnonzero(buf == 10)
+            doc_of_cut = np.searchsorted(offsets[1:], cuts, side="right")
+            n_lines = np.bincount(doc_of_cut, minlength=block.num_rows) + 1
+            doc = np.repeat(np.arange(block.num_rows), n_lines)
+            first = np.cumsum(n_lines) - n_lines
+            pos = np.arange(len(doc)) - first[doc]
+            after = np.arange(len(cuts)) + doc_of_cut  # the line that each line feed ends
+            starts, ends = offsets[:-1][doc], offsets[1:][doc]
+            ends[after], starts[after + 1] = cuts, cuts + 1
+            solid = np.flatnonzero(~IS_SPACE[buf])
+            lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+            letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
+            some = hi > lo
+            doc, pos, starts, ends = doc[some], pos[some], solid[lo[some]], solid[hi[some] - 1] + 1
+            long = letters[ends] - letters[starts] >= min_key
+            doc, pos, starts, ends = doc[long], pos[long], starts[long], ends[long]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(span_hashes(buf, starts, ends, 41, lower=True).view(np.int64)),
+                    pa.array(span_hashes(buf, starts, ends, 42, lower=True).view(np.int64)),
+                    block.column("doc_id").take(at),
+                    block.column("h").take(at),
+                    pa.array(n_lines[doc].astype(np.int32)),
+                    pa.array(pos.astype(np.int32)),
+                ],
+                ["k1", "k2", "doc_id", "h", "n_lines", "pos"],
+            )
+
+    return run
+
+
 def line_keys(base: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """A row for each line whose key has ``min_key`` code points or more: 128 bits of hash, document, position."""
-    lines = F.split("text", "\n", -1)
-    cut = base.where("doc_id is not null").select("doc_id", "h", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
-    cut = cut.withColumn("line", F.translate(F.btrim("line", F.lit(SPACE)), UPPER, SMALL)).where(F.char_length("line") >= min_key)
-    return cut.select(
-        F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("second"), "line").alias("k2"), "doc_id", "h", "n_lines", "pos"
-    )
+    given = base.where("doc_id is not null").select("doc_id", "h", "text")
+    return given.mapInArrow(_line_rows(min_key), "k1 long, k2 long, doc_id long, h long, n_lines int, pos int")
 
 
 def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe, chat, line_dedup, near_dup
+from tagweave.llm import bpe, chat, line_dedup, near_dup, suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, folder, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicate_digests(table(spark, folder, "documents"))
 
@@ -36,6 +40,6 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_near_dup, op7_chat_format, op8_bpe, op9_line_dedup)
+    f.__name__: f for f in (op1_suffix_dedup, op4_near_dup, op7_chat_format, op8_bpe, op9_line_dedup)
 }
 ORACLES: dict[str, str] = {"op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

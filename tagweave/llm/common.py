@@ -153,11 +153,14 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * ODD)
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of all texts begin and end, and each text's first word (and the number of all)."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of all texts begin and end, and each text's first word (and the number of all).
+
+    ``outside`` says of each byte whether it separates words.
+    """
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[buf]
+    inside = ~outside[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(buf)]

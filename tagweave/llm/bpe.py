@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks
+from tagweave.llm.common import blocks, discard, stage
 from tagweave.llm.lexicon import Lexicon, compile_lexicon
 
 #: Fixed value: the public pattern that cuts a text into words before byte-level merges.
@@ -261,10 +261,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The ``size`` most frequent words of all documents (ties by code point); words over 48 characters are left to merging."""
+    """The most frequent words of all documents, ``size`` at most; words over 48 characters are left to merging.
+
+    Counts are compared by eighths of a power of two, so a histogram of a few hundred rows tells the driver from which
+    frequency on it may gather words.
+    """
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [row.word for row in top.select("word").collect()]
+    counts = found.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    counted = stage(counts, "words")
+    room, least = size, None
+    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.level
+    words = [] if least is None else [row.word for row in counted.where(F.col("level") >= least).select("word").collect()]
+    discard(counted)
+    return words
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, text: str = "text", size: int = LEXICON_WORDS) -> bytes:

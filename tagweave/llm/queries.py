@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe, chat, line_dedup, near_dup, suffix_dedup, toxicity
+from tagweave.llm import bpe, chat, decontaminate, line_dedup, near_dup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(table(spark, folder, "conversations"))
 
@@ -44,6 +48,6 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op4_near_dup, op5_toxicity, op7_chat_format, op8_bpe, op9_line_dedup)
+    f.__name__: f for f in (op1_suffix_dedup, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe, op9_line_dedup)
 }
 ORACLES: dict[str, str] = {"op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe, chat, decontaminate, line_dedup, near_dup, suffix_dedup, toxicity, warc
+from tagweave.llm import bpe, chat, decontaminate, line_dedup, near_dup, quality_rules, site_quality, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, folder, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, folder, "pages"))
 
@@ -37,6 +41,10 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(table(spark, folder, "conversations"))
 
 
+def op10_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return site_quality.site_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -52,6 +60,6 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_warc, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe, op9_line_dedup)
+    f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_warc, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe, op9_line_dedup, op10_site_quality)
 }
 ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

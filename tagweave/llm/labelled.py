@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int) -> list[tuple[str, int]]:
-    """``(text, class)`` of about ``each`` documents of either class at most, chosen by hash, in a fixed order.
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int) -> list[tuple[str, int, float]]:
+    """``(text, class, weight)`` of about ``each`` documents of either class at most, chosen by hash, in a fixed order.
 
-    The class is 1 where ``label`` is above zero. Null labels and ids are ignored; a document with several labels has the
+    The weight makes up for the share of its class that was chosen. The class is 1 where ``label`` is above zero. Null labels and ids are ignored; a document with several labels has the
     largest. The chosen labels are bounded by ``each``, so they are broadcast and only their texts are gathered.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id"))
@@ -20,4 +20,4 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int) -
     chosen = known.where(rank < F.when(F.col("y") == 1, shares[1]).otherwise(shares[0]) * 1_000_000)
     given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
     rows = given.join(F.broadcast(chosen), "l_id").orderBy("l_id", "text").select("text", "y").collect()
-    return [(r.text or "", r.y) for r in rows]
+    return [(r.text or "", r.y, max(shares) / shares[r.y]) for r in rows]

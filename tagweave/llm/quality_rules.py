@@ -21,10 +21,10 @@ from tagweave.llm.labelled import sample_labelled
 from tagweave.llm.text_stats import N_FEATURES, Texts, measure, one_hot
 
 #: Labelled documents of each class that train at most.
-SAMPLE = 1500
+SAMPLE = 1000
 #: Lines of a training chain; longer documents give several chains.
-CHAIN = 64
-ROUNDS, STEP, DECAY = 200, 0.1, 1e-3
+CHAIN = 32
+ROUNDS, STEP, DECAY = 200, 0.15, 1e-3
 #: Share of words in content lines from which a document stays.
 LEAST_CONTENT = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -41,11 +41,6 @@ class Chain:
     start: np.ndarray
 
 
-def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis)
-    return top + np.log(np.exp(a - np.expand_dims(top, axis)).sum(axis=axis))
-
-
 def marginals(scores: np.ndarray, used: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
     """By forward and backward sums: the chance of each label at each place, and of each pair of labels at each step.
 
@@ -55,21 +50,22 @@ def marginals(scores: np.ndarray, used: np.ndarray, chain: Chain) -> tuple[np.nd
     forward, backward = np.zeros(scores.shape), np.zeros(scores.shape)
     forward[:, 0] = chain.start + scores[:, 0]
     for t in range(1, length):
-        forward[:, t] = scores[:, t] + _log_sum(forward[:, t - 1, :, None] + chain.steps, 1)
+        forward[:, t] = scores[:, t] + np.logaddexp(*(forward[:, t - 1, y, None] + chain.steps[y] for y in (0, 1)))
     for t in range(length - 2, -1, -1):
-        back = _log_sum(chain.steps + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+        ahead = scores[:, t + 1] + backward[:, t + 1]
+        back = np.logaddexp(*(ahead[:, y, None] + chain.steps[:, y] for y in (0, 1)))
         backward[:, t] = np.where(used[:, t + 1, None], back, 0.0)
     whole = forward + backward
-    total = _log_sum(whole[:, 0], 1)[:, None, None]
+    total = np.logaddexp(whole[:, 0, 0], whole[:, 0, 1])[:, None, None]
     at = np.exp(whole - total) * used[..., None]
     pair = forward[:, :-1, :, None] + chain.steps + (scores[:, 1:] + backward[:, 1:])[:, :, None, :]
     return at, np.exp(np.minimum(pair - total[..., None], 0)) * used[:, 1:, None, None]
 
 
-def fit(texts: list[str], bad: list[int]) -> Chain:
+def fit(texts: list[str], bad: list[int], weights: list[float]) -> Chain:
     """Weights that make the lines' labels likely, by gradient steps of adaptive length with a small decay."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    features, labels, place = [], [], []
+    features, labels, place, worth = [], [], [], []
     done = 0
     for block in blocks([batch], "text"):
         found = measure(block.column("text"))
@@ -79,6 +75,7 @@ def fit(texts: list[str], bad: list[int]) -> Chain:
             for lo in range(first[n], first[n + 1], CHAIN):
                 hi = min(lo + CHAIN, first[n + 1])
                 place.append(hi - lo)
+                worth.append(weights[done + n])
                 features.append(bins[lo:hi])
                 labels.append(np.full(hi - lo, bad[done + n]))
         done += block.num_rows
@@ -90,7 +87,7 @@ def fit(texts: list[str], bad: list[int]) -> Chain:
     bins = np.zeros((*shape, features[0].shape[1]), np.int64)
     truth = np.zeros(shape, np.int64)
     bins[used], truth[used] = np.concatenate(features), np.concatenate(labels)
-    weight = (1 / np.array(place))[:, None] * used  # every chain counts alike
+    weight = (np.array(worth) / np.array(place))[:, None] * used  # a chain counts as its document does, however long
     seen = np.eye(2)[truth] * weight[..., None]
     pairs = (np.eye(4)[truth[:, :-1] * 2 + truth[:, 1:]] * weight[:, 1:, None]).reshape(*truth[:, 1:].shape, 2, 2)
     size = [np.full_like(a, 1e-8) for a in (chain.lines, chain.steps, chain.start)]
@@ -160,7 +157,7 @@ def _judged(shared):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """``labels``: ``doc_id, quality``, above zero for good documents."""
     rows = sample_labelled(docs, labels, "quality", sample)
-    return fit([text for text, _ in rows], [1 - good for _, good in rows])
+    return fit([text for text, *_ in rows], [1 - good for _, good, _ in rows], [weight for *_, weight in rows])
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -133,4 +133,4 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
 
 def _train(docs: DataFrame, labels: DataFrame, sample: int) -> np.ndarray:
     rows = sample_labelled(docs, labels, "quality", sample)
-    return fit([text for text, _ in rows], [good for _, good in rows])
+    return fit([text for text, *_ in rows], [good for _, good, _ in rows])

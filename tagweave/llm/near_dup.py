@@ -1,10 +1,10 @@
 """Near-duplicate documents: MinHash bands propose, signatures and full sets confirm, star steps connect.
 
 Documents with equal shingle sets are one class from the start, whatever their number. Classes that share a band's
-hash lie in one bucket. No bucket is expanded into all its pairs: in each round a few members of a bucket, its
-pivots, are compared with the members that are not yet in the pivot's component, and leave the bucket. A bucket whose
-members are all connected is done. So a group of n near copies costs about n comparisons; buckets of unlike documents
-are worked off with more pivots each round until every pair that could link two components has been compared.
+hash lie in one bucket. No bucket is expanded into all its pairs: its least class, the pivot, is compared with the
+others, which connects most of a group of copies with as many comparisons as it has members. Buckets that then still hold several
+components go a second, exact way: their classes meet under their rarest shingles, as far as sizes and places leave
+a chance, and only across components. That way is complete for all pairs of its classes, so no link is lost.
 """
 
 from __future__ import annotations
@@ -89,6 +89,58 @@ def _members(classes: DataFrame) -> DataFrame:
     return spread.join(shared, "bucket", "left_semi")
 
 
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's least class with every other class of the bucket that is of fitting size."""
+    least = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", "p.*").toDF("bucket", "p_rep", "p_n")
+    fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    pairs = members.join(least, "bucket").where((F.col("rep") != F.col("p_rep")) & fits)
+    return pairs.select(F.col("p_rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _size_class(n) -> F.Column:
+    """Sizes of one class differ by four per cent at most."""
+    return F.floor(F.log(n) / F.log(F.lit(1.04))).cast("int")
+
+
+def _rest_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair ``a, b`` of the classes in ``active`` (``rep, n, label``) that may be alike and has two labels.
+
+    Shingles are put in one order, rarest first. If the intersection of two sets must have k shingles, the first one that they
+    share stands before place n - k + 1 in either; so the shorter set is entered under its first shingles only, and
+    the longer one asks under its own for sets of the sizes that its place still allows. Shingles that only copies of one
+    label hold under their first are left out, and so is one label (the most frequent) against itself.
+    """
+    held = sets.join(active, "rep")
+    tokens = held.select("rep", "n", "label", F.explode("items").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = tokens.join(often, "token").groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    share, n = percent / 100, F.col("n")
+    first = (n - F.ceil(n * share - 1e-9) + 1).cast("int")
+    placed = ordered.select("rep", "n", "label", F.posexplode(F.slice("t", F.lit(1), first)).alias("pos", "o")).where("o.df > 1")
+    placed = stage(placed.select("rep", "n", "label", "pos", F.col("o.token").alias("token")), "placed")
+    labels = placed.groupBy("token", "label").count().groupBy("token")
+    mixed = labels.agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = stage(placed.join(mixed, "token"), "mixed")
+    both = share / (1 + share)
+    room = (n - F.col("pos")) / both - n + 1e-9  # sizes that a partner may have at most, if this is the first shared shingle
+    entered = rows.where(room >= n).withColumn("size", _size_class(n))
+    most = F.least(F.floor(room), n)
+    asking = rows.withColumn("lo", F.ceil(n * share - 1e-9)).withColumn("hi", most).where("lo <= hi and hi >= 1")
+    asking = asking.withColumn("size", F.explode(F.sequence(_size_class(F.greatest("lo", F.lit(1))), _size_class(F.col("hi")))))
+    names = ["rep", "n", "label", "pos"]
+    few = F.col("label") != F.col("major")
+
+    def meet(short: DataFrame, long: DataFrame) -> DataFrame:
+        one = short.select("token", "size", *(F.col(c).alias(f"s_{c}") for c in names))
+        two = long.select("token", "size", *(F.col(c).alias(f"l_{c}") for c in names))
+        overlap = F.least(F.expr("s_n - s_pos"), F.expr("l_n - l_pos")) * (100 + percent) >= (F.col("s_n") + F.col("l_n")) * percent
+        fits = (F.col("s_label") != F.col("l_label")) & F.expr("s_n <= l_n") & (F.col("s_n") * 100 >= F.col("l_n") * percent) & overlap
+        equal = (one["token"] == two["token"]) & (one["size"] == two["size"])
+        return one.join(two, equal & fits).select(F.least("s_rep", "l_rep").alias("a"), F.greatest("s_rep", "l_rep").alias("b"))
+
+    return meet(entered.where(few), asking).union(meet(entered.where(~few), asking.where(few))).distinct()
+
+
 def link_classes(base: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``u, v``: the representative of every linked class and the least representative of its component."""
     members = stage(_members(classes), "members")
@@ -99,29 +151,17 @@ def link_classes(base: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     keys = classes.select(F.col("rep").alias("own"), "s1", "s2")
     same = (F.col("rep") == F.col("own")) & (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2"))
     sets = stage(texts.join(keys, same).select("rep", "items").dropDuplicates(["rep"]), "sets")
-    edges = stage(base.sparkSession.createDataFrame([], "u long, v long"), "links")
+    edges = stage(_verified(_pivot_pairs(members, percent), classes, sets, percent), "links")
     labels = connected_components(edges)
-    pivots_each = 1
-    while True:
-        labelled = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        still = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        active = stage(labelled.join(still, "bucket", "left_semi").select("bucket", "rep", "n", "label"), "active")
-        if active.isEmpty():
-            discard(active, members, sets, edges)
-            return labels
-        part = F.pmod(F.xxhash64("rep"), F.lit(pivots_each))
-        first = F.min(F.struct("rep", "n", "label"))
-        pivots = active.groupBy("bucket", part.alias("part")).agg(first.alias("p")).select("bucket", "p.*").toDF("bucket", "p_rep", "p_n", "p_label")
-        fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-        pairs = active.join(pivots, "bucket").where((F.col("label") != F.col("p_label")) & fits)
-        pairs = pairs.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
-        more = stage(edges.union(_verified(pairs, classes, sets, percent)), "links")
-        used = pivots.select("bucket", F.col("p_rep").alias("rep"))
-        fewer = stage(active.select("bucket", "rep", "n").join(used, ["bucket", "rep"], "left_anti"), "members")
-        new = connected_components(more)
-        discard(active, members, edges, labels)
-        members, edges, labels = fewer, more, new
-        pivots_each *= 4
+    labelled = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = stage(labelled, "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    active = stage(labelled.join(mixed, "bucket", "left_semi").select("rep", "n", "label").distinct(), "active")
+    rest = _verified(_rest_pairs(active, sets, percent), classes, sets, percent)
+    all_edges = stage(edges.union(rest), "links")
+    out = connected_components(all_edges)
+    discard(members, sets, edges, labels, labelled, active, all_edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

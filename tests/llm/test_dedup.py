@@ -119,8 +119,8 @@ def test_components_equal_brute_force(docs, texts):
     assert Counter(map(tuple, near_dup.near_duplicate_digests(docs).collect())) == brute_near(texts)
 
 
-def test_chain_of_copies_needs_several_pivots(spark):
-    """Neighbours are alike, the ends are not: one component, found over many rounds."""
+def test_chain_of_copies_is_one_component(spark):
+    """Neighbours are alike, the ends are not."""
     rng = random.Random(8)
     words = ["w%d" % rng.randrange(10**6) for _ in range(120)]
     rows = []
@@ -133,6 +133,23 @@ def test_chain_of_copies_needs_several_pivots(spark):
     assert Counter(map(tuple, near_dup.near_duplicate_digests(frame).collect())) == brute_near(rows)
 
 
+def test_group_of_copies_that_are_alike_through_others_only(spark):
+    """Copies of one text, changed little or much: some are linked with few others, some with none."""
+    rng = random.Random(18)
+    original = ["w%d" % rng.randrange(10**6) for _ in range(150)]
+    rows = []
+    for k in range(150):
+        words = list(original)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(len(words))] = "new%d" % rng.randrange(10**6)
+        del words[: rng.randrange(3)]
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert 1 < sum(n for (_, _, _, kept), n in want.items() if kept) < 150
+    assert Counter(map(tuple, near_dup.near_duplicate_digests(frame).collect())) == want
+
+
 def test_one_of_each_group_stays(docs, texts, no_docs):
     out = near_dup.drop_near_duplicates(docs)
     want = Counter(i for (i, _, _, kept), n in brute_near(texts).items() for _ in range(n) if kept)

@@ -24,7 +24,7 @@ LOW = (1 << 32) - 1
 class SuffixFiles:
     """The state between two rounds, in three sequential files."""
 
-    KINDS = (("pairs", np.int64), ("prefixes", np.uint8), ("owners", np.int32), ("lengths", np.uint8))
+    KINDS = (("pairs", np.int64), ("prefixes", np.uint8), ("numbers", np.int32))
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -52,23 +52,26 @@ def _range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def repeated_suffixes(letters: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_suffixes(letters: np.ndarray, bounds: np.ndarray, least: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``owners, lengths`` of the suffixes that share their first ``least`` letters with another suffix.
 
     ``letters`` has the letters (numbers from 0) of all strands in a row, ``bounds`` where each strand begins, and the end.
+    A strand stands for ``copies`` equal ones, which would lie side by side with all their letters in common.
     """
     sizes = np.diff(bounds)
     m = len(sizes)
     place = np.arange(m, dtype=np.int64)  # of each strand's last inserted suffix
+    strands = [place]  # the strands of the suffixes, in the order in which they were inserted
+    count = m
     with tempfile.TemporaryDirectory() as folder:
         files = SuffixFiles(folder)
-        files.write([place, np.zeros(m, np.uint8), place, np.zeros(m, np.uint8)])
+        files.write([place, np.zeros(m, np.uint8), place])
         for j in range(1, int(sizes.max(initial=0)) + 1):
-            pairs, prefixes, owners, lengths = files.read()
+            pairs, prefixes, numbers = files.read()
             n = len(pairs)
             active = np.flatnonzero(sizes >= j)
             new = (letters[bounds[1:][active] - j].astype(np.int64) + 1) << 32 | place[active]
-            order = np.argsort(new, kind="stable")
+            order = np.argsort(new)  # no two are equal
             active, new = active[order], new[order]
             at = np.searchsorted(pairs, new)  # old suffixes before each new one
             spot = at + np.arange(len(new))
@@ -80,30 +83,38 @@ def repeated_suffixes(letters: np.ndarray, bounds: np.ndarray, least: int) -> tu
             last = np.append(alone[1:], True) & (at < n)
             after = pairs[np.minimum(at, n - 1)]
             one, two = np.concatenate([left, new[last]]), np.concatenate([new, after[last]])
-            same = (one >> 32 == two >> 32) & (two > LOW)
+            same = np.flatnonzero((one >> 32 == two >> 32) & (two > LOW))
             shared = np.zeros(len(one), np.uint8)
             shared[same] = np.minimum(_range_minima(prefixes, (one[same] & LOW) + 1, (two[same] & LOW) + 1), least - 1) + 1
             prefixes[at[last]] = shared[len(new) :]
 
-            moved = np.arange(n, dtype=np.int64)
-            moved += np.cumsum(np.bincount(at, minlength=n + 1))[:n]
-            grown = n + len(new)
+            old = np.ones(n + len(new), bool)
+            old[spot] = False
+            moved = np.flatnonzero(old)
+            tails = pairs & LOW
+            np.subtract(pairs, tails, out=pairs)
+            tails[m:] = moved[tails[m:]]  # the empty suffixes, which come first, have no tails
+            pairs += tails
+            tail = new & LOW
             fresh = []
-            old_tails, new_tails = pairs & LOW, new & LOW
-            for old, own in (
-                (pairs - old_tails + np.where(pairs > LOW, moved[old_tails], old_tails), new - new_tails + moved[new_tails]),
+            for before, own in (
+                (pairs, new - tail + moved[tail]),
                 (prefixes, shared[: len(new)]),
-                (owners, active),
-                (lengths, j),
+                (numbers, np.arange(count, count + len(new), dtype=np.int32)),
             ):
-                whole = np.empty(grown, old.dtype)
-                whole[moved] = old
+                whole = np.empty(len(old), before.dtype)
+                whole[old] = before
                 whole[spot] = own
                 fresh.append(whole)
             files.write(fresh)
             place = moved[place]
             place[active] = spot
-        _, prefixes, owners, lengths = files.read()
+            strands.append(active)
+            count += len(new)
+        _, prefixes, numbers = files.read()
+    owners = np.concatenate(strands)[numbers]
+    lengths = np.repeat(np.arange(len(strands)), list(map(len, strands)))[numbers]
     deep = prefixes >= least
     deep[:-1] |= deep[1:]
+    deep |= (copies[owners] > 1) & (lengths >= least)
     return owners[deep], lengths[deep]

@@ -4,8 +4,7 @@ One sort of all suffixes of a large corpus is no job for one machine, so the win
 content first. A window's anchor is the least hash among its 64-byte grams; equal windows have equal anchors, wherever
 they lie. Neighbouring windows with one anchor form a segment. Anchors found once are dropped: nothing in them
 repeats.
-Equal segments are one class (a class with several members goes in twice), so a passage with very many copies is sorted
-once. The segments of an anchor meet in one task, which builds the Burrows-Wheeler transform and the common prefixes of
+Equal segments are one class, sorted once with the number of its copies, however many there are. The segments of an anchor meet in one task, which builds the Burrows-Wheeler transform and the common prefixes of
 its segments column by column (``bwt``) and reports the windows whose common prefix reaches 200 bytes.
 
 An anchor whose segments form very many different classes (a common phrase, or near copies that differ around it) is
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bwt import repeated_suffixes
-from tagweave.llm.common import BLOCK_BYTES, blocks, discard, flat, keyed, mix, powers, random_words, stage
+from tagweave.llm.common import BLOCK_BYTES, blocks, discard, flat, keyed, mix, powers, random_words, span_hashes, stage
 
 #: Bytes of a string that must not occur twice.
 WINDOW = 200
@@ -38,7 +37,7 @@ HOT_CLASSES = 4096
 #: Bytes of segments that a task sorts, about.
 TASK_BYTES = 2 << 20
 #: Bytes in a letter of a strand; divides WINDOW.
-LETTER = 8
+LETTER = 40
 
 BASE = 0x2545F4914F6CDD1D
 #: The bits of a ranked hash that hold the place in the block; blocks are far shorter than 2**24 bytes.
@@ -155,16 +154,12 @@ def repeated_windows(segments: list[bytes], copies: list[int]) -> list[list[tupl
     phases = np.minimum(LETTER, sizes - WINDOW + 1)  # later phases begin no window that earlier ones do not
     owner = np.repeat(np.arange(len(sizes)), phases)
     phase = np.arange(len(owner)) - np.repeat(np.cumsum(phases) - phases, phases)
-    twice = np.asarray(copies)[owner] > 1
-    owner, phase = np.concatenate([owner, owner[twice]]), np.concatenate([phase, phase[twice]])
     length = (sizes[owner] - phase) // LETTER
     bounds = np.concatenate([[0], np.cumsum(length)])
     place = np.repeat(begins[owner] + phase - LETTER * bounds[:-1], length) + LETTER * np.arange(bounds[-1])
-    words = np.zeros(len(place), np.uint64)
-    for k in range(LETTER):
-        words = words << np.uint64(8) | data[place + k]
+    words = span_hashes(data, place, place + LETTER, 52)
     letters = np.unique(words, return_inverse=True)[1]
-    strand, left = repeated_suffixes(letters, bounds, WINDOW // LETTER)
+    strand, left = repeated_suffixes(letters, bounds, WINDOW // LETTER, np.asarray(copies)[owner])
     start = begins[owner[strand]] + phase[strand] + LETTER * (length[strand] - left)
     hit = np.zeros(len(data) + 1, bool)
     hit[start] = True

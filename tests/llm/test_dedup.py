@@ -55,8 +55,9 @@ def test_column_wise_construction_finds_what_sorting_finds():
     for least in (1, 2, 4):
         strands = [[rng.randrange(3) for _ in range(rng.randrange(0, 12))] for _ in range(30)]
         bounds = np.cumsum([0, *map(len, strands)])
-        owners, lengths = repeated_suffixes(np.array([x for s in strands for x in s]), bounds, least)
-        heads = Counter(tuple(s[k : k + least]) for s in strands for k in range(len(s) - least + 1))
+        copies = np.array([rng.choice([1, 1, 1, 2]) for _ in strands])
+        owners, lengths = repeated_suffixes(np.array([x for s in strands for x in s]), bounds, least, copies)
+        heads = Counter(tuple(s[k : k + least]) for s, c in zip(strands, copies, strict=True) for k in range(len(s) - least + 1) for _ in range(c))
         want = {(i, len(s) - k) for i, s in enumerate(strands) for k in range(len(s) - least + 1) if heads[tuple(s[k : k + least])] > 1}
         assert set(zip(owners.tolist(), lengths.tolist(), strict=True)) == want
 

@@ -65,6 +65,10 @@ WITH weighted AS (
   FROM (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)
   GROUP BY label, vec_id)
 SELECT label::BIGINT AS song_idx, count(*) AS n, {r6('sum(w * j)', 4)} AS digest FROM weighted GROUP BY label"""
+ORACLES["ragged_chunks"] = f"""
+WITH placed AS (
+  SELECT label, embedding[1]::DOUBLE AS v, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS chunk FROM embeddings)
+SELECT label::BIGINT AS song_idx, chunk, count(*)::INTEGER AS n, {r6('sum(v)', 4)} AS total FROM placed GROUP BY label, chunk"""
 ORACLES["explode_segments"] = """
 SELECT vec_id AS point_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS seg, unnest(embedding)::DOUBLE AS value
 FROM embeddings"""
@@ -102,9 +106,10 @@ def seed_steps(k: int) -> list[tuple[str, str]]:
     return [*POINTS, ("seeds", seeds_of(k)), ("book", LONG_SEEDS)]
 
 
-def costs(points: str, book: str) -> str:
+def costs(points: str, book: str, balanced: bool = True) -> str:
+    balance = "any_value(b.size) / (1e0 + any_value(b.size)) * " if balanced else ""
     return (
-        f"SELECT p.id, b.code, any_value(b.size) / (1e0 + any_value(b.size)) * sum((p.v - b.v) * (p.v - b.v)) AS cost "
+        f"SELECT p.id, b.code, {balance}sum((p.v - b.v) * (p.v - b.v)) AS cost "
         f"FROM {points} p JOIN {book} b USING (dim) GROUP BY p.id, b.code"
     )
 
@@ -113,10 +118,10 @@ def nearest(costs_sql: str) -> str:
     return f"SELECT id, code, cost FROM ({costs_sql}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, code) = 1"
 
 
-def add_batch(name: str, points: str, book: str) -> list[tuple[str, str]]:
+def add_batch(name: str, points: str, book: str, balanced: bool = True) -> list[tuple[str, str]]:
     """Assign a batch with frozen centers and move the running means: makes the book ``name``."""
     return [
-        (f"{name}_near", nearest(costs(points, book))),
+        (f"{name}_near", nearest(costs(points, book, balanced))),
         (
             f"{name}_sum",
             f"SELECT n.code, p.dim, sum(p.v) AS total, count(*) AS m "
@@ -130,7 +135,7 @@ def add_batch(name: str, points: str, book: str) -> list[tuple[str, str]]:
     ]
 
 
-def seeded_batch(name: str, source: str, k: int, order: str) -> list[tuple[str, str]]:
+def seeded_batch(name: str, source: str, k: int, order: str, balanced: bool = True) -> list[tuple[str, str]]:
     """A first batch: its seeds count once, all its other points are added."""
     return [
         (f"{name}_seeds", seeds_of(k, source, order)),
@@ -143,7 +148,7 @@ def seeded_batch(name: str, source: str, k: int, order: str) -> list[tuple[str,
             f"{name}_rest",
             f"SELECT p.* FROM p WHERE id IN (SELECT vec_id FROM {source}) AND id NOT IN (SELECT id FROM {name}_seeds)",
         ),
-        *add_batch(name, f"{name}_rest", f"{name}_start"),
+        *add_batch(name, f"{name}_rest", f"{name}_start", balanced),
     ]
 
 
@@ -193,24 +198,57 @@ ORACLES["hartigan_assign"] = with_all(
 ORACLES["hartigan_partial_fit"] = with_all(
     [*POINTS, *seeded_batch("b1", "embeddings", SEEDS, "vec_id")], book_rows("b1")
 )
-TWO_HALVES = [
-    *POINTS,
-    *halves("0:0"),
-    *seeded_batch("b1", half("0:0", 0), SEEDS, "ord, vec_id"),
-    long_half("0:0", 1),
-    *add_batch("b2", long_half("0:0", 1)[0], "b1"),
-]
-ORACLES["hartigan_fit"] = with_all(
-    [
-        *TWO_HALVES,
+
+
+def first_pass(balanced: bool = True) -> list[tuple[str, str]]:
+    return [
+        *POINTS,
+        *halves("0:0"),
+        *seeded_batch("b1", half("0:0", 0), SEEDS, "ord, vec_id", balanced),
+        long_half("0:0", 1),
+        *add_batch("b2", long_half("0:0", 1)[0], "b1", balanced),
+    ]
+
+
+def two_passes(balanced: bool) -> list[tuple[str, str]]:
+    return [
+        *first_pass(balanced),
         *halves("0:1"),
         long_half("0:1", 0),
-        *add_batch("b3", long_half("0:1", 0)[0], "b2"),
+        *add_batch("b3", long_half("0:1", 0)[0], "b2", balanced),
         long_half("0:1", 1),
-        *add_batch("b4", long_half("0:1", 1)[0], "b3"),
+        *add_batch("b4", long_half("0:1", 1)[0], "b3", balanced),
+    ]
+
+
+TWO_HALVES = first_pass()
+ORACLES["hartigan_fit"] = with_all(two_passes(True), book_rows("b4"))
+ORACLES["minibatch_kmeans"] = with_all(two_passes(False), book_rows("b4"))
+IN_ORDER = [
+    (
+        f"low_{n}",
+        f"SELECT vec_id, embedding, vec_id AS ord FROM embeddings QUALIFY "
+        f"(row_number() OVER (ORDER BY vec_id) - 1) // ceil((SELECT count(*) FROM embeddings) / 2e0)::BIGINT = {n}",
+    )
+    for n in range(2)
+]
+LOW = [(f"long_low_{n}", f"SELECT p.* FROM p WHERE id IN (SELECT vec_id FROM low_{n})") for n in range(2)]
+ORACLES["hartigan_fit_in_order"] = with_all(
+    [
+        *POINTS,
+        *IN_ORDER,
+        *LOW,
+        *seeded_batch("b1", "low_0", SEEDS, "vec_id"),
+        *add_batch("b2", "long_low_1", "b1"),
+        *add_batch("b3", "long_low_0", "b2"),
+        *add_batch("b4", "long_low_1", "b3"),
     ],
     book_rows("b4"),
 )
+ORACLES["hartigan_repeated_ids"] = f"SELECT count(*)::DOUBLE AS n_points, {SEEDS}::BIGINT AS n_codes FROM embeddings"
+ORACLES["vq_fit_default"] = with_all(
+    [*POINTS, *seeded_batch("b1", "embeddings", ATOMS, "vec_id", False)], half_norms("b1")
+)
 ORACLES["vq_fit"] = with_all([*POINTS, *seeded_batch("b1", "embeddings", ATOMS, "vec_id")], half_norms("b1"))
 ORACLES["vq_partial_fit"] = with_all(TWO_HALVES, half_norms("b2"))
 
@@ -513,6 +551,11 @@ def scores(theta: str, beta: str) -> str:
 
 
 ORACLES["score_tags"] = with_all(START, f"SELECT i, d, {r6('score')} AS score FROM ({scores('theta_s', 'beta_s')})")
+ORACLES["score_tags_top"] = with_all(
+    START,
+    f"SELECT i, d, {r6('score')} AS score FROM ({scores('theta_s', 'beta_s')}) "
+    "QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, d) <= 5",
+)
 ORACLES["recommend_groups"] = with_all(
     FITTED,
     f"SELECT i, label, {r6('score')} AS score FROM ({scores(f'theta_{LAST}', f'beta_{LAST}')}) JOIN cols USING (d) "

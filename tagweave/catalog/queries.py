@@ -80,6 +80,15 @@ def ragged_slice(spark: SparkSession, sf: str) -> DataFrame:
     return songs.select("song_idx", F.size("value").alias("n"), F.array_join(cents, ",").alias("cents"))
 
 
+@query
+def ragged_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of every track in pieces of 16, each an array of arrays."""
+    pieces = ragged.ragged_chunks(*t.track_segments(spark, sf), size=16)
+    first = F.transform("value", lambda v: v[0])
+    total = F.aggregate(first, F.lit(0.0), lambda s, v: s + v)
+    return pieces.select("song_idx", "chunk", F.size("value").alias("n"), clean_round(total, 4).alias("total"))
+
+
 @query
 def ragged_slice_2d(spark: SparkSession, sf: str) -> DataFrame:
     """A track may own any share of the segments, so they are digested as rows and never gathered."""
@@ -173,11 +182,35 @@ def hartigan_fit(spark: SparkSession, sf: str) -> DataFrame:
     return book_rows(codebook.hartigan_fit(t.points(spark, sf), t.SEEDS, max_iter=2, n_batches=2))
 
 
+@query
+def hartigan_fit_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return book_rows(codebook.hartigan_fit(t.points(spark, sf), t.SEEDS, max_iter=2, n_batches=2, shuffle=False))
+
+
+@query
+def hartigan_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of a codebook learned from points whose ids repeat: every point counts."""
+    points = t.points(spark, sf).withColumn("point_id", F.col("track").cast("bigint"))
+    book = codebook.hartigan_partial_fit(points, None, t.SEEDS)
+    return book.agg(F.sum("size").alias("n_points"), F.count("*").alias("n_codes"))
+
+
 @query
 def kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
     return codebook.kmeans_codebook(t.points(spark, sf), t.SEEDS).select("code", "size")
 
 
+@query
+def minibatch_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return book_rows(codebook.minibatch_kmeans(t.points(spark, sf), t.SEEDS, max_iter=2, n_batches=2))
+
+
+@query
+def vq_fit_default(spark: SparkSession, sf: str) -> DataFrame:
+    book = quantize.vq_partial_fit(t.points(spark, sf), None, n_atoms=t.ATOMS)
+    return book.select("code", "size", rounded("half_norm"))
+
+
 @query
 def vq_fit(spark: SparkSession, sf: str) -> DataFrame:
     book = quantize.vq_fit(t.points(spark, sf), lambda p: codebook.hartigan_partial_fit(p, None, t.ATOMS))
@@ -394,6 +427,12 @@ def score_tags(spark: SparkSession, sf: str) -> DataFrame:
     return pmf.score_tags(theta, beta).select("i", "d", rounded("score"))
 
 
+@query
+def score_tags_top(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, theta, beta = start(spark, sf)
+    return pmf.score_tags(theta, beta, top=5).select("i", "d", rounded("score"))
+
+
 @query
 def recommend_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: fit customers x product groups, then the three best groups of every customer."""

@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame
 
 
 def matrix(column, width: int) -> np.ndarray:
-    """A list column whose lists all have ``width`` values, as a (rows, width) matrix."""
+    """A list column whose lists all have ``width`` values, as a (rows, width) matrix; any other list is an error."""
+    lengths = column.value_lengths()
+    if lengths.null_count:
+        raise ValueError("there is a null where a vector should be")
+    lengths = lengths.to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(lengths != width)
+    if len(wrong):
+        raise ValueError(f"a vector has {lengths[wrong[0]]} values instead of {width}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, width)
 
 
+def finite_matrix(column, width: int) -> np.ndarray:
+    """As ``matrix``, for data vectors: values that are null, infinite or not a number are an error."""
+    values = matrix(column, width)
+    if not np.isfinite(values).all():
+        raise ValueError("a vector has values that are null, infinite or not numbers")
+    return values
+
+
 def lists(values: np.ndarray) -> pa.Array:
     """A (rows, width) matrix as a list column."""
     n, width = values.shape
@@ -21,16 +36,10 @@ def lists(values: np.ndarray) -> pa.Array:
 
 
 def lowest(values: np.ndarray, n: int) -> np.ndarray:
-    """Per row, the places of the n lowest values in order, equal values by place."""
-    if n >= values.shape[1] or n > 16:
-        return np.argsort(values, axis=1, kind="stable")[:, :n]
-    rest, rows = values.copy(), np.arange(len(values))
-    out = np.empty((len(values), n), dtype=np.int64)
-    for j in range(n):
-        # the first of equal values
-        out[:, j] = rest.argmin(axis=1)
-        rest[rows, out[:, j]] = np.inf
-    return out
+    """Per row, the places of the n lowest values in order, equal values by place, values that are no number last."""
+    if n == 1 and values.shape[1]:
+        return np.where(np.isnan(values), np.inf, values).argmin(axis=1)[:, None]
+    return np.argsort(values, axis=1, kind="stable")[:, :n]
 
 
 def add_vectors(partials: DataFrame, key: str, vector: str, width: int) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.mathx import hash_order, uniform_of
-from tagweave.functions.vectors import add_vectors, lists, matrix
+from tagweave.functions.ordering import slices
+from tagweave.functions.vectors import add_vectors, finite_matrix, lists, matrix
 from tagweave.session import MODEL_CELLS, new_path
 
 CODEBOOK = "code int, center array<double>, size double, half_norm double"
@@ -60,7 +61,7 @@ def check_size(k: int, width: int) -> None:
 
 
 def vector_width(points: DataFrame) -> int:
-    first = points.select(F.size("vec")).first()
+    first = points.where("vec is not null").select(F.size("vec")).first()
     return 0 if first is None else first[0]
 
 
@@ -91,7 +92,7 @@ def _seed_rows(points: DataFrame, k: int, order: list[str], taken: list) -> list
 def codebook_seed(points: DataFrame, k: int, order: list[str] | None = None) -> DataFrame:
     """The first k distinct vectors ``(code, point_id, vec)``: empty clusters cost nothing, so they win first."""
     check_size(k, vector_width(points))
-    seeds = _seed_rows(points, k, order or ["point_id"], [])
+    seeds = _seed_rows(points.where("vec is not null"), k, order or ["point_id"], [])
     rows = [(n, i, [float(v) for v in vec]) for n, (i, vec) in enumerate(seeds)]
     schema = T.StructType(
         [
@@ -108,13 +109,13 @@ def _costs(x: np.ndarray, centers: np.ndarray, norms: np.ndarray, balance: np.nd
     return balance[None, :] * squares
 
 
-def _cost_batches(batches, column: int, book):
+def _cost_batches(batches, column: int, book, balanced: bool = True):
     centers, sizes = book
     norms = (centers**2).sum(axis=1)
-    balance = sizes / (1.0 + sizes)
+    balance = sizes / (1.0 + sizes) if balanced else np.ones(len(sizes))
     step = max(1, SCORE_CELLS // len(sizes))
     for batch in batches:
-        x = matrix(batch.column(column), centers.shape[1])
+        x = finite_matrix(batch.column(column), centers.shape[1])
         codes = np.empty(len(x), dtype=np.int32)
         costs = np.empty(len(x))
         for lo in range(0, len(x), step):
@@ -137,17 +138,21 @@ def hartigan_assign(points: DataFrame, codebook: DataFrame) -> DataFrame:
         for batch, _, codes, costs in _cost_batches(batches, 1, bc.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes), pa.array(costs)], names=schema.names)
 
-    return points.select("point_id", "vec").mapInArrow(task, schema)
+    return points.where("vec is not null").select("point_id", "vec").mapInArrow(task, schema)
 
 
-def _add_points(points: DataFrame, book: Codebook) -> Codebook:
-    """Assign with frozen centers, add up per code inside each task, and move the running means."""
+def _add_points(points: DataFrame, book: Codebook, fresh: int = 0, balanced: bool = True) -> Codebook:
+    """Assign with frozen centers, add up per code inside each task, and move the running means.
+
+    The last ``fresh`` codes are seeds from these points: they are scored as clusters of one point but add up from nothing,
+    so the seeds themselves are counted by the scan like every other point, whatever their ids.
+    """
     k, width = book.centers.shape
     bc = points.sparkSession.sparkContext.broadcast((book.centers, book.sizes))
 
     def task(batches):
         total = np.zeros((k, width + 1))
-        for _, x, codes, _ in _cost_batches(batches, 0, bc.value):
+        for _, x, codes, _ in _cost_batches(batches, 0, bc.value, balanced):
             order = np.argsort(codes, kind="stable")
             ordered = codes[order]
             cuts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else []
@@ -158,10 +163,11 @@ def _add_points(points: DataFrame, book: Codebook) -> Codebook:
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), lists(total[used])], names=["code", "total"])
 
-    partial = points.select("vec").mapInArrow(task, "code int, total array<double>")
+    partial = points.where("vec is not null").select("vec").mapInArrow(task, "code int, total array<double>")
     sums = add_vectors(partial, "code", "total", width + 1).toArrow()
     bc.destroy()
     centers, sizes = book.centers.copy(), book.sizes.copy()
+    sizes[k - fresh :] = 0.0
     if len(sums):
         codes = sums.column("code").to_numpy()
         totals = matrix(sums.column("total").combine_chunks(), width + 1)
@@ -171,22 +177,22 @@ def _add_points(points: DataFrame, book: Codebook) -> Codebook:
     return Codebook(centers, sizes)
 
 
-def _learn_batch(points: DataFrame, book: Codebook | None, k: int, order: list[str]) -> Codebook:
+def _learn_batch(points: DataFrame, book: Codebook | None, k: int, order: list[str], balanced: bool = True) -> Codebook:
+    points = points.where("vec is not null")
     taken = 0 if book is None else len(book.sizes)
+    fresh = 0
     if taken < k:
         known = [] if book is None else book.centers.tolist()
         seeds = _seed_rows(points, k - taken, order, known)
         if seeds:
-            fresh = np.array([v for _, v in seeds], dtype=np.float64)
-            if book is None:
-                book = Codebook(fresh, np.ones(len(seeds)))
-            else:
-                book = Codebook(np.vstack([book.centers, fresh]), np.r_[book.sizes, np.ones(len(seeds))])
-            # seeds have been counted; k ids at most, and k is bounded by the codebook check
-            points = points.where(~F.col("point_id").isin([i for i, _ in seeds]))
+            fresh = len(seeds)
+            new = np.array([v for _, v in seeds], dtype=np.float64)
+            old = np.zeros((0, new.shape[1])) if book is None else book.centers
+            counted = np.zeros(0) if book is None else book.sizes
+            book = Codebook(np.vstack([old, new]), np.r_[counted, np.ones(fresh)])
     if book is None:
         raise ValueError("there are no points to learn from")
-    return _add_points(points, book)
+    return _add_points(points, book, fresh, balanced)
 
 
 def hartigan_partial_fit(points: DataFrame, codebook: DataFrame | None, k: int = 2,
@@ -195,10 +201,21 @@ def hartigan_partial_fit(points: DataFrame, codebook: DataFrame | None, k: int =
 
     Centers and balances are frozen while the batch is assigned; for batches of one point this is
     the sequential rule, for larger ones it approaches it while batches are small next to clusters.
+    Every point counts once, also where ids repeat or are null; points without a vector are left out.
     """
+    return _partial_fit(points, codebook, k, order, balanced=True)
+
+
+def minibatch_kmeans_partial_fit(points: DataFrame, codebook: DataFrame | None, k: int = 32,
+                                 order: list[str] | None = None) -> DataFrame:
+    """Add one mini-batch by k-means: each point goes to its nearest center, centers are running means of their points."""
+    return _partial_fit(points, codebook, k, order, balanced=False)
+
+
+def _partial_fit(points: DataFrame, codebook: DataFrame | None, k: int, order: list[str] | None, balanced: bool) -> DataFrame:
     check_size(k, vector_width(points))
     book = None if codebook is None else Codebook.gather(codebook)
-    return _learn_batch(points, book, k, order or ["point_id"]).frame(points.sparkSession)
+    return _learn_batch(points, book, k, order or ["point_id"], balanced).frame(points.sparkSession)
 
 
 def batch_of(points: DataFrame, n_batches: int, seed: str) -> DataFrame:
@@ -212,33 +229,50 @@ def hartigan_fit(points: DataFrame, k: int = 2, max_iter: int = 10, n_batches: i
     """``max_iter`` passes over the points in ``n_batches`` batches each, from an empty codebook.
 
     Sizes keep growing over passes and points are never taken back, as with one long stream.
-    With ``shuffle`` every pass has batches of its own; without, all passes share those of the seed.
+    With ``shuffle`` every pass goes through the points in a hash order of its own; without, in the order of their ids,
+    in batches of equal size.
     """
+    return _fit(points, k, max_iter, n_batches, shuffle, seed, balanced=True)
+
+
+def minibatch_kmeans(points: DataFrame, k: int = 32, max_iter: int = 10, n_batches: int = 10, shuffle: bool = True,
+                     seed: int = 0) -> DataFrame:
+    """As ``hartigan_fit``, with the nearest center instead of the balanced cost: the quantizer's default clusterer."""
+    return _fit(points, k, max_iter, n_batches, shuffle, seed, balanced=False)
+
+
+def _fit(points: DataFrame, k: int, max_iter: int, n_batches: int, shuffle: bool, seed: int, balanced: bool) -> DataFrame:
     check_size(k, vector_width(points))
     spark = points.sparkSession
-    book, table = None, None
+    points = points.where("vec is not null").select("point_id", "vec")
+    book = None
+    if not shuffle:
+        # sorted and written once; a batch is a range of the stored rows
+        size = max(1, -(-points.count() // n_batches))
+        n_batches, batch_at = slices(points, ["point_id", "vec"], size, "points")
+        order = ["point_id"]
     for n_pass in range(max_iter):
-        if table is None or shuffle:
-            split = batch_of(points.select("point_id", "vec"), n_batches, f"{seed}:{n_pass if shuffle else 0}")
-            if n_batches > 4:
-                # one shuffle and one write per pass instead of n_batches full reads
-                path = new_path(spark, "points")
-                split.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
-                table = spark.read.parquet(path)
-            else:
-                table = split
+        if shuffle:
+            split = batch_of(points, n_batches, f"{seed}:{n_pass}")
+            # one shuffle and one write per pass instead of n_batches full reads
+            path = new_path(spark, "points")
+            split.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
+            table = spark.read.parquet(path)
+            order = ["_order", "point_id"]
         for n in range(n_batches):
-            batch = table.where(F.col("batch") == n)
-            if book is None and batch.limit(1).count() == 0:
+            batch = table.where(F.col("batch") == n) if shuffle else batch_at(n)
+            if book is None and batch.isEmpty():
                 continue
-            book = _learn_batch(batch, book, k, ["_order", "point_id"])
+            book = _learn_batch(batch, book, k, order, balanced)
+    if book is None:
+        raise ValueError("there are no points to learn from")
     return book.frame(spark)
 
 
 def kmeans_codebook(points: DataFrame, k: int = 32, seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """The default clusterer: k-means over all points with Spark's own implementation."""
+    """k-means over all points in every round, with Spark's own implementation."""
     check_size(k, vector_width(points))
-    prepared = points.select(array_to_vector("vec").alias("features"))
+    prepared = points.where("vec is not null").select(array_to_vector("vec").alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(prepared)
     centers = np.array(model.clusterCenters())
     sizes = np.array(model.summary.clusterSizes, dtype=float)

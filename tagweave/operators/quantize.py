@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import lowest, matrix
-from tagweave.operators.codebook import SCORE_CELLS, hartigan_partial_fit, kmeans_codebook
+from tagweave.functions.vectors import finite_matrix, lowest, matrix
+from tagweave.operators.codebook import SCORE_CELLS, minibatch_kmeans, minibatch_kmeans_partial_fit
 from tagweave.session import MODEL_CELLS, stage
 
 
@@ -26,16 +26,16 @@ def with_half_norms(codebook: DataFrame) -> DataFrame:
 
 def vq_fit(points: DataFrame, clusterer: Callable[[DataFrame], DataFrame] | None = None,
            n_atoms: int = 32) -> DataFrame:
-    """Learn a codebook with any function from points to a codebook; k-means by default."""
-    learn = clusterer or (lambda p: kmeans_codebook(p, n_atoms))
+    """Learn a codebook with any function from points to a codebook; mini-batch k-means by default."""
+    learn = clusterer or (lambda p: minibatch_kmeans(p, n_atoms))
     return with_half_norms(learn(points))
 
 
 def vq_partial_fit(points: DataFrame, codebook: DataFrame | None,
                    clusterer: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
                    n_atoms: int = 32) -> DataFrame:
-    """Add a batch of points to a codebook with an incremental clusterer."""
-    add = clusterer or (lambda p, c: hartigan_partial_fit(p, c, n_atoms))
+    """Add a batch of points to a codebook with an incremental clusterer; mini-batch k-means by default."""
+    add = clusterer or (lambda p, c: minibatch_kmeans_partial_fit(p, c, n_atoms))
     return with_half_norms(add(points, codebook))
 
 
@@ -52,7 +52,7 @@ def _nearest(points: DataFrame, codes: np.ndarray, centers: np.ndarray, halves:
         ids, matrix_c, half = bc.value
         step = max(1, SCORE_CELLS // len(ids))
         for batch in batches:
-            x = matrix(batch.column("vec"), width)
+            x = finite_matrix(batch.column("vec"), width)
             hits, scores = [], []
             for lo in range(0, len(x), step):
                 part = half[None, :] - x[lo : lo + step] @ matrix_c.T
@@ -83,7 +83,7 @@ def _nearest(points: DataFrame, codes: np.ndarray, centers: np.ndarray, halves:
 def nearest_codes(points: DataFrame, codebook: DataFrame, n_quantizers: int = 1) -> DataFrame:
     """Points with ``hits``, their closest codes by ``half_norm - x . center``, ties by the lowest code.
 
-    Encoding is a map: no join and no shuffle. A codebook above the model limit is handled in
+    Encoding is a map: no join and no shuffle. Points without a vector are left out; a vector of another width is an error. A codebook above the model limit is handled in
     blocks of codes; the best codes so far travel with the points from block to block.
     """
     width, k = codebook.select(F.max(F.size("center")), F.count("*")).first()
@@ -91,7 +91,7 @@ def nearest_codes(points: DataFrame, codebook: DataFrame, n_quantizers: int = 1)
         raise ValueError("the codebook is empty")
     codes = [r[0] for r in codebook.select("code").orderBy("code").collect()]
     block = max(1, MODEL_CELLS // width)
-    out = points
+    out = points.where("vec is not null")
     for lo in range(0, k, block):
         part = codebook.where(F.col("code").between(codes[lo], codes[min(lo + block, k) - 1]))
         table = part.select("code", "center", "half_norm").toArrow().sort_by("code")

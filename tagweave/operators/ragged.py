@@ -5,52 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.ordering import running
+from tagweave.functions.ordering import global_rank, running
 
+# Positions that an offset interval is cut into to meet its flat values.
+CHUNK = 128
 
-# Values in the longest array that is gathered into one row.
-ARRAY_VALUES = 10_000_000
 
+def _intervals(offsets: DataFrame) -> DataFrame:
+    """``(song_idx, start, stop)`` of the songs that can own positions; the last has no ``stop``.
 
-def _checked(place):
-    """The place in a song, failing while rows stream by rather than when an array outgrows its task."""
-    message = f"a song has more than {ARRAY_VALUES} values; use slice_long, which gathers none"
-    return F.when(place >= ARRAY_VALUES, F.raise_error(F.lit(message)).cast("bigint")).otherwise(place)
+    Among songs with one offset only the last can be non-empty. The offsets are ranked once; each start's successor
+    follows by an equi-join on the rank.
+    """
+    starts = offsets.groupBy(F.col("start").cast("bigint").alias("start")).agg(F.max("song_idx").alias("song_idx"))
+    ranked = global_rank(starts, ["start"], "place", "offsets")
+    after = ranked.select((F.col("place") - 1).alias("place"), F.col("start").alias("stop"))
+    return ranked.join(after, "place", "left").drop("place")
 
 
 def slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """Give every flat row ``(pos, value)`` its song and its place in the song: ``(song_idx, j, value)``.
 
-    A song owns the positions from its offset up to the next offset, the last song all that remain.
-    Among songs with one offset only the last can be non-empty, so offsets are first reduced to
-    their largest song. Offsets and positions are then sorted together and the latest song is
-    carried forward (two-level, so neither songs nor positions meet in one task).
+    A song owns the positions from its offset up to the next offset, the last song all that remain. Positions are dense,
+    so they are cut into chunks of equal size: an interval is repeated for each chunk that it touches, and meets the values
+    by one equi-join on the chunk. A long song spreads over its chunks; a chunk meets few intervals.
     """
-    starts = offsets.groupBy(F.col("start").cast("bigint").alias("start")).agg(F.max("song_idx").alias("song_idx"))
-    value_type = flat.schema["value"].dataType
-    events = starts.select(
-        F.col("start").alias("pos"), F.lit(0).alias("kind"), "song_idx", "start", F.lit(None).cast(value_type).alias("value")
-    ).unionByName(
-        flat.select(F.col("pos").cast("bigint").alias("pos"), F.lit(1).alias("kind"), "value"), allowMissingColumns=True
-    )
-    # offsets never fall, so the latest song and its start are both running maxima
-    owned = running(
-        events, [], ["pos", "kind"], maxima={"owner": "song_idx", "first": "start"}, label="ragged"
-    )
-    return owned.where((F.col("kind") == 1) & F.col("owner").isNotNull()).select(
-        F.col("owner").alias("song_idx"), (F.col("pos") - F.col("first")).alias("j"), "value"
-    )
+    chunk = lambda pos: F.floor(pos / F.lit(CHUNK)).cast("bigint")
+    end = (flat.agg(F.max(F.col("pos").cast("bigint"))).first()[0] or 0) + 1
+    stop = F.least(F.coalesce("stop", F.lit(end)), F.lit(end))
+    touched = _intervals(offsets).withColumn("stop", stop).where("start < stop")
+    touched = touched.withColumn("chunk", F.explode(F.sequence(chunk(F.col("start")), chunk(F.col("stop") - 1))))
+    values = flat.select(F.col("pos").cast("bigint").alias("pos"), "value").withColumn("chunk", chunk(F.col("pos")))
+    owned = values.join(touched, "chunk").where("pos >= start and pos < stop")
+    return owned.select("song_idx", (F.col("pos") - F.col("start")).alias("j"), "value")
+
+
+def ragged_chunks(offsets: DataFrame, flat: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """All songs in pieces ``(song_idx, chunk, value array)`` of at most ``size`` values, for songs of any length."""
+    rows = slice_long(offsets, flat).withColumn("chunk", F.expr(f"j div {int(size)}"))
+    return rows.groupBy("song_idx", "chunk").agg(_in_order().alias("value"))
+
+
+def _in_order():
+    return F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"])
 
 
 def ragged_slice(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """All songs with their array ``(song_idx, value array)``; an empty slice gives an empty array.
 
-    The array of a song is one value, so its length is checked; ``slice_long`` has no such bound.
+    The array of a song is one value and has to fit in a task; ``ragged_chunks`` and ``slice_long`` have no such bound.
     """
-    rows = slice_long(offsets, flat).withColumn("j", _checked(F.col("j")))
-    arrays = rows.groupBy("song_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("value")
-    )
+    arrays = slice_long(offsets, flat).groupBy("song_idx").agg(_in_order().alias("value"))
     empty = F.array().cast(arrays.schema["value"].dataType)
     return offsets.select("song_idx").join(arrays, "song_idx", "left").select(
         "song_idx", F.coalesce("value", empty).alias("value")
@@ -59,19 +64,14 @@ def ragged_slice(offsets: DataFrame, flat: DataFrame) -> DataFrame:
 
 def slice_one(offsets: DataFrame, flat: DataFrame, song_idx: int = 0) -> DataFrame:
     """The array of one song. Both bounds become literals, so the flat scan skips other songs."""
-    pair = (
-        offsets.where(F.col("song_idx").isin(song_idx, song_idx + 1))
-        .select("song_idx", "start").orderBy("song_idx").collect()
-    )
-    if not pair or pair[0][0] != song_idx:
+    own = F.col("song_idx") == song_idx
+    bounds = offsets.agg(F.min(F.when(own, F.col("start"))).alias("start"), F.min(F.when(F.col("song_idx") > song_idx, F.col("start"))).alias("stop")).first()
+    if bounds.start is None:
         raise IndexError(f"no song at {song_idx}")
-    own = flat.where(F.col("pos") >= pair[0][1])
-    if len(pair) == 2:
-        own = own.where(F.col("pos") < pair[1][1])
-    own = own.select(_checked(F.col("pos") - F.lit(pair[0][1])).alias("j"), "value")
-    arrays = own.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("value")
-    )
+    rows = flat.where(F.col("pos") >= bounds.start)
+    if bounds.stop is not None:
+        rows = rows.where(F.col("pos") < bounds.stop)
+    arrays = rows.select((F.col("pos") - F.lit(bounds.start)).alias("j"), "value").agg(_in_order().alias("value"))
     return arrays.select(F.lit(song_idx).cast("bigint").alias("song_idx"), "value")
 
 

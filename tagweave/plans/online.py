@@ -11,7 +11,7 @@ from tagweave.functions.mathx import hash_order
 from tagweave.functions.ordering import global_rank, salted_join, slices
 from tagweave.plans import blocks, factors, joined
 from tagweave.plans.factors import PMFParams
-from tagweave.plans.pmf import check_columns, pick_path
+from tagweave.plans.pmf import check_ids, pick_path
 from tagweave.session import stage
 
 
@@ -32,8 +32,8 @@ def minibatch_split(rows: DataFrame, params: PMFParams, n_pass: int = 0) -> Data
 def pmf_partial_fit(counts: DataFrame, rows: DataFrame, beta: DataFrame, scale: float, rho: float,
                     params: PMFParams, path: str = "auto") -> tuple[DataFrame, float]:
     """One natural gradient step on one mini-batch; returns the new components and the stochastic bound."""
-    check_columns(counts, beta)
-    if pick_path(beta.count(), params, path) == "join":
+    check_ids(counts, rows, beta)
+    if pick_path(beta, params, path) == "join":
         return joined.gradient_step(counts, rows, beta, rho, scale, params)
     state = blocks.start(blocks.pack(counts, rows), params)
     comps, bound = blocks.gradient_step(state, blocks.Components.gather(beta), rho, scale, params)
@@ -58,7 +58,8 @@ def online_pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params:
     n_rows = rows.count()
     scale = float(n_rows if est_total is None else est_total) / params.batch_size
     beta = factors.init_factors(cols, "d", "beta", params)
-    block = pick_path(cols.count(), params, path) == "block"
+    check_ids(counts, rows, cols)
+    block = pick_path(cols, params, path) == "block"
     if block:
         beta = blocks.Components.gather(beta)
         # every batch starts its rows from the same draws, so they are made once for all passes

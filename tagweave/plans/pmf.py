@@ -23,10 +23,16 @@ def fits_in_task(n_ids: int, n_components: int) -> bool:
     return n_ids * n_components <= MODEL_CELLS
 
 
-def pick_path(n_cols: int, params: PMFParams, path: str) -> str:
-    """``block`` broadcasts the components, ``join`` never does; ``auto`` decides by their counted size."""
+def pick_path(cols: DataFrame, params: PMFParams, path: str) -> str:
+    """``block`` broadcasts the components, ``join`` never does; ``auto`` decides by their counted size and ids.
+
+    The block path numbers components 0 .. D-1; other ids take the join path. Either gives the same model.
+    """
     if path == "auto":
-        return "block" if fits_in_task(n_cols, params.n_components) else "join"
+        if not isinstance(cols.schema["d"].dataType, (T.IntegerType, T.LongType)):
+            return "join"
+        n, low, high = cols.agg(F.count("*"), F.min("d"), F.max("d")).first()
+        return "block" if fits_in_task(n, params.n_components) and (low, high) == (0, n - 1) else "join"
     if path not in ("block", "join"):
         raise ValueError(f"unknown path {path!r}")
     return path
@@ -51,10 +57,12 @@ def _theta_frame(weights: blocks.Weights) -> DataFrame:
 def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFParams, path: str = "auto") -> PMFModel:
     """Fit weights and components to counts ``(i, d, x)``; ``rows(i)`` and ``cols(d)`` name all ids.
 
-    ``d`` must be 0 .. D-1 for the block path. Counts are one row per (i, d).
+    Counts are one row per (i, d). Ids of counts that the dimensions do not name, and repeated or null ids in the
+    dimensions, are errors on either path; ``d`` must be 0 .. D-1 for the block path.
     """
+    check_ids(counts, rows, cols)
     beta = factors.init_factors(cols, "d", "beta", params)
-    if pick_path(cols.count(), params, path) == "join":
+    if pick_path(cols, params, path) == "join":
         fitted = joined.fit(counts, rows, cols, beta, params)
         return PMFModel(params, fitted.theta, fitted.beta, fitted.c, fitted.bounds)
     state = blocks.start(blocks.pack(counts, rows), params)
@@ -62,10 +70,14 @@ def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFPara
     return PMFModel(params, _theta_frame(weights), comps.frame(counts.sparkSession), weights.c, bounds)
 
 
-def check_columns(counts: DataFrame, beta: DataFrame) -> None:
-    unknown = counts.select("d").distinct().join(beta.select("d"), "d", "left_anti").limit(1).count()
-    if unknown:
-        raise ValueError("the counts have columns that the components do not have")
+def check_ids(counts: DataFrame, rows: DataFrame, cols: DataFrame) -> None:
+    """Counts may only have ids of the dimensions, which name each id once and none that is null."""
+    for ids, key, what in ((rows, "i", "rows"), (cols, "d", "columns")):
+        n, named, different = ids.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
+        if n != named or n != different:
+            raise ValueError(f"the {what} have null or repeated ids")
+        if not counts.select(key).distinct().join(ids.select(key), key, "left_anti").isEmpty():
+            raise ValueError(f"the counts have {what} that the dimensions do not have")
 
 
 def pmf_transform(counts: DataFrame, rows: DataFrame, beta: DataFrame | None, params: PMFParams,
@@ -75,8 +87,8 @@ def pmf_transform(counts: DataFrame, rows: DataFrame, beta: DataFrame | None, pa
         raise ValueError("there are no components to fold in with")
     if attr not in ATTRIBUTES:
         raise ValueError(f"attr must be one of {ATTRIBUTES}")
-    check_columns(counts, beta)
-    if pick_path(beta.count(), params, path) == "join":
+    check_ids(counts, rows, beta)
+    if pick_path(beta, params, path) == "join":
         theta = joined.fold_in(counts, rows, beta, params).theta
     else:
         comps = blocks.Components.gather(beta)

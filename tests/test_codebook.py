@@ -89,10 +89,12 @@ def test_assign_breaks_ties_by_the_lowest_code(spark):
     assert codebook.hartigan_assign(points(spark, [(0, [0.0, 0.0])]), book).first().code == 0
 
 
-def test_kmeans_codebook_fits_the_quantizer(spark):
-    book = quantize.vq_fit(points(spark), n_atoms=2)
+@pytest.mark.parametrize(("clusterer", "passes"), [(lambda p: codebook.kmeans_codebook(p, 2), 1), (None, 10)])
+def test_codebook_fits_the_quantizer(spark, clusterer, passes):
+    """Full k-means counts every point once; the default, mini-batch k-means, in each of its passes."""
+    book = quantize.vq_fit(points(spark), clusterer, n_atoms=2)
     got_c, sizes = centers(book)
-    assert sizes.sum() == len(TINY)
+    assert sizes.sum() == passes * len(TINY)
     halves = [r.half_norm for r in book.orderBy("code").collect()]
     np.testing.assert_allclose(halves, 0.5 * (got_c**2).sum(axis=1))
     assert quantize.vq_encode_hard(points(spark), book).select("code").distinct().count() == 2
@@ -128,3 +130,47 @@ def test_indicators_and_histogram_agree(spark):
 def test_more_quantizers_than_codes(spark):
     book = codebook.Codebook(np.array([[0.0, 0.0], [4.0, 0.0]]), np.ones(2)).frame(spark)
     assert quantize.vq_indicator_sparse(points(spark), book, 5).count() == 2 * len(TINY)
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 1, 1], [0, None, None, 2], [7, 7, 7, 7]])
+@pytest.mark.parametrize("learn", [codebook.hartigan_partial_fit, codebook.minibatch_kmeans_partial_fit])
+def test_every_point_counts_whatever_its_id(spark, ids, learn):
+    rows = [(i, [float(n), 1.0]) for n, i in enumerate(ids)]
+    book = learn(spark.createDataFrame(rows, "point_id long, vec array<double>"), None, 2)
+    got_c, sizes = centers(book)
+    assert sizes.sum() == 4
+    np.testing.assert_allclose((got_c * sizes[:, None]).sum(axis=0), [6.0, 4.0])
+
+
+def test_passes_in_order_of_ids_have_equal_batches(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(21, 2))
+    df = points(spark, list(enumerate(x.tolist()))).repartition(4)
+    c, n = sequential(x, 3)
+    got_c, got_n = centers(codebook.hartigan_fit(df, 3, max_iter=1, n_batches=21, shuffle=False))
+    np.testing.assert_allclose(got_c, c, rtol=1e-12)
+    np.testing.assert_array_equal(got_n, n)
+
+
+@pytest.mark.parametrize("bad", [[1.0], [1.0, 2.0, 3.0], [1.0, float("nan")], [1.0, None]])
+def test_vectors_of_another_shape_are_errors(spark, bad):
+    book = codebook.Codebook(np.array([[0.0, 0.0], [4.0, 0.0]]), np.ones(2)).frame(spark)
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, bad)], "point_id long, vec array<double>")
+    for run in (quantize.vq_encode_hard, codebook.hartigan_assign):
+        with pytest.raises(Exception, match="a vector has"):
+            run(rows, book).collect()
+
+
+def test_points_without_a_vector_are_left_out(spark):
+    book = codebook.Codebook(np.array([[0.0, 0.0], [4.0, 0.0]]), np.ones(2)).frame(spark)
+    rows = spark.createDataFrame([(0, None), (1, [4.0, 0.0])], "point_id long, vec array<double>")
+    assert [r.code for r in quantize.vq_encode_hard(rows, book).collect()] == [1]
+    assert centers(codebook.hartigan_partial_fit(rows, None, 1))[1].sum() == 1
+
+
+def test_lowest_orders_alike_for_any_number():
+    from tagweave.functions.vectors import lowest
+
+    values = np.array([[3.0, np.nan, 1.0, 1.0, 2.0] + [9.0] * 20])
+    for n in (1, 2, 5, 17, 25):
+        assert lowest(values, n)[0].tolist()[:5] == [2, 3, 4, 0, 5][:n]

@@ -189,3 +189,18 @@ def test_whole_batch_with_full_rate_is_the_batch_update(data):
 def test_learning_rate():
     assert factors.learning_rate(PARAMS, 3) == pytest.approx(4.0**-0.6)
     assert factors.learning_rate(PARAMS, 3, rho=0.25) == 0.25
+
+
+@pytest.mark.parametrize("path", ["block", "join", "auto"])
+@pytest.mark.parametrize(
+    ("cell", "row", "col"), [((99, 0, 5.0), None, None), ((1, 7, 5.0), None, None), (None, 1, None), (None, None, 0), ((None, 0, 2.0), None, None)]
+)
+def test_ids_are_checked_alike_on_every_path(spark, path, cell, row, col):
+    counts = [(1, 0, 2.0), (2, 1, 1.0)] + ([cell] if cell else [])
+    rows = [(1,), (2,)] + ([(row,)] if row is not None else [])
+    cols = [(0,), (1,)] + ([(col,)] if col is not None else [])
+    frames = (
+        spark.createDataFrame(counts, "i long, d int, x double"), spark.createDataFrame(rows, "i long"), spark.createDataFrame(cols, "d int")
+    )
+    with pytest.raises(ValueError, match="ids|dimensions"):
+        pmf.pmf_fit(*frames, PMFParams(n_components=2, max_iter=1), path=path)

@@ -47,11 +47,23 @@ def test_one_song_out_of_range(spark):
         ragged.slice_one(offsets(spark, OFFSETS), flat(spark, 7), 4)
 
 
-def test_an_array_too_long_for_a_row_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(ragged, "ARRAY_VALUES", 2)
-    with pytest.raises(Exception, match="slice_long"):
-        ragged.ragged_slice(offsets(spark, OFFSETS), flat(spark, 7)).collect()
-    assert ragged.slice_long(offsets(spark, OFFSETS), flat(spark, 7)).count() == 7
+def test_one_song_with_gaps_in_the_numbers(spark):
+    gaps = [(0, 0), (2, 2), (5, 2), (9, 5)]
+    every = {r.song_idx: r.value for r in ragged.ragged_slice(offsets(spark, gaps), flat(spark, 7)).collect()}
+    for n in every:
+        assert ragged.slice_one(offsets(spark, gaps), flat(spark, 7), n).first().value == every[n]
+    with pytest.raises(IndexError):
+        ragged.slice_one(offsets(spark, gaps), flat(spark, 7), 1)
+
+
+def test_a_long_song_comes_in_pieces(spark):
+    rows = [(0, 0), (1, 300), (2, 301), (3, 2000)]
+    pieces = ragged.ragged_chunks(offsets(spark, rows), flat(spark, 2005), 250).collect()
+    got = {}
+    for r in sorted(pieces, key=lambda r: (r.song_idx, r.chunk)):
+        assert len(r.value) <= 250
+        got.setdefault(r.song_idx, []).extend(r.value)
+    assert got == {n: [10.0 + p for p in range(a, b)] for n, (a, b) in enumerate([(0, 300), (300, 301), (301, 2000), (2000, 2005)])}
 
 
 def test_offsets_of_lengths(spark):

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import counts, tags
@@ -66,9 +65,7 @@ def test_count_matrix_sums_duplicates(spark):
     assert {tuple(r) for r in counts.count_matrix(events, "r", "c").collect()} == {(1, "x", 2.0), (2, "y", 1.0)}
 
 
-@pytest.mark.parametrize("limit", [100, 2])
-def test_number_labels(spark, monkeypatch, limit):
-    monkeypatch.setattr(counts, "LABELS_IN_ONE_TASK", limit)
+def test_number_labels(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "Z", "b", "é"]], "name string")
     assert {r.label: r.d for r in counts.number_labels(df, "name").collect()} == {"Z": 0, "a": 1, "b": 2, "é": 3}
 

@@ -84,15 +84,21 @@ def sentences(column: pa.Array) -> Bags:
     return Bags(hashes, first * spans.shape[1], text[first], starts[first], ends[last], offsets)
 
 
+def _present(bags: Bags, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sentence, feature`` for each of the ``words`` in each sentence, once."""
+    at = np.minimum(np.searchsorted(words, bags.hashes), len(words) - 1)
+    hit = np.flatnonzero(words[at] == bags.hashes)
+    own = np.searchsorted(bags.first, hit, side="right") - 1
+    once = np.unique(own * len(words) + at[hit])
+    return once // len(words), once % len(words)
+
+
 def sentence_logits(bags: Bags, model: Model) -> np.ndarray:
     """The log-odds of each sentence: the prior and the weights of its features, each counted once."""
     if not len(model.words):
         return np.full(len(bags.first), PRIOR)
-    at = np.minimum(np.searchsorted(model.words, bags.hashes), len(model.words) - 1)
-    hit = np.flatnonzero(model.words[at] == bags.hashes)
-    own = np.searchsorted(bags.first, hit, side="right") - 1
-    once = np.unique(own * len(model.words) + at[hit])
-    return PRIOR + np.bincount(once // len(model.words), model.weights[once % len(model.words)], len(bags.first))
+    own, feature = _present(bags, model.words)
+    return PRIOR + np.bincount(own, model.weights[feature], len(bags.first))
 
 
 def noisy_or(logits: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
@@ -100,62 +106,62 @@ def noisy_or(logits: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     return -np.expm1(-np.bincount(text, np.logaddexp(0, logits), n_texts))
 
 
-def _all_sentences(texts: list[str]) -> Bags:
-    """The sentences of many texts, cut block by block."""
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    hashes, first, text, seen, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
-    for block in blocks([batch], "text"):
-        bags = sentences(block.column("text"))
-        hashes.append(bags.hashes)
-        first.append(bags.first + seen)
-        text.append(bags.text + done)
-        seen += len(bags.hashes)
-        done += block.num_rows
-    nothing = np.zeros(0, np.int64)
-    return Bags(np.concatenate(hashes), np.concatenate(first), np.concatenate(text), nothing, nothing, nothing)
+def _tally(parts: list[pa.RecordBatch], good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all texts, and how many toxic and other texts have each. Blocks are added up one by one."""
+    words, toxic, other, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for part in parts:
+        bags = sentences(part.column("text"))
+        own, index = np.unique(bags.hashes, return_inverse=True)
+        text = np.repeat(bags.text, np.diff(np.append(bags.first, len(bags.hashes))))
+        seen = np.unique(text * np.int64(max(1, len(own))) + index)
+        of_good = good[done + seen // max(1, len(own))]
+        of_word = seen % max(1, len(own))
+        words.append(own)
+        toxic.append(np.bincount(of_word[of_good], minlength=len(own)))
+        other.append(np.bincount(of_word[~of_good], minlength=len(own)))
+        done += part.num_rows
+    word, index = np.unique(np.concatenate(words), return_inverse=True)
+    return word, *(np.bincount(index, np.concatenate(c), len(word)) for c in (toxic, other))
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Weights of words that make the labels likely, by proximal steps of adaptive length from a first guess.
 
     Only features that are more frequent in toxic documents beyond chance can speak for toxicity; the others weigh
-    nothing, so clean words never excuse a sentence. The penalty takes the weight from features that add nothing.
+    nothing, so clean words never excuse a sentence. The penalty takes the weight from features that add nothing. The
+    texts are read block by block, first to count features, then to keep the few chosen ones of each sentence.
     """
-    n = len(texts)
-    bags = _all_sentences(texts)
-    word, index = np.unique(bags.hashes, return_inverse=True)
-    sentence = np.repeat(np.arange(len(bags.first)), np.diff(np.append(bags.first, len(bags.hashes))))
-    seen = np.unique(bags.text[sentence] * np.int64(len(word)) + index)
-    of_text, of_word = seen // len(word), seen % len(word)
-    good = labels.astype(bool)
-    c1 = np.bincount(of_word[good[of_text]], minlength=len(word))
-    c0 = np.bincount(of_word[~good[of_text]], minlength=len(word))
-    n1, n0 = max(1, good.sum()), max(1, (~good).sum())
-    p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
+    n, good = len(texts), labels.astype(bool)
+    parts = list(blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text"))
+    word, c1, c0 = _tally(parts, good)
+    p1, p0 = (c1 + 0.5) / (max(1, good.sum()) + 1), (c0 + 0.5) / (max(1, (~good).sum()) + 1)
     beyond = np.log(p1 / p0) - DOUBT * np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     chosen = np.flatnonzero((beyond > 0) & (c1 + c0 >= LEAST_DOCS))
-    theta = 3.0 * beyond[chosen]
-    slot = np.full(len(word), -1)
-    slot[chosen] = np.arange(len(chosen))
-    token = slot[index]
-    use = token >= 0
-    once = np.unique(sentence[use] * np.int64(len(chosen) + 1) + token[use])
-    sentence, token = once // (len(chosen) + 1), once % (len(chosen) + 1)
-    if not len(token) or not good.any():
+    guess = Model(word[chosen], 3.0 * beyond[chosen])
+    if not len(chosen) or not good.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0))
+    token, sentence, text, rows = [], [], [], 0
+    for part in parts:
+        bags = sentences(part.column("text"))
+        own, feature = _present(bags, guess.words)
+        token.append(feature)
+        sentence.append(own + sum(map(len, text)))
+        text.append(bags.text + rows)
+        rows += part.num_rows
+    token, sentence, text = np.concatenate(token), np.concatenate(sentence), np.concatenate(text)
+    theta = guess.weights
     size = np.full(len(theta), 1e-6)
     for _ in range(ROUNDS):
-        logits = PRIOR + np.bincount(sentence, theta[token], len(bags.first))
-        total = np.bincount(bags.text, np.logaddexp(0, logits), n)
+        logits = PRIOR + np.bincount(sentence, theta[token], len(text))
+        total = np.bincount(text, np.logaddexp(0, logits), n)
         pull = np.where(good, 1 / np.expm1(np.clip(total, 1e-9, 50)), -1.0) * weights
         chance = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
-        slope = np.bincount(token, (pull[bags.text] * chance)[sentence], len(theta))
+        slope = np.bincount(token, (pull[text] * chance)[sentence], len(theta))
         size += slope * slope
         step = 1.0 / np.sqrt(size)
-        theta = theta + step * slope
-        theta = np.maximum(0, theta - step * PENALTY)
+        theta = np.maximum(0, theta + step * slope - step * PENALTY)
     kept = np.flatnonzero(theta)
-    return Model(word[chosen[kept]], theta[kept])
+    return Model(guess.words[kept], theta[kept])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -178,10 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rank = F.pmod(F.xxhash64(F.lit("sample"), "l_id"), F.lit(1_000_000))
     chosen = known.where(rank < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]) * 1_000_000)
     given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
-    rows = given.join(F.broadcast(chosen), "l_id").orderBy("l_id", "text").select("text", "toxic").collect()
-    truth = np.array([r.toxic for r in rows], np.int64)
+    rows = given.join(F.broadcast(chosen), "l_id").orderBy("l_id", "text").select("text", "toxic").toArrow()
+    truth = rows.column("toxic").to_numpy().astype(np.int64)
     weights = np.where(truth == 1, 1.0, shares[1] / shares[0])
-    return fit([r.text or "" for r in rows], truth, weights)
+    return fit([t or "" for t in rows.column("text").to_pylist()], truth, weights)
 
 
 def _scored(model):

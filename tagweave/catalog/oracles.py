@@ -310,13 +310,14 @@ def replacing(rules: list[tuple[str, str]]) -> str:
 def stem_steps(source: str) -> list[tuple[str, str]]:
     """Steps from a table of distinct words ``(w0, w)`` to ``stemmed(w0, w)``."""
     plural = cases(
-        [("length(w) <= 2", "w")]
+        [("length(w) <= 2", "w"), ("length(w) = 4 AND ends_with(w, 'ies')", cut(1))]
         + [(f"ends_with(w, '{s}')", f"{cut(len(s))} || '{new}'") for s, new in stem.PLURALS]
     )
     past = cases(
         [
             ("length(w) <= 2", "w"),
             ("ends_with(w, 'eed')", f"CASE WHEN {matches(cut(3), stem.MEASURE_ABOVE_0)} THEN {cut(1)} ELSE w END"),
+            ("length(w) = 4 AND ends_with(w, 'ied')", cut(1)),
             ("ends_with(w, 'ed')", f"CASE WHEN {matches(cut(2), stem.HAS_VOWEL)} THEN {cut(2)} || ' ' ELSE w END"),
             ("ends_with(w, 'ing')", f"CASE WHEN {matches(cut(3), stem.HAS_VOWEL)} THEN {cut(3)} || ' ' ELSE w END"),
         ]
@@ -349,7 +350,13 @@ def stem_steps(source: str) -> list[tuple[str, str]]:
     for n, expression in enumerate(chain):
         steps.append((f"stem{n}", f"SELECT w0, {expression} AS w FROM {before}"))
         before = f"stem{n}"
-    return [*steps, ("stemmed", f"SELECT w0, {final_l} AS w FROM {before}")]
+    own = (
+        "CASE WHEN w0 IN ('sky', 'skies') THEN 'sky' WHEN w0 = 'dying' THEN 'die' WHEN w0 = 'lying' THEN 'lie' "
+        "WHEN w0 = 'tying' THEN 'tie' WHEN w0 IN ('news', 'howe', 'proceed', 'exceed', 'succeed') THEN w0 "
+        "WHEN w0 IN ('inning', 'innings') THEN 'inning' WHEN w0 IN ('outing', 'outings') THEN 'outing' "
+        f"WHEN w0 IN ('canning', 'cannings') THEN 'canning' ELSE {final_l} END"
+    )
+    return [*steps, ("stemmed", f"SELECT w0, {own} AS w FROM {before}")]
 
 
 TAGS = [

@@ -1,8 +1,9 @@
 """Suffix stripping for English words as Column expressions (the published Porter algorithm).
 
-Two departures are taken from the common toolkit version, since tags stemmed with it show them:
-``y`` becomes ``i`` only after a consonant that is not the whole stem (``play``, ``sunday`` stay), and
-a stem of vowel and consonant counts as short (``use`` stays).
+Departures are taken from the common toolkit version, since tags stemmed with it show them: ``y`` becomes
+``i`` only after a consonant that is not the whole stem (``play``, ``sunday`` stay), a stem of vowel and
+consonant counts as short (``use`` stays), four-letter words in ``ies`` and ``ied`` keep their ``ie``
+(``dies``, ``tied``), and a few words have stems of their own.
 """
 
 from __future__ import annotations
@@ -37,13 +38,20 @@ STEP_4 = [
     "ous", "ive", "ize", "al", "er", "ic", "ou",
 ]
 
+# Words with stems of their own.
+IRREGULAR = {
+    "sky": ["sky", "skies"], "die": ["dying"], "lie": ["lying"], "tie": ["tying"], "news": ["news"],
+    "inning": ["inning", "innings"], "outing": ["outing", "outings"], "canning": ["canning", "cannings"],
+    "howe": ["howe"], "proceed": ["proceed"], "exceed": ["exceed"], "succeed": ["succeed"],
+}
+
 
 def _without(word: Column, n: int) -> Column:
     return F.substring(word, F.lit(1), F.length(word) - n)
 
 
 def _plural(w: Column) -> Column:
-    rule = F.when(F.length(w) <= 2, w)
+    rule = F.when(F.length(w) <= 2, w).when((F.length(w) == 4) & F.endswith(w, F.lit("ies")), _without(w, 1))
     for suffix, new in PLURALS:
         rule = rule.when(F.endswith(w, F.lit(suffix)), F.concat(_without(w, len(suffix)), F.lit(new)))
     return rule.otherwise(w)
@@ -65,6 +73,7 @@ def _past(w: Column) -> Column:
     return (
         F.when(F.length(w) <= 2, w)
         .when(F.endswith(w, F.lit("eed")), F.when(_without(w, 3).rlike(MEASURE_ABOVE_0), _without(w, 1)).otherwise(w))
+        .when((F.length(w) == 4) & F.endswith(w, F.lit("ied")), _without(w, 1))
         .when(
             F.endswith(w, F.lit("ed")),
             F.when(_without(w, 2).rlike(HAS_VOWEL), F.concat(_without(w, 2), blank)).otherwise(w),
@@ -120,8 +129,15 @@ def _final_l(w: Column) -> Column:
 STEPS = [_plural, _past, _repair, _final_y, _replace(STEP_2), _replace(STEP_3), _drop, _final_e, _final_l]
 
 
+def _own_stem(word: Column, stem: Column) -> Column:
+    for own, forms in IRREGULAR.items():
+        stem = F.when(word.isin(forms), F.lit(own)).otherwise(stem)
+    return stem
+
+
 def stem_words(words: Column) -> Column:
     """Stem every word of an array; each step sees the finished result of the one before."""
+    stems = words
     for step in STEPS:
-        words = F.transform(words, step)
-    return words
+        stems = F.transform(stems, step)
+    return F.zip_with(words, stems, _own_stem)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tagweave.llm.common import blocks, flat, keyed_rows, span_hashes, word_spans
 
@@ -233,6 +234,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     """``docs`` without the rows that are predicted to be toxic; all columns stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     whole = keyed_rows(docs).select("text", "row")
-    kind = whole.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, score double, offending array<struct<begin:int, end:int, score:double>>"
+    spans = ArrayType(StructType().add("begin", "integer").add("end", "integer").add("score", "double"))
+    schema = StructType().add("row", whole.schema["row"].dataType).add("score", "double").add("offending", spans)
     return whole.mapInArrow(_scored(model), schema).where(F.col("score") < THRESHOLD).select("row.*")

@@ -14,7 +14,7 @@ def prose(rng: random.Random, n: int) -> str:
     return "".join(out).strip()
 
 
-SCHEMA = "doc_id long, text string, h long, row string, label string, keep string, u long"
+SCHEMA = "doc_id long, text string, h long, row string, label string, keep string, `a b.c` long"
 
 
 @pytest.fixture(scope="session")

@@ -90,7 +90,7 @@ def test_a_line_that_fills_many_tasks(spark):
 def test_lines_leave_other_columns_alone(docs, texts, no_docs):
     out = line_dedup.drop_repeated_lines(docs)
     assert out.columns == docs.columns and out.count() == len(texts)
-    assert {(r.h, r.row, r.label, r.keep, r.u) for r in out.collect()} == {(1, "r", None, "k", 2)}
+    assert {(r.h, r.row, r.label, r.keep, r["a b.c"]) for r in out.collect()} == {(1, "r", None, "k", 2)}
     assert line_dedup.line_digests(no_docs).collect() == [] and line_dedup.drop_repeated_lines(no_docs).collect() == []
 
 

@@ -27,7 +27,7 @@ def judged(spark):
         labels.append((i, good, toxic))
     labels += [(None, 1, 1), (3, None, None), (10**6, 0, 1)]
     rows += [(900, None, None, None, 0), (901, "", "new", "xx", 0), (None, " \n", "site1", "en", 0), (5, rows[5][1], "site5", "en", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, score int").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, `score.d x` int").repartition(3)
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i: (g, t) for i, g, t in labels if g is not None and i}
 
 

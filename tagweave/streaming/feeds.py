@@ -1,7 +1,9 @@
 """Models that learn from a stream, one micro-batch at a time.
 
 Every micro-batch writes the model as version ``v=<batch id>`` and starts from version
-``batch id - 1``; a batch that is delivered again therefore gives the same version again.
+``batch id - 1``; a batch that is delivered again therefore gives the same version again. Only the newest
+versions stay. The trigger is a parameter: by default a stream drains what lies there and ends; with
+``{"processingTime": "1 minute"}`` it goes on learning.
 """
 
 from __future__ import annotations
@@ -19,26 +21,49 @@ from tagweave.plans.factors import PMFParams
 from tagweave.plans.online import pmf_partial_fit
 from tagweave.session import new_path, stage, work_dir
 
+# Versions of a model that stay.
+KEEP = 3
+
 
 def version_path(model_dir: str, version: int) -> str:
     return f"{model_dir}/v={version}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, model_dir: str) -> list[int]:
+    """The finished versions, oldest first, from the names of their folders."""
+    place, files = _folder(spark, model_dir)
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    numbers = sorted(int(name[2:]) for name in names if name.startswith("v=") and name[2:].isdigit())
+    return [n for n in numbers if files.exists(_folder(spark, f"{version_path(model_dir, n)}/_SUCCESS")[0])]
+
+
 def latest(spark: SparkSession, model_dir: str) -> DataFrame:
     """The newest model version; only its folder is read."""
-    versions = spark.read.parquet(model_dir)
-    last = versions.agg(F.max("v")).first()[0]
-    return spark.read.parquet(version_path(model_dir, last))
+    return spark.read.parquet(version_path(model_dir, versions(spark, model_dir)[-1]))
+
+
+def prune(spark: SparkSession, model_dir: str, keep: int = KEEP) -> None:
+    """Delete all but the newest ``keep`` versions; a batch that is delivered again needs the one before it."""
+    for n in versions(spark, model_dir)[: -max(2, keep)]:
+        place, files = _folder(spark, version_path(model_dir, n))
+        files.delete(place, True)
 
 
-def _start(stream: DataFrame, learn: Callable[[DataFrame, int], None], checkpoint: str | None) -> StreamingQuery:
+def _start(stream: DataFrame, learn: Callable[[DataFrame, int], None], checkpoint: str | None,
+           trigger: dict | None) -> StreamingQuery:
     spark = stream.sparkSession
     work_dir(spark)
     location = checkpoint or new_path(spark, "stream")
     return (
         stream.writeStream.foreachBatch(learn)
         .option("checkpointLocation", location)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -57,17 +82,18 @@ def learn_counts(batch: DataFrame, batch_id: int, model_dir: str, cols: DataFram
         rho = factors.learning_rate(params, batch_id + 1)
         beta, _ = pmf_partial_fit(counts, rows, beta, scale, rho, params)
     beta.write.mode("overwrite").parquet(version_path(model_dir, batch_id))
+    prune(spark, model_dir)
 
 
 def stream_pmf(stream: DataFrame, model_dir: str, cols: DataFrame, est_total: int, params: PMFParams,
-               checkpoint: str | None = None) -> StreamingQuery:
+               checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Stochastic factorization of a stream of counts ``(i, d, x)``."""
     scale = float(est_total) / params.batch_size
 
     def learn(batch: DataFrame, batch_id: int) -> None:
         learn_counts(batch, batch_id, model_dir, cols, scale, params)
 
-    return _start(stream, learn, checkpoint)
+    return _start(stream, learn, checkpoint, trigger)
 
 
 def learn_points(batch: DataFrame, batch_id: int, model_dir: str, k: int) -> None:
@@ -82,12 +108,14 @@ def learn_points(batch: DataFrame, batch_id: int, model_dir: str, k: int) -> Non
     else:
         codebook = with_half_norms(hartigan_partial_fit(points, before, k))
     codebook.write.mode("overwrite").parquet(version_path(model_dir, batch_id))
+    prune(spark, model_dir)
 
 
-def stream_codebook(stream: DataFrame, model_dir: str, k: int, checkpoint: str | None = None) -> StreamingQuery:
+def stream_codebook(stream: DataFrame, model_dir: str, k: int, checkpoint: str | None = None,
+                    trigger: dict | None = None) -> StreamingQuery:
     """Online codebook learning from a stream of points."""
 
     def learn(batch: DataFrame, batch_id: int) -> None:
         learn_points(batch, batch_id, model_dir, k)
 
-    return _start(stream, learn, checkpoint)
+    return _start(stream, learn, checkpoint, trigger)

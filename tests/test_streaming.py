@@ -63,3 +63,22 @@ def test_a_first_batch_without_points_is_an_error(spark, tmp_path):
     empty = spark.createDataFrame([], "point_id long, vec array<double>")
     with pytest.raises(ValueError):
         feeds.learn_points(empty, 0, str(tmp_path), 2)
+
+
+def test_only_the_newest_versions_stay(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    for n in range(5):
+        rows = [(10 * n + j, v) for j, v in enumerate(rng.normal(size=(10, 2)).tolist())]
+        feeds.learn_points(spark.createDataFrame(rows, "point_id long, vec array<double>"), n, str(tmp_path), 2)
+    assert feeds.versions(spark, str(tmp_path)) == [2, 3, 4]
+    assert feeds.latest(spark, str(tmp_path)).agg(F.sum("size")).first()[0] == 50
+
+
+def test_a_stream_goes_on_with_another_trigger(spark, tmp_path):
+    rows = [(j, [float(j), 0.0]) for j in range(8)]
+    spark.createDataFrame(rows, "point_id long, vec array<double>").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("point_id long, vec array<double>").parquet(f"{tmp_path}/in")
+    query = feeds.stream_codebook(stream, f"{tmp_path}/model", 2, trigger={"processingTime": "1 second"})
+    query.processAllAvailable()
+    assert query.isActive and feeds.latest(spark, f"{tmp_path}/model").agg(F.sum("size")).first()[0] == 8
+    query.stop()

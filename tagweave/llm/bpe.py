@@ -30,7 +30,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LEXICON_WORDS = 32_768
 
 #: Entries that a task remembers of what it has encoded; then it starts anew. Longer pieces are never remembered.
-MEMO, MEMO_CHARS = 1 << 18, 48  # twice as many pieces as words
+MEMO, MEMO_CHARS = 1 << 17, 48  # twice as many pieces as words
 
 #: Above every rank.
 NO_RANK = 1 << 30

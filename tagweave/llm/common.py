@@ -123,6 +123,10 @@ def random_words(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * ODD + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
 
 
+#: The base of all polynomial hashes, which differ by their tables, and its inverse.
+BASE = 0x5851F42D4C957F2D
+UNBASE = pow(BASE, -1, 1 << 64)
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -136,20 +140,19 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 2 * BLOCK_BYTES:
             _POWERS[base] = have
     return have[:n]
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each span ``buf[starts:ends]``; equal bytes give equal hashes wherever they lie."""
-    base = (0x5851F42D4C957F2D + 4 * seed) | 5
     table = random_words(seed, 256)
     if lower:
         table = table[LOWER]
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(table[buf] * powers(base, len(buf)), out=sums[1:])
-    back = powers(pow(base, -1, 1 << 64), len(buf) + 1)
+    np.cumsum(table[buf] * powers(BASE, len(buf)), out=sums[1:])
+    back = powers(UNBASE, len(buf) + 1)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * ODD)
 
 

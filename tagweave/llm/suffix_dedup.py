@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bwt import repeated_suffixes
-from tagweave.llm.common import BLOCK_BYTES, blocks, discard, flat, keyed, mix, powers, random_words, span_hashes, stage
+from tagweave.llm.common import BASE, BLOCK_BYTES, UNBASE, blocks, discard, flat, keyed, mix, partitions, powers, random_words, span_hashes, stage
 
 #: Bytes of a string that must not occur twice.
 WINDOW = 200
@@ -34,12 +34,11 @@ GRAMS = (64, 128, 192)
 RUN = 256
 #: An anchor with more classes than this is dealt out again.
 HOT_CLASSES = 4096
-#: Bytes of segments that a task sorts, about.
-TASK_BYTES = 2 << 20
+#: Bytes of segments that are sorted at once, about, and that a task is given at most, about.
+SORT_BYTES, TASK_BYTES = 2 << 20, 64 << 20
 #: Bytes in a letter of a strand; divides WINDOW.
 LETTER = 40
 
-BASE = 0x2545F4914F6CDD1D
 #: The bits of a ranked hash that hold the place in the block; blocks are far shorter than 2**24 bytes.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -64,7 +63,7 @@ def anchored_segments(buf: np.ndarray, offsets: np.ndarray, gram: int, window: i
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(random_words(51, 256)[buf] * powers(BASE, len(buf)), out=sums[1:])
-    back = powers(pow(BASE, -1, 1 << 64), len(buf) + 1)
+    back = powers(UNBASE, len(buf) + 1)
     grams = (sums[gram:] - sums[:-gram]) * back[: len(buf) - gram + 1]
     ranked = grams & ~PLACE | np.arange(len(grams), dtype=np.uint64)
     where = (least_of_runs(ranked, window - gram + 1) & PLACE).astype(np.int64)
@@ -172,21 +171,34 @@ def repeated_windows(segments: list[bytes], copies: list[int]) -> list[list[tupl
     return out
 
 
+def _runs(anchors: list[int], digests: list[int], copies: list[int], segments: list[bytes]) -> pa.RecordBatch:
+    runs = repeated_windows(segments, copies)
+    own = np.repeat(np.arange(len(runs)), list(map(len, runs)))
+    flat_runs = [r for some in runs for r in some]
+    columns = [np.array(anchors, np.int64)[own], np.array(digests, np.int64)[own]]
+    ends = [np.array([r[k] for r in flat_runs], np.int32) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, (*columns, *ends))), ["anchor", "digest", "lo", "hi"])
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of a task: the runs of repeated windows. Its partition holds whole anchors."""
-    anchors, digests, copies, segments = [], [], [], []
+    """Of segments that come sorted by anchor the runs of repeated windows, about ``SORT_BYTES`` of whole anchors at once."""
+    names = ("anchor", "digest", "copies", "segment")
+    held: list[list] = [[] for _ in names]
+    size = 0
     for batch in batches:
-        anchors.append(batch.column("anchor").to_numpy())
-        digests.append(batch.column("digest").to_numpy())
-        copies.extend(batch.column("copies").to_pylist())
-        segments.extend(batch.column("segment").to_pylist())
-    if segments:
-        runs = repeated_windows(segments, copies)
-        own = np.repeat(np.arange(len(runs)), list(map(len, runs)))
-        flat_runs = [r for some in runs for r in some]
-        columns = [np.concatenate(anchors)[own], np.concatenate(digests)[own]]
-        ends = [np.array([r[k] for r in flat_runs], np.int32) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, (*columns, *ends))), ["anchor", "digest", "lo", "hi"])
+        for column, name in zip(held, names, strict=True):
+            column.extend(batch.column(name).to_pylist())
+        size += pc.sum(pc.binary_length(batch.column("segment"))).as_py() or 0
+        if size >= SORT_BYTES:
+            cut = len(held[0]) - 1
+            while cut and held[0][cut - 1] == held[0][-1]:
+                cut -= 1
+            if cut:
+                yield _runs(*(column[:cut] for column in held))
+                held = [column[cut:] for column in held]
+                size = sum(map(len, held[3]))
+    if held[0]:
+        yield _runs(*held)
 
 
 def sort_segments(segments: DataFrame, level: int = 0, hot_classes: int = HOT_CLASSES) -> DataFrame:
@@ -199,8 +211,8 @@ def sort_segments(segments: DataFrame, level: int = 0, hot_classes: int = HOT_CL
             hot = None
     cold = segments.join(hot, "anchor", "left_anti") if hot is not None else segments
     size = cold.agg(F.sum(F.length("segment"))).first()[0] or 0
-    tasks = max(1, -(-size // TASK_BYTES))
-    found = cold.repartition(tasks, "anchor").mapInArrow(_sorted_out, "anchor long, digest long, lo int, hi int")
+    tasks = max(partitions(segments.sparkSession), -(-size // TASK_BYTES))
+    found = cold.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_out, "anchor long, digest long, lo int, hi int")
     if hot is None:
         return stage(found, "runs")
     schema = "p_anchor long, p_digest long, copies int, shift long, anchor long, digest long, times long, segment binary"

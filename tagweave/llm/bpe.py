@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks, discard, stage
+from tagweave.llm.common import blocks, discard, small_batches, stage
 from tagweave.llm.lexicon import Lexicon, compile_lexicon
 
 #: Fixed value: the public pattern that cuts a text into words before byte-level merges.
@@ -337,6 +337,7 @@ def _shared(docs: DataFrame, path: str, text: str, size: int):
     """Broadcasts of the file (its size is the vocabulary's) and of the lexicon (``size`` words)."""
     with open(path, "rb") as file:
         vocabulary = file.read()
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     return context.broadcast(vocabulary), context.broadcast(build_lexicon(docs, vocabulary, text, size))
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.common import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 PIECE = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 ESCAPED = re.compile(r"\\([\\|n])")
@@ -121,6 +123,7 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",), vi
     mark the code points of the piece that are learned from: the body of a turn whose role is in ``trained``, else 0, 0.
     Rows with null ``conv_id`` or ``turn`` are formatted like others; other columns are ignored.
     """
+    small_batches(turns.sparkSession)
     text = F.col("text").cast("string") if "text" in turns.columns else F.lit(None).cast("string")
     parts = F.col("parts").cast("string") if "parts" in turns.columns else F.lit(None).cast("string")
     chosen = turns.select(

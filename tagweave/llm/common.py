@@ -15,6 +15,9 @@ from tagweave.session import new_path
 #: Bytes of text that a kernel takes at once; bounds its temporaries, not what it sees.
 BLOCK_BYTES = 1 << 20
 
+#: Bytes of rows that Spark hands to Python at once; rows of texts differ too much in size to be counted.
+BATCH_BYTES = 4 << 20
+
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\f\r"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -27,14 +30,21 @@ LOWER[65:91] += 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between Spark and Python by ``BATCH_BYTES``, for this session's plans from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``h``: rows that share both are equal, whatever columns ``docs`` has besides."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return base.withColumn("h", F.xxhash64(F.lit("row"), "text"))
 
 
 def keyed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``keyed``, with the whole row in the struct ``row``."""
+    small_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), whole

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks
+from tagweave.llm.common import blocks, small_batches
 from tagweave.llm.labelled import sample_labelled
 from tagweave.llm.text_stats import N_FEATURES, Texts, measure, one_hot
 
@@ -166,6 +166,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     Null, empty and blank texts have no words and fail the base rules. A tie between labels is content. Equal texts are
     judged alike; null ids stay; other columns are ignored. Without usable labels every line is content.
     """
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     schema = (

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks, stage
+from tagweave.llm.common import blocks, small_batches, stage
 from tagweave.llm.labelled import sample_labelled
 from tagweave.llm.text_stats import N_FEATURES, Texts, measure, one_hot
 
@@ -102,6 +102,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     ids stay; other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     weights = spark.sparkContext.broadcast(_train(docs, labels, sample))
     chosen = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tagweave.llm.common import blocks, flat, keyed_rows, span_hashes, word_spans
+from tagweave.llm.common import blocks, flat, keyed_rows, small_batches, span_hashes, word_spans
 
 #: Labelled documents of each class that train at most; chosen by hash.
 SAMPLE = 2000
@@ -218,6 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     empty and blank texts score 0. Equal texts score alike; null ids are kept; other columns are ignored. Without any
     usable label every score is that of the prior.
     """
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     schema = "doc_id long, score double, offending array<struct<begin:int, end:int, score:double>>"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import discard, remove_path, stage
+from tagweave.llm.common import discard, remove_path, small_batches, stage
 from tagweave.session import new_path
 
 #: Fixed values of the format.
@@ -139,6 +139,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     ``payload_bytes`` and ``payload_digest`` are of the full payload, also for revisits, as their heads say; ``intact`` tells
     whether a response's payload has its digest. An empty folder gives no rows.
     """
+    small_batches(spark)  # a file by itself is a batch
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     found = stage(files.mapInArrow(_candidates, CANDIDATES), "candidates")
     true = reachable(found)

@@ -21,8 +21,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies."""
-    return near_dup.drop_near_duplicates(docs)
+    """Keeps the document of least id of each group of near copies, linked at a similarity of 0.8 or more."""
+    return near_dup.drop_near_duplicates(docs, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

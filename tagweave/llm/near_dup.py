@@ -9,6 +9,7 @@ a chance, and only across components. That way is complete for all pairs of its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,32 +21,44 @@ from tagweave.llm.common import blocks, discard, keyed, keyed_rows, mix, random_
 from tagweave.llm.components import connected_components
 from tagweave.llm.shingles import minima, set_digests, shingle_sets
 
-#: Links need ``100 * intersection >= PERCENT * union``.
+#: Links need ``100 * intersection >= percent * union``; the contract of the query binds it to this, the pipeline takes 80.
 PERCENT = 85
-#: Hash functions: 32 bands of 6. Sets of similarity 0.85 share no band with probability 3e-7.
-BANDS, ROWS = 32, 6
+#: Sets whose similarity is the threshold share no band with this probability at most.
+MISSED = 3e-7
 #: Standard errors below the threshold at which a signature rules a pair out.
 SLACK = 6
 
 SIGNED = "doc_id long, h long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, digest, band hashes and the low bytes of all minima of every document's shingle set."""
-    factor = random_words(31, ROWS)
-    for block in blocks(batches, "text"):
-        hashes, bounds = shingle_sets(block.column("text"))
-        least = minima(hashes, bounds, BANDS * ROWS)
-        s1, s2 = set_digests(hashes, bounds)
-        rows = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
-        bands = mix((rows * factor).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-        size = np.diff(bounds)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-        low = [row.tobytes() for row in least.astype(np.uint8)]
-        yield pa.RecordBatch.from_arrays(
-            [block.column("doc_id"), block.column("h"), pa.array(size), pa.array(s1), pa.array(s2), lists, pa.array(low, pa.binary())],
-            ["doc_id", "h", "n_shingles", "s1", "s2", "bands", "signature"],
-        )
+def bands_and_rows(percent: int) -> tuple[int, int]:
+    """Bands, and hash functions of each: 32 of 6 for 85 per cent, 38 of 5 for 80."""
+    rows = 6 if percent >= 85 else 5
+    shared = min((percent / 100) ** rows, 1 - 1e-9)
+    return math.ceil(math.log(MISSED) / math.log1p(-shared)), rows
+
+
+def _signed(percent: int):
+    n_bands, n_rows = bands_and_rows(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size, digest, band hashes and the low bytes of all minima of every document's shingle set."""
+        factor = random_words(31, n_rows)
+        for block in blocks(batches, "text"):
+            hashes, bounds = shingle_sets(block.column("text"))
+            least = minima(hashes, bounds, n_bands * n_rows)
+            s1, s2 = set_digests(hashes, bounds)
+            rows = least.reshape(len(least), n_bands, n_rows).astype(np.uint64)
+            bands = mix((rows * factor).sum(axis=2, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64)).view(np.int64)
+            size = np.diff(bounds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * n_bands), pa.array(bands.ravel()))
+            low = [row.tobytes() for row in least.astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("h"), pa.array(size), pa.array(s1), pa.array(s2), lists, pa.array(low, pa.binary())],
+                ["doc_id", "h", "n_shingles", "s1", "s2", "bands", "signature"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +70,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(percent: int):
-    n = BANDS * ROWS
+    n = math.prod(bands_and_rows(percent))
     share = percent / 100
     least = share * n - SLACK * np.sqrt(n * share * (1 - share))
 
@@ -141,7 +154,7 @@ def _rest_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return meet(entered.where(few), asking).union(meet(entered.where(~few), asking.where(few))).distinct()
 
 
-def link_classes(base: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``u, v``: the representative of every linked class and the least representative of its component."""
     members = stage(_members(classes), "members")
     needed = members.select("rep").distinct()
@@ -175,7 +188,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` true. ``h`` is ``common.keyed``'s hash of the text; other columns are ignored.
     """
     base = keyed(docs, doc_id, text)
-    signed = stage(base.mapInArrow(_signed, SIGNED), "signed")
+    signed = stage(base.mapInArrow(_signed(percent), SIGNED), "signed")
     grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2")
     classes = stage(
         grouped.agg(
@@ -197,7 +210,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
     """The contract's columns: ``doc_id, n_shingles, component_id, kept``."""
-    return near_duplicates(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(docs.select("doc_id", "text"), percent=PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

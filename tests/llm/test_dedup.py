@@ -158,6 +158,27 @@ def test_one_of_each_group_stays(docs, texts, no_docs):
     assert near_dup.near_duplicate_digests(no_docs).collect() == []
 
 
+def between(rng, k):
+    """A text and a near copy whose similarity lies between 0.80 and 0.85: 100 to 108 shingles, two separate words changed."""
+    words = ["w%d" % rng.randrange(10**6) for _ in range(104 + k % 9)]
+    other = list(words)
+    other[30], other[60] = "one%d" % k, "two%d" % k
+    return " ".join(words), " ".join(other)
+
+
+def test_operator_links_from_0_80_on_and_the_query_from_0_85(spark):
+    rng = random.Random(28)
+    rows = [(2 * k + n, text) for k in range(60) for n, text in enumerate(between(rng, k))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stay = {i for i, _, _, kept in brute_near(rows, 80) if kept}
+    assert stay == {2 * k for k in range(60)}
+    assert {r.doc_id for r in near_dup.drop_near_duplicates(frame, percent=80).collect()} == stay
+    assert Counter(map(tuple, near_dup.near_duplicate_digests(frame).collect())) == brute_near(rows, 85)
+    for percent in (80, 85, 90):
+        bands, size = near_dup.bands_and_rows(percent)
+        assert (1 - (percent / 100) ** size) ** bands <= near_dup.MISSED
+
+
 def test_star_steps_connect(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)] + [(5, 5), (None, 3)]

@@ -10,7 +10,7 @@ from tagweave.llm import decontaminate, toxicity
 from tagweave.llm.queries import vocabulary_path
 
 from .conftest import prose
-from .test_dedup import brute_lines, brute_near, sha
+from .test_dedup import between, brute_lines, brute_near, sha
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,12 @@ def test_every_stage_does_its_part(spark, folder):
 
     whole = corpus_pipeline.run(spark, folder)
     assert sorted((r.doc_id, r.token_ids) for r in whole.collect()) == want
+
+
+def test_near_copies_between_0_80_and_0_85_go(spark, folder):
+    rng = random.Random(45)
+    rows = [(2 * k + n, text) for k in range(30) for n, text in enumerate(between(rng, k))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stay = {i for i, _, _, good in brute_near(rows, 80) if good}
+    assert stay == {2 * k for k in range(30)}
+    assert rows_of(corpus_pipeline.without_near_duplicates(spark, docs, folder)) == [r for r in rows if r[0] in stay]

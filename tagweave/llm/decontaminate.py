@@ -5,7 +5,9 @@ edit distance into Hamming distance: a walk reads the window, copies the word it
 of (step, word), so that two walks that fall out of step at an edit meet again soon. Repeated sampling of a few
 coordinates of the embedding (several walks, several samples each) makes windows collide with near items; a collision
 is verified by the exact edit distance. A window is only embedded if it holds as many of the item words' 3-grams as the
-q-gram lemma demands of anything within reach, which loses nothing and leaves few windows.
+q-gram lemma demands of anything within reach, which loses nothing and leaves few windows. Stretches of such windows in
+which no collision was confirmed are compared by the exact edit distance too, many at once: collisions spare that work,
+but no item is lost for want of one.
 
 The items are the query set: they go to every task in blocks of bounded size, against all documents.
 """
@@ -25,10 +27,12 @@ from tagweave.llm.common import blocks, flat, keyed, keyed_rows, mix, random_wor
 #: Words that may be edited, as a share of the item's words; items of fewer than 8 words must match exactly.
 EDITS = 0.2
 GRAM = 3
-#: Independent walks, samples of each, and coordinates of a sample. Measured recall at the most edits: see the tests.
+#: Independent walks, samples of each, and coordinates of a sample. They decide which way an item is found, not whether.
 WALKS, SAMPLES, COORDINATES = 4, 16, 2
 #: Items that go to the tasks at once.
 BLOCK_ITEMS = 4000
+#: Words of the stretches that are compared at once, about.
+COMPARED_WORDS = 1 << 18
 
 
 def edits_allowed(n: int) -> int:
@@ -133,6 +137,40 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def best_matches(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_match`` of each row of ``items`` in the same row of ``texts``; words behind a text's end must be in no item."""
+    steps = np.arange(texts.shape[1] + 1)
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int64)
+    new = np.empty_like(row)
+    for n in range(items.shape[1]):
+        new[:, 0] = n + 1
+        np.minimum(row[:, :-1] + (texts != items[:, n, None]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=row)
+        row += steps
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
+
+
+def compared(items: Items, words: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least edit distance of item ``which`` in ``words[lo:hi]``, for each of them, and where the first best one ends (in ``words``)."""
+    distance, end = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    order = np.lexsort((hi - lo, items.sizes[which]))
+    at = 0
+    while at < len(order):
+        same = order[at : at + max(1, COMPARED_WORDS // int((hi - lo)[order[at]] + 1))]
+        same = same[items.sizes[which[same]] == items.sizes[which[same[0]]]]
+        same = same[: max(1, int(np.searchsorted((hi - lo)[same] * np.arange(1, len(same) + 1), COMPARED_WORDS, side="right")))]
+        place = lo[same, None] + np.arange(int((hi - lo)[same].max()))
+        texts = words[np.minimum(place, len(words) - 1)]
+        own = np.stack([items.words[i] for i in which[same]])
+        texts[place >= hi[same, None]] = 0  # the hash of no word
+        distance[same], where = best_matches(own, texts)
+        end[same] = lo[same] + where
+        at += len(same)
+    return distance, end
+
+
 def windows(items: Items, grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``text, start, item``: the windows of an item's size that hold enough of its 3-grams.
 
@@ -165,14 +203,20 @@ def windows(items: Items, grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarr
 
 
 def leaks(items: Items, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """``text, item, last word, edits`` of the places that verify, one for each stretch of neighbouring windows."""
+    """``text, item, last word, edits`` of the places that verify, one at least for each stretch of neighbouring windows that holds any.
+
+    Windows that collide are verified first; then all stretches of windows in which nothing was confirmed.
+    """
     text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     grams = _grams(words)
     if not len(grams) or not len(items.grams):
         return []
     grams[text[GRAM - 1 :] != text[: len(grams)]] = 0  # runs into the next text
     own, start, item = windows(items, grams, text)
-    out, pairs = [], []
+    out = []
+    order = np.lexsort((start, item, own))
+    own, start, item = own[order], start[order], item[order]
+    met = np.zeros(len(start), bool)
     for lo in range(0, len(start), 1 << 15):
         part = slice(lo, lo + (1 << 15))
         sizes = np.minimum(items.sizes[item[part]], firsts[1:][own[part]] - start[part])  # a window ends with its text
@@ -185,22 +229,32 @@ def leaks(items: Items, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int
             count = (after - first)[n]
             found = holder[np.repeat(first[n] - np.cumsum(count) + count, count) + np.arange(count.sum())]
             row = np.repeat(of[n // hashes.shape[1]], count)
-            pairs.append(np.stack([own[part][row], found, start[part][row]], axis=1))
-    if not pairs:
-        return out
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    size = items.sizes[pairs[:, 1]]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1) | (np.diff(pairs[:, 2]) > size[1:])
-    begin = np.flatnonzero(new)
-    for a, b in zip(begin.tolist(), np.append(begin[1:], len(pairs)).tolist(), strict=True):
-        t, i, s = pairs[a].tolist()
-        reach = edits_allowed(len(items.words[i]))
-        lo = max(int(firsts[t]), s - reach)
-        hi = min(int(firsts[t + 1]), int(pairs[b - 1, 2]) + len(items.words[i]) + 2 * reach)
-        distance, end = best_match(items.words[i], words[lo:hi])
-        if distance <= reach:
-            out.append((t, i, lo + end - int(firsts[t]), distance))
+            met[lo + row[found == item[part][row]]] = True
+
+    def stretches(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last of the windows of each stretch."""
+        new = np.ones(len(rows), bool)
+        new[1:] = (own[rows][1:] != own[rows][:-1]) | (item[rows][1:] != item[rows][:-1]) | (np.diff(start[rows]) > items.sizes[item[rows]][1:])
+        begin = np.flatnonzero(new)
+        return rows[begin], rows[np.append(begin[1:], len(rows)) - 1] if len(rows) else rows
+
+    reach = np.where(items.sizes >= 8, (EDITS * items.sizes).astype(np.int64), 0)[item]
+
+    def verify(a: np.ndarray, b: np.ndarray, before: int, behind: int) -> np.ndarray:
+        lo = np.maximum(firsts[own[a]], start[a] - before * reach[a])
+        hi = np.minimum(firsts[own[a] + 1], start[b] + items.sizes[item[a]] + behind * reach[a])
+        distance, end = compared(items, words, item[a], lo, hi)
+        good = distance <= reach[a]
+        out.extend(zip(own[a][good].tolist(), item[a][good].tolist(), (end - firsts[own[a]])[good].tolist(), distance[good].tolist(), strict=True))
+        return good
+
+    a, b = stretches(np.flatnonzero(met))
+    good = verify(a, b, 1, 2)
+    done = np.zeros(len(start) + 1, np.int64)
+    done[1:] = np.cumsum(np.bincount(a[good], minlength=len(start))) if len(start) else 0
+    a, b = stretches(np.arange(len(start)))
+    rest = done[b + 1] == done[a]
+    verify(a[rest], b[rest], 0, 1)
     return out
 
 

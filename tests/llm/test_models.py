@@ -142,6 +142,42 @@ def test_items_are_found_with_words_changed(spark):
     assert decontaminate.drop_contaminated(docs, bench.where("false")).count() == docs.count()
 
 
+@pytest.mark.parametrize("size", [8, 20, 38, 59, 120, 250])
+def test_items_with_words_deleted_are_found_at_the_very_beginning(size):
+    import numpy as np
+
+    rng = random.Random(size)
+    words = [["w%d" % rng.randrange(10**6) for _ in range(size)] for _ in range(40)]
+    items = decontaminate.build_items(list(range(40)), [" ".join(w) for w in words])
+    texts = []
+    for own in words:
+        gone = set(rng.sample(range(size), decontaminate.edits_allowed(size)))
+        texts.append(" ".join([w for k, w in enumerate(own) if k not in gone] + ["v%d" % rng.randrange(10**6) for _ in range(rng.choice([0, 3, 300]))]))
+    found = decontaminate.leaks(items, *decontaminate._words(pa.array(texts)))
+    assert {(t, i) for t, i, _, _ in found} == {(k, k) for k in range(40)}
+    alone = [decontaminate._words(pa.array([t]))[0] for t in texts]
+    for t, i, end, edits in found:
+        assert decontaminate.best_match(items.words[i], alone[t])[0] == edits == decontaminate.best_match(items.words[i], alone[t][:end])[0]
+    assert decontaminate.leaks(items, np.zeros(0, np.uint64), np.zeros(1, np.int64)) == []
+
+
+def test_leaks_equal_the_edit_distance_of_every_item():
+    """Few different words, so that many windows hold many of an item's 3-grams without being within reach."""
+    rng = random.Random(31)
+    words = ["w%d" % k for k in range(12)]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    own = [pick(rng.randrange(3, 40)) for _ in range(40)]
+    items = decontaminate.build_items(list(range(40)), [" ".join(w) for w in own])
+    texts = []
+    for w in own * 3:
+        n = decontaminate.edits_allowed(len(w))
+        texts.append(" ".join(pick(rng.choice([0, 5, 60])) + edited(rng, w, rng.randrange(n, n + 3)) + pick(rng.choice([0, 40]))))
+    found = {(t, i) for t, i, _, _ in decontaminate.leaks(items, *decontaminate._words(pa.array(texts)))}
+    alone = [decontaminate._words(pa.array([t]))[0] for t in texts]
+    want = {(t, i) for t, text in enumerate(alone) for i, w in enumerate(items.words) if decontaminate.best_match(w, text)[0] <= decontaminate.edits_allowed(len(w))}
+    assert found == want
+
+
 def test_distance_is_exact():
     import numpy as np
 

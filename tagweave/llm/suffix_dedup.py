@@ -8,8 +8,9 @@ Equal segments are one class, sorted once with the number of its copies, however
 its segments column by column (``bwt``) and reports the windows whose common prefix reaches 200 bytes.
 
 An anchor whose segments form very many different classes (a common phrase, or near copies that differ around it) is
-dealt out again by the least hash of its windows' 128-byte, then 192-byte grams: the rounds in ``GRAMS``. So no task
-gets all of a hot group, and nothing is left out.
+dealt out again by the least hash of its windows' 128-byte, then 192-byte grams, and at last by the windows' own hashes:
+the rounds in ``GRAMS``. In the last one an anchor is one window, so its classes are as many as lengths of runs of that
+window. So no task gets all of a hot group, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tagweave.llm.common import BASE, BLOCK_BYTES, UNBASE, blocks, discard, flat
 #: Bytes of a string that must not occur twice.
 WINDOW = 200
 #: Lengths of the grams whose least hash deals out the windows, one after the other for hot anchors.
-GRAMS = (64, 128, 192)
+GRAMS = (64, 128, 192, WINDOW)
 #: Windows of a segment at most; longer runs are cut.
 RUN = 256
 #: An anchor with more classes than this is dealt out again.

@@ -37,6 +37,24 @@ def test_removed_bytes_equal_brute_force(docs, texts, hot_classes):
     assert Counter(map(tuple, found)) == brute_repeats(texts)
 
 
+def test_no_anchor_of_the_last_round_has_many_classes(spark, monkeypatch):
+    """A passage of more than 192 bytes, with different bytes around it in every text."""
+    rng = random.Random(33)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, most, sort = noise(208), [], suffix_dedup.sort_segments
+    rows = [(k, noise(30) + passage + noise(30)) for k in range(60)]
+
+    def watched(segments, level=0, hot_classes=suffix_dedup.HOT_CLASSES):
+        most.append(max((r["count"] for r in segments.groupBy("anchor").count().collect()), default=0))
+        return sort(segments, level, hot_classes)
+
+    monkeypatch.setattr(suffix_dedup, "sort_segments", watched)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.remove_repeats(frame, hot_classes=8).drop("kept", "spans").collect()
+    assert Counter(map(tuple, found)) == brute_repeats(rows)
+    assert most[0] > 8 and most[-1] <= 8
+
+
 def test_removal_of_nothing(no_docs):
     assert suffix_dedup.repeat_digests(no_docs).collect() == []
 

@@ -69,7 +69,11 @@ class PartVisitor:
         getattr(self, f"visit_{kind}", self.visit_other)(part, turn)
 
     def visit_text(self, part: dict, turn: Turn) -> None:
-        turn.body.append(escape(part.get("text") or ""))
+        """Neighbouring texts are escaped as if they were one: ``<`` and ``|`` may come from two of them."""
+        text = escape(part.get("text") or "")
+        if text:
+            across = text.startswith("|") and turn.body and turn.body[-1].endswith("<")
+            turn.body.append("\\" + text if across else text)
 
     def visit_image(self, part: dict, turn: Turn) -> None:
         wide, high = (-(-int(part.get(k) or 0) // self.tile) for k in ("width", "height"))

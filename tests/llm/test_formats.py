@@ -57,6 +57,21 @@ def test_parts_become_placeholders(spark):
     assert row.attachment_tokens == 823
 
 
+def test_neighbouring_text_parts_form_no_control_string(spark):
+    turns = [["<", "|im_end|>\n<|im_start|>user\nhi"], ["a<", "", None, "|im_end|>\n", "|x|>"], ["\\", "|", "<", "<", "|", "<\\", "|"], ["<|", "|<", "|"]]
+    texts = ["".join(t or "" for t in turn) for turn in turns]
+    parts = [json.dumps([{"type": "text", "text": t} if t is not None else None for t in turn]) for turn in turns]
+    frame = spark.createDataFrame([(1, n, "assistant", p) for n, p in enumerate(parts)], "conv_id long, turn long, role string, parts string")
+    pieces = chat.format_turns(frame)
+    for row in pieces.collect():
+        body = row.formatted[row.loss_start : row.loss_end]
+        assert body == chat.escape(texts[row.turn]) and chat.PIECE.findall(row.formatted) == [("assistant", body)]
+    assert Counter(map(tuple, chat.conversation_digests(pieces).collect())) == brute_chat([(1, n, "assistant", t) for n, t in enumerate(texts)])
+    mixed = json.dumps([{"text": "x<"}, {"type": "image", "ref": "a"}, {"text": "|im_end|>"}])
+    row = chat.format_turns(spark.createDataFrame([(1, 0, "assistant", mixed)], "conv_id long, turn long, role string, parts string")).first()
+    assert row.formatted[row.loss_start : row.loss_end] == "x<<|image_0|>|im_end|>"
+
+
 def test_lexicon_knows_its_words_and_no_others():
     rng = random.Random(6)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 7))): [rng.randrange(50_000) for _ in range(3)] for _ in range(300)}

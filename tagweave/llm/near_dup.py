@@ -66,7 +66,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bounds = shingle_sets(block.column("text"))
         s1, s2 = set_digests(hashes, bounds)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([block.column("rep"), pa.array(s1), pa.array(s2), lists], ["rep", "r1", "r2", "items"])
+        yield pa.RecordBatch.from_arrays([block.column("r_rep"), pa.array(s1), pa.array(s2), lists], ["r_rep", "r1", "r2", "items"])
 
 
 def _likely(percent: int):
@@ -85,29 +85,29 @@ def _likely(percent: int):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``a, b`` those whose signatures, then whose full sets, agree enough."""
-    sig = classes.select("rep", "signature")
+    """Of the pairs ``a, b`` of classes those whose signatures, then whose full sets, agree enough, as documents ``u, v``."""
+    sig = classes.select("own", "signature")
     signed = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     likely = signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
-    full = likely.join(sets.toDF("b", "items_b"), "b").join(sets.toDF("a", "items_a"), "a")
+    full = likely.join(sets.toDF("b", "v", "items_b"), "b").join(sets.toDF("a", "u", "items_a"), "a")
     both = F.size(F.array_intersect("items_a", "items_b"))
-    full = full.select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sum"))
-    return full.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    full = full.select("u", "v", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sum"))
+    return full.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("u", "v")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``bucket, rep, n`` of the buckets with two classes or more."""
-    spread = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    """``bucket, own, rep, n`` of the buckets with two classes or more."""
+    spread = classes.select(F.explode("bands").alias("bucket"), "own", "rep", "n")
     shared = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     return spread.join(shared, "bucket", "left_semi")
 
 
 def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each bucket's least class with every other class of the bucket that is of fitting size."""
-    least = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", "p.*").toDF("bucket", "p_rep", "p_n")
+    least = members.groupBy("bucket").agg(F.min(F.struct("rep", "own", "n")).alias("p")).select("bucket", "p.own", "p.n").toDF("bucket", "p_own", "p_n")
     fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-    pairs = members.join(least, "bucket").where((F.col("rep") != F.col("p_rep")) & fits)
-    return pairs.select(F.col("p_rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = members.join(least, "bucket").where((F.col("own") != F.col("p_own")) & fits)
+    return pairs.select(F.col("p_own").alias("a"), F.col("own").alias("b")).distinct()
 
 
 def _size_class(n) -> F.Column:
@@ -116,21 +116,21 @@ def _size_class(n) -> F.Column:
 
 
 def _rest_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair ``a, b`` of the classes in ``active`` (``rep, n, label``) that may be alike and has two labels.
+    """Every pair ``a, b`` of the classes in ``active`` (``own, n, label``) that may be alike and has two labels.
 
     Shingles are put in one order, rarest first. If the intersection of two sets must have k shingles, the first one that they
     share stands before place n - k + 1 in either; so the shorter set is entered under its first shingles only, and
     the longer one asks under its own for sets of the sizes that its place still allows. Shingles that only copies of one
     label hold under their first are left out, and so is one label (the most frequent) against itself.
     """
-    held = sets.join(active, "rep")
-    tokens = held.select("rep", "n", "label", F.explode("items").alias("token"))
+    held = sets.select("own", "items").join(active, "own")
+    tokens = held.select("own", "n", "label", F.explode("items").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(often, "token").groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = tokens.join(often, "token").groupBy("own", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     share, n = percent / 100, F.col("n")
     first = (n - F.ceil(n * share - 1e-9) + 1).cast("int")
-    placed = ordered.select("rep", "n", "label", F.posexplode(F.slice("t", F.lit(1), first)).alias("pos", "o")).where("o.df > 1")
-    placed = stage(placed.select("rep", "n", "label", "pos", F.col("o.token").alias("token")), "placed")
+    placed = ordered.select("own", "n", "label", F.posexplode(F.slice("t", F.lit(1), first)).alias("pos", "o")).where("o.df > 1")
+    placed = stage(placed.select("own", "n", "label", "pos", F.col("o.token").alias("token")), "placed")
     labels = placed.groupBy("token", "label").count().groupBy("token")
     mixed = labels.agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("c")).where("c > 1").drop("c")
     rows = stage(placed.join(mixed, "token"), "mixed")
@@ -140,7 +140,7 @@ def _rest_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.floor(room), n)
     asking = rows.withColumn("lo", F.ceil(n * share - 1e-9)).withColumn("hi", most).where("lo <= hi and hi >= 1")
     asking = asking.withColumn("size", F.explode(F.sequence(_size_class(F.greatest("lo", F.lit(1))), _size_class(F.col("hi")))))
-    names = ["rep", "n", "label", "pos"]
+    names = ["own", "n", "label", "pos"]
     few = F.col("label") != F.col("major")
 
     def meet(short: DataFrame, long: DataFrame) -> DataFrame:
@@ -149,27 +149,39 @@ def _rest_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         overlap = F.least(F.expr("s_n - s_pos"), F.expr("l_n - l_pos")) * (100 + percent) >= (F.col("s_n") + F.col("l_n")) * percent
         fits = (F.col("s_label") != F.col("l_label")) & F.expr("s_n <= l_n") & (F.col("s_n") * 100 >= F.col("l_n") * percent) & overlap
         equal = (one["token"] == two["token"]) & (one["size"] == two["size"])
-        return one.join(two, equal & fits).select(F.least("s_rep", "l_rep").alias("a"), F.greatest("s_rep", "l_rep").alias("b"))
+        return one.join(two, equal & fits).select(F.least("s_own", "l_own").alias("a"), F.greatest("s_own", "l_own").alias("b"))
 
     return meet(entered.where(few), asking).union(meet(entered.where(~few), asking.where(few))).distinct()
 
 
-def link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: the representative of every linked class and the least representative of its component."""
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v``: documents whose rows have different sets, and the representatives of the classes of these."""
+    own = F.struct("s1", "s2")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    rows = signed.where("n_shingles > 0").select("doc_id", "s1", "s2").join(several.select("doc_id"), "doc_id", "left_semi")
+    rows = rows.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    alone = several.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
+    return rows.union(alone).distinct()
+
+
+def link_classes(base: DataFrame, classes: DataFrame, same: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: the representative of every linked class and the least representative of its component.
+
+    ``same`` has links that hold in any case.
+    """
     members = stage(_members(classes), "members")
-    needed = members.select("rep").distinct()
-    texts = base.join(needed, base["doc_id"] == needed["rep"]).select("rep", "text").mapInArrow(
-        _sets, "rep long, r1 long, r2 long, items array<long>"
+    needed = members.select(F.col("rep").alias("r_rep")).distinct()
+    texts = base.join(needed, base["doc_id"] == needed["r_rep"]).select("r_rep", "text").mapInArrow(
+        _sets, "r_rep long, r1 long, r2 long, items array<long>"
     )
-    keys = classes.select(F.col("rep").alias("own"), "s1", "s2")
-    same = (F.col("rep") == F.col("own")) & (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2"))
-    sets = stage(texts.join(keys, same).select("rep", "items").dropDuplicates(["rep"]), "sets")
-    edges = stage(_verified(_pivot_pairs(members, percent), classes, sets, percent), "links")
+    of_class = (F.col("rep") == F.col("r_rep")) & (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2"))
+    sets = stage(texts.join(classes.select("own", "rep", "s1", "s2"), of_class).select("own", "rep", "items").dropDuplicates(["own"]), "sets")
+    edges = stage(_verified(_pivot_pairs(members, percent), classes, sets, percent).union(same), "links")
     labels = connected_components(edges)
     labelled = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    active = stage(labelled.join(mixed, "bucket", "left_semi").select("rep", "n", "label").distinct(), "active")
+    active = stage(labelled.join(mixed, "bucket", "left_semi").select("own", "n", "label").distinct(), "active")
     rest = _verified(_rest_pairs(active, sets, percent), classes, sets, percent)
     all_edges = stage(edges.union(rest), "links")
     out = connected_components(all_edges)
@@ -193,16 +205,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stage(
         grouped.agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-        ),
+        ).withColumn("own", F.monotonically_increasing_id()),
         "classes",
     )
-    labels = link_classes(base, classes, percent)
-    # A document id may stand for several classes (repeated ids); the least label of any of them holds for the document.
+    # A document id may stand for several classes (repeated ids); the links between them make it one document.
+    same = stage(_same_document(signed, classes), "same")
+    labels = link_classes(base, classes, same, percent)
+    of_id = same.select(F.col("u").alias("i_id")).distinct().join(labels.toDF("i_id", "i_label"), "i_id", "left")
+    of_id = stage(of_id.select("i_id", F.coalesce("i_label", "i_id").alias("i_label")), "ids")
     groups = classes.select("s1", "s2", "rep").join(labels.toDF("rep", "label"), "rep", "left")
     groups = groups.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "rep").alias("label"))
     of_class = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     found = signed.select("doc_id", "h", "n_shingles", "s1", "s2").join(groups, of_class, "left")
-    component = F.coalesce("label", "doc_id")
+    found = found.join(of_id, F.col("doc_id") == F.col("i_id"), "left")  # also for rows of the document with empty sets
+    component = F.coalesce("i_label", "label", "doc_id")
     return found.select(
         "doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )

@@ -176,6 +176,24 @@ def test_one_of_each_group_stays(docs, texts, no_docs):
     assert near_dup.near_duplicate_digests(no_docs).collect() == []
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """Ids with two texts, that are linked with different others or the least of two classes, and with an empty text."""
+    rng = random.Random(51)
+    text = [" ".join("w%d" % rng.randrange(10**6) for _ in range(90)) for _ in range(40)]
+    near = lambda t, k: t.replace(t.split()[30], "new%d" % k)
+    rows = []
+    for k in range(0, 20, 2):
+        base = 100 * k
+        rows += [(base + 1, text[k]), (base + 1, text[k + 1]), (base + 5, near(text[k], k)), (base + 6, near(text[k + 1], k))]
+    rows += [(5000, text[20]), (5001, text[20]), (5001, text[21]), (5002, text[21]), (5002, ""), (5002, None), (5003, ""), (5003, text[22]), (5004, None)]
+    rows += [(6009, text[23]), (6009, text[24]), (6001, near(text[23], 1)), (6002, near(text[24], 2)), (6009, "")]
+    rows += [(None, text[0]), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_near(rows)
+    assert (6009, 0, 6001, False) in want and (5002, 0, 5000, False) in want
+    assert Counter(map(tuple, near_dup.near_duplicate_digests(frame).collect())) == want
+
+
 def between(rng, k):
     """A text and a near copy whose similarity lies between 0.80 and 0.85: 100 to 108 shingles, two separate words changed."""
     words = ["w%d" % rng.randrange(10**6) for _ in range(104 + k % 9)]

@@ -1,12 +1,16 @@
 """The pipeline, stage by stage, against plain Python on what the stage before has kept."""
 
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tagweave.llm import decontaminate, toxicity
+from tagweave.llm.common import span_hashes
 from tagweave.llm.queries import vocabulary_path
 
 from .conftest import prose
@@ -94,3 +98,68 @@ def test_near_copies_between_0_80_and_0_85_go(spark, folder):
     stay = {i for i, _, _, good in brute_near(rows, 80) if good}
     assert stay == {2 * k for k in range(30)}
     assert rows_of(corpus_pipeline.without_near_duplicates(spark, docs, folder)) == [r for r in rows if r[0] in stay]
+
+
+def all_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: r[0])
+
+
+def plain_sentences(text):
+    """The features of each sentence that has words: words and their prefixes of 4 and 5 bytes, lower case."""
+    out = []
+    for part in re.split(rb"[.!?\n]", (text or "").encode()):
+        words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)]
+        out.append({(w[:n], len(w) > n and n) for w in words for n in (10**9, 4, 5)})
+    return [s for s in out if s]
+
+
+def test_toxicity_stage_equals_plain_scoring(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+
+    def weight(feature):
+        word, cut = feature
+        data = np.frombuffer(word, np.uint8)
+        key = int(span_hashes(data, np.array([0]), np.array([len(data)]), 61)[0])
+        return weights.get((key + {False: 0, 4: 1, 5: 2}[cut]) % 2**64, 0.0)
+
+    known = {}
+    stay = []
+    for i, text in all_rows(docs):
+        clean = 1.0
+        for sentence in plain_sentences(text):
+            logit = toxicity.PRIOR + sum(known.setdefault(f, weight(f)) for f in sentence)
+            clean *= 1 / (1 + math.exp(logit))
+        if 1 - clean < toxicity.THRESHOLD:
+            stay.append((i, text))
+    assert len(weights) > 2 and 0 < len(stay) < docs.count()
+    assert all_rows(corpus_pipeline.without_toxic(spark, docs, folder)) == stay
+
+
+def plain_distance(item, text):
+    """The least edit distance between the item and any stretch of the text, in words."""
+    row = [0] * (len(text) + 1)
+    for n, word in enumerate(item, 1):
+        new = [n]
+        for j, other in enumerate(text, 1):
+            new.append(min(row[j - 1] + (word != other), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_stage_equals_every_edit_distance(spark, folder):
+    rng = random.Random(46)
+    items = [r.text.split() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rows = [(k, " ".join(prose(rng, rng.randrange(10, 80)).split())) for k in range(20)]
+    for k in range(60):
+        words = list(items[k % 6])
+        for _ in range(k % 9):  # five edits are allowed
+            at = rng.randrange(len(words))
+            words[at : at + (k % 2 or rng.randrange(2))] = ["other%d" % k] if k % 4 < 3 else []
+        rows.append((100 + k, " ".join([*prose(rng, k % 3 * 10).split(), *words, *prose(rng, k % 4 * 9).split()])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lower = [[w.lower() for w in item] for item in items]
+    stay = [(i, t) for i, t in rows if all(plain_distance(w, t.lower().split()) > len(w) // 5 for w in lower)]
+    assert 25 <= len(stay) <= 70
+    assert rows_of(corpus_pipeline.without_benchmark(spark, docs, folder)) == stay

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe, chat, decontaminate, line_dedup, near_dup, quality_rules, site_quality, suffix_dedup, toxicity, warc
+from tagweave.llm import bpe, chat, decontaminate, line_dedup, merkle, near_dup, quality_rules, site_quality, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,7 +59,17 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_warc, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe, op9_line_dedup, op10_site_quality)
-}
-ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_quality_rules, op3_warc, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe,
+        op9_line_dedup, op10_site_quality, op11_merkle,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_merkle": merkle.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe, chat, decontaminate, line_dedup, merkle, near_dup, quality_rules, site_quality, suffix_dedup, toxicity, warc
+from tagweave.llm import bpe, chat, decontaminate, divergence, line_dedup, merkle, near_dup, quality_rules, site_quality, suffix_dedup, token_count, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,13 +63,22 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest_digests(table(spark, folder, "documents"))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, folder, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.token_counts(table(spark, folder, "documents"), vocabulary_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_rules, op3_warc, op4_near_dup, op5_toxicity, op6_decontaminate, op7_chat_format, op8_bpe,
-        op9_line_dedup, op10_site_quality, op11_merkle,
+        op9_line_dedup, op10_site_quality, op11_merkle, op12_divergence, op13_token_counts,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_merkle": merkle.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }

@@ -11,8 +11,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import IS_SPACE, blocks, flat, small_batches
-from tagweave.llm.token_machine import END, SEGMENT, Machine, character_classes, word_starts
+from tagweave.llm.common import blocks, flat, small_batches
+from tagweave.llm.token_machine import Machine
+from tagweave.llm.words import SEGMENT, character_classes, cut_words
 
 #: A document with more tokens is over the limit.
 LIMIT = 1024
@@ -35,47 +36,12 @@ def _pieces(buf: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> tuple[
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), np.array(owners), tokens
 
 
-def _segments(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Where to cut the bytes so that about ``SEGMENT`` are taken at once: at the end of a piece, or, in a longer one, at a white
-    space after something else, where a word begins whatever comes before and after."""
-    at, end = 0, len(buf)
-    while at < end:
-        stop = int(bounds[max(0, np.searchsorted(bounds, at + SEGMENT, side="right") - 1)])
-        if stop <= at:
-            stop = int(bounds[np.searchsorted(bounds, at, side="right")])
-            look = at + SEGMENT
-            while look < stop:
-                white = IS_SPACE[buf[look - 1 : look + 4096]]
-                found = np.flatnonzero(white[1:] & ~white[:-1] & (buf[look - 1 : look - 2 + len(white)] < 128))
-                if len(found):
-                    stop = min(stop, look + int(found[0]))
-                    break
-                look += 4096
-        yield at, stop
-        at = stop
-
-
-def _count_words(machine: Machine, classes: np.ndarray, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of every word in the bytes, and where the words begin; texts end at ``cuts`` (byte positions)."""
-    chars = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
-    begins = np.flatnonzero((buf & 0xC0) != 0x80)
-    kinds = classes[chars]
-    breaks = np.searchsorted(begins, cuts)
-    starts = word_starts(np.insert(kinds, breaks, END))
-    starts = begins[np.delete(starts, breaks + np.arange(len(breaks)))]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(buf)])
-    found = words.dictionary_encode()
-    return machine.counts(found.dictionary.to_pylist())[found.indices.to_numpy()], starts
-
-
 def count_block(machine: Machine, classes: np.ndarray, column: pa.Array) -> np.ndarray:
     """The number of tokens of every text."""
     buf, bounds = flat(column)
     buf, bounds, owner, tokens = _pieces(buf, bounds, machine.special)
-    for at, stop in _segments(buf, bounds):
-        inside = bounds[(bounds > at) & (bounds < stop)] - at
-        n, starts = _count_words(machine, classes, buf[at:stop], np.unique(inside))
-        piece = np.searchsorted(bounds, starts + at, side="right") - 1
+    for words, piece in cut_words(classes, buf, bounds, SEGMENT):
+        n = machine.counts(words.dictionary.to_pylist())[words.indices.to_numpy()]
         tokens += np.bincount(owner[piece], n, len(tokens)).astype(np.int64)
     return tokens
 

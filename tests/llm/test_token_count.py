@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 from tagweave.llm import token_count
 from tagweave.llm.bpe import Bpe
 from tagweave.llm.queries import vocabulary_path
-from tagweave.llm.token_machine import FOLLOWING, INIT, N_CLASSES, N_STATES, OTHER, Machine, character_classes, composed, word_starts
+from tagweave.llm.token_machine import Machine
+from tagweave.llm.words import FOLLOWING, INIT, N_CLASSES, N_STATES, OTHER, character_classes, composed, word_starts
 
 PARTS = ["'", "s", "t", "r", "e", "v", "l", "m", "d", "a", " ", "  ", "\n", "\t", "1", "23", "!", "é", "日", " ", " ", "x'", "re", "ll",
          "<|endoftext|>", "<|endof", "text|>", "ing", "the", "́", "😀", "²", "ß", "\x1c"]

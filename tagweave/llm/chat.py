@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +95,7 @@ class PartVisitor:
         turn.tokens += tokens
 
 
+ATTACHMENTS = pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
 PIECES = (
     "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int, "
     "attachments array<struct<place:int, kind:string, ref:string, tokens:long>>, attachment_tokens long"
@@ -102,19 +103,21 @@ PIECES = (
 
 
 def _pieces(trained: frozenset[str], visitor: PartVisitor):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv, number, role, text, parts in zip(*(frame[c] for c in ("conv_id", "turn", "role", "text", "parts")), strict=True):
+            for role, text, parts in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "parts")), strict=True):
                 turn = Turn()
-                for part in json.loads(parts) if isinstance(parts, str) else [{"text": text if isinstance(text, str) else ""}]:
+                for part in json.loads(parts) if parts is not None else [{"text": text or ""}]:
                     visitor.visit(part, turn)
-                role = role if isinstance(role, str) else ""
-                head, body = f"{START}{escape_role(role)}\n", "".join(turn.body)
-                span = (len(head), len(head) + len(body)) if role in trained else (0, 0)
-                rows.append((conv, number, role, f"{head}{body}{END}\n", *span, turn.attachments, turn.tokens))
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "attachment_tokens"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+                head, body = f"{START}{escape_role(role or '')}\n", "".join(turn.body)
+                span = (len(head), len(head) + len(body)) if (role or "") in trained else (0, 0)
+                rows.append((f"{head}{body}{END}\n", *span, turn.attachments, turn.tokens))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), ATTACHMENTS, pa.int64())
+            made = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
+            names = ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "attachment_tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *made], names)
 
     return run
 
@@ -133,21 +136,25 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",), vi
     chosen = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text.alias("text"), parts.alias("parts")
     )
-    return chosen.mapInPandas(_pieces(frozenset(trained), visitor or PartVisitor()), PIECES)
+    return chosen.mapInArrow(_pieces(frozenset(trained), visitor or PartVisitor()), PIECES)
 
 
-def _read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parse the stream of formatted pieces, sorted by conversation; holds running digests, never a conversation."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    key, state = object(), None
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(),
+             "formatted_chars": pa.int64()}
+    key, state = None, None
 
     def close() -> tuple:
         return (key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
-    for frame in frames:
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    for batch in batches:
         done = []
-        convs = [None if pd.isna(c) else int(c) for c in frame["conv_id"]]
-        for conv, text, start, end in zip(convs, frame["formatted"], frame["loss_start"], frame["loss_end"], strict=True):
+        for conv, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
             if state is None or conv != key:
                 if state is not None:
                     done.append(close())
@@ -159,9 +166,9 @@ def _read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[2] += len(learned)
             state[3].update(learned.encode())
             state[4] += len(text)
-        yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+        yield told(done)
     if state is not None:
-        yield pd.DataFrame([close()], columns=names).astype({"conv_id": "Int64"})
+        yield told([close()])
 
 
 def conversation_digests(pieces: DataFrame) -> DataFrame:
@@ -171,7 +178,7 @@ def conversation_digests(pieces: DataFrame) -> DataFrame:
     ``conv_id`` is one conversation.
     """
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInPandas(
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(
         _read_back,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +85,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- Arrow batches ------------------------------------------------------------------------------------------------
 
 
@@ -155,8 +167,37 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> pa.DictionaryArray:
+    """The bytes of spans that follow each other without overlapping: each distinct value once, and where it comes."""
+    edges = np.zeros(len(buf) + 1, np.int8)
+    full = ends > starts
+    edges[starts[full]] += 1
+    edges[ends[full]] -= 1
+    data = (LOWER[buf] if lower else buf)[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span; the spans follow each other without overlapping. Each distinct value is hashed once."""
+    found = distinct_spans(buf, starts, ends, lower)
+    values = found.dictionary.to_pylist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in values), np.uint64, len(values))[found.indices.to_numpy()]
+
+
+def line_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each span, as two signed numbers; the spans follow each other without overlapping."""
+    found = distinct_spans(buf, starts, ends, lower)
+    whole = b"".join(map(xxhash.xxh3_128_digest, found.dictionary.to_pylist()))
+    both = np.frombuffer(whole, ">i8").astype(np.int64).reshape(-1, 2)[found.indices.to_numpy()]
+    return both[:, 0], both[:, 1]
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span ``buf[starts:ends]``; equal bytes give equal hashes wherever they lie."""
+    """A 64-bit hash of each span ``buf[starts:ends]``, which may overlap; equal bytes give equal hashes wherever they lie.
+
+    All seeds share the base, and strings made for it collide from 1024 bytes on: for short spans and features only.
+    """
     table = random_words(seed, 256)
     if lower:
         table = table[LOWER]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks, flat, keyed, keyed_rows, mix, random_words, span_hashes, stage, word_spans
+from tagweave.llm.common import blocks, flat, keyed, keyed_rows, mix, random_words, stage, word_hashes, word_spans
 
 #: Words that may be edited, as a share of the item's words; items of fewer than 8 words must match exactly.
 EDITS = 0.2
@@ -56,7 +56,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and each text's first word."""
     buf, offsets = flat(column)
     starts, ends, firsts = word_spans(buf, offsets)
-    return (span_hashes(buf, starts, ends, 71, lower=True) if len(starts) else np.zeros(0, np.uint64)), firsts
+    return word_hashes(buf, starts, ends, 71, lower=True), firsts
 
 
 def _grams(words: np.ndarray) -> np.ndarray:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that train at most.
+SAMPLE_BYTES = 64 << 20
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int) -> list[tuple[str, int, float]]:
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int, salt: str | None = None, usable: Column | None = None,
+                    max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int, float]]:
     """``(text, class, weight)`` of about ``each`` documents of either class at most, chosen by hash, in a fixed order.
 
-    The weight makes up for the share of its class that was chosen. The class is 1 where ``label`` is above zero. Null labels and ids are ignored; a document with several labels has the
-    largest. The chosen labels are bounded by ``each``, so they are broadcast and only their texts are gathered.
+    The weight makes up for the share of its class that was chosen. The class is 1 where ``label`` is above zero. Null labels
+    and ids are ignored; a document with several labels has the largest, an id with several rows its least text, so
+    there are no more texts than ids chosen. They are taken by hash until there are ``max_bytes`` of them. ``usable`` may
+    leave out labels by ``l_id``. The labels chosen are bounded by ``each``, so they are broadcast.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id"))
     known = known.agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    if usable is not None:
+        known = known.where(usable)
     sizes = {row.y: row.n for row in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     shares = [min(1.0, each / sizes.get(c, 1)) for c in (0, 1)]
-    rank = F.pmod(F.xxhash64(F.lit(label), "l_id"), F.lit(1_000_000))
+    rank = F.pmod(F.xxhash64(F.lit(salt or label), "l_id"), F.lit(1_000_000))
     chosen = known.where(rank < F.when(F.col("y") == 1, shares[1]).otherwise(shares[0]) * 1_000_000)
-    given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
-    rows = given.join(F.broadcast(chosen), "l_id").orderBy("l_id", "text").select("text", "y").collect()
-    return [(r.text or "", r.y, max(shares) / shares[r.y]) for r in rows]
+    given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = given.join(F.broadcast(chosen), "l_id").groupBy("l_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("l_id"), "l_id"))
+    rows = picked.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy("l_id").select("text", "y").collect()
+    return [(r.text, r.y, max(shares) / shares[r.y]) for r in rows]

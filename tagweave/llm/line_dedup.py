@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tagweave.llm.common import IS_SPACE, blocks, flat, keyed, keyed_rows, partitions, span_hashes, stage
+from tagweave.llm.common import IS_SPACE, blocks, flat, keyed, keyed_rows, partitions, stage
+from tagweave.llm.common import line_digests as line_hashes
 
 MIN_KEY = 10
 DROP, PENDING, TAIL, HEAD = 0, 1, 2, 3
@@ -50,8 +51,7 @@ def _line_rows(min_key: int):
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(span_hashes(buf, starts, ends, 41, lower=True).view(np.int64)),
-                    pa.array(span_hashes(buf, starts, ends, 42, lower=True).view(np.int64)),
+                    *map(pa.array, line_hashes(buf, starts, ends, lower=True)),
                     block.column("doc_id").take(at),
                     block.column("h").take(at),
                     pa.array(n_lines[doc].astype(np.int32)),

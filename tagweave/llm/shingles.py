@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tagweave.llm.common import flat, mix, random_words, span_hashes, word_spans
+from tagweave.llm.common import flat, mix, random_words, word_hashes, word_spans
 
 #: Words in a shingle.
 WIDTH = 5
@@ -18,7 +18,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     """
     buf, offsets = flat(column)
     starts, ends, firsts = word_spans(buf, offsets)
-    words = span_hashes(buf, starts, ends, 1, lower=True)
+    words = word_hashes(buf, starts, ends, 1, lower=True)
     factor = random_words(7, width)
     counts = np.diff(firsts)
     runs = np.zeros(max(0, len(words) - width + 1), np.uint64)

@@ -28,6 +28,8 @@ THRESHOLD = 0.5
 SMALL = 100_000
 #: Evidence is kept this far from certainty.
 LEAST = 1e-4
+#: Documents' worth of a prior where groups do not differ beyond chance.
+STRONG = 1e6
 
 
 def features(found: Texts) -> np.ndarray:
@@ -77,16 +79,25 @@ def _evidence(shared):
     return run
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """How many documents' worth the level above counts: from the spread of the group means beyond chance.
+def _strength(groups: DataFrame, above: list[str]) -> float:
+    """How many documents' worth the level above counts: from the spread of the groups' means around the mean of their own
+    group of the level above (columns ``above``), beyond what the spread between single documents explains.
 
-    Groups of one document say nothing of the spread within; without any spread beyond chance the prior is strong.
+    Groups of one document say nothing of the spread within and are left out; without any spread beyond chance the prior is
+    strong. In a group above with N documents, parts of n documents with variance v: the sum of n (mean - Mean)^2 is expected
+    to be that of (1 - n / N) v, plus the variance between parts times N - (sum of n^2) / N.
     """
-    within = F.greatest(F.col("squares") / F.col("n") - F.pow(F.col("total") / F.col("n"), 2), F.lit(0.0)) / (F.col("n") - 1)
-    gap = F.pow(F.col("total") / F.col("n") - F.lit(mean), 2) - within
-    row = groups.where("n > 1").agg(F.sum(F.col("n") * gap).alias("between"), F.sum("n").alias("n")).first()
-    between = (row.between or 0.0) / (row.n or 1)
-    return float(np.clip(mean * (1 - mean) / between - 1, 1.0, 1e6)) if between > 0 else 1e6
+    v = F.greatest(F.col("squares") - F.col("total") * F.col("total") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
+    parts = groups.where("n > 1").withColumn("v", v)
+    sums = {"n": "n", "total": "total", "n2": "n * n", "spread": "total * total / n", "v": "v", "nv": "n * v"}
+    sums = parts.groupBy(*above).agg(*[F.sum(F.expr(e)).alias(f"s_{name}") for name, e in sums.items()])
+    room = F.col("s_n") - F.col("s_n2") / F.col("s_n")
+    mean = F.col("s_total") / F.col("s_n")
+    beyond = F.col("s_spread") - F.col("s_total") * mean - (F.col("s_v") - F.col("s_nv") / F.col("s_n"))
+    row = sums.where("s_n > 0").agg(F.sum(room * mean * (1 - mean)).alias("most"), F.sum(beyond).alias("beyond")).first()
+    if row.most is None or row.beyond <= 0:
+        return STRONG
+    return float(np.clip(row.most / row.beyond - 1, 1.0, STRONG))
 
 
 def _logit(p: Column) -> Column:
@@ -115,8 +126,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     hosts = stage(paths.groupBy("host").agg(*more), "hosts")
     whole = hosts.agg(*more).first()
     mean = min(max((whole.total or 0.5) / (whole.n or 1), LEAST), 1 - LEAST)
-    k_host = _strength(hosts, mean)
-    k_path = _strength(paths, mean)
+    k_host = _strength(hosts, [])
+    k_path = _strength(paths, ["host"])
     above = hosts.select(F.col("host").alias("a_host"), F.col("n").alias("h_n"), F.col("total").alias("h_total"))
     site = paths.join(above, F.col("host").eqNullSafe(F.col("a_host"))).select(
         F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "total", "h_n", "h_total"

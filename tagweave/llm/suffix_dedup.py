@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,9 @@ def anchored_segments(buf: np.ndarray, offsets: np.ndarray, gram: int, window: i
     nth = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = starts[run] + nth * RUN
     n = np.minimum(ends[run] - begin, RUN)
-    digest = mix((sums[begin + n + window - 1] - sums[begin]) * back[begin] + n.astype(np.uint64))
+    data = memoryview(buf.tobytes())
+    spans = zip(begin.tolist(), (begin + n + window - 1).tolist(), strict=True)
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(data[b:e]) for b, e in spans), np.uint64, len(begin))
     times = 1 + (where[begin] != where[begin + n - 1]).astype(np.int64)
     return text[begin], begin, n, mix(least[begin]).view(np.int64), digest.view(np.int64), times
 

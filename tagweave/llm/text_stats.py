@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from tagweave.llm.common import flat, mix, random_words, span_hashes, word_spans
+from tagweave.llm.common import flat, mix, random_words, word_hashes, word_spans
 
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
@@ -73,7 +73,7 @@ def measure(column: pa.Array) -> Texts:
     text = np.repeat(np.arange(n), n_words)
     letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     chars = letters[ends] - letters[starts]
-    words = span_hashes(buf, starts, ends, 81) if len(starts) else np.zeros(0, np.uint64)
+    words = word_hashes(buf, starts, ends, 81)
     covered = np.zeros(len(words), bool)
     if len(words) >= 3:
         factor = random_words(82, 3)
@@ -94,7 +94,7 @@ def measure(column: pa.Array) -> Texts:
     before = np.concatenate([[-1], cuts])[line_of_word[head]] + 1
     after = np.concatenate([cuts, [len(buf)]])[line_of_word[head]]
     begin, end = np.maximum(before, offsets[:-1][line_text]), np.minimum(after, offsets[1:][line_text])
-    again = _repeated_before(span_hashes(buf, begin, end, 83), line_text)[0] if len(head) else new
+    again = _repeated_before(word_hashes(buf, begin, end, 83), line_text)[0] if len(head) else new
     size = tail - head
     share = lambda mask: _per(mask, starts[head], ends[tail - 1]) / np.maximum(1, ends[tail - 1] - starts[head])
     values = {

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from tagweave.llm.common import blocks, flat, keyed_rows, small_batches, span_hashes, word_spans
+from tagweave.llm.labelled import sample_labelled
 
 #: Labelled documents of each class that train at most; chosen by hash.
 SAMPLE = 2000
@@ -173,22 +174,13 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most about ``sample`` labelled documents of each class that are not held out.
 
-    Labels are ``doc_id, toxic``; nulls are ignored, a document with several labels is toxic if any says so. The labels
-    chosen are bounded by ``sample``, so they can be broadcast and the texts they name gathered.
+    Labels are ``doc_id, toxic``; nulls are ignored, a document with several labels is toxic if any says so.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(
-        F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
-    )
-    known = known.where(~F.coalesce(held_out("l_id"), F.lit(False)))
-    sizes = {row.toxic: row.n for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    shares = [min(1.0, sample / sizes.get(c, 1)) for c in (0, 1)]
-    rank = F.pmod(F.xxhash64(F.lit("sample"), "l_id"), F.lit(1_000_000))
-    chosen = known.where(rank < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]) * 1_000_000)
-    given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
-    rows = given.join(F.broadcast(chosen), "l_id").orderBy("l_id", "text").select("text", "toxic").toArrow()
-    truth = rows.column("toxic").to_numpy().astype(np.int64)
-    weights = np.where(truth == 1, 1.0, shares[1] / shares[0])
-    return fit([t or "" for t in rows.column("text").to_pylist()], truth, weights)
+    rows = sample_labelled(docs, labels, "toxic", sample, "sample", ~F.coalesce(held_out("l_id"), F.lit(False)))
+    truth = np.array([y for _, y, _ in rows], np.int64)
+    share = {y: w for _, y, w in rows}
+    weights = np.where(truth == 1, 1.0, share.get(0, 1.0) / share.get(1, 1.0))
+    return fit([t for t, *_ in rows], truth, weights)
 
 
 def _scored(model):

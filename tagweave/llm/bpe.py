@@ -10,18 +10,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import blocks, discard, small_batches, stage
+from tagweave.llm.common import blocks, discard, flat, release_memory, small_batches, stage
 from tagweave.llm.lexicon import Lexicon, compile_lexicon
+from tagweave.llm.words import character_classes, cut_words
 
 #: Fixed value: the public pattern that cuts a text into words before byte-level merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,8 +31,11 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words in the lexicon, by falling frequency: bounds its size.
 LEXICON_WORDS = 32_768
 
-#: Entries that a task remembers of what it has encoded; then it starts anew. Longer pieces are never remembered.
-MEMO, MEMO_CHARS = 1 << 17, 48  # twice as many pieces as words
+#: Words in each of the two generations that a task remembers; longer words are never remembered or counted.
+MEMO, MEMO_BYTES = 1 << 17, 48
+
+#: Bytes of text that are encoded at once.
+BLOCK = 4 << 20
 
 #: Above every rank.
 NO_RANK = 1 << 30
@@ -60,9 +65,15 @@ class Bpe:
         self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
+
+    @cached_property
+    def cut(self):
         longest_first = sorted(self.special, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self.words = regex.compile(WORDS).findall
+        return regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
+
+    @cached_property
+    def words(self):
+        return regex.compile(WORDS).findall
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: of all neighbours, the pair of lowest rank, leftmost first, is joined until none is left."""
@@ -160,113 +171,86 @@ class Bpe:
 
 
 class Encoder:
-    """Encodes whole texts to decimal ids joined by commas. A text is cut at single spaces first, which are always word
-    boundaries; those pieces are remembered, so that the pattern runs only over pieces not met before."""
-
-    def __init__(self, bpe: Bpe, lexicon: Lexicon):
-        self.bpe, self.lexicon = bpe, lexicon
-        self.pieces: dict[str, str] = {}  # a piece after a space, and its ids with that space
-        self.heads: dict[str, str] = {}  # a piece at the beginning of a text
-        self.word_ids: dict[str, str] = {}
-
-    def _look_up(self, words: set[str]) -> dict[str, str]:
-        """Ids of words: from the transducer, else by merging."""
-        known = self.word_ids
-        got = {w: known[w] for w in words if w in known}
-        new = [w for w in words if w not in got]
-        if not new:
-            return got
-        raw = [w.encode() for w in new]
+    """Encodes blocks of whole texts to decimal ids joined by commas: words are cut for all texts at once, and each distinct
+    word of a segment is looked up once. The words met last are remembered, in two generations of ``MEMO`` each."""
+
+    def __init__(self, bpe: Bpe, lexicon: Lexicon, classes: np.ndarray):
+        self.bpe, self.lexicon, self.classes = bpe, lexicon, classes
+        self.young: dict[bytes, str] = {}
+        self.old: dict[bytes, str] = {}
+
+    def _look_up(self, words: list[bytes]) -> list[str]:
+        """Ids of distinct words: remembered, from the transducer, or by merging."""
+        out = list(map(self.young.get, words))
+        for n, ids in enumerate(out):
+            if ids is None and (ids := self.old.get(words[n])) is not None:
+                out[n] = self.young[words[n]] = ids
+        new = [n for n, ids in enumerate(out) if ids is None]
+        raw = [words[n] for n in new]
         ranks = self.lexicon.ranks(raw).tolist()
-        unseen = [n for n, rank in enumerate(ranks) if rank < 0]
-        merged = dict(zip(unseen, self.bpe.merge_all([raw[n] for n in unseen]), strict=True))
-        for n, (word, rank) in enumerate(zip(new, ranks, strict=True)):
-            got[word] = ",".join(map(str, self.lexicon.ids_of(rank) if rank >= 0 else merged[n]))
-        if len(known) > MEMO:
-            known.clear()
-        known.update((w, got[w]) for w in new if len(w) <= MEMO_CHARS)
-        return got
-
-    def _plain(self, text: str) -> list[str]:
-        words = self.bpe.words(text)
-        return list(map(self._look_up(set(words)).__getitem__, words))
-
-    def _whole(self, text: str) -> list[str]:
-        """Any text, special tokens too."""
-        parts = self.bpe.cut.split(text) if self.bpe.cut else [text]
-        return [i for n, part in enumerate(parts) if part for i in ([str(self.bpe.special[part])] if n % 2 else self._plain(part))]
-
-    def encode_all(self, texts: list[str]) -> list[list[str]]:
-        """For each text its ids, in groups joined by commas."""
-        out: list[list[str] | None] = [None] * len(texts)
-        waiting: dict[int, tuple[str, list[str], list[str | None], list[int]]] = {}
-        missing: set[str] = set()
-        special = tuple(self.bpe.special)
-        get = self.pieces.get
-        for n, text in enumerate(texts):
-            if any(s in text for s in special):
-                out[n] = self._whole(text)
-                continue
-            pieces = text.split(" ")
-            head = pieces.pop(0)
-            first = self.heads.get(head) if head else ""
-            found = list(map(get, pieces))
-            if first is None or None in found:
-                gaps = [i for i, f in enumerate(found) if f is None]
-                waiting[n] = head, pieces, found, gaps
-                missing.update([pieces[i] for i in gaps])
-            else:
-                out[n] = [first, *found] if head else found
-        if waiting:
-            cut = {p: [" " + p] if p.isalpha() else self.bpe.words(" " + p) for p in missing if p and not p[0].isspace()}
-            cut_heads = {h: self.bpe.words(h) for h, *_ in waiting.values() if h}
-            ids = self._look_up({w for words in (*cut.values(), *cut_heads.values()) for w in words})
-            new = {p: ",".join(map(ids.__getitem__, words)) for p, words in cut.items()}
-            heads = {h: ",".join(map(ids.__getitem__, words)) for h, words in cut_heads.items()}
-            for n, (head, pieces, groups, gaps) in waiting.items():
-                for i in gaps:
-                    groups[i] = new.get(pieces[i])
-                if None in groups:  # a space before white space or the end is no boundary: the pattern takes the whole text
-                    out[n] = self._plain(texts[n])
-                else:
-                    out[n] = [heads[head], *groups] if head else groups
-            for memo, fresh in ((self.pieces, new), (self.heads, heads)):
-                if len(memo) > 2 * MEMO:
-                    memo.clear()
-                memo.update((p, i) for p, i in fresh.items() if len(p) <= MEMO_CHARS)
+        unseen = [k for k, rank in enumerate(ranks) if rank < 0]
+        merged = dict(zip(unseen, self.bpe.merge_all([raw[k] for k in unseen]), strict=True))
+        for k, (n, word, rank) in enumerate(zip(new, raw, ranks, strict=True)):
+            out[n] = ",".join(map(str, self.lexicon.ids_of(rank) if rank >= 0 else merged[k]))
+            if len(word) <= MEMO_BYTES:
+                self.young[word] = out[n]
+            if len(self.young) >= MEMO:
+                self.old, self.young = self.young, {}
         return out
 
+    def _with_special(self, text: str) -> str:
+        """A text with special tokens in it."""
+        ids = []
+        for n, part in enumerate(self.bpe.cut.split(text)):
+            words = [w.encode() for w in self.bpe.words(part)] if n % 2 == 0 else []
+            known = dict(zip(once := list(dict.fromkeys(words)), self._look_up(once), strict=True))
+            ids += [str(self.bpe.special[part])] if n % 2 else map(known.__getitem__, words)
+        return ",".join(ids)
+
+    def encode_all(self, column: pa.Array) -> list[str]:
+        """For each text its ids."""
+        buf, bounds = flat(column)
+        out: list[list[str]] = [[] for _ in range(len(bounds) - 1)]
+        for words, text in cut_words(self.classes, buf, bounds, BLOCK):
+            ids = self._look_up(words.dictionary.to_pylist())
+            found = list(map(ids.__getitem__, words.indices.to_numpy().tolist()))
+            heads = np.flatnonzero(np.diff(text, prepend=-1))
+            for n, begin, end in zip(text[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(text)], strict=True):
+                out[n].append(",".join(found[begin:end]))
+        joined = list(map(",".join, out))
+        whole = buf.tobytes()
+        for special in self.bpe.special:
+            at = whole.find(special.encode())
+            while at >= 0:
+                n = int(np.searchsorted(bounds, at, side="right")) - 1
+                joined[n] = self._with_special(whole[bounds[n] : bounds[n + 1]].decode())
+                at = whole.find(special.encode(), max(at + 1, int(bounds[n + 1])) if at + len(special.encode()) <= bounds[n + 1] else at + 1)
+        return joined
+
+
+def _word_counter(shared):
+    """shared: a broadcast of the character classes."""
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = regex.compile(WORDS).findall
-    pieces: Counter[str] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        counts: Counter[str] = Counter()
-        for piece, n in pieces.items():
-            for word in (" " + piece,) if piece.isalpha() else words(" " + piece):
-                counts[word] += n
-        pieces.clear()
-        kept = [w for w in counts if len(w) <= MEMO_CHARS]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kept, pa.string()), pa.array([counts[w] for w in kept], pa.int64())], ["word", "n"]
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.frombuffer(shared.value, np.uint8)
+        for block in blocks(batches, "text", BLOCK):
+            for words, _ in cut_words(classes, *flat(block.column("text")), BLOCK):
+                counts = pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).astype(np.int64))
+                short = pc.less_equal(pc.binary_length(words.dictionary), MEMO_BYTES)
+                yield pa.RecordBatch.from_arrays([words.dictionary.filter(short).cast(pa.binary()), counts.filter(short)], ["word", "n"])
+        release_memory()
 
-    for block in blocks(batches, "text", 4 << 20):
-        for text in block.column("text").to_pylist():
-            pieces.update((text or "").split(" "))
-        if len(pieces) > 300_000:
-            yield flush()
-    yield flush()
+    return run
 
 
-def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, ``size`` at most; words over 48 characters are left to merging.
+def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORDS) -> list[bytes]:
+    """The most frequent words of all documents, ``size`` at most; words over 48 bytes are left to merging.
 
     Counts are compared by eighths of a power of two, so a histogram of a few hundred rows tells the driver from which
     frequency on it may gather words.
     """
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long")
+    classes = docs.sparkSession.sparkContext.broadcast(character_classes().tobytes())
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_word_counter(classes), "word binary, n long")
     counts = found.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
     counted = stage(counts, "words")
     room, least = size, None
@@ -275,86 +259,83 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON_WORD
         if room < 0:
             break
         least = row.level
-    words = [] if least is None else [row.word for row in counted.where(F.col("level") >= least).select("word").collect()]
+    words = [] if least is None else [bytes(row.word) for row in counted.where(F.col("level") >= least).select("word").collect()]
     discard(counted)
+    classes.destroy()
     return words
 
 
-def build_lexicon(docs: DataFrame, vocabulary: bytes, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    bpe = Bpe(vocabulary)
-    return compile_lexicon({(raw := w.encode()): bpe.merge(raw) for w in frequent_words(docs, text, size)})
-
-
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
+def build_lexicon(docs: DataFrame, bpe: Bpe, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
+    return compile_lexicon({word: bpe.merge(word) for word in frequent_words(docs, text, size)})
 
 
-def _encoder(vocabulary, lexicon) -> Encoder:
-    """This process's encoder for two broadcasts: the vocabulary file and the compiled transducer."""
-    key = hash(vocabulary.value), hash(lexicon.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Bpe(vocabulary.value), Lexicon.mapped(lexicon.value))
-    return _ENCODERS[key]
+def _encoded(shared):
+    """shared: a broadcast of the vocabulary, the compiled transducer and the character classes. An encoder lives as long as
+    its task's stream."""
 
-
-def _encode(vocabulary, lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray], list[str]]]:
-        for block in blocks(batches, "text", 4 << 20):
-            encoder = _encoder(vocabulary, lexicon)
-            joined = [",".join(groups) for groups in encoder.encode_all([t or "" for t in block.column("text").to_pylist()])]
-            ids = [np.fromstring(i, np.int64, sep=",") if i else np.zeros(0, np.int64) for i in joined]
-            yield block, joined, ids, [encoder.bpe.decode(i).decode("utf-8", "replace") for i in ids]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray], Bpe]]:
+        encoder = None
+        for block in blocks(batches, "text", BLOCK):
+            if encoder is None:
+                bpe, lexicon, classes = pickle.loads(shared.value)
+                encoder = Encoder(bpe, Lexicon.mapped(lexicon), np.frombuffer(classes, np.uint8))
+            joined = encoder.encode_all(block.column("text"))
+            yield block, joined, [np.fromstring(i, np.int64, sep=",") if i else np.zeros(0, np.int64) for i in joined], encoder.bpe
+        del encoder
+        release_memory()
 
     return run
 
 
-def _digests(vocabulary, lexicon):
-    encode = _encode(vocabulary, lexicon)
+def _text_of(bpe: Bpe, ids: np.ndarray) -> str:
+    return bpe.decode(ids).decode("utf-8", "replace")
+
 
+def _digests(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
-        for block, joined, ids, decoded in encode(batches):
+        for block, joined, ids, bpe in _encoded(shared)(batches):
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), sha(joined), sha(decoded)],
+                [block.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), sha(joined), sha(_text_of(bpe, i) for i in ids)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     return run
 
 
-def _arrays(vocabulary, lexicon):
-    encode = _encode(vocabulary, lexicon)
-
+def _arrays(shared, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, ids, decoded in encode(batches):
-            columns = [*block.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*block.schema.names, "token_ids", "decoded"])
+        for block, _, ids, bpe in _encoded(shared)(batches):
+            columns = {"doc_id": block.column("doc_id"), "token_ids": pa.array(ids, pa.list_(pa.int32()))}
+            if decoded:
+                columns["decoded"] = pa.array([_text_of(bpe, i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
 def _shared(docs: DataFrame, path: str, text: str, size: int):
-    """Broadcasts of the file (its size is the vocabulary's) and of the lexicon (``size`` words)."""
+    """A broadcast of the vocabulary, the lexicon (``size`` words) and the character classes: its size does not hang on the data."""
     with open(path, "rb") as file:
-        vocabulary = file.read()
+        bpe = Bpe(file.read())
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    return context.broadcast(vocabulary), context.broadcast(build_lexicon(docs, vocabulary, text, size))
+    lexicon = build_lexicon(docs, bpe, text, size)
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps((bpe, lexicon, character_classes().tobytes()), pickle.HIGHEST_PROTOCOL))
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``doc_id``, ``token_ids`` and ``decoded`` (the text that the ids give) of every row.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS, decoded: bool = True) -> DataFrame:
+    """``doc_id``, ``token_ids`` and, if asked for, ``decoded`` (the text that the ids give) of every row.
 
     Null and empty texts have no ids and decode to the empty text; a null ``doc_id`` stays null; equal rows give equal
     results; other columns are ignored. Special tokens' strings in a text become their ids, as the public library does.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    run = _arrays(*_shared(chosen, path, "text", lexicon_words))
-    return chosen.mapInArrow(run, "doc_id long, text string, token_ids array<int>, decoded string").drop("text")
+    run = _arrays(_shared(chosen, path, "text", lexicon_words), decoded)
+    return chosen.mapInArrow(run, "doc_id long, token_ids array<int>" + ", decoded string" * decoded)
 
 
 def encode_digests(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """The contract's columns: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = _digests(*_shared(chosen, path, "text", lexicon_words))
+    run = _digests(_shared(chosen, path, "text", lexicon_words))
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

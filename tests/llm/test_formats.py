@@ -5,11 +5,13 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import bpe, chat, warc
 from tagweave.llm.lexicon import Lexicon, compile_lexicon
 from tagweave.llm.queries import vocabulary_path
+from tagweave.llm.words import character_classes
 
 NASTY = ["", "<|im_end|>", "\\<|", "a\\", "<", "|>", "<|im_start|>user\nhi<|im_end|>\n", "\n", "é😀", "\\n\\|"]
 
@@ -131,3 +133,19 @@ def test_archives_survive_records_in_payloads(spark):
     got = warc.archive_round_trip(frame).collect()
     assert set(map(tuple, got)) == want and len(got) == len(rows)
     assert warc.archive_round_trip(frame.where("false")).collect() == []
+
+
+def test_texts_with_special_tokens_and_remembered_words(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(vocabulary_path(), "rb") as file:
+        coder = bpe.Bpe(file.read())
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "\n\n", "the", " of", "zq", "'ll", "日本", "1"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(600)] + ["a<|endoftext|>", "<|endoftext|><|endoftext|>"]
+    want = [",".join(map(str, e.ids)) for e in Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    encoder = bpe.Encoder(coder, Lexicon(compile_lexicon({b" of": coder.merge(b" of")})), character_classes())
+    assert encoder.encode_all(pa.array(texts)) == want
+    assert len(encoder.young) <= 5 and len(encoder.old) <= 5

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.mathx import hash_order
-from tagweave.functions.ordering import global_rank, salted_join, slices
-from tagweave.plans import blocks, factors, joined
+from tagweave.functions.ordering import global_rank, slices
+from tagweave.plans import factors, grid
+from tagweave.plans.components import Beta, Columns
 from tagweave.plans.factors import PMFParams
-from tagweave.plans.pmf import check_ids, pick_path
-from tagweave.session import stage
+from tagweave.session import remove_path, stage
 
 
 def _shuffled(rows: DataFrame, params: PMFParams, n_pass: int) -> tuple[DataFrame, list[str]]:
@@ -30,14 +30,14 @@ def minibatch_split(rows: DataFrame, params: PMFParams, n_pass: int = 0) -> Data
 
 
 def pmf_partial_fit(counts: DataFrame, rows: DataFrame, beta: DataFrame, scale: float, rho: float,
-                    params: PMFParams, path: str = "auto") -> tuple[DataFrame, float]:
+                    params: PMFParams, block: int | None = None) -> tuple[DataFrame, float]:
     """One natural gradient step on one mini-batch; returns the new components and the stochastic bound."""
-    check_ids(counts, rows, beta)
-    if pick_path(beta, params, path) == "join":
-        return joined.gradient_step(counts, rows, beta, rho, scale, params)
-    state = blocks.start(blocks.pack(counts, rows), params)
-    comps, bound = blocks.gradient_step(state, blocks.Components.gather(beta), rho, scale, params)
-    return comps.frame(counts.sparkSession), bound
+    columns = Columns(beta, params, block)
+    cells = grid.build(counts, rows, columns, params)
+    moved = Beta.of(beta, columns, params)
+    bound = grid.gradient_step(cells, moved, rho, scale, params)
+    cells.drop()
+    return moved.frame(), bound
 
 
 @dataclass
@@ -51,38 +51,25 @@ class OnlineModel:
 
 
 def online_pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFParams,
-                   est_total: int | None = None, path: str = "auto") -> OnlineModel:
+                   est_total: int | None = None, block: int | None = None) -> OnlineModel:
     """``n_pass`` passes over shuffled mini-batches. The step number restarts at 1 in each pass, and the
     scale divides by the nominal batch size, also for a short last batch."""
-    spark = counts.sparkSession
+    columns = Columns(cols, params, block)
     n_rows = rows.count()
+    whole = grid.build(counts, rows, columns, params)
+    table = stage(whole.packed(), "rows")  # with the first weights: every batch starts its rows from the same draws
+    whole.drop()
+    beta = Beta.of(factors.init_shapes_rates(cols.select("d"), "d", "beta", params), columns, params)
     scale = float(n_rows if est_total is None else est_total) / params.batch_size
-    beta = factors.init_factors(cols, "d", "beta", params)
-    check_ids(counts, rows, cols)
-    block = pick_path(cols, params, path) == "block"
-    if block:
-        beta = blocks.Components.gather(beta)
-        # every batch starts its rows from the same draws, so they are made once for all passes
-        table = blocks.start(blocks.pack(counts, rows), params)
-    else:
-        beta = stage(beta, "components")
-        counts = stage(counts, "counts")
-        hot_rows = factors.hot_ids(counts, beta)["hot_rows"]
     history = []
     for n_pass in range(params.n_pass):
-        if block:
-            n_batches, batch_at = slices(*_shuffled(table, params, n_pass), params.batch_size, "batches")
-        else:
-            n_batches = -(-n_rows // params.batch_size)
-            # written in batch order, so that a batch reads only its own part of the files
-            split = stage(minibatch_split(rows.select("i"), params, n_pass).orderBy("batch"), "batches")
-            cells = stage(salted_join(counts, split, "i", "d", hot_rows).orderBy("batch"), "batches")
+        # sorted by batch once a pass, so that a batch reads only its own part of the files
+        n_batches, batch_at = slices(*_shuffled(table, params, n_pass), params.batch_size, "batches")
         for n in range(n_batches):
-            rho = factors.learning_rate(params, n + 1)
-            if block:
-                beta, bound = blocks.gradient_step(batch_at(n).drop("_order"), beta, rho, scale, params)
-            else:
-                own, ids = (table.where(F.col("batch") == n).drop("batch") for table in (cells, split))
-                beta, bound = joined.gradient_step(own, ids, beta, rho, scale, params)
+            batch = grid.Grid.of_rows(batch_at(n), columns, min(params.batch_size, n_rows), params)
+            bound = grid.gradient_step(batch, beta, factors.learning_rate(params, n + 1), scale, params)
+            batch.drop()
             history.append((n_pass, n, float(bound)))
-    return OnlineModel(params, beta.frame(spark) if block else beta, history)
+        remove_path(counts.sparkSession, batch_at.staged_path)
+    remove_path(counts.sparkSession, table.staged_path)
+    return OnlineModel(params, beta.frame(), history)

@@ -12,32 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.vectors import lowest, matrix
-from tagweave.plans import blocks, factors, joined
+from tagweave.plans import factors, grid
+from tagweave.plans.components import Beta, Columns
 from tagweave.plans.factors import PMFParams
 from tagweave.session import MODEL_CELLS, stage
 
 ATTRIBUTES = ("e", "el", "g", "r")
 
 
-def fits_in_task(n_ids: int, n_components: int) -> bool:
-    return n_ids * n_components <= MODEL_CELLS
-
-
-def pick_path(cols: DataFrame, params: PMFParams, path: str) -> str:
-    """``block`` broadcasts the components, ``join`` never does; ``auto`` decides by their counted size and ids.
-
-    The block path numbers components 0 .. D-1; other ids take the join path. Either gives the same model.
-    """
-    if path == "auto":
-        if not isinstance(cols.schema["d"].dataType, (T.IntegerType, T.LongType)):
-            return "join"
-        n, low, high = cols.agg(F.count("*"), F.min("d"), F.max("d")).first()
-        return "block" if fits_in_task(n, params.n_components) and (low, high) == (0, n - 1) else "join"
-    if path not in ("block", "join"):
-        raise ValueError(f"unknown path {path!r}")
-    return path
-
-
 @dataclass
 class PMFModel:
     """Fitted weights and components with the history of the bound."""
@@ -49,53 +31,41 @@ class PMFModel:
     bounds: list[float]
 
 
-def _theta_frame(weights: blocks.Weights) -> DataFrame:
+def theta_frame(weights: grid.Weights) -> DataFrame:
+    """The fitted weights ``i, g, r, e, el``; they are read from their files and need no catalog any more."""
+    state = weights.state.frame()
+    kept = state.sparkSession.read.schema(state.schema).parquet(weights.state.release()).where("d is null")
     shared = F.array(*[F.lit(float(v)) for v in weights.rate])
-    return factors.gamma_expectations(weights.state.select("i", "g", F.coalesce("r", shared).alias("r")))
+    return factors.gamma_expectations(kept.select("i", "g", F.coalesce("r", shared).alias("r")))
 
 
-def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFParams, path: str = "auto") -> PMFModel:
+def pmf_fit(counts: DataFrame, rows: DataFrame, cols: DataFrame, params: PMFParams, block: int | None = None) -> PMFModel:
     """Fit weights and components to counts ``(i, d, x)``; ``rows(i)`` and ``cols(d)`` name all ids.
 
     Counts are one row per (i, d). Ids of counts that the dimensions do not name, and repeated or null ids in the
-    dimensions, are errors on either path; ``d`` must be 0 .. D-1 for the block path.
+    dimensions, are errors. ``block`` is the number of columns whose components are held at once; by default as many as
+    ``MODEL_CELLS`` values allow.
     """
-    check_ids(counts, rows, cols)
-    beta = factors.init_factors(cols, "d", "beta", params)
-    if pick_path(cols, params, path) == "join":
-        fitted = joined.fit(counts, rows, cols, beta, params)
-        return PMFModel(params, fitted.theta, fitted.beta, fitted.c, fitted.bounds)
-    state = blocks.start(blocks.pack(counts, rows), params)
-    weights, comps, bounds = blocks.run(state, blocks.Components.gather(beta), params, learn_beta=True)
-    return PMFModel(params, _theta_frame(weights), comps.frame(counts.sparkSession), weights.c, bounds)
-
-
-def check_ids(counts: DataFrame, rows: DataFrame, cols: DataFrame) -> None:
-    """Counts may only have ids of the dimensions, which name each id once and none that is null."""
-    for ids, key, what in ((rows, "i", "rows"), (cols, "d", "columns")):
-        n, named, different = ids.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
-        if n != named or n != different:
-            raise ValueError(f"the {what} have null or repeated ids")
-        if not counts.select(key).distinct().join(ids.select(key), key, "left_anti").isEmpty():
-            raise ValueError(f"the counts have {what} that the dimensions do not have")
+    columns = Columns(cols, params, block)
+    cells = grid.build(counts, rows, columns, params)
+    beta = Beta.of(factors.init_shapes_rates(cols.select("d"), "d", "beta", params), columns, params)
+    weights, bounds = grid.run(cells, beta, params, learn_beta=True)
+    cells.drop()
+    return PMFModel(params, theta_frame(weights), beta.frame(), weights.c, bounds)
 
 
 def pmf_transform(counts: DataFrame, rows: DataFrame, beta: DataFrame | None, params: PMFParams,
-                  attr: str = "e", path: str = "auto") -> DataFrame:
+                  attr: str = "e", block: int | None = None) -> DataFrame:
     """Fold new rows in with fixed components; returns ``(i, attr)``."""
     if beta is None:
         raise ValueError("there are no components to fold in with")
     if attr not in ATTRIBUTES:
         raise ValueError(f"attr must be one of {ATTRIBUTES}")
-    check_ids(counts, rows, beta)
-    if pick_path(beta, params, path) == "join":
-        theta = joined.fold_in(counts, rows, beta, params).theta
-    else:
-        comps = blocks.Components.gather(beta)
-        state = blocks.start(blocks.pack(counts, rows), params)
-        weights, _, _ = blocks.run(state, comps, params, learn_beta=False, last_bound=False)
-        theta = _theta_frame(weights)
-    return theta.select("i", attr)
+    columns = Columns(beta, params, block)
+    cells = grid.build(counts, rows, columns, params)
+    weights, _ = grid.run(cells, Beta.of(beta, columns, params), params, learn_beta=False, last_bound=False)
+    cells.drop()
+    return theta_frame(weights).select("i", attr)
 
 
 def _score_block(theta: DataFrame, tags: DataFrame, ids: Any, e: np.ndarray, top: int | None) -> DataFrame:
@@ -109,7 +79,7 @@ def _score_block(theta: DataFrame, tags: DataFrame, ids: Any, e: np.ndarray, top
         d, comp = bc.value
         for batch in batches:
             weights = matrix(batch.column(1), width)
-            step = max(1, blocks.CHUNK_CELLS // max(1, len(d)))
+            step = max(1, grid.CHUNK_CELLS // max(1, len(d)))
             for lo in range(0, len(weights), step):
                 scores = weights[lo : lo + step] @ comp.T
                 n = len(scores)

@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from twin import Twin, arrays, expectations
 
+from tagweave import session
 from tagweave.functions import ordering
 from tagweave.operators import counts
-from tagweave.plans import blocks, factors, joined, online, pmf
+from tagweave.plans import factors, grid, online, pmf
+from tagweave.plans.components import Beta, Columns
+from tagweave.plans.grid import Bucketed
 from tagweave.plans.factors import PMFParams
 from tagweave.session import stage
 
@@ -28,13 +31,13 @@ def data(spark):
     return x, matrix, rows, cols
 
 
-@pytest.mark.parametrize(("path", "steps"), [("block", 4), ("join", 2)])
-def test_fit_equals_the_dense_updates(data, path, steps):
+@pytest.mark.parametrize(("block", "steps"), [(None, 4), (4, 3)])
+def test_fit_equals_the_dense_updates(data, block, steps):
     x, matrix, rows, cols = data
     params = dataclasses.replace(PARAMS, max_iter=steps)
     twin = Twin(x, rows, cols, params)
     bounds = twin.fit()
-    model = pmf.pmf_fit(matrix, rows, cols, params, path)
+    model = pmf.pmf_fit(matrix, rows, cols, params, block)
     np.testing.assert_allclose(arrays(model.theta, "i", "g"), twin.g, rtol=1e-9)
     np.testing.assert_allclose(arrays(model.theta, "i", "r"), twin.r, rtol=1e-9)
     np.testing.assert_allclose(arrays(model.beta, "d", "g").T, twin.gb, rtol=1e-9)
@@ -44,24 +47,24 @@ def test_fit_equals_the_dense_updates(data, path, steps):
     assert all(b > a for a, b in zip(bounds, bounds[1:]))
 
 
-@pytest.mark.parametrize(("path", "tol"), [("block", 0.5), ("block", 0.02), ("join", 0.5)])
-def test_stops_like_the_dense_loop(data, path, tol):
+@pytest.mark.parametrize(("block", "tol"), [(None, 0.5), (None, 0.02), (6, 0.5)])
+def test_stops_like_the_dense_loop(data, block, tol):
     x, matrix, rows, cols = data
     params = dataclasses.replace(PARAMS, tol=tol, max_iter=12)
     twin = Twin(x, rows, cols, params)
     bounds = twin.fit()
     assert 2 <= len(bounds) < 12
-    model = pmf.pmf_fit(matrix, rows, cols, params, path)
+    model = pmf.pmf_fit(matrix, rows, cols, params, block)
     np.testing.assert_allclose(model.bounds, bounds, rtol=1e-9)
     np.testing.assert_allclose(arrays(model.theta, "i", "g"), twin.g, rtol=1e-9)
     np.testing.assert_allclose(arrays(model.beta, "d", "g").T, twin.gb, rtol=1e-9)
 
 
 def test_stop_rule():
-    assert not joined.stopped(-5.0, -np.inf, 1e-3)
-    assert joined.stopped(-6.0, -5.0, 1e-3)
-    assert joined.stopped(-5.0, -5.0, 1e-3)
-    assert not joined.stopped(-4.0, -5.0, 1e-3)
+    assert not grid.stopped(-5.0, -np.inf, 1e-3)
+    assert grid.stopped(-6.0, -5.0, 1e-3)
+    assert grid.stopped(-5.0, -5.0, 1e-3)
+    assert not grid.stopped(-4.0, -5.0, 1e-3)
 
 
 def test_shares_add_up_to_the_counts(data):
@@ -71,15 +74,15 @@ def test_shares_add_up_to_the_counts(data):
     assert (arrays(theta, "i", "g")[3] == PARAMS.a).all()
 
 
-@pytest.mark.parametrize(("path", "attr"), [("block", "e"), ("block", "el"), ("join", "e")])
-def test_fold_in(data, path, attr):
+@pytest.mark.parametrize(("block", "attr"), [(None, "e"), (None, "el"), (4, "e")])
+def test_fold_in(data, block, attr):
     x, matrix, rows, cols = data
     params = dataclasses.replace(PARAMS, max_iter=2)
     beta = stage(factors.init_factors(cols, "d", "beta", params), "beta")
     twin = Twin(x, rows, cols, params)
     twin.start()
     twin.loop(x, learn_beta=False)
-    folded = pmf.pmf_transform(matrix, rows, beta, params, attr, path)
+    folded = pmf.pmf_transform(matrix, rows, beta, params, attr, block)
     e, el = expectations(twin.g, twin.r)
     np.testing.assert_allclose(arrays(folded, "i", attr), {"e": e, "el": el}[attr], rtol=1e-9)
 
@@ -89,7 +92,7 @@ def test_fold_in_errors(data):
     beta = factors.init_factors(cols.where("d < 9"), "d", "beta", PARAMS)
     with pytest.raises(ValueError):
         pmf.pmf_transform(matrix, rows, None, PARAMS)
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="dimensions"):
         pmf.pmf_transform(matrix, rows, beta, PARAMS)
     with pytest.raises(ValueError):
         pmf.pmf_transform(matrix.where("d < 9"), rows, beta, PARAMS, attr="c")
@@ -98,14 +101,100 @@ def test_fold_in_errors(data):
 
 
 def test_small_chunks_change_nothing(data, monkeypatch):
+    """In this process, as tasks have modules of their own: one scan of all rows in chunks of any size."""
+    _, matrix, rows, cols = data
+    columns = Columns(cols, PARAMS)
+    cells = grid.build(matrix, rows, columns, PARAMS)
+    packed = cells.packed().select("i", F.col("parts")[0]["cols"].alias("cols"), F.col("parts")[0]["xs"].alias("xs"), "g", "r")
+    table = packed.withColumn("acc", F.lit(None).cast("array<double>")).toArrow()
+    beta = Beta.of(factors.init_shapes_rates(cols, "d", "beta", PARAMS), columns, PARAMS)
+
+    class Held:
+        value = np.exp(beta.get(0).el)
+
+    class Frame:
+        """Stands in for the joined table: runs the task here."""
+
+        def __init__(self, frame):
+            self.frame, self.schema = frame, frame.schema
+
+        def join(self, *_):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def hint(self, _):
+            return self
+
+        def mapInArrow(self, task, _):
+            return list(task(table.to_batches()))
+
+    def told():
+        state = Frame(cells.started)
+        return grid.scan(state, state, Held, PARAMS, None, np.full(3, 2.0), True, True)
+
+    whole = told()
+    monkeypatch.setattr(grid, "CHUNK_CELLS", 30)
+    for one, other in zip(whole, told(), strict=True):
+        for name in ("g", "s"):
+            a, b = one.column(name).flatten().to_numpy(), other.column(name).flatten().to_numpy()
+            np.testing.assert_allclose(a, b, rtol=1e-9)
+    cells.drop()
+
+
+@pytest.mark.parametrize("block", [None, 4])
+def test_counts_are_written_once_and_nothing_stays(spark, data, block, tmp_path, monkeypatch):
+    """A step writes as much for a matrix with a hundred times the counts; what is left is the returned state."""
+    written = {}
+    made = Bucketed.__init__
+
+    def noted(self, frame, label, buckets, partition=None):
+        made(self, frame, label, buckets, partition)
+        folder = tmp_path / self.path.rsplit("/", 1)[-1]
+        written.setdefault(label, []).append(sum(f.stat().st_size for f in folder.rglob("*.parquet")))
+
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(Bucketed, "__init__", noted)
+    sizes = {}
+    rows, cols = spark.range(300).withColumnRenamed("id", "i"), spark.range(15).select(F.col("id").cast("int").alias("d"))
+    for share in (1, 15):
+        cells = rows.crossJoin(cols).where(F.col("d") < share).select("i", "d", (F.rand(1) + 1).alias("x"))
+        written.clear()
+        pmf.pmf_fit(cells, rows, cols, PARAMS, block)
+        assert len(written["cells"]) == 1
+        sizes[share] = (written["cells"][0], max(written["state"]))
+    assert sizes[15][0] > 1.3 * sizes[1][0] and sizes[15][1] < 1.25 * sizes[1][1]
+    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert left.count("cells") == 0 and left.count("state") == 2, left
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("cells_", "state_"))]
+
+
+def test_cells_and_state_meet_without_a_shuffle(spark, data):
     _, matrix, rows, cols = data
-    whole = pmf.pmf_fit(matrix, rows, cols, PARAMS, "block")
-    state = blocks.start(blocks.pack(matrix, rows).repartition(1), PARAMS)
-    monkeypatch.setattr(blocks, "CHUNK_CELLS", 30)
-    beta = blocks.Components.gather(factors.init_factors(cols, "d", "beta", PARAMS))
-    weights, comps, bounds = blocks.run(state, beta, PARAMS, learn_beta=True)
-    np.testing.assert_allclose(bounds, whole.bounds, rtol=1e-9)
-    np.testing.assert_allclose(comps.g, arrays(whole.beta, "d", "g"), rtol=1e-9)
+    columns = Columns(cols, PARAMS)
+    cells = grid.build(matrix, rows, columns, PARAMS)
+    state = cells.start()
+    shared = spark.sparkContext.broadcast(np.ones((15, 3)))
+    scanned = grid.scan(cells.block(0), grid.rows_of(state), shared, PARAMS, None, np.ones(3), True, True)
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ShuffledHashJoin" in plan, plan
+    state.drop()
+    cells.drop()
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_columns_of_any_id_are_numbered(spark, data, kind):
+    """Ids that are not 0 .. D-1 give the model of their draws."""
+    x, matrix, rows, cols = data
+    name = F.concat(F.lit("c"), F.lpad("d", 2, "0")) if kind == "string" else F.col("d") * 7 + 100
+    renamed, named = matrix.withColumn("d", name), cols.select(name.alias("d"))
+    twin = Twin(x, rows, named, PARAMS)
+    bounds = twin.fit()
+    model = pmf.pmf_fit(renamed, rows, named, PARAMS, block=6)
+    np.testing.assert_allclose(model.bounds, bounds, rtol=1e-9)
+    np.testing.assert_allclose(arrays(model.beta, "d", "g").T, twin.gb, rtol=1e-9)
+    assert model.beta.schema["d"].dataType == named.schema["d"].dataType
 
 
 def test_large_components_are_joined_with_salt(data, monkeypatch):
@@ -138,12 +227,6 @@ def test_scores_and_fused_top_k(data, monkeypatch):
         assert {(r.i, r.d) for r in best} == {(i, d) for i in range(20) for d in order[i]}
 
 
-def test_components_need_dense_ids(data):
-    _, _, _, cols = data
-    with pytest.raises(ValueError):
-        blocks.Components.gather(factors.init_factors(cols.where("d <> 4"), "d", "beta", PARAMS))
-
-
 @pytest.mark.parametrize("shuffle", [True, False])
 def test_minibatches(data, shuffle):
     rows = data[2]
@@ -157,10 +240,10 @@ def test_minibatches(data, shuffle):
         assert split != other
 
 
-@pytest.mark.parametrize(("path", "size", "n_pass"), [("block", 8, 2), ("join", 14, 1)])
-def test_online_fit_equals_the_dense_steps(data, path, size, n_pass):
+@pytest.mark.parametrize(("block", "size", "n_pass"), [(None, 8, 2), (6, 14, 1)])
+def test_online_fit_equals_the_dense_steps(data, block, size, n_pass):
     x, matrix, rows, cols = data
-    params = dataclasses.replace(PARAMS, max_iter=2 if path == "block" else 1, batch_size=size, n_pass=n_pass)
+    params = dataclasses.replace(PARAMS, max_iter=2 if block is None else 1, batch_size=size, n_pass=n_pass)
     twin = Twin(x, rows, cols, params)
     history = []
     for n_pass in range(params.n_pass):
@@ -169,7 +252,7 @@ def test_online_fit_equals_the_dense_steps(data, path, size, n_pass):
             which = [i for i in range(20) if split[i] == n]
             # the step number restarts in each pass and the scale uses the nominal batch size
             history.append((n_pass, n, twin.gradient_step(which, (n + 2.0) ** -0.6, 30 / size)))
-    model = online.online_pmf_fit(matrix, rows, cols, params, est_total=30, path=path)
+    model = online.online_pmf_fit(matrix, rows, cols, params, est_total=30, block=block)
     assert [h[:2] for h in model.history] == [h[:2] for h in history]
     np.testing.assert_allclose([h[2] for h in model.history], [h[2] for h in history], rtol=1e-9)
     np.testing.assert_allclose(arrays(model.beta, "d", "g").T, twin.gb, rtol=1e-9)
@@ -191,11 +274,11 @@ def test_learning_rate():
     assert factors.learning_rate(PARAMS, 3, rho=0.25) == 0.25
 
 
-@pytest.mark.parametrize("path", ["block", "join", "auto"])
+@pytest.mark.parametrize("block", [None, 1])
 @pytest.mark.parametrize(
     ("cell", "row", "col"), [((99, 0, 5.0), None, None), ((1, 7, 5.0), None, None), (None, 1, None), (None, None, 0), ((None, 0, 2.0), None, None)]
 )
-def test_ids_are_checked_alike_on_every_path(spark, path, cell, row, col):
+def test_ids_are_checked_alike_in_any_number_of_blocks(spark, block, cell, row, col):
     counts = [(1, 0, 2.0), (2, 1, 1.0)] + ([cell] if cell else [])
     rows = [(1,), (2,)] + ([(row,)] if row is not None else [])
     cols = [(0,), (1,)] + ([(col,)] if col is not None else [])
@@ -203,4 +286,4 @@ def test_ids_are_checked_alike_on_every_path(spark, path, cell, row, col):
         spark.createDataFrame(counts, "i long, d int, x double"), spark.createDataFrame(rows, "i long"), spark.createDataFrame(cols, "d int")
     )
     with pytest.raises(ValueError, match="ids|dimensions"):
-        pmf.pmf_fit(*frames, PMFParams(n_components=2, max_iter=1), path=path)
+        pmf.pmf_fit(*frames, PMFParams(n_components=2, max_iter=1), block=block)

@@ -224,6 +224,82 @@ def two_passes(balanced: bool) -> list[tuple[str, str]]:
 TWO_HALVES = first_pass()
 ORACLES["hartigan_fit"] = with_all(two_passes(True), book_rows("b4"))
 ORACLES["minibatch_kmeans"] = with_all(two_passes(False), book_rows("b4"))
+ORACLES["hartigan_sharded"] = with_all([*POINTS, *seeded_batch("b1", "embeddings", ATOMS, "vec_id")], book_rows("b1"))
+
+
+def squares(points: str, book: str, key: str) -> str:
+    """Squared distances ``id, key, cost`` of points (id, dim, v) to centers (key, dim, v)."""
+    return f"SELECT p.id, b.{key}, sum((p.v - b.v) * (p.v - b.v)) AS cost FROM {points} p JOIN {book} b USING (dim) GROUP BY p.id, b.{key}"
+
+
+def closest(points: str, book: str, key: str) -> str:
+    return f"SELECT id, {key}, cost FROM ({squares(points, book, key)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, {key}) = 1"
+
+
+def long_vectors(source: str, number: str) -> str:
+    return f"SELECT {number}, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS v FROM {source}"
+
+
+def kmeans(k: int, rounds: int, refine: int, max_iter: int, oversample: float = 2.0) -> list[tuple[str, str]]:
+    """k-means|| seeding with its rounds unrolled, weighted reclustering, and rounds over all points."""
+    steps = [
+        *POINTS,
+        ("first", "SELECT embedding FROM embeddings ORDER BY md5('0:first:' || vec_id), embedding LIMIT 1"),
+        ("cand_0", long_vectors("first", "0 AS cid")),
+    ]
+    for n in range(rounds):
+        steps += [
+            (f"near_{n}", closest("p", f"cand_{n}", "cid")),
+            (
+                f"drawn_{n}",
+                f"SELECT DISTINCT embedding FROM embeddings JOIN near_{n} ON id = vec_id WHERE {uniform(f"md5('0:{n}:' || vec_id)")} "
+                f"< least(1e0, {num(oversample * k)} / (SELECT sum(cost) FROM near_{n}) * cost)",
+            ),
+            (
+                f"more_{n}",
+                f"SELECT (SELECT max(cid) FROM cand_{n}) + row_number() OVER (ORDER BY embedding) AS cid, embedding FROM drawn_{n}",
+            ),
+            (f"cand_{n + 1}", f"SELECT * FROM cand_{n} UNION ALL {long_vectors(f'more_{n}', 'cid')}"),
+        ]
+    cand = f"cand_{rounds}"
+    steps += [
+        ("weighed", f"SELECT cid, count(*)::DOUBLE AS n FROM ({closest('p', cand, 'cid')}) GROUP BY cid"),
+        ("apart", f"SELECT a.cid AS a, b.cid AS b, sum((a.v - b.v) * (a.v - b.v)) AS d FROM {cand} a JOIN {cand} b USING (dim) GROUP BY a.cid, b.cid"),
+        ("pick_0", "SELECT cid FROM weighed ORDER BY n DESC, cid LIMIT 1"),
+        ("least_0", "SELECT a AS cid, d FROM apart WHERE b = (SELECT cid FROM pick_0)"),
+    ]
+    for j in range(1, k):
+        steps += [
+            (f"pick_{j}", f"SELECT cid FROM weighed JOIN least_{j - 1} USING (cid) ORDER BY n * d DESC, cid LIMIT 1"),
+            (f"least_{j}", f"SELECT l.cid, least(l.d, x.d) AS d FROM least_{j - 1} l JOIN apart x ON x.a = l.cid AND x.b = (SELECT cid FROM pick_{j})"),
+        ]
+    picked = " UNION ALL ".join(f"SELECT {j} AS code, cid FROM pick_{j}" for j in range(k))
+    steps.append(("center_0", f"SELECT code, dim, v FROM ({picked}) JOIN {cand} USING (cid)"))
+    steps.append(("spots", f"SELECT cid AS id, dim, v FROM {cand}"))
+    for n in range(refine):
+        steps += [
+            (f"spot_{n}", closest("spots", f"center_{n}", "code")),
+            (
+                f"mean_{n}",
+                f"SELECT s.code, x.dim, sum(x.v * w.n) / sum(w.n) AS v FROM spot_{n} s JOIN weighed w ON w.cid = s.id JOIN spots x ON x.id = s.id "
+                "GROUP BY s.code, x.dim",
+            ),
+            (f"center_{n + 1}", f"SELECT c.code, c.dim, coalesce(m.v, c.v) AS v FROM center_{n} c LEFT JOIN mean_{n} m USING (code, dim)"),
+        ]
+    steps.append(("book_0", f"SELECT *, 0e0 AS size FROM center_{refine}"))
+    for n in range(max_iter):
+        steps += [
+            (f"own_{n}", closest("p", f"book_{n}", "code")),
+            (f"sum_{n}", f"SELECT o.code, p.dim, avg(p.v) AS v, count(*)::DOUBLE AS size FROM own_{n} o JOIN p USING (id) GROUP BY o.code, p.dim"),
+            (
+                f"book_{n + 1}",
+                f"SELECT b.code, b.dim, coalesce(s.v, b.v) AS v, coalesce(s.size, 0) AS size FROM book_{n} b LEFT JOIN sum_{n} s USING (code, dim)",
+            ),
+        ]
+    return steps
+
+
+ORACLES["kmeans_codebook"] = with_all(kmeans(SEEDS, 2, 2, 3), book_rows("book_3"))
 IN_ORDER = [
     (
         f"low_{n}",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.catalog import tables as t
 from tagweave.functions.mathx import clean_round
-from tagweave.operators import codebook, counts, evaluate, quantize, ragged, tags
+from tagweave.operators import codebook, counts, evaluate, quantize, ragged, shards, tags
 from tagweave.plans import factors, online, pmf
 from tagweave.session import new_path, stage
 from tagweave.sources import tracks
@@ -197,7 +197,17 @@ def hartigan_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
-    return codebook.kmeans_codebook(t.points(spark, sf), t.SEEDS).select("code", "size")
+    return book_rows(codebook.kmeans_codebook(t.points(spark, sf), t.SEEDS, max_iter=3, rounds=2, refine=2))
+
+
+@query
+def hartigan_sharded(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch learned block by block: the limit of what is held whole is set below the size of the codebook."""
+    points = t.points(spark, sf)
+    width = codebook.vector_width(points)
+    block = -(-t.ATOMS // 3)
+    book = shards.learn_batch(points, None, t.ATOMS, width, block, ["point_id"], codebook.balanced_costs)
+    return book_rows(book.frame())
 
 
 @query

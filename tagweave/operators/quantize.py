@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.vectors import finite_matrix, lowest, matrix
-from tagweave.operators.codebook import SCORE_CELLS, minibatch_kmeans, minibatch_kmeans_partial_fit
-from tagweave.session import MODEL_CELLS, stage
+from tagweave.operators.codebook import SCORE_CELLS, minibatch_kmeans, minibatch_kmeans_partial_fit, size_of
+from tagweave.operators.shards import Blocks
+from tagweave.session import MODEL_CELLS, remove_path, stage
 
 
 def with_half_norms(codebook: DataFrame) -> DataFrame:
@@ -86,15 +87,12 @@ def nearest_codes(points: DataFrame, codebook: DataFrame, n_quantizers: int = 1)
     Encoding is a map: no join and no shuffle. Points without a vector are left out; a vector of another width is an error. A codebook above the model limit is handled in
     blocks of codes; the best codes so far travel with the points from block to block.
     """
-    width, k = codebook.select(F.max(F.size("center")), F.count("*")).first()
+    k, width = size_of(codebook)
     if not k:
         raise ValueError("the codebook is empty")
-    codes = [r[0] for r in codebook.select("code").orderBy("code").collect()]
-    block = max(1, MODEL_CELLS // width)
     out = points.where("vec is not null")
-    for lo in range(0, k, block):
-        part = codebook.where(F.col("code").between(codes[lo], codes[min(lo + block, k) - 1]))
-        table = part.select("code", "center", "half_norm").toArrow().sort_by("code")
+    blocks, before = Blocks.of(codebook.select("code", "center", "half_norm"), k, max(1, MODEL_CELLS // width)), None
+    for n, table in enumerate(blocks):
         out = _nearest(
             out,
             table.column("code").to_numpy().astype(np.int32),
@@ -102,8 +100,12 @@ def nearest_codes(points: DataFrame, codebook: DataFrame, n_quantizers: int = 1)
             table.column("half_norm").to_numpy(),
             min(n_quantizers, k),
         )
-        if lo + block < k:
+        if n + 1 < blocks.count:
             out = stage(out, "encoded")
+            if before is not None:
+                remove_path(points.sparkSession, before)
+            before = out.staged_path
+    blocks.drop()
     return out.drop("scores")
 
 

@@ -174,3 +174,71 @@ def test_lowest_orders_alike_for_any_number():
     values = np.array([[3.0, np.nan, 1.0, 1.0, 2.0] + [9.0] * 20])
     for n in (1, 2, 5, 17, 25):
         assert lowest(values, n)[0].tolist()[:5] == [2, 3, 4, 0, 5][:n]
+
+
+def blobs(n=240, width=5, k=12, seed=11):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(k, width))[rng.integers(0, k, n)] * 4 + rng.normal(size=(n, width))
+    x[5] = x[3]
+    x[60:90] = x[7]  # a third of a batch is one vector
+    return x
+
+
+@pytest.mark.parametrize("shuffle", [True, False])
+@pytest.mark.parametrize("learn", [codebook.hartigan_fit, codebook.minibatch_kmeans])
+def test_sharded_codebooks_equal_whole_ones(spark, monkeypatch, learn, shuffle):
+    """30 codes of 5 values with a limit of 100: two blocks."""
+    df = points(spark, list(enumerate(blobs().tolist()))).repartition(5)
+    whole = learn(df, 30, max_iter=1, n_batches=2, shuffle=shuffle)
+    monkeypatch.setattr(codebook, "MODEL_CELLS", 100)
+    parts = learn(df, 30, max_iter=1, n_batches=2, shuffle=shuffle)
+    np.testing.assert_allclose(centers(parts)[0], centers(whole)[0], rtol=1e-9)
+    np.testing.assert_array_equal(centers(parts)[1], centers(whole)[1])
+    assert parts.schema["center"].dataType == whole.schema["center"].dataType
+
+
+def test_sharded_seeds_assignment_and_incremental_batches(spark, monkeypatch):
+    rows = list(enumerate(blobs().tolist()))
+    df = points(spark, rows).repartition(5)
+    seeds = codebook.codebook_seed(df, 30).orderBy("code").collect()
+    book = codebook.hartigan_partial_fit(points(spark, rows[:20]), None, 30)
+    grown = codebook.hartigan_partial_fit(points(spark, rows[20:]), book, 30)
+    assigned = sorted((r.point_id, r.code) for r in codebook.hartigan_assign(df, grown).collect())
+    monkeypatch.setattr(codebook, "MODEL_CELLS", 100)
+    assert [(r.point_id, r.vec) for r in codebook.codebook_seed(df, 30).orderBy("code").collect()] == [(r.point_id, r.vec) for r in seeds]
+    again = codebook.hartigan_partial_fit(points(spark, rows[:20]), None, 30)
+    again = codebook.hartigan_partial_fit(points(spark, rows[20:]), again, 30)
+    np.testing.assert_allclose(centers(again)[0], centers(grown)[0], rtol=1e-9)
+    assert sorted((r.point_id, r.code) for r in codebook.hartigan_assign(df, again).collect()) == assigned
+
+
+def test_a_sharded_book_needs_points(spark, monkeypatch):
+    monkeypatch.setattr(codebook, "MODEL_CELLS", 1)
+    empty = points(spark).where("point_id < 0")
+    with pytest.raises(ValueError, match="no points"):
+        codebook.hartigan_partial_fit(empty, None, 3)
+
+
+def test_oversampled_seeds_do_not_hang_on_partitions_or_copies(spark):
+    x = blobs(400)
+    df = points(spark, list(enumerate(x.tolist())))
+    one = codebook.kmeans_codebook(df.repartition(1), 8, max_iter=4)
+    other = codebook.kmeans_codebook(df.repartition(7), 8, max_iter=4)
+    np.testing.assert_allclose(centers(one)[0], centers(other)[0], rtol=1e-9)
+    np.testing.assert_array_equal(centers(one)[1], centers(other)[1])
+    assert centers(one)[1].sum() == 400
+    spread = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert spread(centers(one)[0]) < 0.8 * spread(x[:8])
+    copies = points(spark, [(n, [1.0, 2.0]) for n in range(50)] + [(99, [3.0, 4.0])])
+    few = codebook.kmeans_codebook(copies, 5)
+    assert sorted(zip(centers(few)[0].tolist(), centers(few)[1].tolist())) == [([1.0, 2.0], 50.0), ([3.0, 4.0], 1.0)]
+    with pytest.raises(ValueError, match="no points"):
+        codebook.kmeans_codebook(copies.where("point_id < 0"), 5)
+
+
+def test_reclustering_prefers_heavy_and_far_candidates():
+    spots = np.array([[0.0, 0.0], [0.1, 0.0], [10.0, 0.0], [0.0, 6.0]])
+    got = codebook.reclustered(spots, np.array([50.0, 40.0, 1.0, 9.0]), 3, 0)
+    np.testing.assert_array_equal(got, spots[[0, 3, 2]])
+    moved = codebook.reclustered(spots, np.array([50.0, 40.0, 1.0, 9.0]), 3, 1)
+    np.testing.assert_allclose(moved[0], [4 / 90, 0.0])

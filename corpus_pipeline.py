@@ -32,7 +32,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, token_ids`` of every document left."""
-    found = bpe.encode_documents(docs, vocabulary_path())
+    found = bpe.encode_documents(docs, vocabulary_path(), decoded=False)
     return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 

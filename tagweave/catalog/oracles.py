@@ -634,7 +634,7 @@ def scores(theta: str, beta: str) -> str:
 
 
 ORACLES["score_tags"] = with_all(START, f"SELECT i, d, {r6('score')} AS score FROM ({scores('theta_s', 'beta_s')})")
-ORACLES["score_tags_top"] = with_all(
+ORACLES["score_tags_top"] = ORACLES["score_tags_blocks"] = with_all(
     START,
     f"SELECT i, d, {r6('score')} AS score FROM ({scores('theta_s', 'beta_s')}) "
     "QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, d) <= 5",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagweave.catalog import tables as t
 from tagweave.functions.mathx import clean_round
 from tagweave.operators import codebook, counts, evaluate, quantize, ragged, shards, tags
-from tagweave.plans import factors, online, pmf
+from tagweave.plans import factors, online, pmf, scores
 from tagweave.session import new_path, stage
 from tagweave.sources import tracks
 from tagweave.streaming import feeds
@@ -437,13 +437,20 @@ def pmf_transform(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def score_tags(spark: SparkSession, sf: str) -> DataFrame:
     _, _, _, theta, beta = start(spark, sf)
-    return pmf.score_tags(theta, beta).select("i", "d", rounded("score"))
+    return scores.score_tags(theta, beta).select("i", "d", rounded("score"))
 
 
 @query
 def score_tags_top(spark: SparkSession, sf: str) -> DataFrame:
     _, _, _, theta, beta = start(spark, sf)
-    return pmf.score_tags(theta, beta, top=5).select("i", "d", rounded("score"))
+    return scores.score_tags(theta, beta, top=5).select("i", "d", rounded("score"))
+
+
+@query
+def score_tags_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The best columns found in blocks of falling norm, each a fifth of all."""
+    _, _, cols, theta, beta = start(spark, sf)
+    return scores.score_tags(theta, beta, top=5, block=-(-cols.count() // 5)).select("i", "d", rounded("score"))
 
 
 @query
@@ -452,7 +459,7 @@ def recommend_groups(spark: SparkSession, sf: str) -> DataFrame:
     cells, rows, cols = t.purchase_counts(spark, sf)
     cols = stage(cols, "cols")
     model = pmf.pmf_fit(cells, rows, cols, t.MODEL)
-    best = pmf.score_tags(model.theta, model.beta, top=3)
+    best = scores.score_tags(model.theta, model.beta, top=3)
     return best.join(cols, "d").select("i", "label", rounded("score"))
 
 

@@ -8,7 +8,7 @@ from twin import Twin, arrays, expectations
 from tagweave import session
 from tagweave.functions import ordering
 from tagweave.operators import counts
-from tagweave.plans import factors, grid, online, pmf
+from tagweave.plans import factors, grid, online, pmf, scores
 from tagweave.plans.components import Beta, Columns
 from tagweave.plans.grid import Bucketed
 from tagweave.plans.factors import PMFParams
@@ -212,21 +212,41 @@ def test_large_components_are_joined_with_salt(data, monkeypatch):
     np.testing.assert_allclose(arrays(salted, "d", "g"), arrays(plain, "d", "g"), rtol=1e-9)
 
 
-def test_scores_and_fused_top_k(data, monkeypatch):
+@pytest.mark.parametrize("block", [None, 4, 1])
+def test_scores_and_best_columns(data, block):
     _, matrix, rows, cols = data
     theta = stage(factors.init_factors(rows, "i", "theta", PARAMS), "theta")
     beta = stage(factors.init_factors(cols, "d", "beta", PARAMS), "beta")
     dense = arrays(theta, "i", "e") @ arrays(beta, "d", "e").T
-    for limit in (10_000_000, 12):
-        monkeypatch.setattr(pmf, "MODEL_CELLS", limit)
-        got = {(r.i, r.d): r.score for r in pmf.score_tags(theta, beta).collect()}
-        assert len(got) == dense.size
-        np.testing.assert_allclose([got[i, d] for i in range(20) for d in range(15)], dense.ravel(), rtol=1e-12)
-        best = pmf.score_tags(theta, beta, top=4).collect()
-        order = np.argsort(-dense, axis=1, kind="stable")[:, :4]
+    got = {(r.i, r.d): r.score for r in scores.score_tags(theta, beta, block=block).collect()}
+    assert len(got) == dense.size
+    np.testing.assert_allclose([got[i, d] for i in range(20) for d in range(15)], dense.ravel(), rtol=1e-12)
+    for top in (4, 40):
+        best = scores.score_tags(theta, beta, top, block).collect()
+        order = np.argsort(-dense, axis=1, kind="stable")[:, :top]
         assert {(r.i, r.d) for r in best} == {(i, d) for i in range(20) for d in order[i]}
 
 
+@pytest.mark.parametrize("block", [None, 100, 37])
+@pytest.mark.parametrize("named", [False, True])
+def test_best_columns_of_skewed_norms_read_few(spark, block, named):
+    """Exact with ties, copies, zero rows and columns; most rows are done long before all columns are read."""
+    rng = np.random.default_rng(2)
+    x, c = rng.gamma(1.0, size=(60, 6)), rng.gamma(1.0, size=(600, 6)) * (np.arange(600, 0, -1)[:, None] / 100.0) ** 3
+    x[5], x[6], c[7], c[300], c[599] = 0, x[4], c[2], 0, c[3]
+    c = c[rng.permutation(600)]
+    name = (lambda n: f"t{n:04d}") if named else int
+    theta = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, e array<double>").repartition(3)
+    beta = spark.createDataFrame([(name(d), v.tolist()) for d, v in enumerate(c)], f"d {'string' if named else 'int'}, e array<double>").repartition(3)
+    found = scores.top_columns(theta, beta, 5, block).collect()
+    dense = x @ c.T
+    order = np.lexsort((np.broadcast_to(np.arange(600), dense.shape), -np.round(dense, 9)), axis=1)[:, :5]
+    assert {r.i: [h.d for h in r.hits] for r in found} == {i: [name(d) for d in order[i]] for i in range(60)}
+    share = sum(r.read for r in found if r.i != 5) / (59 * 600)
+    assert share < (0.6 if block is None else 0.4), share
+    assert [r.read for r in found if r.i == 5] == [600]
+
+
 @pytest.mark.parametrize("shuffle", [True, False])
 def test_minibatches(data, shuffle):
     rows = data[2]

@@ -5,40 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.ordering import global_rank, running
-
-# Positions that an offset interval is cut into to meet its flat values.
-CHUNK = 128
-
-
-def _intervals(offsets: DataFrame) -> DataFrame:
-    """``(song_idx, start, stop)`` of the songs that can own positions; the last has no ``stop``.
-
-    Among songs with one offset only the last can be non-empty. The offsets are ranked once; each start's successor
-    follows by an equi-join on the rank.
-    """
-    starts = offsets.groupBy(F.col("start").cast("bigint").alias("start")).agg(F.max("song_idx").alias("song_idx"))
-    ranked = global_rank(starts, ["start"], "place", "offsets")
-    after = ranked.select((F.col("place") - 1).alias("place"), F.col("start").alias("stop"))
-    return ranked.join(after, "place", "left").drop("place")
-
-
-def slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
-    """Give every flat row ``(pos, value)`` its song and its place in the song: ``(song_idx, j, value)``.
-
-    A song owns the positions from its offset up to the next offset, the last song all that remain. Positions are dense,
-    so they are cut into chunks of equal size: an interval is repeated for each chunk that it touches, and meets the values
-    by one equi-join on the chunk. A long song spreads over its chunks; a chunk meets few intervals.
-    """
-    chunk = lambda pos: F.floor(pos / F.lit(CHUNK)).cast("bigint")
-    end = (flat.agg(F.max(F.col("pos").cast("bigint"))).first()[0] or 0) + 1
-    stop = F.least(F.coalesce("stop", F.lit(end)), F.lit(end))
-    touched = _intervals(offsets).withColumn("stop", stop).where("start < stop")
-    touched = touched.withColumn("chunk", F.explode(F.sequence(chunk(F.col("start")), chunk(F.col("stop") - 1))))
-    values = flat.select(F.col("pos").cast("bigint").alias("pos"), "value").withColumn("chunk", chunk(F.col("pos")))
-    owned = values.join(touched, "chunk").where("pos >= start and pos < stop")
-    return owned.select("song_idx", (F.col("pos") - F.col("start")).alias("j"), "value")
-
+from tagweave.functions.ordering import running
+from tagweave.operators import merge
+from tagweave.operators.merge import slice_long
+from tagweave.session import stage
 
 def ragged_chunks(offsets: DataFrame, flat: DataFrame, size: int = 1 << 20) -> DataFrame:
     """All songs in pieces ``(song_idx, chunk, value array)`` of at most ``size`` values, for songs of any length."""
@@ -53,13 +23,14 @@ def _in_order():
 def ragged_slice(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """All songs with their array ``(song_idx, value array)``; an empty slice gives an empty array.
 
-    The array of a song is one value and has to fit in a task; ``ragged_chunks`` and ``slice_long`` have no such bound.
+    The arrays are made while offsets and values are merged; only songs at the edges of parts and batches are put
+    together from pieces. The array of a song is one value and has to fit in a task; ``ragged_chunks`` and ``slice_long`` have
+    no such bound.
     """
-    arrays = slice_long(offsets, flat).groupBy("song_idx").agg(_in_order().alias("value"))
-    empty = F.array().cast(arrays.schema["value"].dataType)
-    return offsets.select("song_idx").join(arrays, "song_idx", "left").select(
-        "song_idx", F.coalesce("value", empty).alias("value")
-    )
+    found = stage(merge.pieces(offsets, flat), "pieces")
+    parts = found.where("not whole").groupBy("song_idx").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("parts"))
+    joined = parts.select("song_idx", F.flatten(F.transform("parts", lambda p: p["value"])).alias("value"))
+    return found.where("whole").select("song_idx", "value").unionByName(joined)
 
 
 def slice_one(offsets: DataFrame, flat: DataFrame, song_idx: int = 0) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tagweave.operators import ragged
@@ -126,3 +128,46 @@ def test_save_and_scan(spark, tmp_path):
     for cache in (False, True):
         back = tracks.scan_saved(spark, f"{tmp_path}/saved", cache)
         assert sorted((r.v, r.part) for r in back.collect()) == sorted((r.v, r.part) for r in df.collect())
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+@pytest.mark.parametrize("first", [0, 5])
+def test_merge_across_parts_and_batches(spark, batch, first):
+    """Songs of any length, several at one offset, values before the first offset, at every edge of parts and batches."""
+    rng = random.Random(batch + first)
+    sizes = [rng.choice([0, 0, 1, 2, 3, 11]) for _ in range(90)] + [150, 0, 0, 4, 60]
+    starts, at = [], first
+    for size in sizes:
+        starts.append(at)
+        at += size
+    rows = [(n, start) for n, start in enumerate(starts)]
+    table = spark.createDataFrame([(p, float(p)) for p in range(at)], "pos long, value double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.song_idx: r.value for r in ragged.ragged_slice(offsets(spark, rows), table).collect()}
+        long = sorted((r.song_idx, r.j, r.value) for r in ragged.slice_long(offsets(spark, rows), table).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {n: [float(p) for p in range(start, start + sizes[n])] for n, start in rows}
+    assert long == [(n, j, float(start + j)) for n, start in rows for j in range(sizes[n])]
+
+
+def test_values_are_shuffled_once_and_never_joined(spark):
+    plan = ragged.slice_long(offsets(spark, OFFSETS), flat(spark, 7))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    above = plan[: plan.index("RepartitionByExpression")]
+    assert "Join" not in above and "Generate" not in above
+
+
+def test_values_of_any_type(spark):
+    table = spark.createDataFrame([(0, "a", [1]), (1, None, [2, 3]), (2, "c", None)], "pos long, value string, other array<int>")
+    got = {r.song_idx: r.value for r in ragged.ragged_slice(offsets(spark, [(0, 0), (1, 2)]), table.select("pos", "value")).collect()}
+    assert got == {0: ["a", None], 1: ["c"]}
+    lists = table.select("pos", table["other"].alias("value"))
+    assert {r.song_idx: r.value for r in ragged.ragged_slice(offsets(spark, [(0, 0), (1, 2)]), lists).collect()} == {0: [[1], [2, 3]], 1: [None]}
+
+
+def test_nothing_to_slice(spark):
+    assert ragged.ragged_slice(offsets(spark, [(0, 0), (1, 0)]), flat(spark, 0)).orderBy("song_idx").collect() == [(0, []), (1, [])]
+    assert ragged.ragged_slice(offsets(spark, [(0, 0)]).where("false"), flat(spark, 4)).collect() == []

@@ -4,8 +4,8 @@ As a count vectorizer does for each language by itself: a vocabulary of the term
 as there are, and of every document the sparse vector of its counts over the vocabulary. Sums of the vectors by source,
 smoothed to shares, are compared pair by pair; only entries that are not zero are looked at, all others are one number.
 
-No vocabulary is ever whole in one place. Texts are counted in chunks with term numbers of their own; what is shuffled are
-the chunks' term lists, a term once a chunk, which come back as vocabulary indices.
+No vocabulary is ever whole in one place. Tasks number the terms as they meet them, in lists of bounded size; what is
+shuffled are these lists, a term once a list, which come back as vocabulary indices.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.ordering import global_rank
-from tagweave.llm.common import LOWER, blocks, discard, flat, small_batches, stage, word_spans
+from tagweave.llm.common import blocks, discard, distinct_spans, flat, small_batches, stage, word_spans
 
 #: A term has ASCII letters and characters beyond ASCII; every other byte separates terms.
 IS_OUTSIDE = np.ones(256, bool)
@@ -33,11 +33,12 @@ MIN_DF, TOP = 10, 10
 #: A share of 1; what is added to a count.
 UNIT, PRIOR = 1_000_000_000, 2
 
-#: Bytes of text in a chunk, and entries of term rows that are compared at once.
-CHUNK_BYTES, CELLS = 4 << 20, 1 << 16
+#: Bytes of text in a chunk, terms that a task numbers before it starts anew, and entries of term rows compared at once.
+CHUNK_BYTES, TERMS, CELLS = 4 << 20, 1 << 19, 1 << 16
 
-CHUNK = """chunk long, lang string, terms array<string>, dfs array<int>, doc_ids array<long>, sources array<string>,
+CHUNK = """list long, lang string, terms array<string>, dfs array<int>, doc_ids array<long>, sources array<string>,
     sizes array<int>, codes array<int>, counts array<int>"""
+KINDS = (pa.int64(), pa.string(), *map(pa.list_, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())))
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -57,60 +58,81 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 # --- vectors ------------------------------------------------------------------------------------------------------
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of every document over the terms of its chunk: a row for each chunk and language, terms in order of their bytes."""
-    number = TaskContext.get().partitionId() << 32
-    for block in blocks(batches, "text", CHUNK_BYTES):
-        buf, offsets = flat(block.column("text"))
-        starts, ends, firsts = word_spans(buf, offsets, IS_OUTSIDE)
-        letters = LOWER[buf[~IS_OUTSIDE[buf]]]
-        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters))
-        found = words.dictionary_encode()
-        order = pc.sort_indices(found.dictionary)
-        place = np.empty(len(order), np.int64)
-        place[order.to_numpy()] = np.arange(len(order))
-        terms = found.dictionary.take(order)
-        doc = np.repeat(np.arange(block.num_rows), np.diff(firsts))
-        pairs, n = np.unique(doc * max(1, len(place)) + place[found.indices.to_numpy()], return_counts=True)
-        doc, code = np.divmod(pairs, max(1, len(place)))
-        langs = block.column("lang").dictionary_encode()
-        lang_of = langs.indices.to_numpy()
-        rows = []
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            chosen = lang_of[doc] == k
-            own, local, dfs = np.unique(code[chosen], return_inverse=True, return_counts=True)
-            members = np.flatnonzero(lang_of == k)
-            sizes = np.bincount(doc[chosen], minlength=block.num_rows)[members]
-            rows.append((number, lang, terms.take(pa.array(own)), dfs, block.column("doc_id").take(pa.array(members)),
-                         block.column("source").take(pa.array(members)), sizes, local, n[chosen]))
-            number += 1
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        arrays = [pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1])] + [_lists(c, t) for c, t in zip(columns[2:], kinds[2:], strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, ["chunk", "lang", "terms", "dfs", "doc_ids", "sources", "sizes", "codes", "counts"])
-
-
-def _lists(parts: tuple, kind: pa.DataType) -> pa.ListArray:
-    """One list for each array."""
-    bounds = np.cumsum([0, *map(len, parts)])
-    values = pa.concat_arrays([p.cast(kind) if isinstance(p, pa.Array) else pa.array(p, kind) for p in parts])
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+class TermList:
+    """Numbers of a language's terms, from 0 as they are met, and how many documents have each."""
+
+    def __init__(self, number: int):
+        self.number, self.code, self.dfs = number, {}, np.zeros(1024, np.int64)
+
+    def add(self, terms: list[str], dfs: np.ndarray) -> np.ndarray:
+        """The numbers of distinct terms, which ``dfs`` more documents have."""
+        code = self.code
+        out = np.fromiter((code.setdefault(t, len(code)) for t in terms), np.int64, len(terms))
+        if len(code) > len(self.dfs):
+            self.dfs = np.concatenate([self.dfs, np.zeros(len(code), np.int64)])
+        self.dfs[out] += dfs
+        return out
+
+
+def _counter(limit: int):
+    """``limit``: terms that a task numbers before it starts new lists."""
+
+    def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of every document over the terms of a list: a row for each chunk and language; and the lists."""
+        number = TaskContext.get().partitionId() << 32
+        lists: dict[str, TermList] = {}
+
+        def row(*values) -> pa.RecordBatch:
+            columns = [pa.array([v], kind) if v is None or not isinstance(v, pa.Array) else _one_list(v, kind) for v, kind in zip(values, KINDS, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["list", "lang", "terms", "dfs", "doc_ids", "sources", "sizes", "codes", "counts"])
+
+        for block in blocks(batches, "text", CHUNK_BYTES):
+            buf, offsets = flat(block.column("text"))
+            starts, ends, firsts = word_spans(buf, offsets, IS_OUTSIDE)
+            found = distinct_spans(buf, starts, ends, lower=True)
+            doc = np.repeat(np.arange(block.num_rows), np.diff(firsts))
+            size = max(1, len(found.dictionary))
+            pairs, n = np.unique(doc * size + found.indices.to_numpy(), return_counts=True)
+            doc, code = np.divmod(pairs, size)
+            langs = block.column("lang").dictionary_encode()
+            lang_of = langs.indices.to_numpy()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                if lang not in lists:
+                    lists[lang] = TermList(number := number + 1)
+                chosen = lang_of[doc] == k
+                own, local, dfs = np.unique(code[chosen], return_inverse=True, return_counts=True)
+                codes = lists[lang].add(found.dictionary.take(pa.array(own)).cast(pa.large_string()).to_pylist(), dfs)[local]
+                members = np.flatnonzero(lang_of == k)
+                sizes = np.bincount(doc[chosen], minlength=block.num_rows)[members]
+                at = pa.array(members)
+                yield row(lists[lang].number, lang, None, None, block.column("doc_id").take(at), block.column("source").take(at), pa.array(sizes),
+                          pa.array(codes), pa.array(n[chosen]))
+            if sum(len(terms.code) for terms in lists.values()) > limit:
+                yield from (row(t.number, lang, pa.array(list(t.code)), pa.array(t.dfs[: len(t.code)]), *[None] * 5) for lang, t in lists.items())
+                lists = {}
+        yield from (row(t.number, lang, pa.array(list(t.code), pa.string()), pa.array(t.dfs[: len(t.code)]), *[None] * 5) for lang, t in lists.items())
+
+    return _counted
+
+
+def _one_list(values: pa.Array, kind: pa.ListType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type))
 
 
 @dataclass
 class Vectors:
-    """``chunks``: documents counted over their chunk's terms; ``vocabulary``: ``lang, term, df, index`` (from 0, by term)."""
+    """``chunks``: documents counted over their list's terms, and the lists; ``vocabulary``: ``lang, term, df, index`` (from 0, by term)."""
 
     chunks: DataFrame
     vocabulary: DataFrame
 
     def _indexed(self) -> DataFrame:
-        """The chunks with ``places``: which of their terms are in the vocabulary and where."""
-        listed = self.chunks.select("chunk", "lang", F.posexplode("terms").alias("at", "term"))
+        """The chunks with ``places``: which terms of their list are in the vocabulary, and where; and how many it has."""
+        lists = self.chunks.where(F.col("terms").isNotNull())
         packed = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("index"))
-        places = listed.join(self.vocabulary, ["lang", "term"]).groupBy("chunk").agg(F.collect_list(packed).alias("places"))
-        return self.chunks.withColumn("n_terms", F.size("terms")).drop("terms", "dfs").join(places, "chunk", "left")
+        named = lists.select("list", "lang", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("at", "term"))
+        places = named.join(self.vocabulary, ["lang", "term"]).groupBy("list", "n_terms").agg(F.collect_list(packed).alias("places"))
+        return self.chunks.where(F.col("terms").isNull()).drop("terms", "dfs").join(places, "list", "left")
 
     def documents(self) -> DataFrame:
         """``doc_id, lang, source, indices, counts`` of every document; indices ascend."""
@@ -131,11 +153,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for n in range(batch.num_rows):
             row = {name: batch.column(name)[n] for name in batch.schema.names}
             array = lambda name: row[name].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            index = np.full(row["n_terms"].as_py(), -1, np.int64)
+            codes = array("codes")
+            index = np.full(row["n_terms"].as_py() or len(codes) and int(codes.max()) + 1, -1, np.int64)
             if row["places"].is_valid:
                 places = array("places")
                 index[places >> 32] = places & 0xFFFFFFFF
-            of = index[array("codes")]
+            of = index[codes]
             kept = of >= 0
             doc = np.repeat(np.arange(len(row["doc_ids"])), array("sizes"))
             yield row["lang"].as_py(), row["doc_ids"].values, row["sources"].values, doc[kept], of[kept], array("counts")[kept]
@@ -144,6 +167,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, ids, sources, doc, index, count in _vectors(batches):
         bounds = pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)), pa.int32())
+        order = np.lexsort((index, doc))
+        index, count = index[order], count[order]
         arrays = [ids, pa.array([lang] * len(ids), pa.string()), sources, pa.ListArray.from_arrays(bounds, pa.array(index, pa.int32())),
                   pa.ListArray.from_arrays(bounds, pa.array(count, pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "source", "indices", "counts"])
@@ -163,15 +188,15 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["lang", "source", "index", "n"])
 
 
-def document_vectors(docs: DataFrame, min_df: int = MIN_DF) -> Vectors:
+def document_vectors(docs: DataFrame, min_df: int = MIN_DF, list_terms: int = TERMS) -> Vectors:
     """Vocabularies and vectors of ``docs``. Every row is a document; null text, lang and source are empty; other columns
     are ignored. A document without terms has an empty vector. A-Z count as a-z."""
     small_batches(docs.sparkSession)
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     )
-    chunks = stage(given.mapInArrow(_counted, CHUNK), "chunks")
-    listed = chunks.select("lang", F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select("lang", F.col("t.terms").alias("term"), "t.dfs")
+    chunks = stage(given.mapInArrow(_counter(list_terms), CHUNK), "chunks")
+    listed = chunks.where(F.col("terms").isNotNull()).select("lang", F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select("lang", F.col("t.terms").alias("term"), "t.dfs")
     known = listed.groupBy("lang", "term").agg(F.sum("dfs").alias("df")).where(F.col("df") >= min_df)
     ranked = global_rank(stage(known, "terms"), ["lang", "term"], "place", "vocabulary")
     first = ranked.groupBy("lang").agg(F.min("place").alias("first"))
@@ -270,7 +295,7 @@ def divergence_audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP) -> D
     vectors = document_vectors(docs, min_df)
     sums = stage(vectors.sums(), "sums")
     sizes = vectors.vocabulary.groupBy("lang").agg(F.count("*").alias("n_vocabulary"))
-    seen = vectors.chunks.select("lang", F.explode(F.array_distinct("sources")).alias("source")).distinct()
+    seen = vectors.chunks.where(F.col("terms").isNull()).select("lang", F.explode(F.array_distinct("sources")).alias("source")).distinct()
     counted = sums.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
     counts = counted.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("times")).alias("n_all"), F.collect_list(F.struct("n", "times")).alias("counts"))
     groups = seen.join(counts, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n_all", "n_vocabulary"])

@@ -68,8 +68,9 @@ def test_audit_equals_plain_python(frame, min_df, top):
     assert Counter(map(tuple, divergence.divergence_audit(frame, min_df, top).collect())) == brute(mixed(), min_df, top)
 
 
-def test_vectors_hold_every_count(frame):
-    vectors = divergence.document_vectors(frame, 10)
+@pytest.mark.parametrize("list_terms", [divergence.TERMS, 3])
+def test_vectors_hold_every_count(frame, list_terms):
+    vectors = divergence.document_vectors(frame, 10, list_terms)
     names = {(r.lang, r["index"]): r.term for r in vectors.vocabulary.collect()}
     per_lang = Counter(lang for lang, _ in names)
     assert all(sorted(i for g, i in names if g == lang) == list(range(n)) for lang, n in per_lang.items())

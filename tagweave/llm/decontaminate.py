@@ -4,12 +4,13 @@ Windows of a document as long as an item, in words, are compared with the item b
 edit distance into Hamming distance: a walk reads the window, copies the word it stands on, and goes on by a random bit
 of (step, word), so that two walks that fall out of step at an edit meet again soon. Repeated sampling of a few
 coordinates of the embedding (several walks, several samples each) makes windows collide with near items; a collision
-is verified by the exact edit distance. A window is only embedded if it holds as many of the item words' 3-grams as the
-q-gram lemma demands of anything within reach, which loses nothing and leaves few windows. Stretches of such windows in
-which no collision was confirmed are compared by the exact edit distance too, many at once: collisions spare that work,
-but no item is lost for want of one.
+is verified by the exact edit distance. The longer an item, the more edits it may have and the more walks are taken, so
+that the recall is about the same for all sizes. Windows may begin before a text's first word, in sentinels that stand
+for no word: an item that lost words at the beginning of a text has windows in step with it like any other.
 
-The items are the query set: they go to every task in blocks of bounded size, against all documents.
+A window is only embedded if it holds as many of the item words' 3-grams as the q-gram lemma demands of anything within
+reach, which loses nothing and leaves few windows. The items are the query set: they go to every task in blocks of bounded
+size, against all documents.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from tagweave.llm.common import blocks, flat, keyed, keyed_rows, mix, random_wor
 #: Words that may be edited, as a share of the item's words; items of fewer than 8 words must match exactly.
 EDITS = 0.2
 GRAM = 3
-#: Independent walks, samples of each, and coordinates of a sample. They decide which way an item is found, not whether.
-WALKS, SAMPLES, COORDINATES = 4, 16, 2
-#: Items that go to the tasks at once.
-BLOCK_ITEMS = 4000
+#: Samples of a walk, and coordinates of a sample; the least number of walks, and words of an item for each further one.
+SAMPLES, COORDINATES, WALKS, WALK_WORDS = 16, 2, 6, 20
+#: Items that go to the tasks at once, and bytes of their texts; values of the embeddings that are held at once.
+BLOCK_ITEMS, BLOCK_TEXT, EMBEDDED = 4000, 4 << 20, 1 << 21
+#: What stands before the first word of a text.
+SENTINEL = random_words(73, 1)[0]
 #: Words of the stretches that are compared at once, about.
 COMPARED_WORDS = 1 << 18
 
@@ -65,42 +68,46 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return mix(sum((words[k : k + n] * factor[k] for k in range(GRAM)), np.zeros(n, np.uint64)))
 
 
-def embed(words: np.ndarray, starts: np.ndarray, steps: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+def walks_of(size: int) -> int:
+    """Independent walks for an item of ``size`` words: more of them for more edits."""
+    return max(WALKS, -(-size // WALK_WORDS))
+
+
+def embed(words: np.ndarray, starts: np.ndarray, begins: np.ndarray, steps: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
     """The walks from ``starts`` on: the words met, and how far into the window, a column for each step.
 
-    A window's CGK embedding is the words met, with zeros where the walk has left the window; where it went from there no
-    longer matters, so one walk serves windows of every size.
+    Before ``begins``, where its text begins, a walk meets sentinels. A window's CGK embedding is the words met, with zeros where
+    the walk has left the window; where it went from there no longer matters.
     """
     met = np.zeros((len(starts), steps), np.uint64)
     far = np.zeros((len(starts), steps), np.int32)
     at = np.zeros(len(starts), np.int64)
     salts = random_words(1000 + walk, steps)
     for step in range(steps):
-        letter = words[np.minimum(starts + at, len(words) - 1)]
+        place = starts + at
+        letter = np.where(place < begins, SENTINEL, words[np.clip(place, 0, len(words) - 1)])
         met[:, step], far[:, step] = letter, at
         at += (mix(letter ^ salts[step]) & np.uint64(1)).astype(np.int64)
     return met, far
 
 
-def sample_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of the sampled coordinates for each window ``words[start : start + size]`` and each sample.
+def sample_keys(words: np.ndarray, starts: np.ndarray, begins: np.ndarray, size: int, held: np.ndarray) -> np.ndarray:
+    """A hash of the sampled coordinates for each window ``words[start : start + size]`` and each sample, of which only the
+    first ``held`` words are there (its text ends).
 
     Coordinates are sampled from the first ``2 * size``, in which a walk crosses the window.
     """
-    out = np.zeros((len(starts), WALKS * SAMPLES), np.uint64)
-    if not len(starts):
-        return out
     factor = random_words(3000, COORDINATES)
-    begin, row = np.unique(starts, return_inverse=True)
-    for walk in range(WALKS):
-        met, far = embed(words, begin, 2 * int(sizes.max()), walk)
+    out = np.zeros((len(starts), walks_of(size) * SAMPLES), np.uint64)
+    for walk in range(walks_of(size)):
+        met, far = embed(words, starts, begins, 2 * size, walk)
         drawn = random_words(2000 + walk, SAMPLES * COORDINATES).reshape(SAMPLES, COORDINATES) >> np.uint64(32)
-        for s in range(SAMPLES):
-            value = np.full(len(starts), walk * SAMPLES + s + 1, np.uint64)
+        for k in range(SAMPLES):
+            value = np.full(len(starts), walk * SAMPLES + k + 1, np.uint64)
             for c in range(COORDINATES):
-                step = (drawn[s, c].astype(np.int64) * 2 * sizes) >> 32
-                value += np.where(far[row, step] < sizes, met[row, step], np.uint64(0)) * factor[c]
-            out[:, walk * SAMPLES + s] = mix(value)
+                step = int(drawn[k, c]) * 2 * size >> 32
+                value += np.where(far[:, step] < held, met[:, step], np.uint64(0)) * factor[c]
+            out[:, walk * SAMPLES + k] = mix(value)
     return out
 
 
@@ -110,11 +117,11 @@ def build_items(ids: list[int], texts: list[str]) -> Items:
     chosen = [n for n in range(len(texts)) if firsts[n + 1] - firsts[n] >= GRAM]
     own = [words[firsts[n] : firsts[n + 1]] for n in chosen]
     sizes = np.array([len(w) for w in own], np.int64)
-    found = sample_keys(words, firsts[:-1][chosen], sizes)
-    keys = {}
+    keys, starts = {}, firsts[:-1][chosen]
     for size in np.unique(sizes).tolist():
         of = np.flatnonzero(sizes == size)
-        hashes, item = found[of].ravel(), np.repeat(of, found.shape[1])
+        found = sample_keys(words, starts[of], starts[of], size, sizes[of])
+        hashes, item = found.ravel(), np.repeat(of, found.shape[1])
         order = np.argsort(hashes, kind="stable")
         keys[size] = hashes[order], item[order]
     each = [np.unique(_grams(w)) for w in own]
@@ -171,8 +178,9 @@ def compared(items: Items, words: np.ndarray, which: np.ndarray, lo: np.ndarray,
     return distance, end
 
 
-def windows(items: Items, grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text, start, item``: the windows of an item's size that hold enough of its 3-grams.
+def windows(items: Items, grams: np.ndarray, text: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, start, item``: the windows of an item's size that hold enough of its 3-grams; they may begin as far before the
+    text as an item's words can be missing there.
 
     A stretch of words within ``k`` edits of an item of ``n`` words holds ``n - 2 - 3 k`` of its 3-grams at least, and has
     ``n + k`` words at most. ``grams`` begin at each word; ``text`` says to which text a word belongs.
@@ -191,71 +199,63 @@ def windows(items: Items, grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarr
     good = last < len(item)
     last = np.minimum(last, len(item) - 1)
     good &= (item[last] == item) & (text[place[last]] == text[place]) & (place[last] - place < span)
-    lo, hi = np.maximum(place[last] - span + 1, 0)[good], place[good] + 1
     item, own = item[good], text[place[good]]
-    size = hi - lo
+    lo = np.maximum(place[last][good] - span[good] + 1, firsts[own] - reach[good])
+    size = place[good] + 1 - lo
     start = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
     item, own = np.repeat(item, size), np.repeat(own, size)
-    inside = text[start] == own
-    packed = np.unique(start[inside] * np.int64(len(items.words)) + item[inside])
-    start, item = packed // len(items.words), packed % len(items.words)
-    return text[start], start, item
-
+    # what begins before a text lies in the one before it: windows are told apart by text, item and begin
+    order = np.lexsort((start, item, own))
+    own, item, start = own[order], item[order], start[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+    return own[new], start[new], item[new]
 
-def leaks(items: Items, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """``text, item, last word, edits`` of the places that verify, one at least for each stretch of neighbouring windows that holds any.
 
-    Windows that collide are verified first; then all stretches of windows in which nothing was confirmed.
-    """
-    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    grams = _grams(words)
-    if not len(grams) or not len(items.grams):
-        return []
-    grams[text[GRAM - 1 :] != text[: len(grams)]] = 0  # runs into the next text
-    own, start, item = windows(items, grams, text)
-    out = []
-    order = np.lexsort((start, item, own))
-    own, start, item = own[order], start[order], item[order]
+def collisions(items: Items, words: np.ndarray, firsts: np.ndarray, own: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which windows have a sample in common with their item."""
     met = np.zeros(len(start), bool)
-    for lo in range(0, len(start), 1 << 15):
-        part = slice(lo, lo + (1 << 15))
-        sizes = np.minimum(items.sizes[item[part]], firsts[1:][own[part]] - start[part])  # a window ends with its text
-        hashes = sample_keys(words, start[part], sizes)
-        for size in np.unique(items.sizes[item[part]]).tolist():
-            of = np.flatnonzero(items.sizes[item[part]] == size)
-            keys, holder = items.keys[size]
-            first, after = (np.searchsorted(keys, hashes[of].ravel(), side=s) for s in ("left", "right"))
+    size_of = items.sizes[item]
+    for size in np.unique(size_of).tolist():
+        rows = np.flatnonzero(size_of == size)
+        keys, holder = items.keys[size]
+        step = max(1, EMBEDDED // max(2 * size, walks_of(size) * SAMPLES))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            held = np.minimum(size, firsts[1:][own[part]] - start[part])  # a window ends with its text
+            hashes = sample_keys(words, start[part], firsts[own[part]], size, held)
+            first, after = (np.searchsorted(keys, hashes.ravel(), side=s) for s in ("left", "right"))
             n = np.flatnonzero(after > first)
             count = (after - first)[n]
             found = holder[np.repeat(first[n] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            row = np.repeat(of[n // hashes.shape[1]], count)
-            met[lo + row[found == item[part][row]]] = True
-
-    def stretches(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first and the last of the windows of each stretch."""
-        new = np.ones(len(rows), bool)
-        new[1:] = (own[rows][1:] != own[rows][:-1]) | (item[rows][1:] != item[rows][:-1]) | (np.diff(start[rows]) > items.sizes[item[rows]][1:])
-        begin = np.flatnonzero(new)
-        return rows[begin], rows[np.append(begin[1:], len(rows)) - 1] if len(rows) else rows
+            row = part[np.repeat(n // hashes.shape[1], count)]
+            met[row[found == item[row]]] = True
+    return met
 
-    reach = np.where(items.sizes >= 8, (EDITS * items.sizes).astype(np.int64), 0)[item]
 
-    def verify(a: np.ndarray, b: np.ndarray, before: int, behind: int) -> np.ndarray:
-        lo = np.maximum(firsts[own[a]], start[a] - before * reach[a])
-        hi = np.minimum(firsts[own[a] + 1], start[b] + items.sizes[item[a]] + behind * reach[a])
-        distance, end = compared(items, words, item[a], lo, hi)
-        good = distance <= reach[a]
-        out.extend(zip(own[a][good].tolist(), item[a][good].tolist(), (end - firsts[own[a]])[good].tolist(), distance[good].tolist(), strict=True))
-        return good
-
-    a, b = stretches(np.flatnonzero(met))
-    good = verify(a, b, 1, 2)
-    done = np.zeros(len(start) + 1, np.int64)
-    done[1:] = np.cumsum(np.bincount(a[good], minlength=len(start))) if len(start) else 0
-    a, b = stretches(np.arange(len(start)))
-    rest = done[b + 1] == done[a]
-    verify(a[rest], b[rest], 0, 1)
-    return out
+def leaks(items: Items, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``text, item, last word, edits`` of the places that verify, one for each stretch of neighbouring windows that collide."""
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    grams = _grams(words)
+    if not len(grams) or not len(items.grams):
+        return []
+    grams[text[GRAM - 1 :] != text[: len(grams)]] = 0  # runs into the next text
+    own, start, item = windows(items, grams, text, firsts)
+    met = collisions(items, words, firsts, own, start, item)
+    own, start, item = own[met], start[met], item[met]
+    if not len(own):
+        return []
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > items.sizes[item][1:])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(own)) - 1
+    own, item, size = own[head], item[head], items.sizes[item[head]]
+    reach = np.where(size >= 8, (EDITS * size).astype(np.int64), 0)
+    lo = np.maximum(firsts[own], start[head] - reach)
+    hi = np.minimum(firsts[own + 1], start[tail] + size + 2 * reach)
+    distance, end = compared(items, words, item, lo, hi)
+    good = distance <= reach
+    return list(zip(own[good].tolist(), item[good].tolist(), (end - firsts[own])[good].tolist(), distance[good].tolist(), strict=True))
 
 
 def _found(shared):
@@ -284,7 +284,8 @@ def find_leaks(base: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, h, item_id, end_word, edits``: every place of a text (``common.keyed``) where an item lies."""
     spark = base.sparkSession
     given = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n_blocks = max(1, -(-given.count() // BLOCK_ITEMS))
+    n, size = given.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(1, -(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_TEXT))
     found = None
     for block in range(n_blocks):
         part = given.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)

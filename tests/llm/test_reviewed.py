@@ -141,3 +141,36 @@ def test_training_rows_are_bounded(spark):
     assert sorted(t for t, *_ in sample_labelled(docs, labels, "quality", 10))[:1] == ["b" * 1000]
     assert len(sample_labelled(docs, labels, "quality", 10)) == 3
     assert sum(len(t) for t, *_ in sample_labelled(docs, labels, "quality", 10, max_bytes=900)) <= 900
+
+
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted", "mixed"])
+@pytest.mark.parametrize("size", [10, 20, 59, 120, 250])
+def test_sampling_alone_finds_edited_items_wherever_they_lie(size, kind):
+    """No exact search stands behind it; a fifth of the words is edited, at the beginning, in the middle and at the end."""
+    rng = random.Random(size * 7 + len(kind))
+    known = [f"w{k}" for k in range(3000)]
+    n = 60 if size < 200 else 20
+    items = [[rng.choice(known) for _ in range(size)] for _ in range(n)]
+    built = decontaminate.build_items(list(range(n)), [" ".join(i) for i in items])
+    for before, after in ((0, 80), (80, 80), (80, 0)):
+        texts = []
+        for item in items:
+            words = list(item)
+            for _ in range(decontaminate.edits_allowed(size)):
+                how = rng.choice(["substituted", "inserted", "deleted"]) if kind == "mixed" else kind
+                at = rng.randrange(len(words))
+                words[at : at + (how != "inserted")] = [] if how == "deleted" else [f"x{rng.randrange(10**6)}"]
+            texts.append(" ".join([*rng.choices(known, k=before), *words, *rng.choices(known, k=after)]))
+        found = decontaminate.leaks(built, *decontaminate._words(pa.array(texts)))
+        assert len({(t, i) for t, i, *_ in found if t == i}) >= 0.95 * n, (size, kind, before)
+        assert all(edits <= decontaminate.edits_allowed(size) for *_, edits in found)
+
+
+def test_items_of_very_different_sizes_share_a_block(spark):
+    """Short items beside a long one; the long one is found with a tenth of its words gone from a text's beginning."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(2000)}" for _ in range(600)]
+    short = [[f"v{rng.randrange(300)}" for _ in range(12)] for _ in range(30)]
+    items = spark.createDataFrame([(0, " ".join(long)), *[(k + 1, " ".join(s)) for k, s in enumerate(short)]], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(long[60:])), (2, " ".join(["a", *short[3], "b"])), (3, " ".join(long[200:]))], "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, items).collect()} == {1: [0], 2: [4], 3: []}

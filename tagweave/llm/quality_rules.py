@@ -1,9 +1,15 @@
 """Quality rules on counts, and a chain of line labels: content or boilerplate.
 
 A linear-chain conditional random field scores each line by binned features and each pair of neighbours by their
-labels; Viterbi decoding labels the lines of a document, and the share of its words in content lines decides. The
-weights are learned from documents' quality labels, which their lines take over: what good and bad documents have in common
-cancels out, and the transitions learn that boilerplate comes in stretches. Training takes a bounded sample.
+labels; Viterbi decoding labels the lines of a document, and the share of its words in content lines decides.
+
+Only documents are labelled, lines are not: whether a line agrees with its document's label is hidden. Training first
+goes in rounds over the lines by themselves: with a stated leaning of each line toward its document's label, every line
+has a chance of either label, and the weights of the features are moved to make these likely. So lines of a good document
+that look like those of bad ones become boilerplate. The labels found, without any leaning, are then what the whole
+chain is fitted to by forward and backward sums: its steps learn how one kind follows the other. (With the leaning in
+them, steps would learn that all lines of a document are alike.) Decoding knows no document label. Training takes a bounded
+sample.
 """
 
 from __future__ import annotations
@@ -24,7 +30,10 @@ from tagweave.llm.text_stats import N_FEATURES, Texts, measure, one_hot
 SAMPLE = 1000
 #: Lines of a training chain; longer documents give several chains.
 CHAIN = 32
-ROUNDS, STEP, DECAY = 200, 0.15, 1e-3
+#: Rounds of training, gradient steps in each, their length, and how weights are held back.
+ROUNDS, STEPS, STEP, DECAY = 4, 40, 0.15, 1e-3
+#: How much a line leans toward its document's label before it is looked at: as log odds.
+LEANING = 1.5
 #: Share of words in content lines from which a document stays.
 LEAST_CONTENT = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -62,10 +71,50 @@ def marginals(scores: np.ndarray, used: np.ndarray, chain: Chain) -> tuple[np.nd
     return at, np.exp(np.minimum(pair - total[..., None], 0)) * used[:, 1:, None, None]
 
 
+@dataclass(frozen=True)
+class Padded:
+    """Chains of lines, padded to one length: feature bins, which places are lines, and what each line counts."""
+
+    bins: np.ndarray
+    used: np.ndarray
+    weight: np.ndarray
+
+    def scores(self, chain: Chain) -> np.ndarray:
+        out = np.zeros((*self.used.shape, 2))
+        out[..., 1] = chain.lines[self.bins].sum(axis=2)
+        return out
+
+
+def _climb(chains: Padded, chain: Chain, at: np.ndarray, pair: np.ndarray | None, steps: int) -> Chain:
+    """Gradient steps of adaptive length toward weights that make the chances of labels ``at`` and of pairs ``pair`` likely.
+
+    Without ``pair`` only the weights of the lines move.
+    """
+    seen = at * chains.weight[..., None]
+    pairs = None if pair is None else pair * chains.weight[:, 1:, None, None]
+    size = [np.full_like(a, 1e-8) for a in (chain.lines, chain.steps, chain.start)]
+    hold = DECAY * len(chains.used)
+    for _ in range(steps):
+        now, step = marginals(chains.scores(chain), chains.used, chain)
+        now, step = now * chains.weight[..., None], step * chains.weight[:, 1:, None, None]
+        gap = ((seen - now)[..., 1])[chains.used]
+        slopes = [
+            np.bincount(chains.bins[chains.used].ravel(), np.repeat(gap, chains.bins.shape[2]), N_FEATURES) - hold * chain.lines,
+            np.zeros((2, 2)) if pairs is None else (pairs - step).sum(axis=(0, 1)) - hold * chain.steps,
+            np.zeros(2) if pairs is None else (seen - now)[:, 0].sum(axis=0) - hold * chain.start,
+        ]
+        moved = []
+        for old, slope, total in zip((chain.lines, chain.steps, chain.start), slopes, size, strict=True):
+            total += slope * slope
+            moved.append(old + STEP * slope / np.sqrt(total))
+        chain = Chain(*moved)
+    return chain
+
+
 def fit(texts: list[str], bad: list[int], weights: list[float]) -> Chain:
-    """Weights that make the lines' labels likely, by gradient steps of adaptive length with a small decay."""
+    """Weights from documents whose labels their lines lean to, by rounds of hidden labels and gradient steps."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    features, labels, place, worth = [], [], [], []
+    features, leaning, place, worth = [], [], [], []
     done = 0
     for block in blocks([batch], "text"):
         found = measure(block.column("text"))
@@ -77,37 +126,24 @@ def fit(texts: list[str], bad: list[int], weights: list[float]) -> Chain:
                 place.append(hi - lo)
                 worth.append(weights[done + n])
                 features.append(bins[lo:hi])
-                labels.append(np.full(hi - lo, bad[done + n]))
+                leaning.append(LEANING if bad[done + n] else -LEANING)
         done += block.num_rows
     chain = Chain(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
     if not place:
         return chain
-    shape = (len(place), max(place))
-    used = np.arange(shape[1]) < np.array(place)[:, None]
-    bins = np.zeros((*shape, features[0].shape[1]), np.int64)
-    truth = np.zeros(shape, np.int64)
-    bins[used], truth[used] = np.concatenate(features), np.concatenate(labels)
-    weight = (np.array(worth) / np.array(place))[:, None] * used  # a chain counts as its document does, however long
-    seen = np.eye(2)[truth] * weight[..., None]
-    pairs = (np.eye(4)[truth[:, :-1] * 2 + truth[:, 1:]] * weight[:, 1:, None]).reshape(*truth[:, 1:].shape, 2, 2)
-    size = [np.full_like(a, 1e-8) for a in (chain.lines, chain.steps, chain.start)]
+    used = np.arange(max(place)) < np.array(place)[:, None]
+    bins = np.zeros((*used.shape, features[0].shape[1]), np.int64)
+    bins[used] = np.concatenate(features)
+    # a chain counts as its document does, however long
+    chains = Padded(bins, used, (np.array(worth) / np.array(place))[:, None] * used)
+    lean = np.zeros((*used.shape, 2))
+    lean[..., 1] = np.array(leaning)[:, None]
     for _ in range(ROUNDS):
-        scores = np.zeros((*shape, 2))
-        scores[..., 1] = chain.lines[bins].sum(axis=2)
-        at, step = marginals(scores, used, chain)
-        at, step = at * weight[..., None], step * weight[:, 1:, None, None]
-        gap = ((seen - at)[..., 1])[used]
-        slopes = [
-            np.bincount(bins[used].ravel(), np.repeat(gap, bins.shape[2]), N_FEATURES) - DECAY * chain.lines * len(place),
-            (pairs - step).sum(axis=(0, 1)),
-            (seen - at)[:, 0].sum(axis=0),
-        ]
-        moved = []
-        for old, slope, total in zip((chain.lines, chain.steps, chain.start), slopes, size, strict=True):
-            total += slope * slope
-            moved.append(old + STEP * slope / np.sqrt(total))
-        chain = Chain(*moved)
-    return chain
+        chain = _climb(chains, chain, marginals(chains.scores(chain) + lean, used, chain)[0], None, STEPS)
+    label = (chains.scores(chain)[..., 1] > 0).astype(np.int64)
+    at = np.eye(2)[label] * used[..., None]
+    pair = np.eye(4)[label[:, :-1] * 2 + label[:, 1:]].reshape(*label[:, 1:].shape, 2, 2) * used[:, 1:, None, None]
+    return _climb(chains, chain, at, pair, 2 * STEPS)
 
 
 def viterbi(scores: list[float], chain: Chain) -> list[int]:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -85,8 +86,6 @@ def test_quality_counts_and_verdicts(judged):
 def test_viterbi_takes_the_best_path():
     import itertools
 
-    import numpy as np
-
     rng = random.Random(7)
     for _ in range(50):
         chain = quality_rules.Chain(np.zeros(1), np.array([[rng.gauss(0, 1) for _ in "ab"] for _ in "ab"]), np.array([rng.gauss(0, 1), rng.gauss(0, 1)]))
@@ -144,8 +143,6 @@ def test_items_are_found_with_words_changed(spark):
 
 @pytest.mark.parametrize("size", [8, 20, 38, 59, 120, 250])
 def test_items_with_words_deleted_are_found_at_the_very_beginning(size):
-    import numpy as np
-
     rng = random.Random(size)
     words = [["w%d" % rng.randrange(10**6) for _ in range(size)] for _ in range(40)]
     items = decontaminate.build_items(list(range(40)), [" ".join(w) for w in words])
@@ -179,8 +176,6 @@ def test_leaks_equal_the_edit_distance_of_every_item():
 
 
 def test_distance_is_exact():
-    import numpy as np
-
     rng = random.Random(3)
 
     def plain(a, b):
@@ -200,3 +195,77 @@ def test_distance_is_exact():
 def test_word_pieces_are_bytes_without_ascii_marks():
     bags = toxicity.sentences(pa.array(["One two. Three!", "", "é ü", "..."]))
     assert bags.text.tolist() == [0, 0, 2] and WORDS
+
+
+MENU = ["Home | About | Contact | Login", "* * * Share this * * *", "Copyright 2021 ### All rights reserved 123", "Next >> Previous << Top", "$$ BUY 50% OFF $$ | order #1"]
+
+
+def both_kinds(rng, n):
+    """Lines of prose with stretches of menus between; and which are menus."""
+    lines, menu = [], []
+    while len(lines) < n:
+        here = rng.random() < 0.3
+        for _ in range(rng.randrange(1, 4)):
+            lines.append(rng.choice(MENU) if here else prose(rng, 14).replace("\n", " ") + ".")
+            menu.append(here)
+    return lines, menu
+
+
+def test_boilerplate_inside_good_documents_is_marked_line_by_line():
+    """Only documents are labelled: good ones are prose with some menus, bad ones menus with some prose."""
+    rng = random.Random(12)
+    texts, bad = [], []
+    for k in range(300):
+        lines, menu = both_kinds(rng, 16)
+        chosen = [line for line, m in zip(lines, menu) if m == (k % 2 == 1) or rng.random() < 0.25]
+        texts.append("\n".join(chosen))
+        bad.append(k % 2)
+    chain = quality_rules.fit(texts, bad, [1.0] * len(texts))
+    (cc, cb), (bc, bb) = chain.steps
+    assert cc > cb and bb > bc  # like follows like, as in the training texts
+    right = total = mixed = 0
+    for _ in range(60):
+        lines, menu = both_kinds(rng, 20)
+        found = quality_rules.measure(pa.array(["\n".join(lines)]))
+        labels = quality_rules.label_lines(found, chain).tolist()
+        right += sum(a == b for a, b in zip(labels, menu, strict=True))
+        total += len(menu)
+        mixed += 0 < sum(labels) < len(labels)
+    assert right >= 0.95 * total and mixed >= 55
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        chain = quality_rules.Chain(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2))
+        scores, used = rng.normal(size=(1, 5, 2)) * 2, np.array([[True] * 4 + [False]])
+        at, pair = quality_rules.marginals(scores, used, chain)
+        paths = list(itertools.product((0, 1), repeat=4))
+        worth = [np.exp(chain.start[p[0]] + sum(scores[0, t, y] for t, y in enumerate(p)) + sum(chain.steps[a, b] for a, b in zip(p, p[1:]))) for p in paths]
+        for t in range(4):
+            for y in (0, 1):
+                assert np.isclose(at[0, t, y], sum(w for p, w in zip(paths, worth) if p[t] == y) / sum(worth))
+        for t in range(3):
+            for y in itertools.product((0, 1), repeat=2):
+                assert np.isclose(pair[0, t, y[0], y[1]], sum(w for p, w in zip(paths, worth) if p[t : t + 2] == y) / sum(worth))
+        assert not at[0, 4].any() and not pair[0, 3].any()
+
+
+def test_verdicts_equal_plain_decoding(judged):
+    """``kept`` and ``content_share`` from the fitted weights, with every path of a short document tried."""
+    import itertools
+
+    docs, labels, _ = judged
+    chain = quality_rules.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality_rules.quality(docs, labels).collect():
+        found = quality_rules.measure(pa.array([texts[r.doc_id]]))
+        scores = chain.lines[quality_rules.one_hot(found.line_bins)].sum(axis=1)
+        if len(scores) > 10:
+            continue
+        worth = lambda p: sum(scores[t] for t, y in enumerate(p) if y) + (chain.start[p[0]] if p else 0) + sum(chain.steps[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(itertools.product((0, 1), repeat=len(scores)), key=worth)
+        share = sum(n for n, y in zip(found.line_words, best) if not y) / max(1, r.n_words)
+        assert abs(share - r.content_share) < 1e-12 and r.kept == (not r.base_failed and share >= 0.5)

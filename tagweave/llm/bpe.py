@@ -31,11 +31,11 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words in the lexicon, by falling frequency: bounds its size.
 LEXICON_WORDS = 32_768
 
-#: Words in each of the two generations that a task remembers; longer words are never remembered or counted.
-MEMO, MEMO_BYTES = 1 << 17, 48
+#: Words that a task remembers; longer words are never remembered or counted.
+MEMO, MEMO_BYTES = 1 << 18, 48
 
-#: Bytes of text that are encoded at once.
-BLOCK = 4 << 20
+#: Bytes of text that are encoded at once, and counted at once.
+BLOCK, COUNTED = 1 << 20, 2 << 20
 
 #: Above every rank.
 NO_RANK = 1 << 30
@@ -114,28 +114,25 @@ class Bpe:
         order = np.argsort(pairs)
         return single, of_bytes, pairs[order], order, joined
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """``merge`` of many words together: each round joins one pair in every word that still has one."""
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words together: each round joins one pair in every word that still has one. The ids of all
+        words in a row, and how many each has."""
         single, of_bytes, pairs, rank_of, joined = self.tables
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         buf = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         symbol, word = single[buf], np.repeat(np.arange(len(words)), lengths)
         rank = np.full(len(buf), NO_RANK, np.int64)
         rank[:-1] = np.where(word[:-1] == word[1:], of_bytes[buf[:-1] << 8 | buf[1:]], NO_RANK)
-        out: list[list[int]] = [[]] * len(words)
+        done_ids, done_words = [], []
         while len(symbol):
             heads = np.flatnonzero(np.diff(word, prepend=-1))
             best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), heads)
             open_word = best >> 32 < NO_RANK
-            bounds = np.append(heads, len(symbol))
-            done = np.flatnonzero(~open_word)
-            if len(done):
-                flat, at = symbol.tolist(), bounds.tolist()
-                for w, n in zip(word[heads[done]].tolist(), done.tolist(), strict=True):
-                    out[w] = flat[at[n] : at[n + 1]]
+            keep = np.repeat(open_word, np.diff(np.append(heads, len(symbol))))
+            done_ids.append(symbol[~keep])
+            done_words.append(word[~keep])
             place = (best & 0xFFFFFFFF)[open_word]
             symbol[place] = joined[best[open_word] >> 32]
-            keep = np.repeat(open_word, np.diff(bounds))
             keep[place + 1] = False
             rank[place] = rank[place + 1]  # whether a neighbour follows in the word; its rank is looked up below
             moved = np.cumsum(keep) - 1
@@ -151,7 +148,8 @@ class Bpe:
             wanted = symbol[changed] << 32 | symbol[changed + 1]
             found = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
             rank[changed] = np.where(pairs[found] == wanted, rank_of[found], NO_RANK)
-        return out
+        ids, owner = (np.concatenate([np.zeros(0, np.int64), *parts]) for parts in (done_ids, done_words))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     @cached_property
     def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,68 +162,99 @@ class Bpe:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
-        flat, begins, lengths = self.spelled
-        size = lengths[ids]
-        ends = np.cumsum(size)
-        return flat[np.repeat(begins[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        pool, begins, lengths = self.spelled
+        return spread(pool, begins[ids], lengths[ids]).tobytes()
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """What the ids of several texts stand for; bytes that are no text become replacement characters."""
+        whole = self.decode(ids)
+        at = np.concatenate([[0], np.cumsum(self.spelled[2][ids])])[ends].tolist()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    @cached_property
+    def decimals(self) -> list[str]:
+        """The decimal form of every id."""
+        return list(map(str, range(len(self.spelled[2]))))
+
+
+def spread(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``pool[begin : begin + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """Encodes blocks of whole texts to decimal ids joined by commas: words are cut for all texts at once, and each distinct
-    word of a segment is looked up once. The words met last are remembered, in two generations of ``MEMO`` each."""
+    """Encodes blocks of whole texts: words are cut for all texts at once, and each distinct word of a segment is looked up
+    once. Words are remembered until there are ``MEMO`` of them; then the memory starts anew."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon, classes: np.ndarray):
         self.bpe, self.lexicon, self.classes = bpe, lexicon, classes
-        self.young: dict[bytes, str] = {}
-        self.old: dict[bytes, str] = {}
-
-    def _look_up(self, words: list[bytes]) -> list[str]:
-        """Ids of distinct words: remembered, from the transducer, or by merging."""
-        out = list(map(self.young.get, words))
-        for n, ids in enumerate(out):
-            if ids is None and (ids := self.old.get(words[n])) is not None:
-                out[n] = self.young[words[n]] = ids
-        new = [n for n, ids in enumerate(out) if ids is None]
-        raw = [words[n] for n in new]
-        ranks = self.lexicon.ranks(raw).tolist()
-        unseen = [k for k, rank in enumerate(ranks) if rank < 0]
-        merged = dict(zip(unseen, self.bpe.merge_all([raw[k] for k in unseen]), strict=True))
-        for k, (n, word, rank) in enumerate(zip(new, raw, ranks, strict=True)):
-            out[n] = ",".join(map(str, self.lexicon.ids_of(rank) if rank >= 0 else merged[k]))
-            if len(word) <= MEMO_BYTES:
-                self.young[word] = out[n]
-            if len(self.young) >= MEMO:
-                self.old, self.young = self.young, {}
-        return out
-
-    def _with_special(self, text: str) -> str:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.pool, self.begins, self.sizes = (np.zeros(0, kind) for kind in (np.int32, np.int64, np.int64))
+
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, remembered, from the transducer, or by merging: a pool of ids, and where in it each word's
+        begin and how many they are."""
+        if len(self.slots) > MEMO:
+            self._forget()
+        get = self.slots.get
+        slot = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(slot < 0)
+        raw = [words[n] for n in new.tolist()]
+        ranks = self.lexicon.ranks(raw)
+        order = np.concatenate([np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)])
+        ranks = ranks[ranks >= 0]
+        begins, known = self.lexicon.bounds[ranks].astype(np.int64), np.diff(self.lexicon.bounds)[ranks].astype(np.int64)
+        merged, others = self.bpe.merge_all([raw[n] for n in order[len(ranks) :].tolist()])
+        sizes = np.concatenate([known, others])
+        first, at = len(self.begins), len(self.pool)
+        self.pool = np.concatenate([self.pool, spread(self.lexicon.ids, begins, known), merged.astype(np.int32)])
+        self.begins = np.concatenate([self.begins, at + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        slot[new[order]] = np.arange(first, first + len(new))
+        self.slots.update((words[n], k) for n, k in zip(new.tolist(), slot[new].tolist(), strict=True) if len(words[n]) <= MEMO_BYTES)
+        return self.pool, self.begins[slot], self.sizes[slot]
+
+    def _with_special(self, text: str) -> np.ndarray:
         """A text with special tokens in it."""
-        ids = []
+        parts = []
         for n, part in enumerate(self.bpe.cut.split(text)):
-            words = [w.encode() for w in self.bpe.words(part)] if n % 2 == 0 else []
-            known = dict(zip(once := list(dict.fromkeys(words)), self._look_up(once), strict=True))
-            ids += [str(self.bpe.special[part])] if n % 2 else map(known.__getitem__, words)
-        return ",".join(ids)
-
-    def encode_all(self, column: pa.Array) -> list[str]:
-        """For each text its ids."""
+            if n % 2:
+                parts.append(np.array([self.bpe.special[part]], np.int32))
+            elif part:
+                words = [w.encode() for w in self.bpe.words(part)]
+                parts.append(spread(*self._look_up(words)))
+        return np.concatenate(parts)
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, and the end."""
         buf, bounds = flat(column)
-        out: list[list[str]] = [[] for _ in range(len(bounds) - 1)]
+        n, found = np.zeros(len(bounds) - 1, np.int64), [np.zeros(0, np.int32)]
         for words, text in cut_words(self.classes, buf, bounds, BLOCK):
-            ids = self._look_up(words.dictionary.to_pylist())
-            found = list(map(ids.__getitem__, words.indices.to_numpy().tolist()))
-            heads = np.flatnonzero(np.diff(text, prepend=-1))
-            for n, begin, end in zip(text[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(text)], strict=True):
-                out[n].append(",".join(found[begin:end]))
-        joined = list(map(",".join, out))
+            pool, begins, sizes = self._look_up(words.dictionary.to_pylist())
+            at = words.indices.to_numpy()
+            found.append(spread(pool, begins[at], sizes[at]))
+            n += np.bincount(text, sizes[at], len(n)).astype(np.int64)
+        ids, ends = np.concatenate(found), np.concatenate([[0], np.cumsum(n)])
+        special = {k for s in self.bpe.special for k in self._texts_with(buf, bounds, s.encode())}
+        if not special:
+            return ids, ends
+        parts = [self._with_special(buf[bounds[k] : bounds[k + 1]].tobytes().decode()) if k in special else ids[ends[k] : ends[k + 1]] for k in range(len(n))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    @staticmethod
+    def _texts_with(buf: np.ndarray, bounds: np.ndarray, special: bytes) -> Iterator[int]:
         whole = buf.tobytes()
-        for special in self.bpe.special:
-            at = whole.find(special.encode())
-            while at >= 0:
-                n = int(np.searchsorted(bounds, at, side="right")) - 1
-                joined[n] = self._with_special(whole[bounds[n] : bounds[n + 1]].decode())
-                at = whole.find(special.encode(), max(at + 1, int(bounds[n + 1])) if at + len(special.encode()) <= bounds[n + 1] else at + 1)
-        return joined
+        at = whole.find(special)
+        while at >= 0:
+            k = int(np.searchsorted(bounds, at, side="right")) - 1
+            inside = at + len(special) <= bounds[k + 1]
+            if inside:
+                yield k
+            at = whole.find(special, int(bounds[k + 1]) if inside else at + 1)
 
 
 def _word_counter(shared):
@@ -233,8 +262,8 @@ def _word_counter(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
-        for block in blocks(batches, "text", BLOCK):
-            for words, _ in cut_words(classes, *flat(block.column("text")), BLOCK):
+        for block in blocks(batches, "text", COUNTED):
+            for words, _ in cut_words(classes, *flat(block.column("text")), COUNTED):
                 counts = pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).astype(np.int64))
                 short = pc.less_equal(pc.binary_length(words.dictionary), MEMO_BYTES)
                 yield pa.RecordBatch.from_arrays([words.dictionary.filter(short).cast(pa.binary()), counts.filter(short)], ["word", "n"])
@@ -273,42 +302,38 @@ def _encoded(shared):
     """shared: a broadcast of the vocabulary, the compiled transducer and the character classes. An encoder lives as long as
     its task's stream."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray], Bpe]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Bpe]]:
         encoder = None
         for block in blocks(batches, "text", BLOCK):
             if encoder is None:
                 bpe, lexicon, classes = pickle.loads(shared.value)
                 encoder = Encoder(bpe, Lexicon.mapped(lexicon), np.frombuffer(classes, np.uint8))
-            joined = encoder.encode_all(block.column("text"))
-            yield block, joined, [np.fromstring(i, np.int64, sep=",") if i else np.zeros(0, np.int64) for i in joined], encoder.bpe
+            yield block, *encoder.encode_all(block.column("text")), encoder.bpe
         del encoder
         release_memory()
 
     return run
 
 
-def _text_of(bpe: Bpe, ids: np.ndarray) -> str:
-    return bpe.decode(ids).decode("utf-8", "replace")
-
-
 def _digests(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
-        for block, joined, ids, bpe in _encoded(shared)(batches):
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), sha(joined), sha(_text_of(bpe, i) for i in ids)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for block, ids, ends, bpe in _encoded(shared)(batches):
+            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            named = list(map(bpe.decimals.__getitem__, ids.tolist()))
+            columns = [block.column("doc_id"), pa.array(np.diff(ends)), sha(",".join(named[a:b]) for a, b in spans), sha(bpe.texts(ids, ends))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _arrays(shared, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, ids, bpe in _encoded(shared)(batches):
-            columns = {"doc_id": block.column("doc_id"), "token_ids": pa.array(ids, pa.list_(pa.int32()))}
+        for block, ids, ends, bpe in _encoded(shared)(batches):
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            columns = {"doc_id": block.column("doc_id"), "token_ids": lists}
             if decoded:
-                columns["decoded"] = pa.array([_text_of(bpe, i) for i in ids], pa.string())
+                columns["decoded"] = pa.array(bpe.texts(ids, ends), pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run

@@ -726,19 +726,32 @@ FEED = [
     ("theta_s", drawn("theta", "rows", "i")),
     ("beta_s", drawn("beta", "cols", "d")),
 ]
-for n in range(1, 6):
-    fifth = f"FROM events JOIN cols ON event_type = label WHERE event_id % 5 = {n - 1}"
-    FEED += gradient_step(
-        f"f{n}",
-        f"beta_f{n - 1}" if n > 1 else "beta_s",
-        n,
-        f"SELECT DISTINCT user_id AS i {fifth}",
-        f"SELECT user_id AS i, d, count(*)::DOUBLE AS x {fifth} GROUP BY ALL",
-        f"ceil({USERS} / 2)",
-        USERS,
-        inner=2,
-    )
-ORACLES["stream_pmf"] = with_all(FEED, factor_rows("beta_f5", "d", "g r e"))
+
+
+def fed(whole: bool) -> list[tuple[str, str]]:
+    """The five steps; with ``whole`` each learns from all events so far of the users in its fifth."""
+    steps = list(FEED)
+    for n in range(1, 6):
+        fifth = f"FROM events JOIN cols ON event_type = label WHERE event_id % 5 = {n - 1}"
+        so_far = (
+            f"FROM events JOIN cols ON event_type = label WHERE event_id % 5 < {n} "
+            f"AND user_id IN (SELECT user_id FROM events WHERE event_id % 5 = {n - 1})"
+        )
+        steps += gradient_step(
+            f"f{n}",
+            f"beta_f{n - 1}" if n > 1 else "beta_s",
+            n,
+            f"SELECT DISTINCT user_id AS i {fifth}",
+            f"SELECT user_id AS i, d, count(*)::DOUBLE AS x {so_far if whole else fifth} GROUP BY ALL",
+            f"ceil({USERS} / 2)",
+            USERS,
+            inner=2,
+        )
+    return steps
+
+
+ORACLES["stream_pmf_whole_rows"] = with_all(fed(True), factor_rows("beta_f5", "d", "g r e"))
+ORACLES["stream_pmf"] = with_all(fed(False), factor_rows("beta_f5", "d", "g r e"))
 
 FIFTHS = [
     *POINTS,

@@ -148,8 +148,8 @@ def write_bags(spark: SparkSession, sf: str) -> DataFrame:
 def scan_saved(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "saved-codes")
     tracks.write_codes(codes_of_tracks(spark, sf), path, ["track"])
-    held = tracks.scan_saved(spark, path, cache=True)
-    return held.groupBy("code").agg(F.sum("n").alias("n"))
+    with tracks.held(spark, path) as held:
+        return stage(held.groupBy("code").agg(F.sum("n").alias("n")), "code-counts")
 
 
 # Codebooks and vector quantization
@@ -528,8 +528,7 @@ def listen(spark: SparkSession, path: str, files: int, schema: str) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-@query
-def stream_pmf(spark: SparkSession, sf: str) -> DataFrame:
+def learned_from_events(spark: SparkSession, sf: str, whole: bool) -> DataFrame:
     events = t.read(spark, sf, "events").select("event_id", "user_id", "event_type")
     cols = stage(counts.number_labels(events, "event_type"), "cols")
     named = events.join(cols.withColumnRenamed("label", "event_type"), "event_type")
@@ -539,10 +538,21 @@ def stream_pmf(spark: SparkSession, sf: str) -> DataFrame:
     settings = dataclasses.replace(t.MODEL, batch_size=-(-users // 2), max_iter=2)
     model_dir = new_path(spark, "stream-model")
     stream = listen(spark, path, files, "i bigint, d int, x double")
-    feeds.stream_pmf(stream, model_dir, cols, users, settings).awaitTermination()
+    feeds.stream_pmf(stream, model_dir, cols, users, settings, whole=whole).awaitTermination()
     return long(feeds.latest(spark, model_dir), "d", ["g", "r", "e"])
 
 
+@query
+def stream_pmf(spark: SparkSession, sf: str) -> DataFrame:
+    return learned_from_events(spark, sf, whole=False)
+
+
+@query
+def stream_pmf_whole_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events come in pieces; keyed state makes whole rows of them."""
+    return learned_from_events(spark, sf, whole=True)
+
+
 @query
 def stream_codebook(spark: SparkSession, sf: str) -> DataFrame:
     path, files = feed(t.points(spark, sf).drop("track"), "point_id", "segments")

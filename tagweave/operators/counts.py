@@ -26,9 +26,17 @@ def number_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def joint_matrix(codes: DataFrame, bags: DataFrame, n_codes: int) -> DataFrame:
-    """Codeword counts and tag counts side by side: tag t becomes column ``n_codes + t``."""
-    left = codes.select(F.col("track").alias("i"), F.col("code").alias("d"), F.col("n").cast("double").alias("x"))
+    """Codeword counts and tag counts side by side: tag t becomes column ``n_codes + t``.
+
+    A code outside 0 .. n_codes - 1 is an error: it would lie on a column of a tag. So is a tag id below 0.
+    """
+
+    def checked(column: str, right: Column, what: str) -> Column:
+        return F.when(right, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{what} is out of range: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))))
+
+    code = checked("code", F.col("code").between(0, n_codes - 1), "a code")
+    left = codes.select(F.col("track").alias("i"), code.alias("d"), F.col("n").cast("double").alias("x"))
     right = bags.select(
-        F.col("track").alias("i"), (F.col("tag_id") + F.lit(n_codes)).alias("d"), F.col("n").cast("double").alias("x")
+        F.col("track").alias("i"), (checked("tag_id", F.col("tag_id") >= 0, "a tag id") + F.lit(n_codes)).alias("d"), F.col("n").cast("double").alias("x")
     )
     return left.unionByName(right)

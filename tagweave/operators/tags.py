@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.ordering import hot_keys, salted_join
 from tagweave.operators.counts import number_labels
 from tagweave.operators.stem import stem_words
-from tagweave.session import stage
+from tagweave.session import remove_path, stage
 
 # What separates the words of a tag, and what separates the words of a text.
 TAG_SEPARATORS = "[^\\p{L}\\p{N}]+"
 TEXT_SEPARATORS = "[ \\t\\n\\r\\f]+"
 
-# A vocabulary of at most this many tags may be broadcast (tens of bytes each).
-VOCABULARY_ROWS = 1_000_000
+# A table of tags of at most this size may be broadcast: its texts, and what a row costs beside them.
+SENT_BYTES, ROW_BYTES = 64 << 20, 48
+
+# Tags that a task counts at least before it forgets rare ones.
+COUNTERS = 1 << 16
+
+
+def _may_be_sent(table: DataFrame, *texts: str) -> bool:
+    sizes = [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts]
+    n, size = table.agg(F.count("*"), F.sum(sum(sizes, F.lit(0)))).first()
+    return n * ROW_BYTES + (size or 0) <= SENT_BYTES
 
 
 def normalize_tag(tag: Column) -> Column:
@@ -53,18 +65,63 @@ def normalize_tags(raw: DataFrame) -> DataFrame:
     """
     counted = stage(raw.groupBy("track", "raw").agg(F.count("*").alias("n")), "raw-tags")
     forms = stage(tag_forms(counted), "tag-forms")
-    if forms.count() <= VOCABULARY_ROWS:
+    if _may_be_sent(forms, "raw", "tag"):
         tagged = counted.join(F.broadcast(forms), "raw")
     else:
         tagged = salted_join(counted, forms, "raw", "track", hot_keys(counted, "raw"))
     return tagged.groupBy("track", "tag").agg(F.sum("n").alias("n"))
 
 
-def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1) -> DataFrame:
-    """The ``n_tags`` tags on most tracks ``(tag, n_tracks)``; equal counts go by tag."""
-    tracks = tags.groupBy("tag", "track").agg(F.lit(1).alias("one"))
-    counts = tracks.groupBy("tag").agg(F.count("*").alias("n_tracks")).where(F.col("n_tracks") >= min_tracks)
-    return counts.orderBy(F.desc("n_tracks"), "tag").limit(n_tags)
+def tag_sketch(tags: DataFrame, counters: int) -> DataFrame:
+    """Lower bounds of how many rows each tag has ``(tag, n)``, from counters that each task bounds; the row without a tag is
+    how much all tasks together may have missed of any tag.
+
+    A task that has more than twice ``counters`` tags takes the count of the one after the ``counters`` largest from all and
+    keeps those above zero (as Misra and Gries do): each tag loses that much at most, in any order of the rows.
+    """
+
+    def task(batches):
+        counts: dict[str, int] = {}
+        missed = 0
+        for batch in batches:
+            found = pc.value_counts(batch.column(0).drop_null())
+            for tag, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                counts[tag] = counts.get(tag, 0) + n
+            if len(counts) > 2 * counters:
+                values = np.fromiter(counts.values(), np.int64, len(counts))
+                least = int(np.partition(values, len(values) - counters - 1)[len(values) - counters - 1])
+                counts = {tag: n - least for tag, n in counts.items() if n > least}
+                missed += least
+        names, n = [*counts, None], [*counts.values(), missed]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["tag", "n"])
+
+    return tags.select("tag").mapInArrow(task, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
+
+
+def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1, counters: int = COUNTERS) -> DataFrame:
+    """The ``n_tags`` tags on most tracks ``(tag, n_tracks)``; equal counts go by tag.
+
+    ``tags`` has one row for each track and tag, as ``normalize_tags`` gives; other columns are ignored. What is shuffled are the
+    tasks' counters. If no task had to drop any, their sums are the counts. Else a tag can only be among the first
+    ``n_tags`` if its lower bound and what was missed reach the ``n_tags``-th lower bound; these candidates are counted
+    exactly. A tag in no counter has at most as many rows as were missed: if that many could suffice, the counters are too
+    few, and four times as many are taken.
+    """
+    while True:
+        sketch = stage(tag_sketch(tags, counters), "sketch")
+        missed = (sketch.where("tag is null").agg(F.sum("n")).first()[0]) or 0
+        first = sketch.where("tag is not null").orderBy(F.desc("n"), "tag").limit(n_tags)
+        if not missed:
+            return first.where(F.col("n") >= min_tracks).select("tag", F.col("n").alias("n_tracks"))
+        size, least = first.agg(F.count("*"), F.min("n")).first()
+        enough = max(least, min_tracks) if size == n_tags else min_tracks
+        if missed < enough:
+            break
+        remove_path(tags.sparkSession, sketch.staged_path)
+        counters *= 4
+    candidates = sketch.where(F.col("tag").isNotNull() & (F.col("n") + missed >= enough)).select("tag")
+    counts = tags.join(candidates, "tag", "left_semi").groupBy("tag").agg(F.count("*").alias("n_tracks"))
+    return counts.where(F.col("n_tracks") >= min_tracks).orderBy(F.desc("n_tracks"), "tag").limit(n_tags)
 
 
 def encode_tag_ids(vocab: DataFrame) -> DataFrame:
@@ -73,19 +130,28 @@ def encode_tag_ids(vocab: DataFrame) -> DataFrame:
     return numbered.select(F.col("d").alias("tag_id"), F.col("label").alias("tag"))
 
 
-def _small(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab) if vocab.count() <= VOCABULARY_ROWS else vocab
+def _met(tags: DataFrame, vocab: DataFrame, how: str) -> DataFrame:
+    """Tags joined with a vocabulary: broadcast if its counted bytes allow, else shuffled, with frequent tags cut into pieces."""
+    if _may_be_sent(vocab, "tag"):
+        return tags.join(F.broadcast(vocab), "tag", how)
+    hot = hot_keys(tags, "tag")
+    if how == "inner":
+        return salted_join(tags, vocab, "tag", "track", hot)
+    # both halves from one inner join: tags are marked, what stays unmarked is in no vocabulary
+    known = vocab.select("tag").distinct().withColumn("_known", F.lit(True))
+    every = tags.select("tag").distinct().join(known, "tag", "left").where("_known" if how == "left_semi" else "_known is null")
+    return salted_join(tags, every.select("tag"), "tag", "track", hot)
 
 
 def bag_of_tags(tags: DataFrame, vocab: DataFrame) -> DataFrame:
     """Counts per track and vocabulary tag ``(track, tag_id, n)``."""
-    known = tags.join(_small(vocab.select("tag", "tag_id")), "tag")
+    known = _met(tags, vocab.select("tag", "tag_id"), "inner")
     return known.groupBy("track", "tag_id").agg(F.sum("n").alias("n"))
 
 
 def tags_in_vocab(tags: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tags.join(_small(vocab.select("tag")), "tag", "left_semi")
+    return _met(tags, vocab.select("tag"), "left_semi")
 
 
 def tags_out_of_vocab(tags: DataFrame, vocab: DataFrame) -> DataFrame:
-    return tags.join(_small(vocab.select("tag")), "tag", "left_anti")
+    return _met(tags, vocab.select("tag"), "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,3 +144,13 @@ def scan_saved(spark: SparkSession, path: str, cache: bool = False) -> DataFrame
     """Read a saved table: lazily from disk, or held by the executors (spilling to their disks)."""
     df = spark.read.parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
+
+
+@contextmanager
+def held(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """A saved table held by the executors as long as the block runs; what is made of it inside must be finished there."""
+    df = scan_saved(spark, path, cache=True)
+    try:
+        yield df
+    finally:
+        df.unpersist(blocking=True)

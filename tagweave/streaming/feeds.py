@@ -19,7 +19,8 @@ from tagweave.operators.quantize import with_half_norms
 from tagweave.plans import factors
 from tagweave.plans.factors import PMFParams
 from tagweave.plans.online import pmf_partial_fit
-from tagweave.session import new_path, stage, work_dir
+from tagweave.session import new_path, remove_path, stage, work_dir
+from tagweave.streaming.keyed import whole_rows
 
 # Versions of a model that stay.
 KEEP = 3
@@ -82,13 +83,21 @@ def learn_counts(batch: DataFrame, batch_id: int, model_dir: str, cols: DataFram
         rho = factors.learning_rate(params, batch_id + 1)
         beta, _ = pmf_partial_fit(counts, rows, beta, scale, rho, params)
     beta.write.mode("overwrite").parquet(version_path(model_dir, batch_id))
+    remove_path(spark, counts.staged_path)
     prune(spark, model_dir)
 
 
 def stream_pmf(stream: DataFrame, model_dir: str, cols: DataFrame, est_total: int, params: PMFParams,
-               checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Stochastic factorization of a stream of counts ``(i, d, x)``."""
+               checkpoint: str | None = None, trigger: dict | None = None, whole: bool = False,
+               forget_after: int | None = None) -> StreamingQuery:
+    """Stochastic factorization of a stream of counts ``(i, d, x)``.
+
+    A micro-batch learns from the counts in it; with ``whole`` from all counts so far of the rows in it, which keyed state
+    holds (``forget_after``: milliseconds after which a count that got no more is cleared).
+    """
     scale = float(est_total) / params.batch_size
+    if whole:
+        stream = whole_rows(stream, forget_after)
 
     def learn(batch: DataFrame, batch_id: int) -> None:
         learn_counts(batch, batch_id, model_dir, cols, scale, params)
@@ -108,6 +117,7 @@ def learn_points(batch: DataFrame, batch_id: int, model_dir: str, k: int) -> Non
     else:
         codebook = with_half_norms(hartigan_partial_fit(points, before, k))
     codebook.write.mode("overwrite").parquet(version_path(model_dir, batch_id))
+    remove_path(spark, points.staged_path)
     prune(spark, model_dir)
 
 

@@ -171,3 +171,10 @@ def test_values_of_any_type(spark):
 def test_nothing_to_slice(spark):
     assert ragged.ragged_slice(offsets(spark, [(0, 0), (1, 0)]), flat(spark, 0)).orderBy("song_idx").collect() == [(0, []), (1, [])]
     assert ragged.ragged_slice(offsets(spark, [(0, 0)]).where("false"), flat(spark, 4)).collect() == []
+
+
+def test_held_tables_are_released(spark, tmp_path):
+    tracks.save(flat(spark, 5), f"{tmp_path}/held")
+    with tracks.held(spark, f"{tmp_path}/held") as df:
+        assert df.count() == 5 and df.storageLevel.useMemory
+    assert not df.storageLevel.useMemory

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from twin import arrays
 
+from tagweave import session
 from tagweave.operators import codebook
 from tagweave.plans import factors, online
 from tagweave.plans.factors import PMFParams
@@ -82,3 +83,43 @@ def test_a_stream_goes_on_with_another_trigger(spark, tmp_path):
     query.processAllAvailable()
     assert query.isActive and feeds.latest(spark, f"{tmp_path}/model").agg(F.sum("size")).first()[0] == 8
     query.stop()
+
+
+def test_rows_in_pieces_add_up_in_keyed_state(spark, tmp_path):
+    """A row's counts come in three micro-batches; the stream equals batch calls with the counts so far of the rows touched."""
+    rng = np.random.default_rng(5)
+    cols = spark.range(4).select(F.col("id").cast("int").alias("d")).cache()
+    beta = factors.init_factors(cols, "d", "beta", PARAMS)
+    so_far = {}
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("i long, d int, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    model, place = f"{tmp_path}/model", f"{tmp_path}/state"
+    for n in range(3):
+        rows = [(int(i), int(d), 1.0) for i, d in zip(rng.integers(0, 9, 20), rng.integers(0, 4, 20))]
+        spark.createDataFrame(rows, "i long, d int, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        # started anew for every piece: the state is read back from its checkpoint
+        feeds.stream_pmf(stream, model, cols, 30, PARAMS, checkpoint=place, whole=True).awaitTermination()
+        for i, d, x in rows:
+            so_far[i, d] = so_far.get((i, d), 0.0) + x
+        touched = {i for i, *_ in rows}
+        matrix = spark.createDataFrame([(i, d, x) for (i, d), x in so_far.items() if i in touched], "i long, d int, x double")
+        rho = factors.learning_rate(PARAMS, n + 1)
+        beta, _ = online.pmf_partial_fit(matrix, matrix.select("i").distinct(), beta, 3.0, rho, PARAMS)
+    before = arrays(feeds.latest(spark, model), "d", "g")
+    np.testing.assert_allclose(before, arrays(beta, "d", "g"), rtol=1e-9)
+    feeds.stream_pmf(stream, model, cols, 30, PARAMS, checkpoint=place, whole=True).awaitTermination()  # nothing new
+    np.testing.assert_array_equal(arrays(feeds.latest(spark, model), "d", "g"), before)
+
+
+def test_micro_batches_leave_no_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path / "work"))
+    cols = spark.range(4).select(F.col("id").cast("int").alias("d")).cache()
+    rng = np.random.default_rng(7)
+    left = []
+    for n in range(5):
+        rows = [(int(i), int(d), 1.0) for i, d in zip(rng.integers(0, 12, 30), rng.integers(0, 4, 30))]
+        feeds.learn_counts(spark.createDataFrame(rows, "i long, d int, x double"), n, f"{tmp_path}/model", cols, 3.0, PARAMS)
+        vectors = [(j, v) for j, v in enumerate(rng.normal(size=(10, 2)).tolist())]
+        feeds.learn_points(spark.createDataFrame(vectors, "point_id long, vec array<double>"), n, f"{tmp_path}/book", 2)
+        left.append(len(list((tmp_path / "work").iterdir())))
+    assert len(set(left)) == 1 and left[0] == 0, left

@@ -1,5 +1,10 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
+from tagweave.functions import ordering
 from tagweave.operators import counts, tags
 
 # Words and their published stems, departures of the toolkit version among them.
@@ -76,3 +81,46 @@ def test_joint_matrix(spark):
     codes = spark.createDataFrame([(1, 0, 4)], "track long, code int, n long")
     bags = spark.createDataFrame([(1, 0, 2), (2, 3, 1)], "track long, tag_id int, n long")
     assert {tuple(r) for r in counts.joint_matrix(codes, bags, 8).collect()} == {(1, 0, 4.0), (1, 8, 2.0), (2, 11, 1.0)}
+
+
+@pytest.mark.parametrize("counters", [1, 5, 40, 1 << 16])
+@pytest.mark.parametrize("n_tags, min_tracks", [(3, 1), (12, 1), (12, 6), (500, 1)])
+def test_vocabulary_from_few_counters_is_exact(spark, counters, n_tags, min_tracks):
+    """Tags of falling frequency over parts that each favour others; counters far fewer than the tags of a part."""
+    rng = random.Random(7)
+    pairs = {(track, f"t{min(int(rng.paretovariate(0.6)), 200) + 37 * (track % 3) * (rng.random() < 0.5)}") for track in range(90) for _ in range(25)}
+    table = spark.createDataFrame([(track, tag, 1) for track, tag in pairs], "track long, tag string, n long").repartition(6)
+    want = sorted(Counter(tag for _, tag in pairs).items(), key=lambda c: (-c[1], c[0]))
+    got = [(r.tag, r.n_tracks) for r in tags.build_tag_vocab(table, n_tags, min_tracks, counters).orderBy(F.desc("n_tracks"), "tag").collect()]
+    assert got == [(tag, n) for tag, n in want if n >= min_tracks][:n_tags]
+
+
+def test_sketch_misses_no_more_than_it_says(spark):
+    rng = random.Random(8)
+    rows = [(n, f"t{int(rng.expovariate(0.05))}") for n in range(6000)]
+    table = spark.createDataFrame(rows, "track long, tag string").repartition(5)
+    counts = Counter(tag for _, tag in rows)
+    told = {r.tag: r.n for r in tags.tag_sketch(table, 8).collect()}
+    missed = told.pop(None)
+    assert missed > 0 and len(told) <= 5 * 16
+    assert all(told.get(tag, 0) <= n <= told.get(tag, 0) + missed for tag, n in counts.items())
+
+
+def test_large_vocabularies_are_joined_with_salt(spark, monkeypatch):
+    counted = tags.normalize_tags(raw(spark))
+    ids = tags.encode_tag_ids(tags.build_tag_vocab(counted, 2))
+    monkeypatch.setattr(tags, "SENT_BYTES", 1)
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 1)
+    monkeypatch.setattr(ordering, "MAX_HOT_KEYS", 2)
+    assert {tuple(r) for r in tags.bag_of_tags(counted, ids).collect()} == {(1, 1, 2), (2, 1, 1), (3, 0, 2), (3, 1, 1)}
+    assert tags.tags_in_vocab(counted, ids).count() == 4
+    assert [r.tag for r in tags.tags_out_of_vocab(counted, ids).collect()] == ["jazz"]
+    assert tags.normalize_tags(raw(spark)).count() == 5
+
+
+@pytest.mark.parametrize("code, tag", [(8, 0), (-1, 0), (None, 0), (0, -1), (0, None)])
+def test_joint_matrix_keeps_codes_and_tags_apart(spark, code, tag):
+    codes = spark.createDataFrame([(1, code, 4)], "track long, code int, n long")
+    bags = spark.createDataFrame([(1, tag, 2)], "track long, tag_id int, n long")
+    with pytest.raises(Exception, match="out of range"):
+        counts.joint_matrix(codes, bags, 8).collect()

@@ -163,3 +163,26 @@ def test_decontamination_stage_equals_every_edit_distance(spark, folder):
     stay = [(i, t) for i, t in rows if all(plain_distance(w, t.lower().split()) > len(w) // 5 for w in lower)]
     assert 25 <= len(stay) <= 70
     assert rows_of(corpus_pipeline.without_benchmark(spark, docs, folder)) == stay
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, h long, row string, keep string, token_ids string, component_id long"
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(None, "a line of a document without an id\nand more of it"), (None, "a line of a document without an id\nand more of it"), (5, None), (5, ""),
+     (6, "twice the same row " * 20), (6, "twice the same row " * 20), (7, "one id, " * 30), (7, "two texts " * 30)],
+], ids=["empty", "odd"])
+def test_odd_tables_and_clashing_names(spark, tmp_path, rows):
+    """No rows; null ids, null and empty texts, repeated rows and ids; columns that stages use themselves. Rows without an id
+    are never copies of others; equal rows and rows of one id stay or go together."""
+    full = [(i, t, None, "s", None, 1, "r", "k", "x", 2) for i, t in rows]
+    spark.createDataFrame(full, EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        assert apply(spark, docs, str(tmp_path)).columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {i for i, _ in rows}
+    assert all(r.n_tokens == len(r.token_ids) for r in out)

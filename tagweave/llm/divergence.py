@@ -34,11 +34,14 @@ MIN_DF, TOP = 10, 10
 UNIT, PRIOR = 1_000_000_000, 2
 
 #: Bytes of text in a chunk, terms that a task numbers before it starts anew, and entries of term rows compared at once.
-CHUNK_BYTES, TERMS, CELLS = 4 << 20, 1 << 19, 1 << 16
+CHUNK_BYTES, TERMS, CELLS = 4 << 20, 1 << 18, 1 << 16
+
+#: Sums that a task holds before it gives them out.
+SUMS = 1 << 21
 
 CHUNK = """list long, lang string, terms array<string>, dfs array<int>, doc_ids array<long>, sources array<string>,
-    sizes array<int>, codes array<int>, counts array<int>"""
-KINDS = (pa.int64(), pa.string(), *map(pa.list_, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())))
+    sizes array<int>, entries array<long>"""
+KINDS = (pa.int64(), pa.string(), *map(pa.list_, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64())))
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -84,7 +87,7 @@ def _counter(limit: int):
 
         def row(*values) -> pa.RecordBatch:
             columns = [pa.array([v], kind) if v is None or not isinstance(v, pa.Array) else _one_list(v, kind) for v, kind in zip(values, KINDS, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["list", "lang", "terms", "dfs", "doc_ids", "sources", "sizes", "codes", "counts"])
+            return pa.RecordBatch.from_arrays(columns, ["list", "lang", "terms", "dfs", "doc_ids", "sources", "sizes", "entries"])
 
         for block in blocks(batches, "text", CHUNK_BYTES):
             buf, offsets = flat(block.column("text"))
@@ -106,11 +109,11 @@ def _counter(limit: int):
                 sizes = np.bincount(doc[chosen], minlength=block.num_rows)[members]
                 at = pa.array(members)
                 yield row(lists[lang].number, lang, None, None, block.column("doc_id").take(at), block.column("source").take(at), pa.array(sizes),
-                          pa.array(codes), pa.array(n[chosen]))
+                          pa.array(codes << 32 | n[chosen]))
             if sum(len(terms.code) for terms in lists.values()) > limit:
-                yield from (row(t.number, lang, pa.array(list(t.code)), pa.array(t.dfs[: len(t.code)]), *[None] * 5) for lang, t in lists.items())
+                yield from (row(t.number, lang, pa.array(list(t.code)), pa.array(t.dfs[: len(t.code)]), *[None] * 4) for lang, t in lists.items())
                 lists = {}
-        yield from (row(t.number, lang, pa.array(list(t.code), pa.string()), pa.array(t.dfs[: len(t.code)]), *[None] * 5) for lang, t in lists.items())
+        yield from (row(t.number, lang, pa.array(list(t.code), pa.string()), pa.array(t.dfs[: len(t.code)]), *[None] * 4) for lang, t in lists.items())
 
     return _counted
 
@@ -153,7 +156,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for n in range(batch.num_rows):
             row = {name: batch.column(name)[n] for name in batch.schema.names}
             array = lambda name: row[name].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            codes = array("codes")
+            entries = array("entries")
+            codes = entries >> 32
             index = np.full(row["n_terms"].as_py() or len(codes) and int(codes.max()) + 1, -1, np.int64)
             if row["places"].is_valid:
                 places = array("places")
@@ -161,7 +165,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             of = index[codes]
             kept = of >= 0
             doc = np.repeat(np.arange(len(row["doc_ids"])), array("sizes"))
-            yield row["lang"].as_py(), row["doc_ids"].values, row["sources"].values, doc[kept], of[kept], array("counts")[kept]
+            yield row["lang"].as_py(), row["doc_ids"].values, row["sources"].values, doc[kept], of[kept], entries[kept] & 0xFFFFFFFF
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +178,38 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "source", "indices", "counts"])
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct key and the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return keys[order][cuts], np.add.reduceat(counts[order], cuts) if len(cuts) else counts
+
+
 def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by source and index, combined within the task as long as there are not more than ``SUMS`` of them."""
+    names: dict[tuple[str, str], int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def combined() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate([part[k] for part in held]) for k in (0, 1)))
+
+    def told() -> pa.RecordBatch:
+        groups, (keys, sums) = list(names), combined()
+        at = keys >> 32
+        arrays = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(at)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(sums)], ["lang", "source", "index", "n"])
+
     for lang, _, sources, doc, index, count in _vectors(batches):
-        if not len(doc):
-            continue
         coded = sources.dictionary_encode()
-        key = coded.indices.to_numpy()[doc].astype(np.int64) << 32 | index
-        keys, where = np.unique(key, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, where, count)
-        arrays = [pa.array([lang] * len(keys), pa.string()), coded.dictionary.take(pa.array(keys >> 32)),
-                  pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(sums)]
-        yield pa.RecordBatch.from_arrays(arrays, ["lang", "source", "index", "n"])
+        group = np.array([names.setdefault((lang, s), len(names)) for s in coded.dictionary.to_pylist()], np.int64)
+        held.append(_summed(group[coded.indices.to_numpy()[doc]] << 32 | index, count))
+        if sum(len(keys) for keys, _ in held) > SUMS:
+            held = [combined()]
+            if len(held[0][0]) > SUMS // 2:
+                yield told()
+                names, held = {}, []
+    if held:
+        yield told()
 
 
 def document_vectors(docs: DataFrame, min_df: int = MIN_DF, list_terms: int = TERMS) -> Vectors:

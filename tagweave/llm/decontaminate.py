@@ -32,6 +32,8 @@ GRAM = 3
 SAMPLES, COORDINATES, WALKS, WALK_WORDS = 16, 2, 6, 20
 #: Items that go to the tasks at once, and bytes of their texts; values of the embeddings that are held at once.
 BLOCK_ITEMS, BLOCK_TEXT, EMBEDDED = 4000, 4 << 20, 1 << 21
+#: Bytes of text that are searched at once: windows of an item's size are embedded together.
+TEXT_BYTES = 4 << 20
 #: What stands before the first word of a text.
 SENTINEL = random_words(73, 1)[0]
 #: Words of the stretches that are compared at once, about.
@@ -85,7 +87,7 @@ def embed(words: np.ndarray, starts: np.ndarray, begins: np.ndarray, steps: int,
     salts = random_words(1000 + walk, steps)
     for step in range(steps):
         place = starts + at
-        letter = np.where(place < begins, SENTINEL, words[np.clip(place, 0, len(words) - 1)])
+        letter = np.where(place < begins, SENTINEL, words[np.minimum(np.maximum(place, 0), len(words) - 1)])
         met[:, step], far[:, step] = letter, at
         at += (mix(letter ^ salts[step]) & np.uint64(1)).astype(np.int64)
     return met, far
@@ -263,7 +265,7 @@ def _found(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", TEXT_BYTES):
             words, firsts = _words(block.column("text"))
             rows = leaks(items, words, firsts)
             if rows:

@@ -279,12 +279,12 @@ def normalize_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def build_tag_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return tags.build_tag_vocab(t.document_tags(spark, sf), t.VOCABULARY)
+    return tags.build_tag_vocab(stage(t.document_tags(spark, sf), "tags"), t.VOCABULARY)
 
 
 @query
 def encode_tag_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return t.document_vocabulary(t.document_tags(spark, sf))
+    return t.document_vocabulary(stage(t.document_tags(spark, sf), "tags"))
 
 
 def staged_document_tags(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

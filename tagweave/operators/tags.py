@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,9 +22,15 @@ TEXT_SEPARATORS = "[ \\t\\n\\r\\f]+"
 # A table of tags of at most this size may be broadcast: its texts, and what a row costs beside them.
 SENT_BYTES, ROW_BYTES = 64 << 20, 48
 
+# Rows of a raw tag that are stemmed one by one, on average, rather than shuffled to meet its normal form.
+STEMS = 8
+
 # Tags that a task counts at least before it forgets rare ones.
 COUNTERS = 1 << 16
 
+# Rows that a task counts at once.
+GATHERED = 1 << 18
+
 
 def _may_be_sent(table: DataFrame, *texts: str) -> bool:
     sizes = [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts]
@@ -49,29 +57,73 @@ def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(key).alias("track"), words.alias("raw")).where("raw <> ''")
 
 
-def tag_forms(raw: DataFrame) -> DataFrame:
-    """The distinct raw tags with their normal form ``(raw, tag)``; tags that become empty are left out."""
-    # a filter on a computed tag would be pushed below and stem twice; on an exploded one it stays above
-    one = F.filter(F.array(normalize_tag(F.col("raw"))), lambda tag: tag != "")
-    forms = raw.select("raw").distinct().select("raw", F.explode_outer(one).alias("tag"))
-    return forms.where("tag is not null")
+def _one_form(tag: Column) -> Column:
+    """A normal form as the one row of an explode, none if it is empty.
+
+    A filter on a computed tag would be pushed below and stem twice; on an exploded one it stays above.
+    """
+    return F.explode_outer(F.filter(F.array(tag), lambda t: t != ""))
+
+
+def frequent_forms(raw: DataFrame) -> tuple[DataFrame, bool]:
+    """The raw tags on more than one row with their normal form ``(raw, form)``, the more frequent first as far as they may be
+    broadcast; and whether the rows of all other raw tags are so few that each can be stemmed by itself.
+
+    Tags are taken by powers of two of their number of rows, so only the sizes of these classes reach the driver.
+    """
+    counted = stage(raw.groupBy("raw").agg(F.count("*").alias("n")).where("n > 1"), "raw-tags")
+    level = F.length(F.bin("n"))
+    sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("tags"), F.sum("n").alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
+    room, least, left_tags, left_rows = SENT_BYTES, 65, 0, 0
+    for row in sorted(sizes.collect(), reverse=True):
+        # a normal form is hardly longer than its raw tag
+        room -= row.tags * ROW_BYTES + 2 * (row.bytes or 0)
+        if room >= 0:
+            least = row.level
+        else:
+            left_tags, left_rows = left_tags + row.tags, left_rows + row.rows
+    forms = counted.where(level >= least).select("raw", normalize_tag(F.col("raw")).alias("form"))
+    return forms, left_rows <= STEMS * left_tags
 
 
 def normalize_tags(raw: DataFrame) -> DataFrame:
     """Tag counts ``(track, tag, n)`` in normal form.
 
-    Stemming is the costly part, so each distinct raw tag is stemmed once and joined back to the
-    counted pairs: by broadcast if the forms are few enough, else with frequent tags cut into pieces.
+    Stemming is the costly part. Each frequent raw tag is stemmed once and joined by broadcast, and the rare ones are stemmed
+    where they stand, so that rows are shuffled once, by track and tag. If the tags that can't be broadcast have too many rows
+    for that, they are joined back to the counted pairs by a shuffle, with frequent tags cut into pieces.
     """
+    forms, rare = frequent_forms(raw)
+    if not rare:
+        return _normalize_by_shuffle(raw)
+    known = raw.join(F.broadcast(forms), "raw", "left")
+    form = F.when(F.col("form").isNotNull(), F.col("form")).otherwise(normalize_tag(F.col("raw")))
+    tagged = known.select("track", _one_form(form).alias("tag")).where("tag is not null")
+    return tagged.groupBy("track", "tag").agg(F.count("*").alias("n"))
+
+
+def _normalize_by_shuffle(raw: DataFrame) -> DataFrame:
+    """Each distinct raw tag is stemmed once and joined to the counted pairs of track and raw tag."""
     counted = stage(raw.groupBy("track", "raw").agg(F.count("*").alias("n")), "raw-tags")
-    forms = stage(tag_forms(counted), "tag-forms")
-    if _may_be_sent(forms, "raw", "tag"):
-        tagged = counted.join(F.broadcast(forms), "raw")
-    else:
-        tagged = salted_join(counted, forms, "raw", "track", hot_keys(counted, "raw"))
+    forms = counted.select("raw").distinct().select("raw", _one_form(normalize_tag(F.col("raw"))).alias("tag"))
+    forms = stage(forms.where("tag is not null"), "tag-forms")
+    tagged = salted_join(counted, forms, "raw", "track", hot_keys(counted, "raw"))
     return tagged.groupBy("track", "tag").agg(F.sum("n").alias("n"))
 
 
+def _value_counts(batches):
+    """How many of ``GATHERED`` rows at a time have each value of the first column, as tables ``tag, n``."""
+    held, rows = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch.column(0).drop_null().cast(pa.string()))
+            rows += batch.num_rows
+        if held and (batch is None or rows >= GATHERED):
+            found = pc.value_counts(pa.chunked_array(held, pa.string()))
+            yield pa.table({"tag": found.field("values"), "n": found.field("counts")})
+            held, rows = [], 0
+
+
 def tag_sketch(tags: DataFrame, counters: int) -> DataFrame:
     """Lower bounds of how many rows each tag has ``(tag, n)``, from counters that each task bounds; the row without a tag is
     how much all tasks together may have missed of any tag.
@@ -81,19 +133,16 @@ def tag_sketch(tags: DataFrame, counters: int) -> DataFrame:
     """
 
     def task(batches):
-        counts: dict[str, int] = {}
-        missed = 0
-        for batch in batches:
-            found = pc.value_counts(batch.column(0).drop_null())
-            for tag, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                counts[tag] = counts.get(tag, 0) + n
-            if len(counts) > 2 * counters:
-                values = np.fromiter(counts.values(), np.int64, len(counts))
+        counts, missed = pa.table({"tag": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
+        for found in _value_counts(batches):
+            counts = pa.concat_tables([counts, found]).group_by("tag").aggregate([("n", "sum")]).rename_columns(["tag", "n"])
+            if counts.num_rows > 2 * counters:
+                values = counts.column("n").to_numpy()
                 least = int(np.partition(values, len(values) - counters - 1)[len(values) - counters - 1])
-                counts = {tag: n - least for tag, n in counts.items() if n > least}
+                counts = counts.set_column(1, "n", pc.subtract(counts.column("n"), least)).filter(pa.array(values > least))
                 missed += least
-        names, n = [*counts, None], [*counts.values(), missed]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["tag", "n"])
+        yield from counts.to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([missed], pa.int64())], names=["tag", "n"])
 
     return tags.select("tag").mapInArrow(task, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
 

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.catalog import queries
 from tagweave.functions import ordering
 from tagweave.operators import counts, tags
 
@@ -124,3 +125,35 @@ def test_joint_matrix_keeps_codes_and_tags_apart(spark, code, tag):
     bags = spark.createDataFrame([(1, tag, 2)], "track long, tag_id int, n long")
     with pytest.raises(Exception, match="out of range"):
         counts.joint_matrix(codes, bags, 8).collect()
+
+
+@pytest.mark.parametrize("sent, stems", [(64 << 20, 8), (150, 8), (1, 8), (1, 0)])
+def test_rare_tags_are_stemmed_in_place_and_frequent_ones_once(spark, monkeypatch, sent, stems):
+    """Unless raw tags are many and each on many rows, no table of tracks and raw tags is written or shuffled."""
+    monkeypatch.setattr(tags, "SENT_BYTES", sent)
+    monkeypatch.setattr(tags, "STEMS", stems)
+    written, stage = [], tags.stage
+    monkeypatch.setattr(tags, "stage", lambda df, label: written.append((label, df.columns)) or stage(df, label))
+    rows = [(t, w) for t in range(6) for w in ["Rocks", "rock", "--", "jazz!"][: t + 1] + [f"Singles{t}", None]] + [(None, "rock")] * 2
+    want = Counter((t, w.lower().strip("-!").removesuffix("s") if not w.startswith("S") else f"singles{t}") for t, w in rows if w and w != "--")
+    got = tags.normalize_tags(spark.createDataFrame(rows, "track long, raw string")).collect()
+    assert Counter({(r.track, r.tag): r.n for r in got}) == want and len(got) == len(want)
+    assert any("track" in columns for _, columns in written) == (stems == 0)
+
+
+def test_frequent_forms_keep_to_the_room(spark, monkeypatch):
+    raw_tags = spark.createDataFrame([(n, w) for w, k in [("Cats", 9), ("dogs", 4), ("one", 1)] for n in range(k)], "track long, raw string")
+    monkeypatch.setattr(tags, "SENT_BYTES", 60)
+    forms, rare = tags.frequent_forms(raw_tags)
+    assert [tuple(r) for r in forms.collect()] == [("Cats", "cat")] and rare
+    monkeypatch.setattr(tags, "STEMS", 3)
+    assert not tags.frequent_forms(raw_tags)[1]
+
+
+@pytest.mark.parametrize("name", ["build_tag_vocab", "encode_tag_ids"])
+def test_vocabulary_queries_count_the_tags_once(spark, monkeypatch, name):
+    """Every pass of the vocabulary reads the counted tags as a stored table."""
+    read, build = [], tags.build_tag_vocab
+    monkeypatch.setattr(tags, "build_tag_vocab", lambda df, *args: read.extend(df.inputFiles()) or build(df, *args))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert read and all("/tags-" in file for file in read)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 SAMPLE_BYTES = 64 << 20
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int, salt: str | None = None, usable: Column | None = None,
-                    max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int, float]]:
-    """``(text, class, weight)`` of about ``each`` documents of either class at most, chosen by hash, in a fixed order.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, each: int, salt: str | None = None, usable: Column | None = None,
+                  max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``l_id, text, y, weight`` of about ``each`` documents of either class ``y`` at most, chosen by hash.
 
     The weight makes up for the share of its class that was chosen. The class is 1 where ``label`` is above zero. Null labels
     and ids are ignored; a document with several labels has the largest, an id with several rows its least text, so
@@ -29,5 +29,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, each: int, s
     given = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     picked = given.join(F.broadcast(chosen), "l_id").groupBy("l_id", "y").agg(F.min("text").alias("text"))
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("l_id"), "l_id"))
-    rows = picked.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy("l_id").select("text", "y").collect()
-    return [(r.text, r.y, max(shares) / shares[r.y]) for r in rows]
+    weight = F.when(F.col("y") == 1, max(shares) / shares[1]).otherwise(max(shares) / shares[0])
+    return picked.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("l_id", "text", "y", weight.alias("weight"))
+
+
+def sample_labelled(*args, **settings) -> list[tuple[str, int, float]]:
+    """``(text, class, weight)`` of ``labelled_rows``, in a fixed order."""
+    rows = labelled_rows(*args, **settings).orderBy("l_id").select("text", "y", "weight").collect()
+    return [(r.text, r.y, r.weight) for r in rows]

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tagweave.llm.common import blocks, flat, keyed_rows, small_batches, span_hashes, word_spans
-from tagweave.llm.labelled import sample_labelled
+from tagweave.llm.common import blocks, flat, keyed_rows, release_memory, small_batches, span_hashes, word_spans
+from tagweave.llm.labelled import labelled_rows
 
 #: Labelled documents of each class that train at most; chosen by hash.
 SAMPLE = 2000
@@ -176,11 +176,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Labels are ``doc_id, toxic``; nulls are ignored, a document with several labels is toxic if any says so.
     """
-    rows = sample_labelled(docs, labels, "toxic", sample, "sample", ~F.coalesce(held_out("l_id"), F.lit(False)))
-    truth = np.array([y for _, y, _ in rows], np.int64)
-    share = {y: w for _, y, w in rows}
+    rows = labelled_rows(docs, labels, "toxic", sample, "sample", ~F.coalesce(held_out("l_id"), F.lit(False)))
+    # bounded by the sample, so one task takes it; the driver gets the words and weights only
+    small_batches(docs.sparkSession)
+    given = rows.coalesce(1).sortWithinPartitions("l_id").select("text", "y", "weight")
+    learned = given.mapInArrow(_fitted, "word long, weight double").toArrow()
+    return Model(learned.column("word").to_numpy().view(np.uint64), learned.column("weight").to_numpy())
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows ``text, y, weight``, as ``word, weight`` by word."""
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts)
+    truth = rows.column("y").to_numpy().astype(np.int64)
+    share = dict(zip(truth.tolist(), rows.column("weight").to_pylist(), strict=True))
     weights = np.where(truth == 1, 1.0, share.get(0, 1.0) / share.get(1, 1.0))
-    return fit([t for t, *_ in rows], truth, weights)
+    model = fit(rows.column("text").to_pylist(), truth, weights)
+    yield pa.RecordBatch.from_arrays([pa.array(model.words.view(np.int64)), pa.array(model.weights)], ["word", "weight"])
+    release_memory()
 
 
 def _scored(model):

@@ -113,6 +113,20 @@ def plain_sentences(text):
     return [s for s in out if s]
 
 
+def test_toxicity_is_learned_in_a_task(spark, folder, monkeypatch):
+    """The texts that train never reach the driver."""
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+
+    def fit(*_):
+        raise AssertionError("learned by the driver")
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    model = toxicity.train(docs, labels)
+    assert len(model.words) == len(model.weights) > 0 and model.words.dtype == np.uint64
+    nothing = toxicity.train(docs, labels.limit(0))
+    assert len(nothing.words) == len(nothing.weights) == 0
+
+
 def test_toxicity_stage_equals_plain_scoring(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
     model = toxicity.train(docs, labels)

@@ -7,7 +7,7 @@ from tagweave import session
 from tagweave.operators import codebook
 from tagweave.plans import factors, online
 from tagweave.plans.factors import PMFParams
-from tagweave.streaming import feeds
+from tagweave.streaming import feeds, keyed
 
 PARAMS = PMFParams(n_components=2, max_iter=2, tol=-1e9, random_state=1, batch_size=10)
 
@@ -121,3 +121,48 @@ def test_micro_batches_leave_no_folders(spark, tmp_path, monkeypatch):
         feeds.learn_points(spark.createDataFrame(vectors, "point_id long, vec array<double>"), n, f"{tmp_path}/book", 2)
         left.append(len(list((tmp_path / "work").iterdir())))
     assert len(set(left)) == 1 and left[0] == 0, left
+
+
+class Held:
+    """A state value that counts the calls on it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema, ttl):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_row_costs_two_calls_on_its_state_however_many_cells_it_has():
+    held = Held()
+    counts = keyed.RowCounts(None)
+    counts.init(held)
+    list(counts.handleInputRows((7,), iter([(7, d, 1.0) for d in range(50)]), Clock(0)))
+    got = list(counts.handleInputRows((7,), iter([(7, 3, 2.0), (7, 60, None), (7, None, 1.0), (7, 3, float("nan"))]), Clock(1)))
+    assert held.calls == 4
+    assert {r.d: r.x for r in got} == {**dict.fromkeys(range(50), 1.0), 3: 3.0, 60: 0.0} and {r.i for r in got} == {7}
+
+
+def test_a_count_that_got_no_more_is_cleared_alone():
+    held = Held()
+    counts = keyed.RowCounts(100)
+    counts.init(held)
+    list(counts.handleInputRows((7,), iter([(7, 0, 1.0), (7, 1, 1.0)]), Clock(0)))
+    assert [tuple(r) for r in counts.handleInputRows((7,), iter([(7, 1, 1.0)]), Clock(60))] == [(7, 0, 1.0), (7, 1, 2.0)]
+    assert [tuple(r) for r in counts.handleInputRows((7,), iter([(7, 2, 5.0)]), Clock(130))] == [(7, 1, 2.0), (7, 2, 5.0)]

@@ -8,6 +8,8 @@ consonant counts as short (``use`` stays), four-letter words in ``ies`` and ``ie
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ IRREGULAR = {
     "howe": ["howe"], "proceed": ["proceed"], "exceed": ["exceed"], "succeed": ["succeed"],
 }
 
+# Plain words that no step changes, by their last letter: no suffix and no word above ends in it, nor do ``ed``, ``ing`` and ``y``.
+_SUFFIXES = [s for s, _ in [*PLURALS, *STEP_2, *STEP_3]] + [*STEP_4, "ed", "ing", "y", "e", "l"]
+_LAST = {s[-1] for s in [*_SUFFIXES, *(form for forms in IRREGULAR.values() for form in forms)]}
+UNCHANGED = f"^[a-z0-9]*[0-9{''.join(c for c in string.ascii_lowercase if c not in _LAST)}]$"
+
 
 def _without(word: Column, n: int) -> Column:
     return F.substring(word, F.lit(1), F.length(word) - n)
@@ -130,9 +137,11 @@ STEPS = [_plural, _past, _repair, _final_y, _replace(STEP_2), _replace(STEP_3),
 
 
 def _own_stem(word: Column, stem: Column) -> Column:
+    own_stem = stem
     for own, forms in IRREGULAR.items():
-        stem = F.when(word.isin(forms), F.lit(own)).otherwise(stem)
-    return stem
+        own_stem = F.when(word.isin(forms), F.lit(own)).otherwise(own_stem)
+    # one look-up for the many words that have none
+    return F.when(word.isin([form for forms in IRREGULAR.values() for form in forms]), own_stem).otherwise(stem)
 
 
 def stem_words(words: Column) -> Column:

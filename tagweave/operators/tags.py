@@ -9,11 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.functions.ordering import hot_keys, salted_join
 from tagweave.operators.counts import number_labels
-from tagweave.operators.stem import stem_words
-from tagweave.session import remove_path, stage
+from tagweave.operators.stem import UNCHANGED, stem_words
+from tagweave.session import remove_path, spread_scan, stage
 
 # What separates the words of a tag, and what separates the words of a text.
 TAG_SEPARATORS = "[^\\p{L}\\p{N}]+"
@@ -31,6 +32,9 @@ COUNTERS = 1 << 16
 # Rows that a task counts at once.
 GATHERED = 1 << 18
 
+# Raw tags among which a task stems each distinct one once.
+STEMMED = 1 << 22
+
 
 def _may_be_sent(table: DataFrame, *texts: str) -> bool:
     sizes = [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts]
@@ -43,8 +47,10 @@ def normalize_tag(tag: Column) -> Column:
     lower = F.lower(tag)
     words = F.filter(F.split(lower, TAG_SEPARATORS), lambda w: w != "")
     # most tags are one plain word, and telling so is far cheaper than splitting by letter classes
+    plain = F.when(lower.rlike(UNCHANGED), lower)
     words = F.when(lower.rlike("^[a-z0-9]+$"), F.array(lower)).otherwise(words)
-    return F.array_join(stem_words(words), "")
+    # as the variable of a lambda the words are split once, though stemming takes them twice
+    return plain.otherwise(F.array_join(F.transform(F.array(words), stem_words)[0], ""))
 
 
 def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -57,6 +63,11 @@ def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(key).alias("track"), words.alias("raw")).where("raw <> ''")
 
 
+def word_lists(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same words as one array a text, with empty ones at its ends, which have no normal form."""
+    return texts.select(F.col(key).alias("track"), F.split(text, TEXT_SEPARATORS).alias("raw"))
+
+
 def _one_form(tag: Column) -> Column:
     """A normal form as the one row of an explode, none if it is empty.
 
@@ -86,13 +97,119 @@ def frequent_forms(raw: DataFrame) -> tuple[DataFrame, bool]:
     return forms, left_rows <= STEMS * left_tags
 
 
+def _codes(values: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the distinct ones, null as one of them, and these."""
+    found = pa.concat_arrays(values.chunks).dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def _blocks(batches, words: int):
+    """Whole rows with about ``words`` elements of ``raw`` together, as tables; a longer row may stand alone."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch.column("raw")), 0).to_numpy().astype(np.int64)
+        total, first = size + np.cumsum(n), 0
+        for end in (np.flatnonzero(total // words > (total - n) // words) + 1).tolist():
+            yield pa.Table.from_batches([*held, batch.slice(first, end - first)])
+            held, first = [], end
+        held.append(batch.slice(first))
+        size = int(total[-1]) % words if len(total) else size
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tags_in_blocks(raw: DataFrame) -> DataFrame:
+    """``block, raw, track, n``: the distinct raw tags of each block of rows, with their tracks and counts as arrays."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("raw", T.StringType()),
+                           T.StructField("track", T.ArrayType(raw.schema["track"].dataType)), T.StructField("n", T.ArrayType(T.LongType()))])
+
+    def task(batches):
+        for block, table in enumerate(_blocks(batches, STEMMED)):
+            size = pc.fill_null(pc.list_value_length(table.column("raw")), 0).to_numpy()
+            if not size.sum():
+                continue
+            tag, texts = _codes(pc.list_flatten(table.column("raw")))
+            pairs, n = np.unique(tag * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
+            bounds = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(size)).astype(np.int32))
+            tracks = pa.concat_arrays(table.column("track").chunks).take(pa.array(pairs % len(size)))
+            lists = [pa.ListArray.from_arrays(bounds, values) for values in (tracks, pa.array(n.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), texts.cast(pa.string()), *lists], names=schema.names)
+
+    return raw.select("track", "raw").mapInArrow(task, schema)
+
+
+def _by_block(batches):
+    """The rows of one block after the other, as tables."""
+    held = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for first, end in itertools.pairwise(cuts):
+            if held and end > first and held[-1].column("block")[0] != batch.column("block")[first]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if end > first:
+                held.append(batch.slice(first, end - first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _normalize_in_place(raw: DataFrame) -> DataFrame:
+    """Tag counts of tracks that have all their raw tags in one row: each block of rows is counted by itself.
+
+    A raw tag is stemmed once a block. No rows are shuffled, and a task holds one block of about ``STEMMED`` raw tags.
+    """
+    schema = T.StructType([raw.schema["track"], T.StructField("tag", T.StringType()), T.StructField("n", T.LongType())])
+    stemmed = _tags_in_blocks(raw).select("block", normalize_tag(F.col("raw")).alias("tag"), "track", "n")
+
+    def task(batches):
+        for table in _by_block(batches):
+            table = table.filter(pc.not_equal(table.column("tag"), ""))
+            if not table.num_rows:
+                continue
+            tag, texts = _codes(table.column("tag"))
+            at, tracks = _codes(pc.list_flatten(table.column("track")))
+            pairs = np.repeat(tag, pc.list_value_length(table.column("n")).to_numpy()) * len(tracks) + at
+            order = np.argsort(pairs, kind="stable")
+            pairs = pairs[order]
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            n = np.add.reduceat(pc.list_flatten(table.column("n")).to_numpy()[order], first)
+            found = [tracks.take(pa.array(pairs[first] % len(tracks))), texts.take(pa.array(pairs[first] // len(tracks))), pa.array(n)]
+            yield from pa.table(found, names=schema.names).to_batches(GATHERED)
+
+    return stemmed.mapInArrow(task, schema)
+
+
+def tags_of_texts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Tag counts ``(track, tag, n)`` of all words of whole texts.
+
+    The words of a key with one text are counted where they stand. Only the words of keys that come more than once are
+    shuffled.
+    """
+    every = spread_scan(texts.select(key, text))
+    twice = texts.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    twice = stage(twice, "repeated-keys")
+    if twice.isEmpty():
+        return normalize_tags(word_lists(every, key, text))
+    if not _may_be_sent(twice.select(F.col("_key").cast("string")), "_key"):
+        return normalize_tags(words_of(every, key, text))
+    marked = every.join(F.broadcast(twice), F.col(key).eqNullSafe(F.col("_key")), "left")
+    once = normalize_tags(word_lists(marked.where("_n is null"), key, text))
+    return once.unionByName(normalize_tags(words_of(marked.where("_n > 1"), key, text)))
+
+
 def normalize_tags(raw: DataFrame) -> DataFrame:
     """Tag counts ``(track, tag, n)`` in normal form.
 
+    ``raw`` has a row for each raw tag, or one for each track with an array of all its raw tags; no row of the latter is
+    shuffled. The former are counted as follows.
+
     Stemming is the costly part. Each frequent raw tag is stemmed once and joined by broadcast, and the rare ones are stemmed
     where they stand, so that rows are shuffled once, by track and tag. If the tags that can't be broadcast have too many rows
     for that, they are joined back to the counted pairs by a shuffle, with frequent tags cut into pieces.
     """
+    if isinstance(raw.schema["raw"].dataType, T.ArrayType):
+        return _normalize_in_place(raw)
     forms, rare = frequent_forms(raw)
     if not rare:
         return _normalize_by_shuffle(raw)

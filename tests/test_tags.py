@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.catalog import queries
 from tagweave.functions import ordering
-from tagweave.operators import counts, tags
+from tagweave.operators import counts, stem, tags
 
 # Words and their published stems, departures of the toolkit version among them.
 STEMS = {
@@ -157,3 +158,52 @@ def test_vocabulary_queries_count_the_tags_once(spark, monkeypatch, name):
     monkeypatch.setattr(tags, "build_tag_vocab", lambda df, *args: read.extend(df.inputFiles()) or build(df, *args))
     queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert read and all("/tags-" in file for file in read)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 22])
+def test_arrays_of_raw_tags_are_counted_without_a_shuffle(spark, monkeypatch, block):
+    monkeypatch.setattr(tags, "STEMMED", block)
+    rows = [(1, ["Rock", "rocks", "", "jazz!", None]), (2, ["rock", "--"]), (3, []), (4, None), (None, ["folk", "Folk", "rock"]), (5, ["Cats"] * 9)]
+    rows += [(n, [f"Words{n % 4}", "dog", "dogs"] * (n % 5)) for n in range(10, 60)]
+    want = Counter((t, w.lower().strip("-!").removesuffix("s")) for t, ws in rows for w in ws or [] if w and w != "--")
+    for parts in (1, 5):
+        got = tags.normalize_tags(spark.createDataFrame(rows, "track long, raw array<string>").repartition(parts))
+        assert "Exchange hash" not in plan(got)
+        got = got.collect()
+        assert Counter({(r.track, r.tag): r.n for r in got}) == want and len(got) == len(want)
+
+
+def test_each_raw_tag_of_a_block_is_stemmed_once(spark):
+    rows = [(t, ["rock", "Jazz", "rock"]) for t in range(50)]
+    got = tags._tags_in_blocks(spark.createDataFrame(rows, "track long, raw array<string>").coalesce(1)).collect()
+    assert sorted((r.block, r.raw, len(r.track), sum(r.n)) for r in got) == [(0, "Jazz", 50, 50), (0, "rock", 50, 100)]
+
+
+@pytest.mark.parametrize("sent", [64 << 20, 1])
+@pytest.mark.parametrize("again", [[], [(2, "rock jazz"), (None, "rock"), (None, "Rocks"), (2, None)]])
+def test_only_texts_of_repeated_keys_are_shuffled(spark, monkeypatch, sent, again):
+    monkeypatch.setattr(tags, "SENT_BYTES", sent)
+    taken, normalize = [], tags.normalize_tags
+    monkeypatch.setattr(tags, "normalize_tags", lambda raw: taken.append({r.track for r in raw.collect()}) or normalize(raw))
+    texts = [(1, "Rock rocks\njazz! 7"), (2, " rock --"), (3, ""), (4, None), (None, "folk"), *again]
+    got = tags.tags_of_texts(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id")
+    want = Counter((t, w.lower().strip("-!").removesuffix("s")) for t, text in texts for w in (text or "").split() if w != "--")
+    rows = got.collect()
+    assert Counter({(r.track, r.tag): r.n for r in rows}) == want and len(rows) == len(want)
+    assert ("Exchange hash" in plan(got)) == bool(again)
+    # of keys that are few enough to be sent, the words of the others stay where they are
+    if again and sent > 1:
+        assert taken == [{1, 3, 4}, {2, None}]
+
+
+def test_unchanged_words_are_what_the_steps_leave_alone(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeiouybdglnst7xkwo", k=rng.randint(1, 9))) + rng.choice("0abfhjkopqvwxz") for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "raw string")
+    assert df.where(F.col("raw").rlike(stem.UNCHANGED)).count() == len(words)
+    assert [r.s for r in df.select(stem.stem_words(F.array("raw"))[0].alias("s")).collect()] == words
+    assert not any(re.search(stem.UNCHANGED, w) for w, s in STEMS.items() if w != s)

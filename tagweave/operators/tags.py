@@ -286,6 +286,9 @@ def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1, cou
         remove_path(tags.sparkSession, sketch.staged_path)
         counters *= 4
     candidates = sketch.where(F.col("tag").isNotNull() & (F.col("n") + missed >= enough)).select("tag")
+    if _may_be_sent(candidates, "tag"):
+        # the file of all counters looks too large to broadcast, and all rows would be shuffled
+        candidates = F.broadcast(candidates)
     counts = tags.join(candidates, "tag", "left_semi").groupBy("tag").agg(F.count("*").alias("n_tracks"))
     return counts.where(F.col("n_tracks") >= min_tracks).orderBy(F.desc("n_tracks"), "tag").limit(n_tags)
 

@@ -200,6 +200,20 @@ def test_only_texts_of_repeated_keys_are_shuffled(spark, monkeypatch, sent, agai
         assert taken == [{1, 3, 4}, {2, None}]
 
 
+def test_candidates_of_a_vocabulary_are_broadcast(spark):
+    """The table of all counters is too large for that by its size, its few candidates are not."""
+    rows = [(n, f"t{n % 3 if n % 2 else n}") for n in range(600)]
+    table = spark.createDataFrame(rows, "track long, tag string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        vocab = tags.build_tag_vocab(table, 3, counters=20)
+        assert "BroadcastHashJoin" in plan(vocab) and "SortMergeJoin" not in plan(vocab)
+        assert [r.n_tracks for r in vocab.collect()] == [101, 101, 100]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_unchanged_words_are_what_the_steps_leave_alone(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("aeiouybdglnst7xkwo", k=rng.randint(1, 9))) + rng.choice("0abfhjkopqvwxz") for _ in range(3000)]

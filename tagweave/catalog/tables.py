@@ -84,8 +84,8 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document as a tag of that document, counted in normal form."""
-    return tags.tags_of_texts(read(spark, sf_dir, "documents"), "doc_id")
+    """Every word of every document as a tag of that document, counted in normal form and listed by tag."""
+    return tags.list_tags_of_texts(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def document_vocabulary(document_tag_counts: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ consonant counts as short (``use`` stays), four-letter words in ``ies`` and ``ie
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +45,11 @@ IRREGULAR = {
     "howe": ["howe"], "proceed": ["proceed"], "exceed": ["exceed"], "succeed": ["succeed"],
 }
 
-# Plain words that no step changes, by their last letter: no suffix and no word above ends in it, nor do ``ed``, ``ing`` and ``y``.
-_SUFFIXES = [s for s, _ in [*PLURALS, *STEP_2, *STEP_3]] + [*STEP_4, "ed", "ing", "y", "e", "l"]
-_LAST = {s[-1] for s in [*_SUFFIXES, *(form for forms in IRREGULAR.values() for form in forms)]}
-UNCHANGED = f"^[a-z0-9]*[0-9{''.join(c for c in string.ascii_lowercase if c not in _LAST)}]$"
+# Words that no step changes, by how they end: as no suffix and no word above, nor as what other steps look at.
+_ENDINGS = {s for s, _ in [*PLURALS, *STEP_2, *STEP_3]} | {*STEP_4, "ed", "ing", "y", "e", "ll"}
+_ENDINGS |= {form for forms in IRREGULAR.values() for form in forms}
+_SHORTEST = sorted(e for e in _ENDINGS if not any(e.endswith(other) for other in _ENDINGS - {e}))
+UNCHANGED = "^[^ ]++$" + "".join(f"(?<!{e})" for e in _SHORTEST)
 
 
 def _without(word: Column, n: int) -> Column:
@@ -98,12 +97,18 @@ def _repair(w: Column) -> Column:
 
 
 def _final_y(w: Column) -> Column:
-    return F.when((F.length(w) > 2) & w.rlike(Y_AFTER_CONSONANT), F.concat(_without(w, 1), F.lit("i"))).otherwise(w)
+    turns = (F.length(w) > 2) & F.endswith(w, F.lit("y")) & w.rlike(Y_AFTER_CONSONANT)
+    return F.when(turns, F.concat(_without(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _left_alone(w: Column, suffixes: list[str]) -> Column:
+    """Short words, and by one look-up of the last two letters most of those that end in none of the suffixes."""
+    return (F.length(w) <= 2) | ~F.substring(w, -2, 2).isin(sorted({s[-2:] for s in suffixes}))
 
 
 def _replace(rules: list[tuple[str, str]]):
     def step(w: Column) -> Column:
-        rule = F.when(F.length(w) <= 2, w)
+        rule = F.when(_left_alone(w, [suffix for suffix, _ in rules]), w)
         for suffix, new in rules:
             stem = _without(w, len(suffix))
             shorter = F.when(stem.rlike(MEASURE_ABOVE_0), F.concat(stem, F.lit(new))).otherwise(w)
@@ -114,7 +119,7 @@ def _replace(rules: list[tuple[str, str]]):
 
 
 def _drop(w: Column) -> Column:
-    rule = F.when(F.length(w) <= 2, w)
+    rule = F.when(_left_alone(w, STEP_4), w)
     for suffix in STEP_4:
         # the s or t before "ion" belongs to the stem
         stem = _without(w, 3 if suffix in ("sion", "tion") else len(suffix))

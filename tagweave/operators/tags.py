@@ -35,6 +35,9 @@ GATHERED = 1 << 18
 # Raw tags among which a task stems each distinct one once.
 STEMMED = 1 << 22
 
+# Tracks in one row of listed tag counts: rows are read some thousand at a time.
+LISTED = 1 << 10
+
 
 def _may_be_sent(table: DataFrame, *texts: str) -> bool:
     sizes = [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts]
@@ -44,13 +47,21 @@ def _may_be_sent(table: DataFrame, *texts: str) -> bool:
 
 def normalize_tag(tag: Column) -> Column:
     """Lower case, one stemmed word after the other, no separators: ``Acoustic Guitars`` is ``acoustguitar``."""
-    lower = F.lower(tag)
-    words = F.filter(F.split(lower, TAG_SEPARATORS), lambda w: w != "")
-    # most tags are one plain word, and telling so is far cheaper than splitting by letter classes
-    plain = F.when(lower.rlike(UNCHANGED), lower)
-    words = F.when(lower.rlike("^[a-z0-9]+$"), F.array(lower)).otherwise(words)
-    # as the variable of a lambda the words are split once, though stemming takes them twice
-    return plain.otherwise(F.array_join(F.transform(F.array(words), stem_words)[0], ""))
+    # separators are replaced before words are split at blanks: a split compiles any longer pattern for each value
+    blanks = F.trim(F.regexp_replace(F.lower(tag), TAG_SEPARATORS, " "))
+    return _once(F.when(F.lower(tag).rlike("[^a-z0-9]"), blanks).otherwise(F.lower(tag)), _stemmed)
+
+
+def _once(value: Column, take) -> Column:
+    """What ``take`` makes of a value that it uses several times: as the variable of a lambda it is computed once."""
+    return F.transform(F.array(value), take)[0]
+
+
+def _stemmed(blanks: Column) -> Column:
+    """The stems of the words between single blanks, joined."""
+    words = F.when(~blanks.contains(" "), F.array(blanks)).otherwise(F.split(blanks, " "))
+    # most tags are one word, and telling that no step changes it is far cheaper than the steps
+    return F.when(blanks.rlike(UNCHANGED), blanks).otherwise(F.array_join(_once(words, stem_words), ""))
 
 
 def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -63,9 +74,18 @@ def words_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(key).alias("track"), words.alias("raw")).where("raw <> ''")
 
 
-def word_lists(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The same words as one array a text, with empty ones at its ends, which have no normal form."""
-    return texts.select(F.col(key).alias("track"), F.split(text, TEXT_SEPARATORS).alias("raw"))
+def whole_texts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Texts as ``(track, text)``, whose words are taken where they are counted."""
+    return texts.select(F.col(key).alias("track"), F.col(text).alias("text"))
+
+
+def _split_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The same words as one array ``raw`` a text, with empty ones at its ends, which have no normal form."""
+    texts = batch.column("text")
+    # vertical tabs, the one further space that the plain split knows, belong to words
+    plain = not pc.any(pc.match_substring(texts, "\v")).as_py()
+    words = pc.ascii_split_whitespace(texts) if plain else pc.split_pattern_regex(texts, TEXT_SEPARATORS)
+    return pa.RecordBatch.from_arrays([batch.column("track"), words], names=["track", "raw"])
 
 
 def _one_form(tag: Column) -> Column:
@@ -120,22 +140,23 @@ def _blocks(batches, words: int):
 
 def _tags_in_blocks(raw: DataFrame) -> DataFrame:
     """``block, raw, track, n``: the distinct raw tags of each block of rows, with their tracks and counts as arrays."""
+    texts = "raw" not in raw.columns
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("raw", T.StringType()),
                            T.StructField("track", T.ArrayType(raw.schema["track"].dataType)), T.StructField("n", T.ArrayType(T.LongType()))])
 
     def task(batches):
-        for block, table in enumerate(_blocks(batches, STEMMED)):
+        for block, table in enumerate(_blocks(map(_split_texts, batches) if texts else batches, STEMMED)):
             size = pc.fill_null(pc.list_value_length(table.column("raw")), 0).to_numpy()
             if not size.sum():
                 continue
-            tag, texts = _codes(pc.list_flatten(table.column("raw")))
+            tag, words = _codes(pc.list_flatten(table.column("raw")))
             pairs, n = np.unique(tag * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
-            bounds = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(size)).astype(np.int32))
+            bounds = pa.array(np.searchsorted(pairs, np.arange(len(words) + 1) * len(size)).astype(np.int32))
             tracks = pa.concat_arrays(table.column("track").chunks).take(pa.array(pairs % len(size)))
             lists = [pa.ListArray.from_arrays(bounds, values) for values in (tracks, pa.array(n.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), texts.cast(pa.string()), *lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), words.cast(pa.string()), *lists], names=schema.names)
 
-    return raw.select("track", "raw").mapInArrow(task, schema)
+    return raw.select("track", "text" if texts else "raw").mapInArrow(task, schema)
 
 
 def _by_block(batches):
@@ -154,12 +175,17 @@ def _by_block(batches):
         yield pa.Table.from_batches(held)
 
 
-def _normalize_in_place(raw: DataFrame) -> DataFrame:
-    """Tag counts of tracks that have all their raw tags in one row: each block of rows is counted by itself.
+def _whole(raw: DataFrame) -> bool:
+    return "raw" not in raw.columns or isinstance(raw.schema["raw"].dataType, T.ArrayType)
+
+
+def _list_in_place(raw: DataFrame) -> DataFrame:
+    """Listed tag counts of tracks that have all their raw tags in one row: each block of rows is counted by itself.
 
     A raw tag is stemmed once a block. No rows are shuffled, and a task holds one block of about ``STEMMED`` raw tags.
     """
-    schema = T.StructType([raw.schema["track"], T.StructField("tag", T.StringType()), T.StructField("n", T.LongType())])
+    listed = T.StructType([T.StructField("track", raw.schema["track"].dataType), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("tag", T.StringType()), T.StructField("n_tracks", T.LongType()), T.StructField("tracks", T.ArrayType(listed))])
     stemmed = _tags_in_blocks(raw).select("block", normalize_tag(F.col("raw")).alias("tag"), "track", "n")
 
     def task(batches):
@@ -174,42 +200,83 @@ def _normalize_in_place(raw: DataFrame) -> DataFrame:
             pairs = pairs[order]
             first = np.flatnonzero(np.diff(pairs, prepend=-1))
             n = np.add.reduceat(pc.list_flatten(table.column("n")).to_numpy()[order], first)
-            found = [tracks.take(pa.array(pairs[first] % len(tracks))), texts.take(pa.array(pairs[first] // len(tracks))), pa.array(n)]
-            yield from pa.table(found, names=schema.names).to_batches(GATHERED)
+            tag, at = np.divmod(pairs[first], len(tracks))
+            # a row begins with each tag, and after so many tracks of it
+            place = np.arange(len(tag))
+            begins = np.diff(tag, prepend=-1) != 0
+            place -= np.maximum.accumulate(np.where(begins, place, 0))
+            rows = np.flatnonzero(place % LISTED == 0)
+            bounds = np.append(rows, len(tag))
+            pair = pa.StructArray.from_arrays([tracks.take(pa.array(at)), pa.array(n)], names=listed.names)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pair)
+            yield from pa.table([texts.take(pa.array(tag[rows])), pa.array(np.diff(bounds)), lists], names=schema.names).to_batches(LISTED)
 
     return stemmed.mapInArrow(task, schema)
 
 
+def _listed(counted: DataFrame) -> bool:
+    return "tracks" in counted.columns and "track" not in counted.columns
+
+
+def _in_rows(counted: DataFrame) -> DataFrame:
+    """Listed tag counts with a row for each track and tag."""
+    if not _listed(counted):
+        return counted
+    others = [c for c in counted.columns if c not in ("tag", "n_tracks", "tracks")]
+    return counted.select("tag", *others, F.inline("tracks")).select("track", "tag", *others, "n")
+
+
+def list_tags(raw: DataFrame) -> DataFrame:
+    """The tag counts of ``normalize_tags`` as lists ``(tag, n_tracks, tracks)``: rows of a tag, as many as need be, with at most
+    ``LISTED`` of its tracks as ``(track, n)``; a track and tag is in one row only.
+
+    Of tags that come as arrays or texts there are far fewer rows than pairs of track and tag. Whoever asks for tags only need not read
+    the tracks, and a tag meets a vocabulary once for all tracks of a row.
+    """
+    if _whole(raw):
+        return _list_in_place(raw)
+    return normalize_tags(raw).select("tag", F.lit(1).cast("bigint").alias("n_tracks"), F.array(F.struct("track", "n")).alias("tracks"))
+
+
 def tags_of_texts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Tag counts ``(track, tag, n)`` of all words of whole texts.
 
     The words of a key with one text are counted where they stand. Only the words of keys that come more than once are
     shuffled.
     """
+    return _count_texts(texts, key, text, normalize_tags)
+
+
+def list_tags_of_texts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same counts as lists of ``list_tags``."""
+    return _count_texts(texts, key, text, list_tags)
+
+
+def _count_texts(texts: DataFrame, key: str, text: str, count) -> DataFrame:
     every = spread_scan(texts.select(key, text))
     twice = texts.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
     twice = stage(twice, "repeated-keys")
     if twice.isEmpty():
-        return normalize_tags(word_lists(every, key, text))
+        return count(whole_texts(every, key, text))
     if not _may_be_sent(twice.select(F.col("_key").cast("string")), "_key"):
-        return normalize_tags(words_of(every, key, text))
+        return count(words_of(every, key, text))
     marked = every.join(F.broadcast(twice), F.col(key).eqNullSafe(F.col("_key")), "left")
-    once = normalize_tags(word_lists(marked.where("_n is null"), key, text))
-    return once.unionByName(normalize_tags(words_of(marked.where("_n > 1"), key, text)))
+    once = count(whole_texts(marked.where("_n is null"), key, text))
+    return once.unionByName(count(words_of(marked.where("_n > 1"), key, text)))
 
 
 def normalize_tags(raw: DataFrame) -> DataFrame:
     """Tag counts ``(track, tag, n)`` in normal form.
 
-    ``raw`` has a row for each raw tag, or one for each track with an array of all its raw tags; no row of the latter is
-    shuffled. The former are counted as follows.
+    ``raw`` has a row for each raw tag, or one for each track with an array of all its raw tags or its whole ``text``; no row of
+    the latter two is shuffled. The former are counted as follows.
 
     Stemming is the costly part. Each frequent raw tag is stemmed once and joined by broadcast, and the rare ones are stemmed
     where they stand, so that rows are shuffled once, by track and tag. If the tags that can't be broadcast have too many rows
     for that, they are joined back to the counted pairs by a shuffle, with frequent tags cut into pieces.
     """
-    if isinstance(raw.schema["raw"].dataType, T.ArrayType):
-        return _normalize_in_place(raw)
+    if _whole(raw):
+        return _in_rows(_list_in_place(raw))
     forms, rare = frequent_forms(raw)
     if not rare:
         return _normalize_by_shuffle(raw)
@@ -229,20 +296,26 @@ def _normalize_by_shuffle(raw: DataFrame) -> DataFrame:
 
 
 def _value_counts(batches):
-    """How many of ``GATHERED`` rows at a time have each value of the first column, as tables ``tag, n``."""
+    """The sums ``tag, n`` of ``GATHERED`` rows of tags and numbers of tracks at a time, as tables."""
     held, rows = [], 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            held.append(batch.column(0).drop_null().cast(pa.string()))
+            held.append(pa.Table.from_arrays([batch.column(0).cast(pa.string()), batch.column(1)], names=["tag", "n"]))
             rows += batch.num_rows
         if held and (batch is None or rows >= GATHERED):
-            found = pc.value_counts(pa.chunked_array(held, pa.string()))
-            yield pa.table({"tag": found.field("values"), "n": found.field("counts")})
+            found = pa.concat_tables(held)
+            found = found.filter(pc.is_valid(found.column("tag"))).group_by("tag").aggregate([("n", "sum")])
+            yield found.rename_columns(["tag", "n"])
             held, rows = [], 0
 
 
+def _n_tracks(tags: DataFrame) -> Column:
+    """On how many tracks the tag of a row is."""
+    return (F.col("n_tracks") if _listed(tags) else F.lit(1).cast("bigint")).alias("n")
+
+
 def tag_sketch(tags: DataFrame, counters: int) -> DataFrame:
-    """Lower bounds of how many rows each tag has ``(tag, n)``, from counters that each task bounds; the row without a tag is
+    """Lower bounds of how many tracks each tag has ``(tag, n)``, from counters that each task bounds; the row without a tag is
     how much all tasks together may have missed of any tag.
 
     A task that has more than twice ``counters`` tags takes the count of the one after the ``counters`` largest from all and
@@ -261,14 +334,14 @@ def tag_sketch(tags: DataFrame, counters: int) -> DataFrame:
         yield from counts.to_batches()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([missed], pa.int64())], names=["tag", "n"])
 
-    return tags.select("tag").mapInArrow(task, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
+    return tags.select("tag", _n_tracks(tags)).mapInArrow(task, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
 
 
 def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1, counters: int = COUNTERS) -> DataFrame:
     """The ``n_tags`` tags on most tracks ``(tag, n_tracks)``; equal counts go by tag.
 
-    ``tags`` has one row for each track and tag, as ``normalize_tags`` gives; other columns are ignored. What is shuffled are the
-    tasks' counters. If no task had to drop any, their sums are the counts. Else a tag can only be among the first
+    ``tags`` has one row for each track and tag, as ``normalize_tags`` gives, or lists as ``list_tags`` gives; other columns are
+    ignored. What is shuffled are the tasks' counters. If no task had to drop any, their sums are the counts. Else a tag can only be among the first
     ``n_tags`` if its lower bound and what was missed reach the ``n_tags``-th lower bound; these candidates are counted
     exactly. A tag in no counter has at most as many rows as were missed: if that many could suffice, the counters are too
     few, and four times as many are taken.
@@ -289,7 +362,7 @@ def build_tag_vocab(tags: DataFrame, n_tags: int = 561, min_tracks: int = 1, cou
     if _may_be_sent(candidates, "tag"):
         # the file of all counters looks too large to broadcast, and all rows would be shuffled
         candidates = F.broadcast(candidates)
-    counts = tags.join(candidates, "tag", "left_semi").groupBy("tag").agg(F.count("*").alias("n_tracks"))
+    counts = tags.select("tag", _n_tracks(tags)).join(candidates, "tag", "left_semi").groupBy("tag").agg(F.sum("n").alias("n_tracks"))
     return counts.where(F.col("n_tracks") >= min_tracks).orderBy(F.desc("n_tracks"), "tag").limit(n_tags)
 
 
@@ -300,9 +373,11 @@ def encode_tag_ids(vocab: DataFrame) -> DataFrame:
 
 
 def _met(tags: DataFrame, vocab: DataFrame, how: str) -> DataFrame:
-    """Tags joined with a vocabulary: broadcast if its counted bytes allow, else shuffled, with frequent tags cut into pieces."""
+    """Tags, listed or not, joined with a vocabulary: broadcast if its counted bytes allow, else shuffled, with frequent tags cut
+    into pieces. The result has a row for each track and tag."""
     if _may_be_sent(vocab, "tag"):
-        return tags.join(F.broadcast(vocab), "tag", how)
+        return _in_rows(tags.join(F.broadcast(vocab), "tag", how))
+    tags = _in_rows(tags)
     hot = hot_keys(tags, "tag")
     if how == "inner":
         return salted_join(tags, vocab, "tag", "track", hot)

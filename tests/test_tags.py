@@ -221,3 +221,66 @@ def test_unchanged_words_are_what_the_steps_leave_alone(spark):
     assert df.where(F.col("raw").rlike(stem.UNCHANGED)).count() == len(words)
     assert [r.s for r in df.select(stem.stem_words(F.array("raw"))[0].alias("s")).collect()] == words
     assert not any(re.search(stem.UNCHANGED, w) for w, s in STEMS.items() if w != s)
+
+
+def test_words_that_end_as_no_step_asks_for_are_unchanged(spark):
+    """Not only by their last letter, and of any letters."""
+    words = ["rhythm", "balkan", "garten", "ñandu", "éclair", "guitar", "abend", "mit", "boxen"]
+    df = spark.createDataFrame([(w,) for w in words], "raw string")
+    assert [r.u for r in df.select(F.col("raw").rlike(stem.UNCHANGED).alias("u")).collect()] == [True] * len(words)
+    assert [r.s for r in df.select(stem.stem_words(F.array("raw"))[0].alias("s")).collect()] == words
+
+
+def test_separators_at_the_ends_of_a_tag(spark):
+    rows = {"Cats,": "cat", "--cats": "cat", "rock\n": "rock", "\nbox\n": "box", "A-Ha!": "aha", "": "", " ": "", "Äpfel...": "äpfel", None: None}
+    df = spark.createDataFrame([(w,) for w in rows], "raw string")
+    assert {r.raw: r.tag for r in df.select("raw", tags.normalize_tag(F.col("raw")).alias("tag")).collect()} == rows
+
+
+@pytest.mark.parametrize("again", [[], [("a", "rock jazz"), (None, "Rocks")]])
+def test_words_of_texts_are_those_of_the_split(spark, again):
+    """Whatever white space: of the given kinds it separates words, other kinds belong to them."""
+    texts = [("a", "Rock\x0bJazz rock"), ("b", "\tfolk\r\ndisco\x0c"), ("c", "rock\u00a0pop \x1crock  "), ("d", ""), ("e", None), (None, " x")]
+    for some in (texts + again, [(k, t and t.replace("\x0b", " ")) for k, t in texts + again]):
+        df = spark.createDataFrame(some, "doc_id string, text string").coalesce(1)
+        want = tags.normalize_tags(tags.words_of(df, "doc_id")).collect()
+        got = tags.tags_of_texts(df, "doc_id").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) > 6
+
+
+def listed_and_not(spark):
+    texts = [(n, " ".join(["rock"] * (n % 3 + 1) + ["Jazz", f"w{n % 7}k"])) for n in range(40)] + [(3, "rock folk"), (None, "jazz"), (None, "jazz rock")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    return tags.list_tags_of_texts(df, "doc_id"), tags.tags_of_texts(df, "doc_id")
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 10])
+def test_listed_tags_are_the_counted_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(tags, "LISTED", most)
+    listed, counted = listed_and_not(spark)
+    rows = listed.collect()
+    assert all(r.n_tracks == len(r.tracks) <= most for r in rows)
+    got = [(p.track, r.tag, p.n) for r in rows for p in r.tracks]
+    assert Counter(got) == Counter(map(tuple, counted.collect()))
+
+
+def test_tags_of_a_block_are_one_row(spark):
+    """Not one for each track: 90 pairs of track and tag, three rows."""
+    df = spark.createDataFrame([(n, "rock Rocks jazz folk") for n in range(30)], "doc_id long, text string").coalesce(1)
+    listed = tags.list_tags(tags.whole_texts(df, "doc_id"))
+    assert sorted((r.tag, r.n_tracks) for r in listed.collect()) == [("folk", 30), ("jazz", 30), ("rock", 30)]
+
+
+@pytest.mark.parametrize("sent", [64 << 20, 1])
+def test_listed_tags_meet_a_vocabulary_like_counted_ones(spark, monkeypatch, sent):
+    listed, counted = listed_and_not(spark)
+    for counters in (1, 1 << 16):
+        first, second = (tags.build_tag_vocab(some, 3, counters=counters).collect() for some in (listed, counted))
+        assert [tuple(r) for r in first] == [tuple(r) for r in second] and [r.tag for r in first][:2] == ["jazz", "rock"]
+    ids = tags.encode_tag_ids(tags.build_tag_vocab(listed, 3))
+    monkeypatch.setattr(tags, "SENT_BYTES", sent)
+    for operator in (tags.bag_of_tags, tags.tags_in_vocab, tags.tags_out_of_vocab):
+        first, second = operator(listed, ids), operator(counted, ids)
+        names = ["track", *[c for c in second.columns if c != "track"]]
+        assert sorted(first.columns) == sorted(second.columns)
+        assert Counter(map(tuple, first.select(names).collect())) == Counter(map(tuple, second.select(names).collect())) != Counter()
